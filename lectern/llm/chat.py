@@ -170,19 +170,19 @@ with recursive input as (
 ), t as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
     length({safe}) + case {marks} else {other} + length({role}) end as chars,
-    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as at
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
   from input
 ), s as (
-  select conv_id, 0::bigint as at, 'start' as state from t group by conv_id
+  select conv_id, 0::bigint as pos, 'start' as state from t group by conv_id
   union all
-  select t.conv_id, t.at, case {moves} else 'broken' end
-  from s join t on t.conv_id = s.conv_id and t.at = s.at + 1
+  select t.conv_id, t.pos, case {moves} else 'broken' end
+  from s join t on t.conv_id = s.conv_id and t.pos = s.pos + 1
 )
 select t.conv_id, count(*) as n_turns,
-  sha256(array_to_string(list(role || chr(10) || text || chr(10) order by at), '')) as turns_sha256,
+  sha256(array_to_string(list(role || chr(10) || text || chr(10) order by pos), '')) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(array_to_string(list(text order by at) filter (where role = 'assistant'), ''), '')) as loss_sha256,
+  sha256(coalesce(array_to_string(list(text order by pos) filter (where role = 'assistant'), ''), '')) as loss_sha256,
   sum(chars)::bigint as formatted_chars,
   last(e.state) = 'answered' as valid, last(e.state) as state
-from t join (select conv_id, last(state order by at) as state from s group by conv_id) e on e.conv_id = t.conv_id
+from t join (select conv_id, last(state order by pos) as state from s group by conv_id) e on e.conv_id = t.conv_id
 group by t.conv_id"""
