@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from .chat import op8_chat_formatting, op8_sql
+from .decontaminate import op3_decontamination
+from .jaccard import op5_jaccard_join
 from .mixing import op1_mixing
+from .quality import op6_quality_classifier
 from .sharding import op2_sharding
+from .warc import op9_sql, op9_warc
 
 
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
+        "op3_decontamination": op3_decontamination,
+        "op5_jaccard_join": op5_jaccard_join,
+        "op6_quality_classifier": op6_quality_classifier,
         "op8_chat_formatting": op8_chat_formatting,
+        "op9_warc": op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": op8_sql()}
+    return {"op8_chat_formatting": op8_sql(), "op9_warc": op9_sql()}
