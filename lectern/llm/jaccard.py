@@ -68,7 +68,7 @@ def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
     words = _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _M2)
     k = min(k, len(words))
-    out = np.full(len(words) - k + 1, U(k) * _M2, dtype=np.uint64)
+    out = np.full(len(words) - k + 1, k, dtype=np.uint64) * _M2
     for i in range(k):
         out += words[i : i + len(out)] * up[i + 3]
     return _mix(out)
