@@ -5,9 +5,12 @@ from __future__ import annotations
 from .chat import op8_chat_formatting, op8_sql
 from .decontaminate import op3_decontamination
 from .jaccard import op5_jaccard_join
+from .lines import op7_line_dedup
 from .mixing import op1_mixing
+from .neighbours import op10_neighbours
 from .quality import op6_quality_classifier
 from .sharding import op2_sharding
+from .tokens import op4_token_counts
 from .warc import op9_sql, op9_warc
 
 
@@ -16,10 +19,13 @@ def queries() -> dict:
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
+        "op4_token_counts": op4_token_counts,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_line_dedup": op7_line_dedup,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_warc": op9_warc,
+        "op10_neighbours": op10_neighbours,
     }
 
 

@@ -156,8 +156,32 @@ def signatures(h: np.ndarray, rank: np.ndarray, boundary: int, percent: int) ->
     return np.concatenate(out)
 
 
+PROFILE = 128
+
+
+def profile(h: np.ndarray) -> bytes:
+    """How many shingles fall in each of PROFILE classes, up to 255.  Two sets differ in at least as many shingles as their profiles do."""
+    return np.minimum(np.bincount((h & U(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and profiles don't rule out."""
+
+    def run(batches):
+        for t in batches:
+            n, m = (np.array(t.column(j), dtype=np.int64) for j in (2, 3))
+            x, y = (np.frombuffer(b"".join(t.column(j).to_pylist()), dtype=np.uint8).reshape(-1, PROFILE).astype(np.int16) for j in (4, 5))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            same = (n + m - apart) // 2  # at most so many
+            yield t.select([0, 1]).filter(pa.array(100 * same >= percent * (n + m - same)))
+
+    side = lambda c, n, p: sets.select(F.col("id").alias(c), F.col("n").alias(n), F.col("profile").alias(p))
+    both = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), digest of the set and its signatures, for every row."""
+    """doc_id, n (size of the set), its digest, profile and signatures, for every row."""
     counts, sizes = _sketch(docs, k)
     usual = 4 * counts.mean() + 8
     rank = np.where(counts > usual, 1 + np.log2(np.maximum(counts, 1) / usual), 0).astype(np.uint8)
@@ -168,17 +192,18 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches):
         rank = np.frombuffer(ranks.value, dtype=np.uint8)
         for b in batches:
-            n, digest, sig = [], [], []
+            n, digest, sig, profiles = [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, k)
                 n.append(len(h))
+                profiles.append(profile(h))
                 digest.append(np.array([h.sum(dtype=np.uint64), _mix(h ^ _M1).sum(dtype=np.uint64)]).tobytes())
                 sig.append(signatures(h, rank[h >> U(64 - SKETCH_BITS)], boundary, percent).view(np.int64))
             flat = np.concatenate(sig) if sig else np.zeros(0, dtype=np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(profiles, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "digest", "profile", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, sig array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, profile binary, sig array<bigint>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -203,7 +228,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every node of ``edges(a, b)``: the smallest id that it hangs together with.
 
     Each round points every node to the neighbour first in a random order, goes
-    two steps along those pointers and contracts the edges; the rounds grow with
+    eight steps along those pointers and contracts the edges; the rounds grow with
     the logarithm of the longest path.  Rounds are written tables.
     """
     both = edges.select("a", "b").union(edges.select("b", "a"))
@@ -211,10 +236,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     live, turn = scratch.put(both.where("a <> b").distinct()), 0
     while not live.isEmpty():
         lot = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("lot"), F.col(c).alias("id"))
-        up = live.groupBy("a").agg(F.min(lot("b")).alias("_to")).select("a", F.least("_to", lot("a"))["id"].alias("to"))
-        up = scratch.put(up)
-        far = up.select(F.col("a").alias("to"), F.col("to").alias("far"))
-        jump = scratch.put(up.join(far, "to", "left").select("a", F.coalesce("far", "to").alias("to")))
+        up = scratch.put(live.groupBy("a").agg(F.min(lot("b")).alias("_to")).select("a", F.least("_to", lot("a"))["id"].alias("to")))
+        jump = up
+        for _ in range(3):  # two, four, eight steps
+            jump = jump.join(jump.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select("a", F.col("far").alias("to"))
+        jump = scratch.put(jump)
         old_nodes, old_live = nodes, live
         nodes = scratch.put(nodes.join(jump.withColumnRenamed("a", "at"), "at", "left").select("id", F.coalesce("to", "at").alias("at")))
         left = live.join(jump, "a").select(F.col("to").alias("a"), "b")
@@ -236,10 +262,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     and take no part.  An empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
-    sets = scratch.put(_sets(docs, k, percent))
-    classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").cast("long").alias("id"), F.first("sig").alias("sig")))
-
-    listed = classes.select("id", "n", F.explode("sig").alias("sig"))
+    signed = scratch.put(_sets(docs, k, percent))
+    sets = scratch.put(signed.select("doc_id", "n", "digest"))
+    classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").cast("long").alias("id")))
+    first = signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["n"] == classes["n"]) & (signed["doc_id"] == classes["id"]), "left_semi")
+    listed = first.select(F.col("doc_id").cast("long").alias("id"), "n", F.explode("sig").alias("sig")).distinct()
     of = Window.partitionBy("sig")
     lot = F.struct(F.xxhash64("id", F.lit("hub")), F.col("id"), F.col("n"))
     lists = (
@@ -248,14 +275,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .select("sig", "id", "n", F.col("_low.id").alias("h1"), F.col("_low.n").alias("n1"), F.col("_lot.id").alias("h2"), F.col("_lot.n").alias("n2"))
     )
     lists = scratch.put(lists)
+    named = lists.select("id").distinct()
+    profiles = scratch.put(first.select(F.col("doc_id").cast("long").alias("id"), "n", "profile").join(named, "id", "left_semi"))
+    scratch.drop(signed)
     alike = lambda m, n: (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
     hub = F.explode(F.array(F.struct(F.col("h1").alias("h"), F.col("n1").alias("m")), F.struct(F.col("h2").alias("h"), F.col("n2").alias("m"))))
     tried = lists.select("id", "n", hub.alias("x")).where((F.col("x.h") != F.col("id")) & alike(F.col("x.m"), F.col("n")))
     tried = scratch.put(tried.select(F.least("id", "x.h").alias("a"), F.greatest("id", "x.h").alias("b")).distinct())
 
-    named = lists.select("id").distinct()
     texts = scratch.put(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi"))
-    links = scratch.put(_verify(tried, texts, k, percent))
+    links = scratch.put(_verify(scratch.put(_may_link(tried, profiles, percent)), texts, k, percent))
     found = scratch.put(components(links, scratch))
 
     placed = lists.select("sig", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -264,7 +293,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     x, y = apart.alias("x"), apart.alias("y")
     on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"))
     pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = scratch.put(_verify(scratch.put(pairs.join(tried, ["a", "b"], "left_anti")), texts, k, percent))
+    untried = scratch.put(_may_link(scratch.put(pairs.join(tried, ["a", "b"], "left_anti")), profiles, percent))
+    more = scratch.put(_verify(untried, texts, k, percent))
     if not more.isEmpty():
         found = scratch.put(components(scratch.put(links.unionByName(more)), scratch))
 
