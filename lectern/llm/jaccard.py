@@ -164,6 +164,35 @@ def profile(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((h & U(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 4 n and more classes, a bit each: two sets differ in at least as many shingles as their bitmaps in bits."""
+    m = 1 << max(6, (4 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount(((h >> U(16)) & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ; the larger is folded to the size of the smaller."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    k = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, k), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _nearly_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that bitmaps don't rule out; few but links are left."""
+
+    def run(batches):
+        for t in batches:
+            n, m = (np.array(t.column(j), dtype=np.int64) for j in (2, 3))
+            apart = np.array([bits_apart(x, y) for x, y in zip(t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            same = (n + m - apart) // 2
+            yield t.select([0, 1]).filter(pa.array(100 * same >= percent * (n + m - same), pa.bool_()))
+
+    side = lambda c, n, p: sets.select(F.col("id").alias(c), F.col("n").alias(n), F.col("bits").alias(p))
+    both = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and profiles don't rule out."""
 
@@ -181,7 +210,7 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), its digest, profile and signatures, for every row."""
+    """doc_id, n (size of the set), its digest, profile, bitmap and signatures, for every row."""
     counts, sizes = _sketch(docs, k)
     usual = 4 * counts.mean() + 8
     rank = np.where(counts > usual, 1 + np.log2(np.maximum(counts, 1) / usual), 0).astype(np.uint8)
@@ -192,18 +221,19 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches):
         rank = np.frombuffer(ranks.value, dtype=np.uint8)
         for b in batches:
-            n, digest, sig, profiles = [], [], [], []
+            n, digest, sig, profiles, bits = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, k)
                 n.append(len(h))
                 profiles.append(profile(h))
+                bits.append(bitmap(h))
                 digest.append(np.array([h.sum(dtype=np.uint64), _mix(h ^ _M1).sum(dtype=np.uint64)]).tobytes())
                 sig.append(signatures(h, rank[h >> U(64 - SKETCH_BITS)], boundary, percent).view(np.int64))
             flat = np.concatenate(sig) if sig else np.zeros(0, dtype=np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(profiles, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "digest", "profile", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(profiles, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "digest", "profile", "bits", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, profile binary, sig array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, profile binary, bits binary, sig array<bigint>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -227,16 +257,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every node of ``edges(a, b)``: the smallest id that it hangs together with.
 
-    Each round points every node to the neighbour first in a random order, goes
-    eight steps along those pointers and contracts the edges; the rounds grow with
+    Each round points every node to the neighbour with the most neighbours, ties
+    at random, if that is ahead of itself, goes eight steps along those pointers and contracts the edges; the rounds grow with
     the logarithm of the longest path.  Rounds are written tables.
     """
     both = edges.select("a", "b").union(edges.select("b", "a"))
     nodes = scratch.put(both.select(F.col("a").alias("id"), F.col("a").alias("at")).distinct())
     live, turn = scratch.put(both.where("a <> b").distinct()), 0
     while not live.isEmpty():
-        lot = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("lot"), F.col(c).alias("id"))
-        up = scratch.put(live.groupBy("a").agg(F.min(lot("b")).alias("_to")).select("a", F.least("_to", lot("a"))["id"].alias("to")))
+        degree = live.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+        lot = lambda c, d, turn=turn: F.struct((-F.col(d)).alias("d"), F.xxhash64(c, F.lit(turn)).alias("lot"), F.col(c).alias("id"))
+        ahead = live.join(degree.withColumnsRenamed({"a": "b", "d": "e"}), "b").groupBy("a").agg(F.min(lot("b", "e")).alias("_to"))
+        up = scratch.put(ahead.join(degree, "a").select("a", F.least("_to", lot("a", "d"))["id"].alias("to")))
         jump = up
         for _ in range(3):  # two, four, eight steps
             jump = jump.join(jump.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select("a", F.col("far").alias("to"))
@@ -266,7 +298,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = scratch.put(signed.select("doc_id", "n", "digest"))
     classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").cast("long").alias("id")))
     first = signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["n"] == classes["n"]) & (signed["doc_id"] == classes["id"]), "left_semi")
-    listed = first.select(F.col("doc_id").cast("long").alias("id"), "n", F.explode("sig").alias("sig")).distinct()
+    listed = first.select(F.col("doc_id").cast("long").alias("id"), "n", F.explode("sig").alias("sig"))
     of = Window.partitionBy("sig")
     lot = F.struct(F.xxhash64("id", F.lit("hub")), F.col("id"), F.col("n"))
     lists = (
@@ -276,15 +308,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     )
     lists = scratch.put(lists)
     named = lists.select("id").distinct()
-    profiles = scratch.put(first.select(F.col("doc_id").cast("long").alias("id"), "n", "profile").join(named, "id", "left_semi"))
+    profiles = scratch.put(first.select(F.col("doc_id").cast("long").alias("id"), "n", "profile", "bits").join(named, "id", "left_semi").dropDuplicates(["id", "bits"]))
     scratch.drop(signed)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        near = scratch.put(_nearly_link(scratch.put(_may_link(pairs, profiles, percent)), profiles, percent))
+        named = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = scratch.put(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi"))
+        return scratch.put(_verify(near, texts, k, percent))
+
     alike = lambda m, n: (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
     hub = F.explode(F.array(F.struct(F.col("h1").alias("h"), F.col("n1").alias("m")), F.struct(F.col("h2").alias("h"), F.col("n2").alias("m"))))
     tried = lists.select("id", "n", hub.alias("x")).where((F.col("x.h") != F.col("id")) & alike(F.col("x.m"), F.col("n")))
     tried = scratch.put(tried.select(F.least("id", "x.h").alias("a"), F.greatest("id", "x.h").alias("b")).distinct())
-
-    texts = scratch.put(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi"))
-    links = scratch.put(_verify(scratch.put(_may_link(tried, profiles, percent)), texts, k, percent))
+    links = check(tried)
     found = scratch.put(components(links, scratch))
 
     placed = lists.select("sig", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -293,8 +330,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     x, y = apart.alias("x"), apart.alias("y")
     on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"))
     pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    untried = scratch.put(_may_link(scratch.put(pairs.join(tried, ["a", "b"], "left_anti")), profiles, percent))
-    more = scratch.put(_verify(untried, texts, k, percent))
+    more = check(scratch.put(pairs.join(tried, ["a", "b"], "left_anti")))
     if not more.isEmpty():
         found = scratch.put(components(scratch.put(links.unionByName(more)), scratch))
 

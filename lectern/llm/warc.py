@@ -45,9 +45,9 @@ def _unline(value: str) -> str:
     return unquote(value)
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int, url: str | None, payload: bytes | None, size: int, sha: str, refers_to: int | None = None) -> bytes:
     """One record as a gzip member.  A revisit has the response's head, whose Content-Length tells the payload's size, and no payload."""
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = head if refers_to is not None else head + payload
     fields = [
         b"WARC/1.1",
@@ -55,7 +55,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
         b"WARC-Record-ID: <urn:page:%d>" % page_id,
         b"WARC-Date: 1970-01-01T00:00:00Z",
         b"Content-Type: application/http; msgtype=response",
-        b"WARC-Payload-Digest: sha1:" + digest(payload).encode(),
+        b"WARC-Payload-Digest: sha1:" + sha.encode(),
         b"WARC-Block-Digest: sha1:" + digest(block).encode(),
     ]
     if url is not None:
@@ -63,7 +63,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     if refers_to is not None:
         fields += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     fields.append(b"Content-Length: %d" % len(block))
-    press = zlib.compressobj(3, zlib.DEFLATED, 31)
+    press = zlib.compressobj(6, zlib.DEFLATED, 31)
     return press.compress(CRLF.join(fields) + CRLF * 2 + block + CRLF * 2) + press.flush()
 
 
@@ -109,19 +109,35 @@ def parse(raw: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload and refers_to of each row of ``pages(page_id, url, html)``.
+    """page_id, url, size, sha, refers_to and response (the record as a response) of each row of ``pages(page_id, url, html)``.
 
-    Only groups of two and more equal payloads are joined back; Spark broadcasts
-    them where their size allows and splits a hot payload otherwise.
+    Responses are compressed before anything is joined, so that what may be
+    shuffled is as small as the archives.  Only groups of two and more equal
+    payloads are joined back; Spark broadcasts them where their size allows and
+    splits a hot payload otherwise.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
-    key = [F.sha1("payload").alias("_sha"), F.length("payload").alias("_len")]
-    groups = rows.where(F.length("payload") >= least).groupBy(*key).agg(F.max("page_id").alias("_top"), F.min("page_id").alias("_low")).where("_top > _low")
+
+    def press(batches):
+        for b in batches:
+            size, sha, made = [], [], []
+            for row in b.to_pylist():
+                size.append(len(row["payload"]))
+                sha.append(digest(row["payload"]))
+                made.append(record(row["page_id"], row["url"], row["payload"], size[-1], sha[-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(made, pa.binary())], ["page_id", "url", "size", "sha", "response"])
+
+    def name(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in b.column(1).to_pylist()], pa.int64()), pa.array([digest(x) for x in b.column(1).to_pylist()], pa.string())], ["page_id", "size", "sha"])
+
+    names = rows.select("page_id", "payload").mapInArrow(name, "page_id long, size long, sha string")
+    groups = names.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("_top"), F.min("page_id").alias("_low")).where("_top > _low")
     return (
-        rows.select("*", *key)
-        .join(groups, ["_sha", "_len"], "left")
-        .select("page_id", "url", "payload", F.when(F.col("_top") > F.col("page_id"), F.col("_top")).alias("refers_to"))
+        rows.mapInArrow(press, "page_id long, url string, size long, sha string, response binary")
+        .join(groups, ["sha", "size"], "left")
+        .select("page_id", "url", "size", "sha", F.when(F.col("_top") > F.col("page_id"), F.col("_top")).alias("refers_to"), "response")
     )
 
 
@@ -140,7 +156,9 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         with files.open_output_stream(f"{name}.part", compression=None) as out:
             for b in batches:
                 for row in b.to_pylist():
-                    raw = record(row["page_id"], row["url"], row["payload"], row["refers_to"])
+                    raw = row["response"]
+                    if row["refers_to"] is not None:
+                        raw = record(row["page_id"], row["url"], None, row["size"], row["sha"], row["refers_to"])
                     out.write(raw)
                     n, size = n + 1, size + len(raw)
         if not n:
