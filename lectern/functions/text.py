@@ -99,8 +99,13 @@ def line_of(c: str | Column, pos: Column) -> Column:
 
 
 def char_ngrams(c: str | Column, n: int) -> Column:
-    c = _col(c)
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Every run of n characters, in order.  The characters are cut once and bound to a name, as a substring of each place would walk the text again."""
+
+    def own(chars: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+        return F.when(F.size(chars) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(F.split(_col(c), "")), own), 1)
 
 
 def thirds(c: str | Column) -> Column:
