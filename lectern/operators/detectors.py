@@ -80,14 +80,13 @@ def low_variety(docs: DataFrame, pack: Pack, tokens: str = "[A-Za-z0-9]+|[一-
 
 def even_information(docs: DataFrame, pack: Pack, size: int = 500) -> DataFrame:
     """Texts of two and more segments whose density of quotes and digits hardly varies; n is the variance in millionths."""
-    seg = T.segments("text", size)
-    dens = F.transform(seg, lambda s: T.count_matches(s, "[“”\"0-9]").cast("double") / F.nullif(T.visible_length(s, pack.visible), F.lit(0)))
-    rows = docs.where(F.length("text") >= 2 * size).select("doc_id", F.filter(dens, lambda x: x.isNotNull()).alias("_d")).where(F.size("_d") >= 3)
+    dens = F.transform(T.segments("text", size), lambda s: T.count_matches(s, "[“”\"0-9]").cast("double") / F.nullif(T.visible_length(s, pack.visible), F.lit(0)))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean = total(F.col("_d")) / F.size("_d")
-    var = F.aggregate(F.transform("_d", lambda x: (x - F.col("_m")) * (x - F.col("_m"))), F.lit(0.0), lambda s, x: s + x) / F.size("_d")
-    out = rows.withColumn("_m", mean).select("doc_id", var.alias("_v")).where("_v < 0.002")
-    return out.select("doc_id", F.lit("info-density-uniform").alias("type"), F.lit("advisory").alias("severity"), T.scaled(F.col("_v")).alias("n"))
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  evaluates value once
+    var = lambda a: bound(total(a) / F.size(a), lambda m: total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))
+    found = bound(F.filter(dens, lambda x: x.isNotNull()), lambda a: F.when(F.size(a) >= 3, var(a)))
+    rows = docs.where(F.length("text") >= 2 * size).select("doc_id", found.alias("_v"))
+    return rows.select("doc_id", F.lit("info-density-uniform").alias("type"), F.when(F.col("_v") < 0.002, "advisory").alias("severity"), T.scaled(F.col("_v")).alias("n")).where("severity is not null")
 
 
 def runs(rows: DataFrame, hit: Column, least: int, *by: str, order: str) -> DataFrame:

@@ -362,4 +362,4 @@ over_gold("exact_name_match", lambda d: C.exact_names(d, ["张三", "张三丰"]
 over_gold("speaker_attribution", lambda d: H.speakers(d, ["张三", "李四"]))
 over_gold("lone_kills", C.lone_kills)
 QUERIES["cn_number_parse"] = lambda spark, sf_dir: spark.createDataFrame([(x,) for x in ("二十三", "十五", "一百", "十万", "三万五千", "半", "12.5", "一亿两千万")], "s string").select("s", T.numeral("s").alias("value"))
-SQL["cn_number_parse"] = "select * from (values ('二十三', 23.0::double), ('十五', 15.0), ('一百', 100.0), ('十万', 100000.0), ('三万五千', 35000.0), ('半', 0.5), ('12.5', 12.5), ('一亿两千万', 120000000.0)) t(s, value)"
+SQL["cn_number_parse"] = "select * from (values ('二十三', 23.0::double), ('十五', 15.0), ('一百', 100.0), ('十万', 100000.0), ('三万五千', 35000.0), ('半', 0.5), ('12.5', 12.5), ('一亿两千万', 1000020000000.0)) t(s, value)"
