@@ -93,7 +93,8 @@ class AdditiveModel:
         self.bins, self.coarse, self.cycles, self.pairs, self.pair_cycles, self.rate, self.depth, self.ridge, self.least = bins, coarse, cycles, pairs, pair_cycles, rate, depth, ridge, least
 
     def _cuts(self, x: np.ndarray, n: int) -> list[np.ndarray]:
-        return [np.unique(np.quantile(x[:, j], np.linspace(0, 1, n + 1)[1:-1])) for j in range(x.shape[1])]
+        at = np.linspace(0, 1, n + 1)[1:-1]
+        return [np.unique(np.quantile(x[:, j], at)) if len(x) else np.zeros(0) for j in range(x.shape[1])]
 
     @staticmethod
     def _binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
