@@ -12,7 +12,8 @@ cheapest.
 What is asked for is which sets hang together, so no list emits all its pairs.
 Each set of a list is first checked against two hubs of the list; the links
 found are contracted, and only sets of one list that are still apart are then
-checked pair by pair.  Every pair of linked sets shares a list, so it is either
+met pair by pair, in a join whose condition holds the sizes and small parity
+bitmaps against each other, so that it makes next to no rows but links.  Every pair of linked sets shares a list, so it is either
 checked or already known to hang together: no link is lost.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -170,6 +171,22 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount(((h >> U(16)) & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+PARITY = 8
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bitmap of a fixed size, as PARITY 64-bit integers: what the join of a list's sets compares."""
+    odd = np.bincount(((h >> U(16)) & U(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def parities_allow(x: str, y: str, percent: int) -> Column:
+    """Whether two rows (n, parity) may be linked: their sets differ in at least as many shingles as their parities in bits."""
+    apart = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PARITY)), F.lit(0))
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return 100 * (both - apart) >= percent * (both + apart)
+
+
 def bits_apart(x: bytes, y: bytes) -> int:
     """Bits in which two bitmaps differ; the larger is folded to the size of the smaller."""
     a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
@@ -210,7 +227,7 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), its digest, profile, bitmap and signatures, for every row."""
+    """doc_id, n (size of the set), its digest, profile, bitmap, parity and signatures, for every row."""
     counts, sizes = _sketch(docs, k)
     usual = 4 * counts.mean() + 8
     rank = np.where(counts > usual, 1 + np.log2(np.maximum(counts, 1) / usual), 0).astype(np.uint8)
@@ -221,19 +238,20 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches):
         rank = np.frombuffer(ranks.value, dtype=np.uint8)
         for b in batches:
-            n, digest, sig, profiles, bits = [], [], [], [], []
+            n, digest, sig, profiles, bits, odd = [], [], [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, k)
                 n.append(len(h))
                 profiles.append(profile(h))
                 bits.append(bitmap(h))
+                odd.append(parity(h))
                 digest.append(np.array([h.sum(dtype=np.uint64), _mix(h ^ _M1).sum(dtype=np.uint64)]).tobytes())
                 sig.append(signatures(h, rank[h >> U(64 - SKETCH_BITS)], boundary, percent).view(np.int64))
             flat = np.concatenate(sig) if sig else np.zeros(0, dtype=np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(profiles, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "digest", "profile", "bits", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(profiles, pa.binary()), pa.array(bits, pa.binary()), pa.array(odd, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "digest", "profile", "bits", "parity", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, profile binary, bits binary, sig array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, profile binary, bits binary, parity array<bigint>, sig array<bigint>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -308,7 +326,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     )
     lists = scratch.put(lists)
     named = lists.select("id").distinct()
-    profiles = scratch.put(first.select(F.col("doc_id").cast("long").alias("id"), "n", "profile", "bits").join(named, "id", "left_semi").dropDuplicates(["id", "bits"]))
+    profiles = scratch.put(first.select(F.col("doc_id").cast("long").alias("id"), "n", "profile", "bits", "parity").join(named, "id", "left_semi").dropDuplicates(["id", "bits"]))
     scratch.drop(signed)
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -324,11 +342,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = check(tried)
     found = scratch.put(components(links, scratch))
 
-    placed = lists.select("sig", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.withColumns({"_a": F.min("component").over(of), "_b": F.max("component").over(of)}).where("_a < _b").select("sig", "id", "n", "component")
+    placed = lists.select("sig", "id", "n").join(found, "id", "left").join(profiles.select("id", "parity"), "id").withColumn("component", F.coalesce("component", "id"))
+    apart = placed.withColumns({"_a": F.min("component").over(of), "_b": F.max("component").over(of)}).where("_a < _b").select("sig", "id", "n", "component", "parity")
     apart = scratch.put(apart)
     x, y = apart.alias("x"), apart.alias("y")
-    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"))
+    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")) & parities_allow("x", "y", percent)
     pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = check(scratch.put(pairs.join(tried, ["a", "b"], "left_anti")))
     if not more.isEmpty():
