@@ -4,13 +4,17 @@ A rolling hash over the hashes of the last two lines decides where a chunk ends,
 so an inserted line moves boundaries near it only.  A chunk of two and more
 lines with ink that occurs elsewhere is removed everywhere but at its first
 occurrence, after its bytes are compared with those of that occurrence.
+
+Whole texts are shuffled once, to meet the list of their repeated chunks.  The
+bytes of chunks are compared by grouping on (digest, bytes), which combines on
+the map side, so a chunk of many documents weighs little.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -40,15 +44,14 @@ def inked_lines(chunk: str) -> int:
     return sum(1 for x in chunk.split("\n") if x.strip())
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, which equal (doc_id, text) share."""
-    return docs.withColumn("_row", F.concat_ws(":", F.xxhash64("doc_id", "text").cast("string"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string")))
+def _row() -> Column:
+    """Name of a row, which equal (doc_id, text) share."""
+    return F.concat_ws(":", F.xxhash64("doc_id", "text").cast("string"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string")).alias("_row")
 
 
-def removed_chunks(docs: DataFrame, scratch: Scratch, least_lines: int = 2) -> DataFrame:
-    """(_row, gone): numbers of the chunks of each document that repeat an earlier chunk."""
+def repeated_chunks(docs: DataFrame, scratch: Scratch, least_lines: int = 2) -> DataFrame:
+    """(_row, wanted): of each document the chunks whose digest occurs more than once, each with its place and whether it is the first."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _keyed(docs.select("doc_id", "text"))
 
     def name(batches):
         for b in batches:
@@ -59,26 +62,54 @@ def removed_chunks(docs: DataFrame, scratch: Scratch, least_lines: int = 2) -> D
                         ids.append(i), keys.append(row), no.append(k), key.append(xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.string()), pa.array(no, pa.int32()), pa.array(key, pa.binary())], ["doc_id", "_row", "no", "key"])
 
+    rows = docs.select("doc_id", "text", _row())
     chunks = scratch.put(rows.mapInArrow(name, f"doc_id {kind}, _row string, no int, key binary"))
     first = chunks.groupBy("key").agg(F.min(F.struct("doc_id", "_row", "no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = chunks.join(first, "key").select("key", "_row", "no", ((F.col("_row") == F.col("first._row")) & (F.col("no") == F.col("first.no"))).alias("is_first"))
-    wanted = scratch.put(again.distinct().groupBy("_row").agg(F.collect_list(F.struct("no", "key", "is_first")).alias("wanted")))
+    again = chunks.join(first.hint("merge"), "key").select("key", "_row", "no", ((F.col("_row") == F.col("first._row")) & (F.col("no") == F.col("first.no"))).alias("is_first"))
+    return scratch.put(again.groupBy("_row").agg(F.collect_set(F.struct("no", "key", "is_first")).alias("wanted")))
+
+
+def unequal_chunks(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, bytes) of chunks that share their digest with a first occurrence, but not its bytes."""
+
+    def cut(batches):
+        for b in batches:
+            for text, wanted in zip(*(b.column(j).to_pylist() for j in range(2)), strict=True):
+                own = chunks_of(text)
+                parts = [own[w["no"]].encode("utf-8", "surrogatepass") for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([w["key"] for w in wanted], pa.binary()), pa.array(parts, pa.binary()), pa.array([w["is_first"] for w in wanted], pa.bool_())], ["key", "bytes", "is_first"])
+
+    parts = held.where("wanted is not null").select("doc.text", "wanted").mapInArrow(cut, "key binary, bytes binary, is_first boolean")
+    return scratch.put(parts.groupBy("key", "bytes").agg(F.max("is_first").alias("kept")).where("not kept").select("key", "bytes"))
+
+
+def with_repeats(docs: DataFrame, scratch: Scratch, least_lines: int = 2) -> DataFrame:
+    """doc (the row of ``docs``) and gone (numbers of its chunks that repeat the bytes of an earlier one)."""
+    wanted = repeated_chunks(docs, scratch, least_lines)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row())
+    held = scratch.put(rows.join(wanted.hint("merge"), "_row", "left"))
+    unequal = unequal_chunks(held, scratch)
+    if not unequal.isEmpty():  # only where digests of different chunks are equal
+        held = scratch.put(_without(held, unequal))
+    return held.select("doc", F.transform(F.filter("wanted", lambda w: ~w["is_first"]), lambda w: w["no"]).alias("gone"))
+
+
+def _without(held: DataFrame, unequal: DataFrame) -> DataFrame:
+    """``held`` whose ``wanted`` names none of the ``unequal`` chunks."""
 
     def cut(batches):
         for b in batches:
-            out = ([], [], [], [], [])
             for row, text, wanted in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
                 own = chunks_of(text)
-                for w in wanted:
-                    for o, v in zip(out, (w["key"], row, w["no"], w["is_first"], own[w["no"]].encode("utf-8", "surrogatepass")), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["key", "_row", "no", "is_first", "bytes"])
+                parts = [own[w["no"]].encode("utf-8", "surrogatepass") for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.string()), pa.array([w["no"] for w in wanted], pa.int32()), pa.array([w["key"] for w in wanted], pa.binary()), pa.array(parts, pa.binary())], ["_row", "no", "key", "bytes"])
 
-    held = rows.join(wanted, "_row").select("_row", "text", "wanted").mapInArrow(cut, "key binary, _row string, no int, is_first boolean, bytes binary")
-    held = scratch.put(held.dropDuplicates(["_row", "no"]))
-    kept = held.where("is_first").select("key", F.col("bytes").alias("first_bytes"))
-    same = held.where("not is_first").join(kept, "key").where("bytes = first_bytes")
-    return scratch.put(same.groupBy("_row").agg(F.sort_array(F.collect_list("no")).alias("gone")))
+    named = held.select("_row", "doc.text", F.explode("wanted").alias("w")).join(unequal.select("key").distinct(), F.col("w.key") == F.col("key"), "left_semi")
+    named = named.select("_row", "text", F.array("w").alias("wanted"))
+    parts = named.mapInArrow(cut, "_row string, no int, key binary, bytes binary")
+    stay = parts.join(unequal, ["key", "bytes"], "left_semi").groupBy("_row").agg(F.collect_set("no").alias("_stay"))
+    kept = F.filter("wanted", lambda w: ~F.array_contains(F.coalesce("_stay", F.array().cast("array<int>")), w["no"]))
+    return held.join(stay, "_row", "left").withColumn("wanted", kept).drop("_stay")
 
 
 def dedup_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
@@ -86,15 +117,16 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
 
     The first occurrence is the one with the smallest (doc_id, text hash, place).
     Rows that repeat a doc_id and its text count as one and keep the same.  A
-    null doc_id is before all others.  A null text stays null, an empty one
+    null doc_id is before all others.  Columns of ``docs`` with the names of added
+    ones are replaced, others stay.  A null text stays null, an empty one
     empty; chunks with fewer than ``least_lines`` lines that hold ink stay.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = removed_chunks(docs, scratch, least_lines)
+    added = ("_lines", "_removed_lines", "_chunks", "_removed_chunks")
+    docs = docs.drop(*added)
     names = docs.columns
-    joined = _keyed(docs).join(gone, "_row", "left").select(*[F.col(f"`{c}`") for c in names], "gone")
+    joined = with_repeats(docs, scratch, least_lines).select(*[F.col(f"doc.`{c}`").alias(f"c{j}") for j, c in enumerate(names)], "gone")
     at = names.index("text")
-    added = ("_lines", "_removed_lines", "_chunks", "_removed_chunks")
 
     def clean(batches):
         for b in batches:
