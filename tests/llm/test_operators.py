@@ -45,6 +45,8 @@ def test_edge_rows(spark, rows):
     assert jaccard.distinct_documents(docs).columns == docs.columns
     assert quality.score_quality(docs, labels).where("score between 0 and 1").count() == n
     assert lines.dedup_lines(docs).count() == n
+    odd = docs.selectExpr("*", "1 as _row", "2 as wanted", "3 as gone", "4 as doc", "5 as _lines")
+    assert [tuple(r) for r in lines.dedup_lines(odd).select("_row", "wanted", "gone", "doc").distinct().collect()] == [(1, 2, 3, 4)] * bool(n)
 
 
 def test_edge_vectors_pages_chats(spark):
@@ -182,6 +184,31 @@ def test_repeated_chunks_go(spark):
     assert all(got[i]._removed_lines >= 20 and f"own {i} a" in got[i].text and f"own {i} d" in got[i].text for i in range(1, 5))
 
 
+def test_chunks_of_equal_digest_are_compared(spark):
+    """Two chunks under one digest: only that with the bytes of the first goes."""
+    kind = "doc struct<text string>, _row string, wanted array<struct<no int, key binary, is_first boolean>>"
+    rows = [(("a\nb",), "x", [(0, b"k", True)]), (("a\nb",), "y", [(0, b"k", False)]), (("c\nd",), "z", [(0, b"k", False)]), (("e",), "w", None)]
+    held, scratch = spark.createDataFrame(rows, kind), lines.Scratch(spark, "test")
+    unequal = lines.unequal_chunks(held, scratch)
+    assert [(bytes(r.key), bytes(r.bytes)) for r in unequal.collect()] == [(b"k", b"c\nd")]
+    left = {r._row: r.wanted for r in lines._without(held, unequal).collect()}
+    assert len(left["x"]) == len(left["y"]) == 1 and left["z"] == [] and left["w"] is None
+
+
+def test_parities_never_rule_out_a_link(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(200):
+        x = np.array(rng.sample(range(1 << 62), rng.choice([3, 60, 900])), dtype=np.uint64)
+        y = np.concatenate((x[: rng.randint(0, len(x))], np.array(rng.sample(range(1 << 62), rng.randint(0, 40)), dtype=np.uint64)))
+        x, y = np.unique(x), np.unique(y)
+        rows.append((len(x), jaccard.parity(x).tolist(), len(y), jaccard.parity(y).tolist(), jaccard.linked(x, y, 80)))
+    pairs = spark.createDataFrame(rows, "n long, p array<bigint>, m long, q array<bigint>, links boolean")
+    own = pairs.selectExpr("struct(n, p as parity) x", "struct(m as n, q as parity) y", "links")
+    got = own.groupBy("links").agg(F.max(~jaccard.parities_allow("x", "y", 80)).alias("lost")).collect()
+    assert {r.links for r in got} == {True, False} and not next(r.lost for r in got if r.links)
+
+
 def test_chunks_are_the_text():
     rng = random.Random(2)
     for _ in range(200):
