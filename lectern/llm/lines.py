@@ -1,25 +1,36 @@
-"""Line deduplication by content-defined chunks.
+"""Line deduplication.
 
-A rolling hash over the hashes of the last two lines decides where a chunk ends,
-so an inserted line moves boundaries near it only.  A chunk of two and more
-lines with ink that occurs elsewhere is removed everywhere but at its first
-occurrence, after its bytes are compared with those of that occurrence.
+``dedup_runs`` removes every line of a run of lines that occurs at an earlier
+place, if the run has two and more lines with ink or 50 and more words.  Such a
+run is covered by its pairs of following lines with ink (with the blank lines
+between them) and by its lines of 50 and more words, and each of these units
+occurs earlier too.  So comparing units, of which every text has all, finds the
+lines of all repeated runs, wherever a run begins or ends.
 
-Whole texts are shuffled once, to meet the list of their repeated chunks.  The
+``dedup_lines`` compares content-defined chunks instead, and so misses repeats
+that no two chunk ends enclose.  A rolling hash over the hashes of the last two
+lines decides where a chunk ends.
+
+In both, bytes are compared with those of the first occurrence.  Whole texts are shuffled once, to meet the list of their repeated chunks.  The
 bytes of chunks are compared by grouping on (digest, bytes), which combines on
 the map side, so a chunk of many documents weighs little.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import WORD, Scratch, table
 
 MASK = (1 << 64) - 1
+WORDS = re.compile(WORD)
+Cut = Callable[[str | None], list[str]]
 
 
 def chunks_of(text: str | None, window: int = 2, mean: int = 4) -> list[str]:
@@ -44,12 +55,27 @@ def inked_lines(chunk: str) -> int:
     return sum(1 for x in chunk.split("\n") if x.strip())
 
 
+def spans_of(lines: list[str], least_lines: int = 2, least_words: int = 50) -> list[tuple[int, int]]:
+    """(first, last) of the units: ``least_lines`` following lines with ink, and lines with ink of ``least_words`` and more words."""
+    ink = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    out = [(i, ink[k + least_lines - 1]) for k, i in enumerate(ink[: len(ink) - least_lines + 1])]
+    if least_lines > 1:
+        out += [(i, i) for i in ink if len(lines[i]) >= 2 * least_words - 1 and len(WORDS.findall(lines[i])) >= least_words]
+    return out
+
+
+def units_of(text: str | None, least_lines: int = 2, least_words: int = 50) -> list[str]:
+    """The units of a text, without the newline after them."""
+    lines = text.split("\n") if text else []
+    return ["\n".join(lines[a : b + 1]) for a, b in spans_of(lines, least_lines, least_words)]
+
+
 def _row() -> Column:
     """Name of a row, which equal (doc_id, text) share."""
     return F.concat_ws(":", F.xxhash64("doc_id", "text").cast("string"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string")).alias("_row")
 
 
-def repeated_chunks(docs: DataFrame, scratch: Scratch, least_lines: int = 2) -> DataFrame:
+def repeated_chunks(docs: DataFrame, scratch: Scratch, least_lines: int = 2, cut: Cut = chunks_of) -> DataFrame:
     """(_row, wanted): of each document the chunks whose digest occurs more than once, each with its place and whether it is the first."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -57,8 +83,8 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, least_lines: int = 2) ->
         for b in batches:
             ids, keys, no, key = [], [], [], []
             for i, text, row in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
-                for k, chunk in enumerate(chunks_of(text)):
-                    if inked_lines(chunk) >= least_lines:
+                for k, chunk in enumerate(cut(text)):
+                    if not least_lines or inked_lines(chunk) >= least_lines:
                         ids.append(i), keys.append(row), no.append(k), key.append(xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.string()), pa.array(no, pa.int32()), pa.array(key, pa.binary())], ["doc_id", "_row", "no", "key"])
 
@@ -69,44 +95,44 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, least_lines: int = 2) ->
     return scratch.put(again.groupBy("_row").agg(F.collect_set(F.struct("no", "key", "is_first")).alias("wanted")))
 
 
-def unequal_chunks(held: DataFrame, scratch: Scratch) -> DataFrame:
+def unequal_chunks(held: DataFrame, scratch: Scratch, cut: Cut = chunks_of) -> DataFrame:
     """(key, bytes) of chunks that share their digest with a first occurrence, but not its bytes."""
 
-    def cut(batches):
+    def parts_of(batches):
         for b in batches:
             for text, wanted in zip(*(b.column(j).to_pylist() for j in range(2)), strict=True):
-                own = chunks_of(text)
+                own = cut(text)
                 parts = [own[w["no"]].encode("utf-8", "surrogatepass") for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([w["key"] for w in wanted], pa.binary()), pa.array(parts, pa.binary()), pa.array([w["is_first"] for w in wanted], pa.bool_())], ["key", "bytes", "is_first"])
 
-    parts = held.where("wanted is not null").select("doc.text", "wanted").mapInArrow(cut, "key binary, bytes binary, is_first boolean")
+    parts = held.where("wanted is not null").select("doc.text", "wanted").mapInArrow(parts_of, "key binary, bytes binary, is_first boolean")
     return scratch.put(parts.groupBy("key", "bytes").agg(F.max("is_first").alias("kept")).where("not kept").select("key", "bytes"))
 
 
-def with_repeats(docs: DataFrame, scratch: Scratch, least_lines: int = 2) -> DataFrame:
+def with_repeats(docs: DataFrame, scratch: Scratch, least_lines: int = 2, cut: Cut = chunks_of) -> DataFrame:
     """doc (the row of ``docs``) and gone (numbers of its chunks that repeat the bytes of an earlier one)."""
-    wanted = repeated_chunks(docs, scratch, least_lines)
+    wanted = repeated_chunks(docs, scratch, least_lines, cut)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row())
     held = scratch.put(rows.join(wanted.hint("merge"), "_row", "left"))
-    unequal = unequal_chunks(held, scratch)
+    unequal = unequal_chunks(held, scratch, cut)
     if not unequal.isEmpty():  # only where digests of different chunks are equal
-        held = scratch.put(_without(held, unequal))
+        held = scratch.put(_without(held, unequal, cut))
     return held.select("doc", F.transform(F.filter("wanted", lambda w: ~w["is_first"]), lambda w: w["no"]).alias("gone"))
 
 
-def _without(held: DataFrame, unequal: DataFrame) -> DataFrame:
+def _without(held: DataFrame, unequal: DataFrame, cut: Cut = chunks_of) -> DataFrame:
     """``held`` whose ``wanted`` names none of the ``unequal`` chunks."""
 
-    def cut(batches):
+    def parts_of(batches):
         for b in batches:
             for row, text, wanted in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
-                own = chunks_of(text)
+                own = cut(text)
                 parts = [own[w["no"]].encode("utf-8", "surrogatepass") for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.string()), pa.array([w["no"] for w in wanted], pa.int32()), pa.array([w["key"] for w in wanted], pa.binary()), pa.array(parts, pa.binary())], ["_row", "no", "key", "bytes"])
 
     named = held.select("_row", "doc.text", F.explode("wanted").alias("w")).join(unequal.select("key").distinct(), F.col("w.key") == F.col("key"), "left_semi")
     named = named.select("_row", "text", F.array("w").alias("wanted"))
-    parts = named.mapInArrow(cut, "_row string, no int, key binary, bytes binary")
+    parts = named.mapInArrow(parts_of, "_row string, no int, key binary, bytes binary")
     stay = parts.join(unequal, ["key", "bytes"], "left_semi").groupBy("_row").agg(F.collect_set("no").alias("_stay"))
     kept = F.filter("wanted", lambda w: ~F.array_contains(F.coalesce("_stay", F.array().cast("array<int>")), w["no"]))
     return held.join(stay, "_row", "left").withColumn("wanted", kept).drop("_stay")
@@ -121,24 +147,52 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
     ones are replaced, others stay.  A null text stays null, an empty one
     empty; chunks with fewer than ``least_lines`` lines that hold ink stay.
     """
+
+    def rest(text, gone):
+        own, drop = chunks_of(text), set(gone or ())
+        lines = [x.count("\n") + (not x.endswith("\n")) for x in own]
+        return text if not drop else "".join(x for k, x in enumerate(own) if k not in drop), sum(lines), sum(lines[k] for k in drop), len(own), len(drop)
+
+    return _cleaned(docs, rest, least_lines, chunks_of)
+
+
+def dedup_runs(docs: DataFrame, least_lines: int = 2, least_words: int = 50) -> DataFrame:
+    """``docs`` as of ``dedup_lines``, but without the lines of any run that occurs at an earlier place.
+
+    A run begins and ends with a line with ink and has ``least_lines`` and more
+    of these, or ``least_words`` and more words.  Every distinct line stays where
+    it occurs first; earlier places have a smaller (doc_id, text hash, line), and
+    two places may overlap.  A newline after the last line is no part of it.
+    _chunks and _removed_chunks count units.
+    """
+
+    def cut(text):
+        return units_of(text, least_lines, least_words)
+
+    def rest(text, gone):
+        lines = text.split("\n") if text else []
+        spans = spans_of(lines, least_lines, least_words)
+        drop = {i for k in gone or () for i in range(spans[k][0], spans[k][1] + 1)}
+        return text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop), len(spans), len(gone or ())
+
+    return _cleaned(docs, rest, 0, cut)
+
+
+def _cleaned(docs: DataFrame, rest: Callable, least_lines: int, cut: Cut) -> DataFrame:
+    """``docs`` with what ``rest`` gives for a text and the numbers of its repeated chunks: the text that stays, and the four counts."""
     scratch = Scratch(docs.sparkSession, "lines")
     added = ("_lines", "_removed_lines", "_chunks", "_removed_chunks")
     docs = docs.drop(*added)
     names = docs.columns
-    joined = with_repeats(docs, scratch, least_lines).select(*[F.col(f"doc.`{c}`").alias(f"c{j}") for j, c in enumerate(names)], "gone")
+    joined = with_repeats(docs, scratch, least_lines, cut).select(*[F.col(f"doc.`{c}`").alias(f"c{j}") for j, c in enumerate(names)], "gone")
     at = names.index("text")
 
     def clean(batches):
         for b in batches:
-            texts, counts = [], []
-            for text, gone in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                own, drop = chunks_of(text), set(gone or ())
-                texts.append(text if not drop else "".join(x for k, x in enumerate(own) if k not in drop))
-                lines = [x.count("\n") + (not x.endswith("\n")) for x in own]
-                counts.append((sum(lines), sum(lines[k] for k in drop), len(own), len(drop)))
+            got = [rest(*x) for x in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
             arrays = [b.column(j) for j in range(len(names))]
-            arrays[at] = pa.array(texts, b.schema.field(at).type)
-            arrays += [pa.array([c[j] for c in counts], pa.int64()) for j in range(4)]
+            arrays[at] = pa.array([x[0] for x in got], b.schema.field(at).type)
+            arrays += [pa.array([x[j] for x in got], pa.int64()) for j in range(1, 5)]
             yield pa.RecordBatch.from_arrays(arrays, [*names, *added])
 
     from pyspark.sql.types import LongType, StructField, StructType
@@ -148,7 +202,7 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line deduplication leaves of every row of ``documents``."""
-    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id",
         F.col("_lines").alias("n_lines"),

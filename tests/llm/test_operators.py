@@ -184,6 +184,50 @@ def test_repeated_chunks_go(spark):
     assert all(got[i]._removed_lines >= 20 and f"own {i} a" in got[i].text and f"own {i} d" in got[i].text for i in range(1, 5))
 
 
+def test_all_repeated_runs_go(spark):
+    """Against all runs of lines that begin and end with ink, of 2 and more lines with ink or 50 and more words."""
+    rng = random.Random(7)
+    long = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 50), ("q", 49), ("r", 80))]
+    some = [*"abcdefgh", *long, "", " ", "ü\r"]
+    rows = [(i, "\n".join(rng.choice(some) if rng.random() < 0.6 else f"own {i} {j}" for j in range(rng.randint(0, 9))), "s") for i in range(150)]
+    part = "\n".join(f"passage {i}" for i in range(7))
+    rows += [(200, f"x\n{part}\ny", "s"), (201, f"v\n{part}", "s"), (202, f"{part}\nw\n", "s"), (203, "passage 2\npassage 3", "s"), (204, f"t\n{long[0]}", "s"), (205, long[0] + "\n", "s"), (206, long[1], "s"), (207, None, "s"), (208, "a\nb\na\nb\na", "s")]
+    seen, want = set(), {}
+    for i, text, _ in rows:
+        own = (text or "").split("\n")
+        gone = set()
+        for s in range(len(own)):
+            for e in range(s, len(own)):
+                run = own[s : e + 1]
+                if run[0].strip() and run[-1].strip() and (sum(1 for x in run if x.strip()) >= 2 or len(" ".join(run).split()) >= 50):
+                    if tuple(run) in seen:
+                        gone |= set(range(s, e + 1))
+                    seen.add(tuple(run))
+        want[i] = (text if not gone else "\n".join(x for k, x in enumerate(own) if k not in gone), len(gone))
+    got = {r.doc_id: (r.text, r._removed_lines) for r in lines.dedup_runs(docs_of(spark, rows)).collect()}
+    assert got == want
+    assert got[201] == ("v", 7) and got[202] == ("w\n", 7) and got[203] == ("", 2) and got[205] == ("", 1) and got[206][0] == long[1]
+    assert {x for _, t, _ in rows if t for x in t.split("\n")} - {""} <= {x for t, _ in got.values() if t for x in t.split("\n")}
+
+
+def test_op7_removes_all_repeated_runs(spark, sf):
+    """The query leaves no later pair of neighbouring lines with ink, and no later long line."""
+    docs = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    seen, want = set(), {}
+    for i, text in docs:
+        own, gone = (text or "").split("\n"), set()
+        ink = [k for k, x in enumerate(own) if x.strip()]
+        spans = [*zip(ink, ink[1:]), *((k, k) for k in ink if len(own[k].split()) >= 50)]
+        for s, e in spans:
+            unit = tuple(own[s : e + 1])
+            gone |= set(range(s, e + 1)) if unit in seen else set()
+            seen.add(unit)
+        kept = "\n".join(x for k, x in enumerate(own) if k not in gone)
+        want[i] = (len(gone), len(kept), zlib.crc32(kept.encode()))
+    got = {r.doc_id: (r.removed_lines, r.kept_chars, r.kept_crc32) for r in lines.op7_line_dedup(spark, sf).collect()}
+    assert got == want and sum(x[0] for x in got.values()) > 0
+
+
 def test_chunks_of_equal_digest_are_compared(spark):
     """Two chunks under one digest: only that with the bytes of the first goes."""
     kind = "doc struct<text string>, _row string, wanted array<struct<no int, key binary, is_first boolean>>"
