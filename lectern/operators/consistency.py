@@ -16,14 +16,20 @@ PATTERNS = {
     "distance": rf"(\d+|{NUM})(公里|千米|里|米|步|丈)",
     "count": rf"(\d+|{NUM})[枚个名条]",
 }
+#: The same for Latin-script corpora.
+LATIN_PATTERNS = {
+    "age": r"(\d+) (?:years?|ans|años|Jahren?)\b",
+    "distance": r"(\d+) ?(km|m|mi)\b",
+    "count": r"(\d+) (?!(?:years?|ans|años|Jahren?|km|m|mi)\b)\p{L}+",
+}
 FLASHBACK = "(回忆|想起|当年|曾经|梦中|往事)"
 SOLO, KILL = "(独自|一人|单枪匹马)", "(斩杀|击杀|秒杀|灭杀)"
 
 
-def mentions(docs: DataFrame) -> DataFrame:
+def mentions(docs: DataFrame, patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """doc_id, kind, pos (from 1), value, unit, before (50 characters) of every number that a pattern finds."""
     out = None
-    for kind, p in PATTERNS.items():
+    for kind, p in patterns.items():
         pieces, found = F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0))
         rows = docs.select("doc_id", "text", pieces.alias("_p"), found.alias("_f")).where(F.size("_f") > 0)
         starts = F.transform(F.sequence(F.lit(1), F.size("_f")), lambda i: F.aggregate(F.slice("_p", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("_f", F.lit(1), i - 1), F.lit(0), lambda s, x: s + F.length(x)) + 1)
@@ -71,9 +77,9 @@ def distance_mismatches(found: DataFrame, routes: DataFrame, slack: float = 0.1)
     return rows.where(F.abs(F.col("m.value") - F.col("r.value")) > slack * F.col("r.value")).select("doc_id", "route", "pos", F.col("m.value").alias("value"), F.col("r.value").alias("expected"))
 
 
-def lone_kills(docs: DataFrame, near: int = 50) -> DataFrame:
+def lone_kills(docs: DataFrame, near: int = 50, solo: str = SOLO, kill: str = KILL) -> DataFrame:
     """doc_id: texts where a word of being alone and one of killing stand within ``near`` characters."""
-    return docs.where(F.col("text").rlike(f"{SOLO}.{{0,{near}}}{KILL}|{KILL}.{{0,{near}}}{SOLO}")).select("doc_id")
+    return docs.where(F.col("text").rlike(f"{solo}.{{0,{near}}}{kill}|{kill}.{{0,{near}}}{solo}")).select("doc_id")
 
 
 def living_dead(docs: DataFrame, dead: DataFrame, names: list[str]) -> DataFrame:

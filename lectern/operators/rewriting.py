@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ SOFT, HARD, STOP = "，,、；;：:—-…", "。！？!?.", "。！？!?\n"
 NEGATIVE_SPAN, POSITIVE_SPAN = 50, 80
 CUES_AFTER = re.compile("^(因为|原来|这是|那是|也就是|换句话|说白了|所谓|答案|原因|结果|真相|问题在于)")
 CUES_BEFORE = re.compile(r"(原因|答案|真相|结果|结论|问题|选择|意思)\Z")
+LATIN_NOT = r"\b(not|pas|nicht|no)\b"
+LATIN_CONTRAST = re.compile(LATIN_NOT + r"[^.!?\n]{1,50}?\b(but|mais|sondern|sino)\b[^.!?\n]{0,80}")
 PAUSE = re.compile(r"…+|\.{3,}|——|—|--+")
 
 
@@ -80,19 +83,24 @@ def contrasts(text: str | None) -> list[tuple[int, str]]:
     return out
 
 
+def latin_contrasts(text: str | None) -> list[tuple[int, str]]:
+    """``contrasts`` by the words of four Latin-script languages."""
+    return [(m.start(), m.group().rstrip()) for m in LATIN_CONTRAST.finditer(text or "")]
+
+
 def in_dialogue(text: str, at: int) -> bool:
     before = text[:at]
     return sum(before.count(c) for c in "“‘「『") > sum(before.count(c) for c in "”’」』") or before.count('"') % 2 == 1
 
 
-def contrast_findings(docs: DataFrame) -> DataFrame:
+def contrast_findings(docs: DataFrame, cue: str = "不是", find: Callable = contrasts) -> DataFrame:
     """doc_id, line_no, severity, passage of each contrast; inside dialogue advisory, else blocking."""
 
     @F.pandas_udf("array<struct<line_no bigint, severity string, passage string>>")
     def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"line_no": 1 + t.count("\n", 0, p), "severity": "advisory" if in_dialogue(t, p) else "blocking", "passage": x} for p, x in contrasts(t)] if t else [])
+        return texts.map(lambda t: [{"line_no": 1 + t.count("\n", 0, p), "severity": "advisory" if in_dialogue(t, p) else "blocking", "passage": x} for p, x in find(t)] if t else [])
 
-    return docs.where(F.contains("text", F.lit("不是"))).select("doc_id", F.explode(scan("text")).alias("x")).select("doc_id", "x.*")
+    return docs.where(F.col("text").rlike(cue)).select("doc_id", F.explode(scan("text")).alias("x")).select("doc_id", "x.*")
 
 
 def pause_mark(line: str, start: int, size: int) -> str:

@@ -212,7 +212,7 @@ def similar_voices(profiles: DataFrame, within: str, name: str, limit: float = 0
 SPEECH = "说|道|问|答|叫|喊|嚷|骂|笑|叹|怒|吼|喝|回|低声道|轻声说|喃喃道|低语|呢喃|冷声道|沉声道|怒道|笑道|哭道|喊道|问道|答道|叫道"
 
 
-def speakers(docs: DataFrame, names: list[str]) -> DataFrame:
+def speakers(docs: DataFrame, names: list[str], speech: str = SPEECH) -> DataFrame:
     """doc_id, line_no, said, speaker: dialogue spans given to the speaker named before, else behind, else the only one before.
 
     Of several names the first in the list wins.
@@ -228,8 +228,8 @@ def speakers(docs: DataFrame, names: list[str]) -> DataFrame:
     who = {t: F.lit(None).cast("string") for t in ("tag", "tail", "only")}
     for n in reversed(names):
         others = T.contains_any("before", [m for m in names if m != n]) if len(names) > 1 else F.lit(False)
-        who["tag"] = F.when(F.col("before").rlike(rf"{n}\s*(?:{SPEECH})\s*[：:。！？]?\s*\z") | F.col("before").rlike(rf"{n}[^，。！？\n]{{0,10}}(?:{SPEECH})\s*[：:]?\s*\z"), F.lit(n)).otherwise(who["tag"])
-        who["tail"] = F.when(F.col("after").rlike(rf"^[，。！？]?\s*{n}\s*(?:{SPEECH})"), F.lit(n)).otherwise(who["tail"])
+        who["tag"] = F.when(F.col("before").rlike(rf"{n}\s*(?:{speech})\s*[：:。！？]?\s*\z") | F.col("before").rlike(rf"{n}[^，。！？\n]{{0,10}}(?:{speech})\s*[：:]?\s*\z"), F.lit(n)).otherwise(who["tag"])
+        who["tail"] = F.when(F.col("after").rlike(rf"^[，。！？]?\s*{n}\s*(?:{speech})"), F.lit(n)).otherwise(who["tail"])
         who["only"] = F.when(F.contains("before", F.lit(n)) & ~others, F.lit(n)).otherwise(who["only"])
     said = F.expr("substring(span, 2, length(span) - 2)")
     return cut.select("doc_id", "line_no", said.alias("said"), F.coalesce(*who.values()).alias("speaker")).where("speaker is not null and said <> ''")

@@ -339,27 +339,35 @@ over_tables(
 over_tables("json_paths", lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").cast("long").alias("n")), "select event_id, json_extract_string(props, '$.k') as k, length(props)::bigint as n from events")
 over_documents("anchor_delivery", lambda d: D.anchor_delivery(d, P, d.select("doc_id", F.when(F.col("lang") == "en", "w").otherwise("icense").alias("anchor"))))
 
-# scanners and numbers on texts written here
-GOLD = [
-    (1, "他今年二十三岁，走了三里路。\n不是风，而是人。\n“快跑！”张三说。"),
-    (2, "三百岁的长老想起当年……独自一人斩杀了敌人。\n他不是不知道，是不敢说——真的。"),
-    (3, "```\n不是甲，而是乙\n```\n张三丰十五岁，张三二十岁。\n---\n结尾"),
-    (4, ""),
-]
+# scanners and numbers, by the Chinese rules and by Latin ones
+NAMES = ("张三", "张三丰", "The", "There", "Der")
+SPEAKERS = ["张三", "李四", "token"]
+SPEECH = H.SPEECH + "|said|asked|dit|sagte|dijo|="
+SOLO, KILL = f"{C.SOLO[:-1]}|dans|con|und)", f"{C.KILL[:-1]}|icense|token =)"
+NUMERALS = "[零一二两三四五六七八九十百千万亿半]+|[0-9]+([.][0-9]+)?"
 
 
-def over_gold(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(spark.createDataFrame(GOLD, "doc_id long, text string"))
-    if sql:
-        SQL[name] = sql
+def _numbers(d: DataFrame) -> DataFrame:
+    return C.mentions(d).unionByName(C.mentions(d, C.LATIN_PATTERNS))
+
 
+def _spoken(t: Callable) -> DataFrame:
+    """doc_id, text of documents, and of turns as conversation:turn."""
+    turns = t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
+    return t("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(turns)
 
-over_gold("contrast_scan", W.contrast_findings)
-over_gold("normalize_punctuation", W.normalized)
-over_gold("number_mentions", C.mentions)
-over_gold("value_limits", lambda d: C.value_limits(C.mentions(d)))
-over_gold("exact_name_match", lambda d: C.exact_names(d, ["张三", "张三丰"]))
-over_gold("speaker_attribution", lambda d: H.speakers(d, ["张三", "李四"]))
-over_gold("lone_kills", C.lone_kills)
+
+over_documents("contrast_scan", lambda d: W.contrast_findings(d).unionByName(W.contrast_findings(d, W.LATIN_NOT, W.latin_contrasts)))
+over_documents("normalize_punctuation", W.normalized)
+over_documents("number_mentions", _numbers)
+over_documents("value_limits", lambda d: C.value_limits(_numbers(d)))
+over_documents(
+    "exact_name_match",
+    lambda d: C.exact_names(d, list(NAMES)),
+    "select doc_id, name, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '张三丰|There|The|Der|张三')) as name from documents) group by all",
+)
+over_tables("speaker_attribution", lambda t: H.speakers(_spoken(t), SPEAKERS, SPEECH))
+over_documents("lone_kills", lambda d: C.lone_kills(d, solo=SOLO, kill=KILL), f"select doc_id from documents where regexp_matches(text, '{SOLO}.{{0,50}}{KILL}|{KILL}.{{0,50}}{SOLO}')")
+over_documents("numeral_values", lambda d: d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(NUMERALS), F.lit(0))).alias("s")).groupBy("doc_id", "s").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "s", T.numeral("s").alias("value"), "n"))
 QUERIES["cn_number_parse"] = lambda spark, sf_dir: spark.createDataFrame([(x,) for x in ("二十三", "十五", "一百", "十万", "三万五千", "半", "12.5", "一亿两千万")], "s string").select("s", T.numeral("s").alias("value"))
 SQL["cn_number_parse"] = "select * from (values ('二十三', 23.0::double), ('十五', 15.0), ('一百', 100.0), ('十万', 100000.0), ('三万五千', 35000.0), ('半', 0.5), ('12.5', 12.5), ('一亿两千万', 1000020000000.0)) t(s, value)"
