@@ -21,6 +21,26 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def spans(pieces: Column, found: Column) -> Column:
+    """Array of (found, pos from 1) of matches, from what a text's split and its extraction by one pattern give.
+
+    Lengths are added once, from the left.
+    """
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<found:string,pos:int>>").alias("out"))
+
+    def step(s: Column, z: Column) -> Column:
+        at = s["at"] + F.length(z["before"])
+        return F.struct((at + F.length(z["found"])).alias("at"), F.concat(s["out"], F.array(F.struct(z["found"].alias("found"), at.alias("pos")))).alias("out"))
+
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, f: F.struct(p.alias("before"), f.alias("found")))
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
+
+
 def jtrim(c: str | Column) -> Column:
     """Without blanks of any script at both ends."""
     return F.regexp_replace(_col(c), rf"^{BLANK}|{BLANK}\z", "")

@@ -1,206 +1,182 @@
-"""Scanners whose place to go on depends on what they matched: Arrow-batched helpers over single texts."""
+"""Scanners and rewrites of punctuation, as regular expressions and rule tables inside Spark expressions."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cues of the contrast scanner and of the pause rules.
-RHETORICAL, COMPACT, PARTICLES = "莫岂别", "不就也", "吗吧嘛"
-SOFT, HARD, STOP = "，,、；;：:—-…", "。！？!?.", "。！？!?\n"
+from ..functions import text as T
+
+#: Separators and stops of the contrast scanner, its spans, and the cues of the pause rules.
+SOFT, HARD, STOP = "，,、；;：:—…-", "。！？!?.", "。！？!?\n"
+GUARD, COMPACT, PARTICLES = "是莫岂别", "不就也", "吗吧嘛"
 NEGATIVE_SPAN, POSITIVE_SPAN = 50, 80
-CUES_AFTER = re.compile("^(因为|原来|这是|那是|也就是|换句话|说白了|所谓|答案|原因|结果|真相|问题在于)")
-CUES_BEFORE = re.compile(r"(原因|答案|真相|结果|结论|问题|选择|意思)\Z")
+OPENS = "因为|原来|这是|那是|也就是|换句话|说白了|所谓|答案|原因|结果|真相|问题在于"
+CLOSES = "原因|答案|真相|结果|结论|问题|选择|意思"
+PAUSE = r"…+|\.{3,}|——|—|--+"
 LATIN_NOT = r"\b(not|pas|nicht|no)\b"
-LATIN_CONTRAST = re.compile(LATIN_NOT + r"[^.!?\n]{1,50}?\b(but|mais|sondern|sino)\b[^.!?\n]{0,80}")
-PAUSE = re.compile(r"…+|\.{3,}|——|—|--+")
-
-
-def _behind(text: str, i: int) -> int:
-    """First place behind inline space and at most one line break."""
-    while i < len(text) and text[i] in " \t\r":
-        i += 1
-    if i < len(text) and text[i] == "\n":
-        i += 1
-        while i < len(text) and text[i] in " \t\r":
-            i += 1
-    return i
-
-
-def _flips(text: str, i: int) -> bool:
-    return text[i : i + 1] == "是" and text[i + 1 : i + 2] not in tuple(PARTICLES)
-
-
-def flip_end(text: str, start: int) -> int:
-    """Where the positive half of a contrast that starts at ``start`` begins; -1 if it has none."""
-    crossed = False
-    for i in range(start + 2, min(len(text), start + 3 + NEGATIVE_SPAN)):
-        ch = text[i]
-        if text.startswith("而是", i):
-            return i + 2
-        if ch in SOFT:
-            n = _behind(text, i + 1)
-            if text.startswith("而是", n):
-                return n + 2
-            if _flips(text, n):
-                return n + 1
-            crossed = True
-        if ch in HARD:
-            n = _behind(text, i + 1)
-            if _flips(text, n):
-                return n + 1
-            if ch != ".":
-                return -1
-            crossed = True
-        if ch in STOP:
-            return -1
-        if ch == "是" and text[i - 1] not in COMPACT and not crossed:
-            return i + 1
-    return -1
-
-
-def contrasts(text: str | None) -> list[tuple[int, str]]:
-    """(position from 0, passage) of each "not A but B", left to right without overlap."""
-    out, at, text = [], 0, text or ""
-    while (start := text.find("不是", at)) >= 0:
-        at = start + 2
-        if start and (text[start - 1] == "是" or text[start - 1] in RHETORICAL):
-            continue
-        end = flip_end(text, start)
-        if end < 0:
-            continue
-        stop = end
-        while stop < min(len(text), end + POSITIVE_SPAN) and text[stop] not in STOP:
-            stop += 1
-        found = re.sub(r"[\s|）)】\]]+\Z", "", text[start:stop])
-        if len(found) >= 4:
-            out.append((start, found))
-        at = start + max(len(found), 2)
-    return out
-
-
-def latin_contrasts(text: str | None) -> list[tuple[int, str]]:
-    """``contrasts`` by the words of four Latin-script languages."""
-    return [(m.start(), m.group().rstrip()) for m in LATIN_CONTRAST.finditer(text or "")]
-
-
-def in_dialogue(text: str, at: int) -> bool:
-    before = text[:at]
-    return sum(before.count(c) for c in "“‘「『") > sum(before.count(c) for c in "”’」』") or before.count('"') % 2 == 1
-
-
-def contrast_findings(docs: DataFrame, cue: str = "不是", find: Callable = contrasts) -> DataFrame:
-    """doc_id, line_no, severity, passage of each contrast; inside dialogue advisory, else blocking."""
-
-    @F.pandas_udf("array<struct<line_no bigint, severity string, passage string>>")
-    def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"line_no": 1 + t.count("\n", 0, p), "severity": "advisory" if in_dialogue(t, p) else "blocking", "passage": x} for p, x in find(t)] if t else [])
-
-    return docs.where(F.col("text").rlike(cue)).select("doc_id", F.explode(scan("text")).alias("x")).select("doc_id", "x.*")
-
-
-def pause_mark(line: str, start: int, size: int) -> str:
-    """What stands for a pause token; cues on both sides decide, in order."""
-    before, after = line[:start].rstrip(), line[start + size :].lstrip()
-    b, a = before[-1:], after[:1]
-    if not b or b in "「『（(\"'":
-        return ""
-    if b.isdigit() and a.isdigit():
-        return "到"
-    ended = b in "，,。.!！?？;；:：…"
-    if not a or a in "\"“”」』":
-        return "" if ended else "。"
-    if ended or a in "，,。.!！?？;；:：、…\"“”‘’'」』）)":
-        return ""
-    return "：" if CUES_AFTER.match(after) or CUES_BEFORE.search(before) else "，"
-
-
-def rewrite_pauses(line: str) -> tuple[str, int]:
-    n = 0
-
-    def one(m):
-        nonlocal n
-        n += 1
-        return pause_mark(line, m.start(), len(m.group()))
-
-    return PAUSE.sub(one, line), n
-
-
-def corner_quotes(line: str, depth: int) -> tuple[str, int]:
-    """Straight and curly double quotes as corner quotes; the depth goes on to the next line as open or not."""
-    out = []
-    for i, ch in enumerate(line):
-        if ch == "“":
-            out.append("「")
-            depth += 1
-        elif ch == "”":
-            out.append("」")
-            depth = max(0, depth - 1)
-        elif ch == '"':
-            b = line[:i].rstrip()[-1:]
-            opens = depth == 0 or not b or b in "，,。.!！?？;；:：、…\"“”」』）)「『（('"
-            out.append("「" if opens else "」")
-            depth += 1 if opens else -1
-        else:
-            out.append(ch)
-    return "".join(out), int(depth > 0)
-
-
-def normalize(text: str | None, quotes: str = "keep") -> tuple[str | None, int]:
-    """(text, number of changes): pauses rewritten, divider lines dropped, quotes in one style; fences and front matter stay."""
-    if not text:
-        return text, 0
-    out, n, fence, depth = [], 0, False, 0
-    lines = re.split(r"\r?\n", text)
-    head = next((i for i, x in enumerate(lines[1:40], 1) if x.strip() == "---"), 0) if lines[0].strip() == "---" else 0
-    if not any(re.match(r"[A-Za-z_][\w-]*\s*:", x) for x in lines[1:head]):
-        head = 0
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        if bare.startswith("```"):
-            fence = not fence
-        elif not (fence or (head and i <= head)):
-            if bare == "---":
-                n += 1
-                continue
-            line, k = rewrite_pauses(line)
-            n += k
-            if quotes == "ascii":
-                n += sum(c in "「」『』“”" for c in line)
-                line = line.translate(str.maketrans("「」『』“”", '""""""'))
-            elif quotes == "corner":
-                n += sum(c in '"“”' for c in line)
-                line, depth = corner_quotes(line, depth)
-        out.append(line)
-    return ("\r\n" if "\r\n" in text else "\n").join(out), n
+LATIN_CONTRAST = LATIN_NOT + r"[^.!?\n]{1,50}?\b(but|mais|sondern|sino)\b[^.!?\n]{0,80}"
 
+#: White space inside a line.
+INLINE = r"[\s&&[^\n]]"
 
-def normalized(docs: DataFrame, quotes: str = "keep") -> DataFrame:
-    """doc_id, text_normalized, changes of every document."""
 
-    @F.pandas_udf("struct<text string, n bigint>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([normalize(t, quotes) for t in texts], columns=["text", "n"])
+def contrast_pattern() -> str:
+    """One expression for "not A but B".
 
-    return docs.select("doc_id", run("text").alias("x")).select("doc_id", F.col("x.text").alias("text_normalized"), F.col("x.n").alias("changes"))
+    The lift is the first of: ``而是``; a separator with ``而是`` (soft ones only) or
+    ``是`` behind it; or, with no separator in between, a ``是`` of its own.  Each
+    kind of character has one place in the expression, so there is nothing to try
+    in two ways.
+    """
+    gap = r"[ \t\r]*+(?:\n[ \t\r]*+)?+"
+    lifts = f"是(?![{PARTICLES}])"
+    plain = f"(?!而是)[^{SOFT}{HARD}\n]"
+    bare = f"(?:(?!而是)[^是{SOFT}{HARD}\n]|(?<=[{COMPACT}])是)"
+    own = f"(?<![{COMPACT}])是"
+    passed = f"[{SOFT}](?!{gap}(?:而是|{lifts}))|\\.(?!{gap}{lifts})"
+    parted = f"(?:而是|[{SOFT}]{gap}(?:而是|{lifts})|[{HARD}]{gap}{lifts})"
+    lift = f"{bare}{{0,{NEGATIVE_SPAN}}}{own}|(?!{bare}*+{own})(?:{plain}|{passed}){{0,{NEGATIVE_SPAN}}}{parted}"
+    return f"(?<![{GUARD}])不是(?:{lift})[^{STOP}]{{0,{POSITIVE_SPAN}}}"
 
 
-def as_ascii_quotes(c: str | Column) -> Column:
-    return F.translate(F.col(c) if isinstance(c, str) else c, "「」『』“”", '""""""')
+CONTRAST = contrast_pattern()
 
 
-def dictionary_tokens(docs: DataFrame, words: list[str], longest: int = 4) -> DataFrame:
-    """doc_id, tokens: forward maximum matching with a dictionary, which is a parameter.
+def in_dialogue(before: Column) -> Column:
+    """Whether what stands before a place leaves a quotation open."""
+    n = lambda chars: F.length(before) - F.length(F.translate(before, chars, ""))
+    return (n("“‘「『") > n("”’」』")) | (n('"') % 2 == 1)
+
+
+def contrast_findings(docs: DataFrame, pattern: str = CONTRAST, least: int = 4) -> DataFrame:
+    """doc_id, line_no, severity, passage of each contrast, left to right without overlap; inside dialogue advisory, else blocking."""
+    pieces, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    rows = docs.where(F.col("text").rlike(pattern)).select("doc_id", "text", T.spans(pieces, found).alias("_s"))
+    each = rows.select("doc_id", "text", F.explode("_s").alias("x")).select("doc_id", F.regexp_replace("x.found", r"[\s|）)】\]]+\z", "").alias("passage"), F.substring("text", F.lit(1), F.col("x.pos") - 1).alias("_b"))
+    line = (F.lit(1) + F.length("_b") - F.length(F.translate("_b", "\n", ""))).cast("long")
+    severity = F.when(in_dialogue(F.col("_b")), "advisory").otherwise("blocking")
+    return each.where(F.length("passage") >= least).select("doc_id", line.alias("line_no"), severity.alias("severity"), "passage")
+
+
+#: What stands for a pause, by the characters before and behind it on its line (a NUL between them); the first rule that fits decides.
+PAUSE_RULES = (
+    (r"^\x00|[「『（(\"']\x00", ""),
+    (r"[0-9]\x00[0-9]", "到"),
+    (r"[，,。.!！?？;；:：…]\x00", ""),
+    (r"\x00(?:\z|[\"“”」』])", "。"),
+    (r"\x00[，,。.!！?？;；:：、…‘’'）)]", ""),
+    (rf"\x00(?:{OPENS})|(?:{CLOSES})\x00", "："),
+    ("", "，"),
+)
+
+
+def rewrite_pauses(text: Column) -> Column:
+    """(text, n): the text with its pause tokens replaced, and how many there were."""
+
+    def own(x: Column) -> Column:
+        pieces, tokens = x["pieces"], x["tokens"]
+
+        def mark(i: Column) -> Column:
+            token = lambda k: F.coalesce(F.get(tokens, k), F.lit(""))
+            left = F.regexp_extract(F.concat(token(i - 1), F.get(pieces, i)), rf"((?:[^\n]?\S)?){INLINE}*\z", 1)
+            right = F.regexp_extract(F.concat(F.get(pieces, i + 1), token(i + 1)), rf"^{INLINE}*([^\n]{{0,4}})", 1)
+            sides, out = F.concat(left, F.lit("\0"), right), F.lit("")
+            for pattern, to in reversed(PAUSE_RULES):
+                out = F.when(sides.rlike(pattern), F.lit(to)).otherwise(out)
+            return F.concat(out, F.get(pieces, i + 1))
+
+        rest = F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), mark)
+        return F.struct(F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, "")).alias("text"), F.size(tokens).cast("long").alias("n"))
+
+    cut = F.struct(F.split(text, PAUSE, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(PAUSE), F.lit(0)).alias("tokens"))
+    same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
+    return F.when(text.rlike(PAUSE), T.let(cut, own)).otherwise(same)
+
+
+def corner_quotes(text: Column) -> Column:
+    """Straight and curly double quotes as corner quotes.
+
+    A straight one opens outside of quotes, and behind a mark; a new line starts
+    inside at most one quote.  The fold sees the quotes and the line breaks only.
+    """
+    marks = r"[\"“”\n]"
+
+    def own(x: Column) -> Column:
+        def step(s: Column, z: Column) -> Column:
+            behind = F.regexp_extract(z["piece"], rf"(\S?){INLINE}*\z", 1)
+            opens = (z["mark"] == "“") | ((z["mark"] == '"') & ((s["depth"] == 0) | behind.rlike(r"^[，,。.!！?？;；:：、…\"“”」』）)「『（(']?\z")))
+            depth = F.when(z["mark"] == "\n", F.least(s["depth"], F.lit(1))).when(opens, s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
+            to = F.when(z["mark"] == "\n", F.lit("\n")).when(opens, F.lit("「")).otherwise(F.lit("」"))
+            return F.struct(depth.alias("depth"), F.concat(s["out"], z["piece"], to).alias("out"))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+        pairs = F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["marks"])), x["marks"], lambda p, m: F.struct(p.alias("piece"), m.alias("mark")))
+        return F.concat(F.aggregate(pairs, start, step, lambda s: s["out"]), F.element_at(x["pieces"], -1))
 
-    Runs of Latin letters and digits are tokens, a Chinese character without a
-    longer word is one; all else is skipped.
+    cut = F.struct(F.split(text, marks, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(marks), F.lit(0)).alias("marks"))
+    return T.let(cut, own)
+
+
+#: A front matter of at most 40 lines, a fence line, and a divider line.
+FRONT = rf"(?d)\A{INLINE}*---{INLINE}*\n(?:(?!{INLINE}*---{INLINE}*(?:\n|\z))[^\n]*\n){{0,38}}{INLINE}*---{INLINE}*(?:\n|\z)"
+KEY = r"(?md)^[A-Za-z_][\w-]*\s*:"
+FENCE = rf"(?md)^{INLINE}*```[^\n]*(?:\n|\z)"
+RULE = rf"(?md)^{INLINE}*---{INLINE}*\n|(?d)(?:\A|\n){INLINE}*---{INLINE}*\z"
+
+
+def normalize(text: Column, quotes: str = "keep") -> Column:
+    """(text, n): pauses rewritten, divider lines dropped, quotes in one style, and the number of changes.
+
+    Fences and a front matter stay as they are.  Where a text has CRLF, all its
+    line ends become CRLF.
     """
+    styled = {"keep": lambda t: t, "ascii": as_ascii_quotes, "corner": corner_quotes}[quotes]
+    touched = {"keep": lambda t: F.lit(0), "ascii": lambda t: T.count_matches(t, "[「」『』“”]"), "corner": lambda t: T.count_matches(t, '["“”]')}[quotes]
+
+    def block(t: Column) -> Column:
+        whole = lambda b: F.struct(styled(b["p"]["text"]).alias("text"), (b["p"]["n"] + b["rules"] + touched(b["p"]["text"])).cast("long").alias("n"))
+        return T.let(F.struct(rewrite_pauses(F.regexp_replace(t, RULE, "")).alias("p"), T.count_matches(t, RULE).alias("rules")), whole)
+
+    def body(t: Column) -> Column:
+        def joined(x: Column) -> Column:
+            done = F.transform(x["blocks"], lambda b, i: F.when(i % 2 == 0, block(b)).otherwise(F.struct(b.alias("text"), F.lit(0).cast("long").alias("n"))))
+            ends = F.concat(x["fences"], F.array(F.lit("")))
+            sides = lambda d: F.struct(F.array_join(F.zip_with(d, ends, lambda b, f: F.concat(b["text"], f)), "").alias("text"), F.aggregate(d, F.lit(0).cast("long"), lambda s, b: s + b["n"]).alias("n"))
+            return T.let(done, sides)
+
+        return T.let(F.struct(F.split(t, FENCE, -1).alias("blocks"), F.regexp_extract_all(t, F.lit(FENCE), F.lit(0)).alias("fences")), joined)
+
+    def parts(x: Column) -> Column:
+        head = T.let(F.regexp_extract(x, FRONT, 0), lambda h: F.when(h.rlike(KEY), h).otherwise(F.lit("")))
+        return T.let(head, lambda h: T.let(body(F.substring(x, F.length(h) + 1, F.length(x))), lambda b: F.struct(F.concat(h, b["text"]).alias("text"), b["n"].alias("n"))))
+
+    crlf = F.contains(text, F.lit("\r\n"))
+    out = T.let(F.replace(text, F.lit("\r\n"), F.lit("\n")), parts)
+    return T.let(out, lambda o: F.struct(F.when(crlf, F.replace(o["text"], F.lit("\n"), F.lit("\r\n"))).otherwise(o["text"]).alias("text"), F.coalesce(o["n"], F.lit(0).cast("long")).alias("n")))
+
+
+def normalized(docs: DataFrame, quotes: str = "keep") -> DataFrame:
+    """doc_id, text_normalized, changes of every document; a null text stays null, with no change."""
+    return docs.select("doc_id", normalize(F.col("text"), quotes).alias("x")).select("doc_id", F.col("x.text").alias("text_normalized"), F.col("x.n").alias("changes"))
+
+
+def as_ascii_quotes(c: str | Column) -> Column:
+    return F.translate(F.col(c) if isinstance(c, str) else c, "「」『』“”", '""""""')
+
+
+def dictionary_pattern(words: list[str], longest: int = 4) -> str:
+    """Alternation of forward maximum matching: runs of Latin letters and digits, then words, the longest first, then single characters."""
     terms = sorted({w for w in words if 2 <= len(w) <= longest}, key=lambda w: (-len(w), w))
-    pattern = re.compile("|".join(["[A-Za-z0-9]+", *map(re.escape, terms), "[一-鿿]"]))
+    return "|".join(["[A-Za-z0-9]+", *map(re.escape, terms), "[一-鿿]"])
+
+
+def dictionary_tokens(docs: DataFrame, words: list[str], longest: int = 4) -> DataFrame:
+    """doc_id, tokens: forward maximum matching with a dictionary, which is a parameter; what is in no token is skipped."""
+    pattern = re.compile(dictionary_pattern(words, longest))
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:

@@ -357,7 +357,7 @@ def _spoken(t: Callable) -> DataFrame:
     return t("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(turns)
 
 
-over_documents("contrast_scan", lambda d: W.contrast_findings(d).unionByName(W.contrast_findings(d, W.LATIN_NOT, W.latin_contrasts)))
+over_documents("contrast_scan", lambda d: W.contrast_findings(d).unionByName(W.contrast_findings(d, W.LATIN_CONTRAST)))
 over_documents("normalize_punctuation", W.normalized)
 over_documents("number_mentions", _numbers)
 over_documents("value_limits", lambda d: C.value_limits(_numbers(d)))
