@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,19 +27,17 @@ SOLO, KILL = "(独自|一人|单枪匹马)", "(斩杀|击杀|秒杀|灭杀)"
 
 
 def mentions(docs: DataFrame, patterns: dict[str, str] = PATTERNS) -> DataFrame:
-    """doc_id, kind, pos (from 1), value, unit, before (50 characters) of every number that a pattern finds."""
-    out = None
-    for kind, p in patterns.items():
-        pieces, found = F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0))
-        rows = docs.select("doc_id", "text", pieces.alias("_p"), found.alias("_f")).where(F.size("_f") > 0)
-        starts = F.transform(F.sequence(F.lit(1), F.size("_f")), lambda i: F.aggregate(F.slice("_p", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("_f", F.lit(1), i - 1), F.lit(0), lambda s, x: s + F.length(x)) + 1)
-        rows = rows.select("doc_id", "text", F.explode(F.arrays_zip(F.col("_f"), starts.alias("s"))).alias("x"))
-        rows = rows.select("doc_id", "text", F.col("x._f").alias("found"), F.col("x").getField("s").cast("int").alias("pos"))
-        value = T.numeral(F.regexp_extract("found", p, 1))
-        unit = F.regexp_extract("found", p, 2) if kind == "distance" else F.lit("")
-        rows = rows.select("doc_id", F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"), value.alias("value"), unit.alias("unit"), F.substring("text", F.greatest(F.col("pos") - 50, F.lit(1)), F.least(F.col("pos") - 1, F.lit(50))).alias("before"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """doc_id, kind, pos (from 1), value, unit, before (50 characters) of every number that a pattern finds; texts are read once for all kinds."""
+
+    def of(kind: str, p: str) -> Column:
+        hits = T.spans(F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+        unit = lambda x: F.regexp_extract(x["found"], p, 2) if kind == "distance" else F.lit("")
+        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x["pos"].alias("pos"), F.regexp_extract(x["found"], p, 1).alias("number"), unit(x).alias("unit")))
+
+    every = F.flatten(F.array(*[of(kind, p) for kind, p in patterns.items()]))
+    rows = docs.select("doc_id", "text", F.explode(every).alias("x"))
+    before = F.substring("text", F.greatest(F.col("x.pos") - 50, F.lit(1)), F.least(F.col("x.pos") - 1, F.lit(50)))
+    return rows.select("doc_id", "x.kind", F.col("x.pos").cast("long").alias("pos"), T.numeral("x.number").alias("value"), "x.unit", before.alias("before"))
 
 
 def value_limits(found: DataFrame) -> DataFrame:
@@ -57,24 +55,36 @@ def exact_names(docs: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def known_names(context: str, people: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` joined with ``people(name, ..)`` whose name the column ``context`` holds.
+
+    Contexts are cut into pieces of the lengths that names have, and pieces meet
+    names, so any number of people is met by an equality join.
+    """
+    sizes = [r[0] for r in people.select(F.length("name").alias("n")).where("n > 0").distinct().orderBy("n").collect()]  # lengths of names, a few numbers
+    if not sizes:
+        return rows.join(people, F.lit(False))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(context), F.lit(1)))
+    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda i, n=n: F.substring(context, i, F.lit(n))) for n in sizes])))
+    return rows.select("*", F.explode(pieces).alias("name")).join(people, "name")
+
+
 def age_mismatches(found: DataFrame, people: DataFrame) -> DataFrame:
-    """doc_id, name, pos, value, age: ages that differ from that of the person named last before them.
+    """doc_id, name, pos, value, age: ages that differ from that of a person named in the 50 characters before them, or by an alias.
 
-    ``people(name, age)`` is joined on the names that the context holds, which a
-    mention lists itself; no pair of mention and person is made without one.
+    ``people(name, age)`` has a row for each name and alias.  No pair of a mention
+    and a person is made without the name.
     """
-    names = [r["name"] for r in people.select("name").distinct().limit(10001).collect()]
-    if len(names) > 10000:
-        raise ValueError("more names than one pattern should hold; partition people by book")
-    pattern = "|".join(sorted(names, key=lambda w: (-len(w), w)))
-    rows = found.where("kind = 'age'").select("doc_id", "pos", "value", F.explode(F.array_distinct(F.regexp_extract_all("before", F.lit(pattern), F.lit(0)))).alias("name"))
-    return rows.join(people, "name").where("value <> age").select("doc_id", "name", "pos", "value", "age")
+    rows = found.where("kind = 'age'").select("doc_id", "pos", "value", "before")
+    return known_names("before", people, rows).where("value <> age").select("doc_id", "name", "pos", "value", "age")
 
 
 def distance_mismatches(found: DataFrame, routes: DataFrame, slack: float = 0.1) -> DataFrame:
     """doc_id, route, pos, value, expected: distances more than 10 % off a route whose ``place`` their context names, in the same unit."""
-    rows = found.where("kind = 'distance'").alias("m").join(routes.alias("r"), (F.col("m.unit") == F.col("r.unit")) & F.contains(F.col("m.before"), F.col("r.place")))
-    return rows.where(F.abs(F.col("m.value") - F.col("r.value")) > slack * F.col("r.value")).select("doc_id", "route", "pos", F.col("m.value").alias("value"), F.col("r.value").alias("expected"))
+    rows = found.where("kind = 'distance'").select("doc_id", "pos", "value", "unit", "before")
+    own = routes.select(F.col("place").alias("name"), "route", F.col("unit").alias("_unit"), F.col("value").alias("expected"))
+    met = known_names("before", own, rows).where("unit = _unit")
+    return met.where(F.abs(F.col("value") - F.col("expected")) > slack * F.col("expected")).select("doc_id", "route", "pos", "value", "expected")
 
 
 def lone_kills(docs: DataFrame, near: int = 50, solo: str = SOLO, kill: str = KILL) -> DataFrame:
@@ -83,14 +93,8 @@ def lone_kills(docs: DataFrame, near: int = 50, solo: str = SOLO, kill: str = KI
 
 
 def living_dead(docs: DataFrame, dead: DataFrame, names: list[str]) -> DataFrame:
-    """doc_id, name, pos: dead people named without a mark of memory within 100 characters."""
-    terms = sorted(set(names), key=lambda w: (-len(w), w))
-    p = "|".join(terms)
-    pieces, found = F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0))
-    rows = docs.select("doc_id", "text", pieces.alias("_p"), found.alias("_f")).where(F.size("_f") > 0)
-    starts = F.transform(F.sequence(F.lit(1), F.size("_f")), lambda i: F.aggregate(F.slice("_p", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("_f", F.lit(1), i - 1), F.lit(0), lambda s, x: s + F.length(x)) + 1)
-    rows = rows.select("doc_id", "text", F.explode(F.arrays_zip(F.col("_f"), starts.alias("s"))).alias("x")).select("doc_id", "text", F.col("x._f").alias("name"), F.col("x").getField("s").cast("int").alias("pos"))
-    around = T.snippet("text", F.col("pos"), 100)
-    hits = rows.join(dead.select("name").distinct(), "name").where(~around.rlike(FLASHBACK))
-    first = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("pos"))
-    return hits.withColumn("_r", first).where("_r = 1").select("doc_id", "name", F.col("pos").cast("long").alias("pos"))
+    """doc_id, name, pos: every place that names a dead person without a mark of memory within 100 characters."""
+    p = "|".join(sorted(set(names), key=lambda w: (-len(w), w)))
+    hits = T.spans(F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    rows = docs.select("doc_id", "text", F.explode(hits).alias("x")).select("doc_id", F.col("x.found").alias("name"), F.col("x.pos").cast("long").alias("pos"), T.snippet("text", F.col("x.pos"), 100).alias("around"))
+    return rows.join(dead.select("name").distinct(), "name").where(~F.col("around").rlike(FLASHBACK)).select("doc_id", "name", "pos")

@@ -217,14 +217,14 @@ def anchor_delivery(docs: DataFrame, pack: Pack, anchors: DataFrame) -> DataFram
 
 def slang_hits(docs: DataFrame, pack: Pack, *keep: str) -> DataFrame:
     """doc_id, term, grade, pos (from 1) of every occurrence; overlapping terms are all reported."""
-    out = None
-    for grade, terms in pack.grades.items():
-        for t in terms:
-            pieces = F.split("text", r"\Q" + t + r"\E", -1)
-            ends = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i, n=len(t): F.aggregate(F.slice("_p", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * n + 1))
-            rows = docs.where(F.contains("text", F.lit(t))).select("doc_id", *keep, "text", pieces.alias("_p")).select("doc_id", *keep, "text", F.lit(t).alias("term"), F.lit(grade).alias("grade"), ends.alias("_i", "pos"))
-            out = rows if out is None else out.unionByName(rows)
-    return out.select("doc_id", *keep, "term", "grade", F.col("pos").cast("long").alias("pos"), T.snippet("text", F.col("pos"), 30).alias("before"))
+    def places(t: str, grade: str) -> Column:
+        hits = T.spans(F.split("text", r"\Q" + t + r"\E", -1), F.regexp_extract_all("text", F.lit(r"\Q" + t + r"\E"), F.lit(0)))
+        found = F.transform(hits, lambda x: F.struct(F.lit(t).alias("term"), F.lit(grade).alias("grade"), x["pos"].cast("long").alias("pos")))
+        return F.when(F.contains("text", F.lit(t)), found).otherwise(F.array().cast("array<struct<term:string,grade:string,pos:bigint>>"))
+
+    every = F.flatten(F.array(*[places(t, grade) for grade, terms in pack.grades.items() for t in terms]))
+    out = docs.select("doc_id", *keep, "text", every.alias("_h")).select("doc_id", *keep, "text", F.explode("_h").alias("x"))
+    return out.select("doc_id", *keep, "x.term", "x.grade", "x.pos", T.snippet("text", F.col("x.pos").cast("int"), 30).alias("before"))
 
 
 def slang_density(docs: DataFrame, pack: Pack, limit: int = 3) -> DataFrame:
@@ -244,11 +244,9 @@ def slang_clusters(docs: DataFrame, pack: Pack, near: int = 100) -> DataFrame:
 def genre_conflicts(docs: DataFrame, pack: Pack, genre: str) -> DataFrame:
     """doc_id, grade, n: hits of grades that the document's genre does not allow; unknown genres allow none."""
     allowed = F.create_map(*[F.lit(x) for g, ok in pack.genres.items() for x in (g, ",".join(ok))])
-    out = None
-    for grade, terms in pack.grades.items():
-        rows = docs.select("doc_id", F.lit(grade).alias("grade"), T.count_terms("text", terms).alias("n"), (~F.contains(F.coalesce(F.try_element_at(allowed, F.col(genre)), F.lit("")), F.lit(grade))).alias("_bad"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.where("_bad and n > 0").select("doc_id", "grade", "n")
+    ok = F.coalesce(F.try_element_at(allowed, F.col(genre)), F.lit(""))
+    counts = F.array(*[F.struct(F.lit(g).alias("grade"), F.when(~F.contains(ok, F.lit(g)), T.count_terms("text", terms)).otherwise(0).alias("n")) for g, terms in pack.grades.items()])
+    return docs.select("doc_id", F.explode(counts).alias("x")).select("doc_id", "x.grade", "x.n").where("n > 0")
 
 
 def stale_slang(docs: DataFrame, pack: Pack, grades=("B", "C"), chapters: int = 50) -> DataFrame:

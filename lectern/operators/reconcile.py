@@ -71,12 +71,8 @@ def objective_scores(docs: DataFrame, pack: Pack) -> DataFrame:
 
 def keyword_index(docs: DataFrame, terms: dict[str, tuple]) -> DataFrame:
     """keyword, kind, doc_id, n: postings of known entities."""
-    out = None
-    for kind, words in terms.items():
-        for w in words:
-            rows = docs.select(F.lit(w).alias("keyword"), F.lit(kind).alias("kind"), "doc_id", T.count_literal("text", w).alias("n")).where("n > 0")
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    counts = [F.struct(F.lit(w).alias("keyword"), F.lit(kind).alias("kind"), T.count_literal("text", w).alias("n")) for kind, words in terms.items() for w in words]
+    return docs.select("doc_id", F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("x")).select("x.keyword", "x.kind", "doc_id", "x.n")
 
 
 def query_index(postings: DataFrame, query: str) -> DataFrame:

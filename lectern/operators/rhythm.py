@@ -13,8 +13,8 @@ from . import structure as S
 
 
 def _gaps(docs: DataFrame, terms, least: int) -> DataFrame:
-    rows = S.chapters(docs)
-    return D.runs(rows, ~T.contains_any("text", terms), least, "book", order="chapter_no")
+    rows = S.chapters(docs.select("source", "doc_id", T.contains_any("text", terms).alias("_has")))
+    return D.runs(rows, ~F.col("_has"), least, "book", order="chapter_no")
 
 
 def reward_gaps(docs: DataFrame, pack: Pack, least: int = 3) -> DataFrame:
@@ -37,22 +37,24 @@ def ratio_imbalance(docs: DataFrame, pack: Pack, support: int = 5) -> DataFrame:
 
 def missing_hooks(docs: DataFrame, pack: Pack, tail: int = 500) -> DataFrame:
     """book, chapter_no: chapters whose last characters hold no hook."""
-    return S.chapters(docs).where(~T.contains_any(F.expr(f"right(text, {tail})"), pack.lists["hooks"])).select("book", "chapter_no")
+    hook = T.contains_any(F.expr(f"right(text, {tail})"), pack.lists["hooks"])
+    return S.chapters(docs.select("source", "doc_id", hook.alias("_hook"))).where("not _hook").select("book", "chapter_no")
 
 
 def sentence_variance(docs: DataFrame, pack: Pack, least: int = 10, limit: float = 8.0) -> DataFrame:
     """book, chapter_no, deviation (millionths) of chapters with enough sentences and little variation."""
     v = F.transform(T.sentences("text", pack.ends), lambda s: T.visible_length(s, pack.visible))
     n, mean, cv = S.spread(F.col("_v"))
-    rows = S.chapters(docs).select("book", "chapter_no", F.filter(v, lambda x: x > 0).alias("_v")).select("book", "chapter_no", n.alias("_n"), (cv * mean).alias("_s"))
-    return rows.where((F.col("_n") >= least) & (F.col("_s") < limit)).select("book", "chapter_no", T.scaled(F.col("_s"), 1e3).alias("deviation"))
+    each = docs.select("source", "doc_id", F.filter(v, lambda x: x > 0).alias("_v")).select("source", "doc_id", n.alias("_n"), (cv * mean).alias("_s"))
+    return S.chapters(each).where((F.col("_n") >= least) & (F.col("_s") < limit)).select("book", "chapter_no", T.scaled(F.col("_s"), 1e3).alias("deviation"))
 
 
 def mean_sentence(docs: DataFrame, pack: Pack) -> DataFrame:
     """book, chapter_no, mean visible length of sentences; 0 without sentences."""
     v = F.filter(F.transform(T.sentences("text", pack.ends), lambda s: T.visible_length(s, pack.visible)), lambda x: x > 0)
     _, mean, _ = S.spread(F.col("_v"))
-    return S.chapters(docs).select("book", "chapter_no", v.alias("_v")).select("book", "chapter_no", F.coalesce(mean, F.lit(0.0)).alias("mean"))
+    each = docs.select("source", "doc_id", v.alias("_v")).select("source", "doc_id", F.coalesce(mean, F.lit(0.0)).alias("mean"))
+    return S.chapters(each).select("book", "chapter_no", "mean")
 
 
 def rhythm_collapse(docs: DataFrame, pack: Pack, fall: float = 0.3) -> DataFrame:
@@ -84,9 +86,11 @@ def opener_duplicates(docs: DataFrame, pack: Pack, least: int = 3) -> DataFrame:
     """book, a, b, shared, severity: chapters of a book whose openings share n-grams.
 
     Chapters meet on the n-grams themselves, so only pairs that share one are
-    made, and equal openings count once before they meet.
+    made.  The result has a row for each such pair, so a book whose chapters all
+    begin alike has all its pairs.
     """
-    rows = S.chapters(docs).select("book", "chapter_no", F.explode(opener_grams("text")).alias("gram"))
+    each = docs.select("source", "doc_id", opener_grams("text").alias("_g"))
+    rows = S.chapters(each).select("book", "chapter_no", F.explode("_g").alias("gram"))
     x, y = rows.alias("x"), rows.alias("y")
     on = (F.col("x.book") == F.col("y.book")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.chapter_no") < F.col("y.chapter_no"))
     pairs = x.join(y, on).groupBy(F.col("x.book").alias("book"), F.col("x.chapter_no").alias("a"), F.col("y.chapter_no").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
@@ -113,10 +117,11 @@ def style_fingerprint(docs: DataFrame, pack: Pack) -> DataFrame:
     _, _, cv = S.spread(F.col("_v"))
     ls = F.filter(F.transform(F.split("text", r"\r?\n", -1), T.jtrim), lambda x: x != "")
     said = F.size(F.filter(F.col("_l"), lambda x: x.rlike("[“”‘’「」『』\"]")))
-    rows = S.chapters(docs).select("book", "chapter_no", "text", v.alias("_v"), ls.alias("_l"))
+    rows = docs.select("source", "doc_id", "text", v.alias("_v"), ls.alias("_l"))
     part = lambda x, y: T.scaled(F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0)))
     seen = T.visible_length("text", pack.visible)
-    return rows.select("book", "chapter_no", T.scaled(F.coalesce(cv, F.lit(0.0))).alias("variation"), part(said, F.size("_l")).alias("dialogue"), part(T.count_matches("text", "[,，]"), seen).alias("commas"), part(T.count_matches("text", "[.。]"), seen).alias("stops"))
+    each = rows.select("source", "doc_id", T.scaled(F.coalesce(cv, F.lit(0.0))).alias("variation"), part(said, F.size("_l")).alias("dialogue"), part(T.count_matches("text", "[,，]"), seen).alias("commas"), part(T.count_matches("text", "[.。]"), seen).alias("stops"))
+    return S.chapters(each).drop("doc_id")
 
 
 def style_drift(docs: DataFrame, pack: Pack, limit: float = 0.3) -> DataFrame:
@@ -139,14 +144,15 @@ def chapter_gaps(chapters: DataFrame) -> DataFrame:
 
 def volumes(docs: DataFrame, size: int = 10, audit: int = 3) -> DataFrame:
     """book, volume, chapters, chars, to_audit: chapters by tens, and how many until the next audit."""
-    rows = S.chapters(docs).groupBy("book", F.ceil(F.col("chapter_no") / size).cast("long").alias("volume")).agg(F.count(F.lit(1)).alias("chapters"), F.sum(F.length("text")).cast("long").alias("chars"))
+    each = S.chapters(docs.select("source", "doc_id", F.length("text").alias("_n")))
+    rows = each.groupBy("book", F.ceil(F.col("chapter_no") / size).cast("long").alias("volume")).agg(F.count(F.lit(1)).alias("chapters"), F.sum("_n").cast("long").alias("chars"))
     return rows.withColumn("to_audit", ((audit - F.col("volume") % audit) % audit).cast("long"))
 
 
 def latest(docs: DataFrame, n: int = 5) -> DataFrame:
     """book, chapter_no, doc_id of the last n chapters of each book."""
     w = Window.partitionBy("book").orderBy(F.desc("chapter_no"))
-    return S.chapters(docs).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("book", "chapter_no", "doc_id")
+    return S.chapters(docs.select("source", "doc_id")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("book", "chapter_no", "doc_id")
 
 
 def due_for_check(progress: DataFrame, tracker: DataFrame, every: int = 5) -> DataFrame:
@@ -157,10 +163,8 @@ def due_for_check(progress: DataFrame, tracker: DataFrame, every: int = 5) -> Da
 
 def used_patterns(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """book, label, total, chapters: matches of labelled patterns, and the chapters that have one."""
-    out = None
-    for label, p in patterns.items():
-        rows = docs.select(F.col("source").alias("book"), F.lit(label).alias("label"), T.count_matches("text", p).alias("n")).where("n > 0")
-        out = rows if out is None else out.unionByName(rows)
+    counts = F.array(*[F.struct(F.lit(label).alias("label"), T.count_matches("text", p).alias("n")) for label, p in patterns.items()])
+    out = docs.select(F.col("source").alias("book"), F.explode(counts).alias("x")).select("book", "x.*").where("n > 0")
     return out.groupBy("book", "label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("chapters"))
 
 

@@ -9,10 +9,13 @@ from ..functions import text as T
 from ..functions.packs import Pack
 
 
-def chapters(docs: DataFrame) -> DataFrame:
-    """book, chapter_no, doc_id, lang, text: a source is a book, its documents in order of doc_id are chapters."""
+def chapters(rows: DataFrame) -> DataFrame:
+    """book, chapter_no and the other columns of ``rows(source, doc_id, ..)``: a source is a book, its documents in order of doc_id are chapters.
+
+    A book's rows meet in a window, so they should hold what was measured of a text, not the text.
+    """
     order = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select(F.col("source").alias("book"), F.row_number().over(order).cast("long").alias("chapter_no"), "doc_id", "lang", "text")
+    return rows.select(F.col("source").alias("book"), F.row_number().over(order).cast("long").alias("chapter_no"), *[c for c in rows.columns if c != "source"])
 
 
 def front_matter_end(lines: Column) -> Column:
@@ -28,18 +31,35 @@ def unfenced(lines: Column, strict: bool = True) -> Column:
     """True for each line outside fences; a fence's own lines are inside.
 
     A fence closes on a run of its own character, at least as long as the one
-    that opened it unless ``strict`` is false.
+    that opened it unless ``strict`` is false.  The fold goes through the fence
+    lines only.
     """
     mark = lambda x: F.regexp_extract(T.jtrim(x), r"^(`{3,}|~{3,})", 1)
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("out"))
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), mark(x).alias("mark"))), lambda z: z["mark"] != "")
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+    part = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
+
+    def step(s, z):
+        m = z["mark"]
+        closes = (F.substring(m, 1, 1) == F.substring(s["open"], 1, 1)) & (F.length(m) >= (F.length(s["open"]) if strict else F.lit(1)))
+        opened = F.struct(m.alias("open"), z["at"].alias("at"), s["out"].alias("out"))
+        closed = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.concat(s["out"], part(s["at"], z["at"])).alias("out"))
+        return F.when(s["open"] == "", opened).when(closes, closed).otherwise(s)
+
+    inside = F.aggregate(marks, start, step, lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.concat(s["out"], part(s["at"], F.lit(1 << 30)))))
+    return T.let(inside, lambda fences: F.transform(lines, lambda x, i: ~F.exists(fences, lambda f: (i >= f["a"]) & (i <= f["b"]))))
 
-    def step(s, x):
-        m = mark(x)
-        closes = (s["open"] != "") & (F.substring(m, 1, 1) == F.substring(s["open"], 1, 1)) & (F.length(m) >= (F.length(s["open"]) if strict else F.lit(1)))
-        now = F.when((s["open"] == "") & (m != ""), m).when(closes, F.lit("")).otherwise(s["open"])
-        return F.struct(now.alias("open"), F.concat(s["out"], F.array((s["open"] == "") & (m == ""))).alias("out"))
 
-    return F.when(F.exists(lines, lambda x: mark(x) != ""), F.aggregate(lines, start, step, lambda s: s["out"])).otherwise(F.transform(lines, lambda x: F.lit(True)))
+def prose(text: str | Column, strict: bool = True) -> Column:
+    """Array of (line_no from 1, trimmed line) outside front matter and fences.
+
+    Only a text that may hold either is searched for them.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    each = lambda own: F.transform(own, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), T.jtrim(x).alias("line")))
+    kept = lambda own: T.let(F.struct(unfenced(own, strict).alias("open"), front_matter_end(own).alias("skip")), lambda f: F.filter(each(own), lambda x: F.element_at(f["open"], x["line_no"].cast("int")) & (x["line_no"] > f["skip"])))
+    special = F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~")) | text.rlike(r"\A[\s\u3000\u00a0\ufeff]*---")
+    return T.let(F.split(text, r"\r?\n", -1), lambda own: F.when(special, kept(own)).otherwise(each(own)))
 
 
 def lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -49,13 +69,8 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
 
 def prose_lines(docs: DataFrame, *keep: str, strict: bool = True) -> DataFrame:
     """doc_id, line_no, line (trimmed), blank, structural: the lines outside front matter and fences, with their own numbers."""
-    own = F.split("text", r"\r?\n", -1)
-    rows = docs.select("doc_id", *keep, own.alias("_lines")).select("doc_id", *keep, "_lines", unfenced(F.col("_lines"), strict).alias("_open"), front_matter_end(F.col("_lines")).alias("_skip"))
-    each = rows.select("doc_id", *keep, "_skip", F.posexplode(F.arrays_zip("_lines", "_open")).alias("_at", "x")).where("x._open and _at >= _skip")
-    line = T.jtrim("x._lines")
-    return each.select("doc_id", *keep, (F.col("_at") + 1).cast("long").alias("line_no"), line.alias("line")).select(
-        "*", (F.col("line") == "").alias("blank"), (T.is_divider("line") | T.is_structural("line")).alias("structural")
-    )
+    each = docs.select("doc_id", *keep, F.explode(prose("text", strict)).alias("x"))
+    return each.select("doc_id", *keep, "x.line_no", "x.line").select("*", (F.col("line") == "").alias("blank"), (T.is_divider("line") | T.is_structural("line")).alias("structural"))
 
 
 def narrative_lines(docs: DataFrame, pack: Pack, *keep: str) -> DataFrame:
@@ -65,14 +80,13 @@ def narrative_lines(docs: DataFrame, pack: Pack, *keep: str) -> DataFrame:
 
 
 def narrative_texts(docs: DataFrame, pack: Pack) -> DataFrame:
-    """doc_id, narrative, full: the lines that count, end to end, without and with quoted spans; every document with prose has a row."""
-    rows = narrative_lines(docs, pack)
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "narrative", "line")))
-    return rows.groupBy("doc_id").agg(ordered.alias("_l")).select(
-        "doc_id",
-        F.array_join(F.transform("_l", lambda x: x["narrative"]), "").alias("narrative"),
-        F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("full"),
-    )
+    """doc_id, narrative, full: the lines that count, end to end, without and with quoted spans; every document with prose has a row.
+
+    A text's lines are joined inside its row; nothing is shuffled.
+    """
+    counts = F.filter(prose("text"), lambda x: (x["line"] != "") & ~T.is_divider(x["line"]) & ~T.is_structural(x["line"]))
+    rows = docs.select("doc_id", F.transform(counts, lambda x: x["line"]).alias("_l")).where(F.size("_l") > 0)
+    return rows.select("doc_id", F.array_join(F.transform("_l", T.strip_quoted), "").alias("narrative"), F.array_join("_l", "\n").alias("full"))
 
 
 def sentence_rows(docs: DataFrame, pack: Pack, *keep: str) -> DataFrame:

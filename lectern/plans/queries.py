@@ -240,7 +240,7 @@ over_documents("volume_rollup", H.volumes, with_(O.CHAPTERS) + "select book, vol
 over_documents("latest_n", H.latest, with_(O.CHAPTERS) + "select book, chapter_no, doc_id from (select *, row_number() over (partition by book order by chapter_no desc) as r from c) where r <= 5")
 over_tables(
     "chapter_gaps",
-    lambda t: H.chapter_gaps(t("labels").join(S.chapters(t("documents")), "doc_id").select("book", "chapter_no")),
+    lambda t: H.chapter_gaps(t("labels").join(S.chapters(t("documents").select("source", "doc_id")), "doc_id").select("book", "chapter_no")),
     with_(O.CHAPTERS, "k as (select distinct book, chapter_no from c join labels using (doc_id))", "w as (select book, chapter_no, lag(chapter_no) over (partition by book order by chapter_no) as after from k)") + "select book, after, chapter_no as before from w where chapter_no - after > 1",
 )
 
