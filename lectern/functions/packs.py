@@ -23,6 +23,13 @@ class Pack:
     patterns: tuple = ()
     placeholders: tuple = ()
     genres: dict = field(default_factory=dict)
+    letters: str = "[一-鿿]"  # what information is measured by
+    marks: str = "[“”！？。，]"
+    quotes: str = "[“”]"
+    verbs: tuple = ()
+    senses: dict = field(default_factory=dict)
+    sense_excludes: tuple = ()
+    blocking: tuple = ()  # patterns of a line that block
 
 
 #: The Chinese word lists and patterns.
@@ -88,6 +95,23 @@ ZH = Pack(
         "都市": ("S", "A", "B"), "职场": ("S", "A", "B"), "系统": ("S", "A", "B"), "轻小说": ("S", "A", "B", "C"), "二次元": ("S", "A", "B", "C"),
         "玄幻": ("S", "A"), "修仙": ("S", "A"), "言情": ("S",), "悬疑": (), "恐怖": (), "历史": (), "严肃": (), "严肃文学": (), "武侠": ("S",), "科幻": ("S", "A"), "同人": ("S", "A", "B"),
     },
+    verbs=("走", "跑", "跳", "说", "看", "想", "拿", "放", "坐", "站", "转", "回", "伸", "握", "抬"),
+    senses={
+        "sight": ("看", "望", "瞥", "瞪", "盯", "瞄", "瞧", "瞅", "凝视", "注视", "俯瞰", "仰望", "环顾", "打量", "端详", "视线", "目光", "瞳孔", "眼神", "眺望"),
+        "hearing": ("听", "响", "声", "嘶", "嚷", "喊", "叫", "咆哮", "低语", "呢喃", "轰鸣", "回响", "喧嚣", "嘈杂", "沉寂", "寂静", "呼啸", "嗡嗡", "滴答", "沙沙"),
+        "smell": ("嗅", "腥", "香", "臭", "腐", "霉", "焦", "铁锈", "潮", "湿", "气味", "刺鼻", "腥味", "焦味", "霉味", "腐臭", "芳香"),
+        "taste": ("尝", "舔", "甜", "苦", "辣", "咸", "涩", "酸", "鲜", "甘", "腥甜", "苦涩", "酸甜", "咸腥"),
+        "touch": ("摸", "碰", "触", "热", "冷", "疼", "痛", "麻", "痒", "凉", "暖", "冰", "烫", "粗糙", "光滑", "湿润", "干燥", "颤抖", "僵硬", "酸软"),
+    },
+    sense_excludes=(
+        "看待", "看重", "看法", "看不起", "看得起", "看作", "看做", "看透", "看开", "看破", "看病", "看穿", "看中", "看上", "期望", "绝望", "愿望", "欲望", "希望", "盼望", "渴望", "指望",
+        "声明", "声张", "不动声色", "声势", "声誉", "声称", "声调", "声望", "响应", "影响", "叫做", "刻苦", "困苦", "苦笑", "苦心", "苦力", "苦水", "苦于", "辛酸", "酸楚", "酸痛",
+        "冷静", "冷淡", "冷漠", "冷清", "冷酷", "冷落", "冷战", "热心", "热情", "热门", "热闹", "热切", "热衷", "头痛", "痛点", "痛风", "痛经", "麻烦", "麻利", "荒凉", "凄凉",
+    ),
+    blocking=(
+        "不是[^，。！？\n]{2,40}(?:而是|只有|那是一种|唯有)",
+        "(?:没有|不是|并非)[^，。；！？\n]{2,30}[，](?:没有|不是|并非)[^，。；！？\n]{2,30}[，]",
+    ),
 )
 
 #: Terms measured in Latin-script corpora; counted as substrings.
@@ -122,4 +146,11 @@ LATIN = Pack(
     similes=("like [^\"\n]{1,20} the", "as [^\"\n]{1,20} of"),
     placeholders=("token = \"", "(MIT|Apache) License", "^(Released|Licensed)"),
     genres={"en": ("S", "A", "B"), "fr": ("S", "A"), "de": ("S",), "es": ()},
+    letters="[A-Za-z]",
+    marks="[,.!?]",
+    quotes='"',
+    verbs=("go", "de", "la", "is"),
+    senses={"w": ("whst", "wh"), "d": ("des", "der", "de"), "c": ("con", "co"), "p": ("por", "pour"), "u": ("und",)},
+    sense_excludes=("contion", "unter", "dem"),
+    blocking=("not [^,.!?\n]{2,40} but", "(?:no|not|sin) [^,.;!?\n]{2,30},[^,.;!?\n]{2,30},"),
 )

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.packs import Pack
-from . import detectors as D
-from . import structure as S
 
 RANK = {"info": 1, "advisory": 2, "blocking": 3}
 
@@ -38,37 +35,6 @@ def composite(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     return one.groupBy("key").agg(T.scaled(F.sum(F.col("score") * F.col("_w")) / F.sum("_w")).alias("score"))
 
 
-def route(total: Column) -> Column:
-    """Flow of an objective score of 60."""
-    return F.when(total >= 40, "fast").when(total >= 30, "full").otherwise("rewrite")
-
-
-def objective_scores(docs: DataFrame, pack: Pack) -> DataFrame:
-    """doc_id, plot, rhythm, texture, consistency, baseline, total, flow: five deductions in one pass over each text."""
-    seg = T.segments("text", 500)
-    dens = F.filter(F.transform(seg, lambda s: T.count_matches(s, "[“”\"0-9]").cast("double") / F.nullif(T.visible_length(s, pack.visible), F.lit(0))), lambda x: x.isNotNull())
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    v = F.filter(F.transform(T.sentences("text", pack.ends), lambda s: T.visible_length(s, pack.visible)), lambda x: x > 0)
-    hits = F.lit(0)
-    for p in pack.similes:
-        hits = hits + T.count_matches("text", p)
-    marks = F.lit(0)
-    for name in ("connectors", "ban_a", "breathy"):
-        marks = marks + T.count_terms("text", pack.lists[name])
-    rows = docs.select("doc_id", dens.alias("_d"), v.alias("_v"), F.size(F.array_distinct(D.category_hits("text", pack))).alias("_k"), (hits * 1000.0 / F.nullif(T.visible_length("text", pack.visible), F.lit(0))).alias("_m"), marks.alias("_b"), F.length("text").alias("_n"))
-    mean = total(F.col("_d")) / F.nullif(F.size("_d"), F.lit(0))
-    n, avg, cv = S.spread(F.col("_v"))
-    rows = rows.select("*", mean.alias("_mean"), F.size(F.filter("_d", lambda x: x < 0.02)).alias("_water"), n.alias("_s"), cv.alias("_cv"), (cv * avg).alias("_std"))
-    plot = 15 - F.when(F.col("_mean") >= 0.08, 0).when(F.col("_mean") >= 0.05, 2).when(F.col("_mean") >= 0.03, 5).otherwise(8) - F.least(2 * F.col("_water"), F.lit(5))
-    rhythm = F.when(F.col("_s") < 5, 5).otherwise(15 - F.when(F.col("_cv") >= 0.5, 0).when(F.col("_cv") >= 0.3, 5).otherwise(10) - F.when(F.col("_std") < 8, 3).otherwise(0))
-    texture = F.when(F.col("_n") < 200, 7).otherwise(10 - F.when(F.col("_k") >= 4, 0).when(F.col("_k") == 3, 2).otherwise(5) - F.when(F.col("_m") >= 4, 5).when(F.col("_m") > 3, 3).otherwise(0))
-    baseline = F.when(F.col("_b") == 0, 10).when(F.col("_b") <= 2, 7).when(F.col("_b") <= 5, 3).otherwise(0)
-    parts = {"plot": plot, "rhythm": rhythm, "texture": texture, "consistency": F.lit(7), "baseline": baseline}
-    out = rows.select("doc_id", *[F.greatest(c, F.lit(0)).cast("long").alias(k) for k, c in parts.items()])
-    sum_ = sum((F.col(k) for k in parts), F.lit(0))
-    return out.withColumn("total", sum_.cast("long")).withColumn("flow", route(F.col("total")))
-
-
 def keyword_index(docs: DataFrame, terms: dict[str, tuple]) -> DataFrame:
     """keyword, kind, doc_id, n: postings of known entities."""
     counts = [F.struct(F.lit(w).alias("keyword"), F.lit(kind).alias("kind"), T.count_literal("text", w).alias("n")) for kind, words in terms.items() for w in words]

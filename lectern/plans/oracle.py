@@ -106,3 +106,47 @@ select {by}, min({order}) as start, count(*) as n from (
   select *, sum(case when hit then 0 else 1 end) over (partition by {by} order by {order}) as run
   from (select *, coalesce({hit}, false) as hit from {source})
 ) where hit group by {by}, run having count(*) >= {least}"""
+
+
+def spans(c: str, pattern: str) -> str:
+    """List of (found, pos from 1) of the matches of a pattern."""
+    p = re2(pattern)
+    before = f"regexp_split_to_array({c}, {p})"
+    found = f"regexp_extract_all({c}, {p})"
+    ends = lambda a, i: f"coalesce(list_sum(list_transform({a}[1:{i}], lambda y: length(y))), 0)"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: {{'found': {found}[i], 'pos': ({ends(before, 'i')} + {ends(found, 'i - 1')} + 1)::bigint}})"
+
+
+def scores(pack: Pack, words) -> str:
+    """CTEs up to ``score``: the five parts of each text's objective score; to follow ``lines``."""
+    from ..operators.rewriting import dictionary_pattern
+
+    verbs = ", ".join(q(v) for v in pack.verbs)
+    names = {w: k for k, ws in pack.senses.items() for w in ws}
+    sense_words = "|".join(sorted({*names, *pack.sense_excludes}, key=lambda w: (-len(w), w)))
+    kinds = " ".join(f"when x = {q(w)} then {q(k)}" for w, k in names.items() if w not in pack.sense_excludes)
+    of = lambda c, patterns: "(" + " + ".join(count(c, p) for p in patterns) + ")"
+    n, mean, cv = spread("v")
+    return f"""
+sl as (select doc_id, line_no, line, narrative, visible from nl),
+sf as (select doc_id, array_to_string(list(line order by line_no), chr(10)) as full_, array_to_string(list(narrative order by line_no) filter (where visible > 0), '') as told,
+  coalesce(sum({of('narrative', pack.similes)}) filter (where visible > 0), 0) as line_similes,
+  coalesce(sum({of('narrative', pack.blocking)} + {terms('narrative', pack.lists['ban_a'])}) filter (where visible > 0), 0) as blocking,
+  coalesce(sum({count('line', '——|—|--+')}) filter (where visible > 0), 0) as dashes from sl group by doc_id),
+ss as (select doc_id, list(n) filter (where n > 0) as v from (select doc_id, len(regexp_extract_all(unnest({sents('narrative', pack)}), {q(pack.visible)})) as n from sl where visible > 0) group by doc_id),
+sa as (select d.doc_id, coalesce(full_, '') as full_, coalesce(told, '') as told, coalesce(line_similes, 0) as line_similes, coalesce(blocking, 0) as blocking, coalesce(dashes, 0) as dashes, coalesce(v, []) as v from documents d left join sf using (doc_id) left join ss using (doc_id)),
+sd as (select *, {count('told', pack.visible)} as chars, {of('told', pack.similes)} as similes,
+  len(list_distinct(list_filter(list_transform(regexp_extract_all(told, {q(sense_words)}), lambda x: case {kinds} end), lambda x: x is not null))) as senses,
+  case when {count('full_', f'{pack.letters}|{pack.marks}')} >= 500 then list_filter(list_transform(range(0, length(full_) // 500), lambda i: ({count('substr(full_, i * 500 + 1, 500)', pack.quotes)} + len(list_filter(regexp_extract_all(substr(full_, i * 500 + 1, 500), {q(dictionary_pattern([*words, *pack.verbs]))}), lambda t: t in ({verbs}))))::double / nullif({count('substr(full_, i * 500 + 1, 500)', pack.letters)}, 0)), lambda x: x is not null) else []::double[] end as dens from sa),
+sm as (select *, coalesce(list_sum(dens) / nullif(len(dens), 0), 0) as m, {n} as n, {cv} as cv, {cv} * {mean} as std, similes * 1000.0::double / nullif(chars, 0) as dense, line_similes * 1000.0::double / nullif(chars, 0) as line_dense from sd),
+sb as (select *, blocking + (case when dashes >= 8 then 1 else 0 end) + (case when chars > 200 and line_dense >= 4 then 1 else 0 end) as marks from sm),
+score as (select doc_id,
+  greatest(15 - case when m >= 0.08 then 0 when m >= 0.05 then 2 when m >= 0.03 then 5 else 8 end - least(2 * len(list_filter(dens, lambda x: x < 0.02)), 5)
+    - case when len(dens) >= 3 and list_sum(list_transform(dens, lambda x: (x - m) * (x - m))) / len(dens) < 0.002 then 2 else 0 end, 0)::bigint as plot,
+  (case when n < 5 then 5 else greatest(15 - case when cv >= 0.5 then 0 when cv >= 0.3 then 5 else 10 end - case when std < 8 then 3 else 0 end, 0) end)::bigint as rhythm,
+  (case when chars < 200 then 7 else greatest(10 - case when senses >= 4 then 0 when senses >= 3 then 2 else 5 end - case when dense >= 4 then 5 when dense > 3 then 3 else 0 end, 0) end)::bigint as texture,
+  7::bigint as consistency, (case when marks = 0 then 10 when marks <= 2 then 7 when marks <= 5 then 3 else 0 end)::bigint as baseline from sb)"""
+
+
+def route(total: str) -> str:
+    return f"case when {total} >= 40 then 'fast' when {total} >= 30 then 'full' else 'rewrite' end"

@@ -14,6 +14,7 @@ from ..operators import detectors as D
 from ..operators import reconcile as R
 from ..operators import rewriting as W
 from ..operators import rhythm as H
+from ..operators import scores as X
 from ..operators import structure as S
 from . import oracle as O
 
@@ -88,10 +89,12 @@ over_documents(
 )
 
 # tokens and matching
+#: Words of two to four characters for maximum matching; a full dictionary is a parameter.
+DICTIONARY = sorted({w for ws in ZH.lists.values() for w in ws if 2 <= len(w) <= 4})
 over_documents(
     "tokens_fmm",
-    lambda d: d.select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+|[一-鿿]"), F.lit(0)).alias("_t")).select("doc_id", F.size("_t").cast("long").alias("tokens"), F.size(F.array_distinct("_t")).cast("long").alias("kinds")),
-    "select doc_id, len(t)::bigint as tokens, len(list_distinct(t))::bigint as kinds from (select doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[一-鿿]') as t from documents)",
+    lambda d: W.dictionary_tokens(d, DICTIONARY).select("doc_id", F.size("tokens").cast("long").alias("tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("kinds")),
+    f"select doc_id, len(t)::bigint as tokens, len(list_distinct(t))::bigint as kinds from (select doc_id, regexp_extract_all(text, {O.q(W.dictionary_pattern(DICTIONARY))}) as t from documents)",
 )
 over_documents(
     "ttr_windows",
@@ -254,8 +257,14 @@ over_tables(
 )
 
 # scores and reconciliation
-over_documents("objective_score", lambda d: R.objective_scores(d, P))
-over_documents("route", lambda d: R.objective_scores(d, P).groupBy("flow").agg(F.count(F.lit(1)).alias("n")))
+#: Words that hold a verb of the Latin pack, for the maximum matching of the scores.
+WORDS = ("good", "der", "des", "lado", "isch")
+SCORES = with_(O.lines(P), O.scores(P, WORDS))
+TOTAL = "plot + rhythm + texture + consistency + baseline"
+over_documents("objective_score", lambda d: X.objective_scores(d, P, WORDS), SCORES + f"select *, ({TOTAL})::bigint as total, {O.route(TOTAL)} as flow from score")
+for _part in ("plot", "rhythm", "texture", "baseline"):
+    over_documents(f"{_part}_score", lambda d, k=_part: X.objective_scores(d, P, WORDS).select("doc_id", k), SCORES + f"select doc_id, {_part} from score")
+over_documents("route", lambda d: X.objective_scores(d, P, WORDS).groupBy("flow").agg(F.count(F.lit(1)).alias("n")), SCORES + f"select {O.route(TOTAL)} as flow, count(*) as n from score group by 1")
 over_documents("severity_pivot", lambda d: R.severity_pivot(D.burstiness(d, P).unionByName(D.connectors(d, P)).unionByName(D.slang_density(d, P))))
 over_documents("gate", lambda d: R.gate(D.burstiness(d, P).unionByName(D.connectors(d, P))))
 
@@ -359,8 +368,36 @@ def _spoken(t: Callable) -> DataFrame:
 
 over_documents("contrast_scan", lambda d: W.contrast_findings(d).unionByName(W.contrast_findings(d, W.LATIN_CONTRAST)))
 over_documents("normalize_punctuation", W.normalized)
-over_documents("number_mentions", _numbers)
-over_documents("value_limits", lambda d: C.value_limits(_numbers(d)))
+_SKIP = "'year', 'years', 'ans', 'años', 'Jahre', 'Jahren', 'km', 'm', 'mi'"
+_NUMBERS = [("age", C.LATIN_PATTERNS["age"], ""), ("distance", C.LATIN_PATTERNS["distance"], "regexp_extract(x.found, '(km|mi|m)$', 1)"), ("count", r"(\d+) (\p{L}+)", "")]
+#: The Latin kinds only: the tables hold no Chinese numbers; a count's word is tested behind the match, as the engine knows no lookahead.
+NUMBERS = "with " + ",\n".join(f"m{i} as (select doc_id, text, unnest({O.spans('text', p)}) as x from documents)" for i, (_, p, _) in enumerate(_NUMBERS)) + ",\n" + "n as (" + " union all ".join(
+    f"select doc_id, '{k}' as kind, x.pos as pos, regexp_extract(x.found, '^\\d+')::double as value, {u or O.q('')} as unit, substr(text, greatest(x.pos - 50, 1), least(x.pos - 1, 50)) as before from m{i}" + (f" where regexp_extract(x.found, ' (.*)$', 1) not in ({_SKIP})" if k == "count" else "") for i, (k, _, u) in enumerate(_NUMBERS)) + ")\n"
+over_documents("number_mentions", _numbers, NUMBERS + "select * from n")
+over_documents(
+    "value_limits",
+    lambda d: C.value_limits(_numbers(d)),
+    NUMBERS + "select * from (select doc_id, kind, pos, case " + " ".join(f"when kind = '{k}' and value > {most} then 'blocking' when kind = '{k}' and value > {warn} then 'advisory'" for k, (warn, most) in C.LIMITS.items()) + " end as severity from n) where severity is not null",
+)
+PEOPLE = [("The", 30.0), ("de", 40.0), ("token", 41.0), ("license", 50.0)]
+ROUTES = [("de", "r1", "km", 40.0), ("The", "r2", "m", 500.0)]
+over_documents(
+    "age_mismatch",
+    lambda d: C.age_mismatches(_numbers(d), d.sparkSession.createDataFrame(PEOPLE, "name string, age double")),
+    NUMBERS + "select doc_id, name, pos, value, age from n join (values " + ", ".join(f"('{k}', {v}::double)" for k, v in PEOPLE) + ") p(name, age) on contains(before, name) where kind = 'age' and value <> age",
+)
+over_documents(
+    "distance_mismatch",
+    lambda d: C.distance_mismatches(_numbers(d), d.sparkSession.createDataFrame(ROUTES, "place string, route string, unit string, value double")),
+    NUMBERS + "select doc_id, route, pos, value, expected from n join (values " + ", ".join(f"('{a}', '{b}', '{c}', {v}::double)" for a, b, c, v in ROUTES) + ") p(place, route, u, expected) on contains(before, place) and unit = u where kind = 'distance' and abs(value - expected) > 0.1::double * expected",
+)
+DEAD = ["The", "token"]
+MEMORY = C.FLASHBACK[1:-1]
+over_documents(
+    "dead_alive",
+    lambda d: C.living_dead(d, d.sparkSession.createDataFrame([(n,) for n in DEAD], "name string"), ["The", "There", "token"]),
+    f"with m as (select doc_id, text, unnest({O.spans('text', 'There|token|The')}) as x from documents) select doc_id, x.found as name, x.pos as pos from m where x.found in ('The', 'token') and not regexp_matches(substr(text, greatest(x.pos - 100, 1), x.pos + 100 - greatest(x.pos - 100, 1)), '{MEMORY}')",
+)
 over_documents(
     "exact_name_match",
     lambda d: C.exact_names(d, list(NAMES)),
