@@ -2,15 +2,21 @@
 
 Words are dealt in equal blocks.  Each block goes to the source with the
 highest quotient ``target / (2 k - 1)``; inside a source the blocks go to its
-shards (hash cells of documents) the same way.  A shard then takes its quota
-from its documents laid end to end in seeded order.  Everything is DataFrame
-expressions; no table that is gathered in a window grows with the documents
-faster than one row for a source, or 65,536 rows for the shards of one.
+shards (hash cells of documents) the same way.  A shard's documents are laid end
+to end in an order that the seed draws, and cut into blocks; its quota are the
+first blocks of that order, after as many whole passes as the quota holds.  So a
+seeded draw of blocks is told by one place a shard: where the quota ends.
+
+Everything is DataFrame expressions.  Texts are never shuffled: windows see
+(lot, size) of documents, and a document's share follows from its own lot and the
+place where its shard's quota ends.  No table that is gathered in a window grows
+with the documents faster than one row for a source, or 65,536 rows for the
+shards of one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, word_count
@@ -73,36 +79,25 @@ def fill_targets(sources: DataFrame, weights: tuple[float, ...], share: float, r
     )
 
 
-def mix(
-    docs: DataFrame,
-    keep: list[str],
-    weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5,
-    repeat: int = 2,
-    seed: int = 17,
-    block_words: int = 1024,
-    shard_words: int = 1 << 18,
-) -> DataFrame:
-    """Words that a mix of all sources takes from each row of ``docs(doc_id, text, source)``.
+def _lots(docs: DataFrame, seed: int) -> list:
+    """Key of the source, lot and size of each row, under names that no caller uses."""
+    lot = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
+    return [F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_key"), lot.alias("_lot"), word_count("text").alias("_size")]
 
-    Returns the columns ``keep`` with size, source_size, target, quota (blocks
-    of the document's source), shard and taken.  Sources in code point order,
-    null last, get ``weights`` in turn.  A block has ``block_words`` words, or
-    fewer so that the smallest target has 256 of them.
 
-    Null or blank texts have size 0 and take 0.  A null source is a source.
-    Rows with the same doc_id and size may swap what they take, which leaves the
-    rows of the result as they are.  An empty table gives no rows.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    lot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    cell = F.conv(F.substring("_lot", 1, 4), 16, 10).cast("long")
-    rows = docs.select(
-        *keep, key.alias("_key"), lot.alias("_lot"), word_count("text").alias("size"), *([] if "source" in keep else ["source"]), *([] if "doc_id" in keep else ["doc_id"])
-    ).withColumn("_cell", cell)
-    cells = scratch.put(rows.groupBy(F.col("_key").alias("key"), F.col("_cell").alias("cell")).agg(F.sum("size").alias("size"), F.first("source").alias("source")))
+def _cell(lot: str) -> Column:
+    return F.shiftrightunsigned(lot, 48)
+
 
+def quotas(rows: DataFrame, scratch: Scratch, weights: tuple, share: float, repeat: float, block_words: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """(sources, shards) of ``rows(_key, source, _lot, _size)``, both under names that begin with an underscore.
+
+    Sources have their size, target, block, quota and number of shards.  Shards have
+    _passes (whole passes through all documents), _end (the lot at which the rest
+    of the quota ends), and _part of _whole: which share of the words at that lot
+    is taken.
+    """
+    cells = scratch.put(rows.groupBy(F.col("_key").alias("key"), _cell("_lot").alias("cell")).agg(F.sum("_size").alias("size"), F.first("source").alias("source")))
     sources = fill_targets(cells.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), weights, share, repeat)
     every = Window.partitionBy(F.lit(0))
     sources = (
@@ -117,36 +112,88 @@ def mix(
 
     shard = F.floor(F.col("cell") * F.col("shards") / CELLS).cast("long")
     shards = cells.join(sources, "key").withColumn("shard", shard).groupBy("key", "shard", "quota", "block").agg(F.sum("size").alias("words"))
-    shards = apportion(shards, ["key"], "shard", "words", "quota", "blocks").select(
-        "key", "shard", F.col("words").alias("_words"), F.least(F.col("blocks") * F.col("block"), F.col("words") * repeat).alias("_take")
+    take = F.least(F.col("blocks") * F.col("block"), F.col("words") * repeat).cast("long")
+    shards = apportion(shards, ["key"], "shard", "words", "quota", "blocks").select("key", "shard", "words", take.alias("take"))
+    passes = F.expr("coalesce(take div nullif(words, 0), 0)")
+    shards = scratch.put(shards.select("key", "shard", passes.alias("passes"), (F.col("take") - passes * F.col("words")).alias("rest")))
+
+    of = Window.partitionBy("key", "shard").orderBy("lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lots = rows.groupBy(F.col("_key").alias("key"), F.col("_lot").alias("lot")).agg(F.sum("_size").alias("words")).withColumn("cell", _cell("lot"))
+    ends = (
+        lots.join(sources.select("key", "shards"), "key")
+        .withColumn("shard", shard)
+        .withColumn("upto", F.sum("words").over(of))
+        .join(shards.where("rest > 0"), ["key", "shard"])
+        .where("upto >= rest and upto - words < rest")
+        .select("key", "shard", "lot", "words", (F.col("rest") - F.col("upto") + F.col("words")).alias("part"))
     )
-    shards = scratch.put(shards)
+    shards = shards.join(ends, ["key", "shard"], "left").select(F.col("key").alias("_key"), F.col("shard").alias("_shard"), F.col("passes").alias("_passes"), F.col("lot").alias("_end"), F.col("part").alias("_part"), F.col("words").alias("_whole"))
+    return sources.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "block", "quota", "shards")]), scratch.put(shards)
+
+
+#: Rows up to which the table of sources or of shards is broadcast (at some 60 bytes a row); a larger one is joined as Spark finds best.
+SMALL = 1 << 18
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
 
-    end = Window.partitionBy("key", "shard").orderBy("_lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passes = F.expr("coalesce(_take div nullif(_words, 0), 0)")
-    start = F.sum("size").over(end) - F.col("size")
+
+def dealt(docs: DataFrame, keep: list, weights, share, repeat, seed, block_words, shard_words) -> DataFrame:
+    """``keep`` (columns of ``docs``), the source's and the shard's figures, and _taken of each row; no row is moved."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = docs.select("source", *_lots(docs, seed))
+    sources, shards = quotas(scratch.put(rows), scratch, weights, share, repeat, block_words, shard_words)
+    ahead = F.when(F.col("_lot") < F.col("_end"), F.col("_size")).when(F.col("_lot") == F.col("_end"), F.floor(F.col("_size") * F.col("_part") / F.col("_whole")))
     return (
-        rows.withColumnsRenamed({"_key": "key", "_cell": "cell"})
-        .join(sources, "key")
-        .withColumn("shard", shard)
-        .join(shards, ["key", "shard"])
-        .withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_take") - passes * F.col("_words") - start)))
-        .withColumn("taken", (passes * F.col("size") + F.col("_part")).cast("long"))
-        .select(*keep, "size", "source_size", "target", "quota", "shard", "taken")
+        docs.select(*keep, *_lots(docs, seed))
+        .join(_small(sources), "_key")
+        .withColumn("_shard", F.floor(_cell("_lot") * F.col("_shards") / CELLS).cast("long"))
+        .join(_small(shards), ["_key", "_shard"])
+        .withColumn("_taken", (F.col("_passes") * F.col("_size") + F.coalesce(ahead, F.lit(0))).cast("long"))
     )
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, with the columns of ``docs``: each as often as the mix takes it, halves rounded up."""
+def mix(
+    docs: DataFrame,
+    keep: list[str],
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    repeat: int = 2,
+    seed: int = 17,
+    block_words: int = 1024,
+    shard_words: int = 1 << 18,
+) -> DataFrame:
+    """Words that a mix of all sources takes from each row of ``docs(doc_id, text, source)``.
+
+    Returns the columns ``keep`` with size, source_size, target, quota (blocks
+    of the document's source), shard and taken, which replace columns of ``keep``
+    with their names.  Sources in code point order, null last, get ``weights`` in
+    turn.  A block has ``block_words`` words, or fewer so that the smallest target
+    has 256 of them.
+
+    Null or blank texts have size 0 and take 0.  A null source is a source, a null
+    doc_id an id.  Rows with the same doc_id and text share what is taken of them
+    evenly, rounded down.  An empty table gives no rows.
+    """
+    added = ("size", "source_size", "target", "quota", "shard", "taken")
+    kept = [c for c in keep if c not in added]
+    got = dealt(docs, [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)], weights, share, repeat, seed, block_words, shard_words)
+    return got.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"_{c}").alias(c) for c in added])
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, seed: int = 17, block_words: int = 1024, shard_words: int = 1 << 18) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``: each as often as the mix takes it, halves rounded up.
+
+    A document without words takes none of the mix, and stays once.
+    """
     names = docs.columns
-    plain = [f"c{i}" for i in range(len(names))]  # a column of the caller may bear one of mix()'s names
-    inner = docs.select(*[docs[f"`{c}`"].alias(p) for c, p in zip(names, plain, strict=True)], *[docs[f"`{c}`"] for c in ("doc_id", "text", "source")])
-    times = F.expr("if(size = 0, 1, cast(round(taken / size) as int))")
+    got = dealt(docs, [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)], weights, share, repeat, seed, block_words, shard_words)
+    times = F.expr("if(_size = 0, 1, cast(round(_taken / _size) as int))")
     return (
-        mix(inner, plain, **how)
-        .withColumn("_times", times)
+        got.withColumn("_times", times)
         .where("_times > 0")
-        .select(*[F.col(p).alias(c) for c, p in zip(names, plain, strict=True)], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+        .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
         .drop("_copy")
     )
 
