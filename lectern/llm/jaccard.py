@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -84,47 +84,68 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return same > 0 and 100 * same >= percent * (len(a) + len(b) - same)
 
 
-SKETCH_BITS, SIZES = 20, 1024
+SIZES = 1024
+#: Frequent shingles that the order knows, cells of the table that names them, and shingles that a task counts at a time.
+FREQUENT, CELL_BITS, BLOCK = 1 << 18, 22, 1 << 21
 
 
-def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of hashed shingles over all texts, histogram of set sizes up to SIZES), of fixed size.
+def _usage(docs: DataFrame, k: int) -> DataFrame:
+    """(sized, h, n): how many sets hold each shingle that repeats inside a task's block of sets; where ``sized`` is true, how many sets have h shingles (SIZES: so many and more).
 
-    Tasks count into arrays; those are summed in two steps, in blocks, so that
-    no task gets more than a share of them.  Only the order of shingles depends
-    on the counts, never a result.
+    Equal sets of a block count once.  A block is of bounded size; counts of all
+    blocks are added with a partial aggregation before the shuffle.
     """
-    blocks = 128
-    width = (1 << SKETCH_BITS) // blocks
 
     def count(batches):
-        total, sizes, held, n = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), np.zeros(width, dtype=np.uint32), [], 0
+        sizes, held, seen, n = np.zeros(SIZES + 1, dtype=np.int64), [], set(), 0
+
+        def repeated():
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            h, times = h[times > 1], times[times > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), dtype=bool)), pa.array(h.view(np.int64)), pa.array(times)], ["sized", "h", "n"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                h = shingle_hashes(text, k)
+                h = shingle_set(text, k)
                 sizes[min(len(h), SIZES)] += 1
-                held.append(h >> U(64 - SKETCH_BITS))
+                name = (len(h), int(h.sum(dtype=U)))
+                if len(h) < 2 or name in seen:
+                    continue
+                seen.add(name)
+                held.append(h)
                 n += len(h)
-                if n > 1 << 21:
-                    total += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                    held, n = [], 0
+                if n > BLOCK:
+                    yield from repeated()
+                    held, seen, n = [], set(), 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        salt = int(total.sum()) % 16
-        parts = [*total.reshape(blocks, width), sizes]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array([salt] * (blocks + 1), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary())], ["block", "salt", "counts"])
+            yield from repeated()
+        at = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=bool)), pa.array(at), pa.array(sizes[at])], ["sized", "h", "n"])
+
+    return docs.select("text").mapInArrow(count, "sized boolean, h long, n long").groupBy("sized", "h").agg(F.sum("n").alias("n"))
+
 
-    def add(key, t):
-        total = np.zeros(width, dtype=np.uint32)
-        for x in t.column("counts"):
-            total += np.frombuffer(x.as_py(), dtype="<u4")
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _order(docs: DataFrame, k: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """(class of frequency of each cell of shingles, histogram of set sizes up to SIZES), both of fixed size.
 
-    shape = "block int, salt int, counts binary"
-    sums = docs.select("text").mapInArrow(count, shape).groupBy("block", "salt").applyInArrow(add, shape).groupBy("block").applyInArrow(add, shape)
-    got = {x["block"]: np.frombuffer(x["counts"], dtype="<u4") for x in sums.collect()}  # 129 rows of 32 KB
-    empty = np.zeros(width, dtype=np.uint32)
-    return np.concatenate([got.get(i, empty) for i in range(blocks)]), got.get(blocks, empty)[: SIZES + 1]
+    The FREQUENT commonest shingles have the class of their logarithm, all others
+    0.  Only the order of shingles depends on it, never a result.
+    """
+    usage = scratch.put(_usage(docs, k))
+    sizes = np.zeros(SIZES + 1, dtype=np.int64)
+    for x in usage.where("sized").collect():  # at most SIZES + 1 rows
+        sizes[x["h"]] = x["n"]
+    steps = usage.where("not sized").groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect()
+    kept, least = 0, 1 << 62
+    for x in steps:  # at most 4095 rows
+        if kept + x["count"] > FREQUENT:
+            break
+        kept, least = kept + x["count"], x["n"]
+    often = usage.where("not sized").where(F.col("n") >= least).select("h", "n").toPandas()  # at most FREQUENT rows
+    scratch.drop(usage)
+    rank = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    np.maximum.at(rank, often["h"].to_numpy(np.int64).view(np.uint64) >> U(64 - CELL_BITS), (1 + np.log2(np.maximum(often["n"].to_numpy(np.float64), 1))).astype(np.uint8))
+    return rank, sizes
 
 
 def boundary_of(sizes: np.ndarray, percent: int, scan: float = 3.0) -> int:
@@ -157,27 +178,18 @@ def signatures(h: np.ndarray, rank: np.ndarray, boundary: int, percent: int) ->
     return np.concatenate(out)
 
 
-PROFILE = 128
-
-
-def profile(h: np.ndarray) -> bytes:
-    """How many shingles fall in each of PROFILE classes, up to 255.  Two sets differ in at least as many shingles as their profiles do."""
-    return np.minimum(np.bincount((h & U(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+PARITY = 8
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 4 n and more classes, a bit each: two sets differ in at least as many shingles as their bitmaps in bits."""
-    m = 1 << max(6, (4 * len(h) - 1).bit_length())
+    """Parity of the shingles in each of n and more classes, a bit each and 64 PARITY at least: two sets differ in at least as many shingles as their bitmaps in bits."""
+    m = 1 << max((64 * PARITY - 1).bit_length(), (len(h) - 1).bit_length())
     return np.packbits((np.bincount(((h >> U(16)) & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-PARITY = 8
-
-
-def parity(h: np.ndarray) -> np.ndarray:
-    """Bitmap of a fixed size, as PARITY 64-bit integers: what the join of a list's sets compares."""
-    odd = np.bincount(((h >> U(16)) & U(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+def folded(bits: bytes) -> np.ndarray:
+    """A bitmap folded to a fixed size, as PARITY 64-bit integers: what the join of a list's sets compares."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, dtype="<i8").reshape(-1, PARITY), axis=0)
 
 
 def parities_allow(x: str, y: str, percent: int) -> Column:
@@ -195,63 +207,144 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _nearly_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that bitmaps don't rule out; few but links are left."""
+def _parities(sketches: DataFrame) -> DataFrame:
+    """id, n and parity of each set."""
 
     def run(batches):
-        for t in batches:
-            n, m = (np.array(t.column(j), dtype=np.int64) for j in (2, 3))
-            apart = np.array([bits_apart(x, y) for x, y in zip(t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True)], dtype=np.int64)
-            same = (n + m - apart) // 2
-            yield t.select([0, 1]).filter(pa.array(100 * same >= percent * (n + m - same), pa.bool_()))
+        for b in batches:
+            odd = [folded(x) for x in b.column(2).to_pylist()]
+            flat = pa.array(np.concatenate(odd) if odd else np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * PARITY), flat)], ["id", "n", "parity"])
 
-    side = lambda c, n, p: sets.select(F.col("id").alias(c), F.col("n").alias(n), F.col("bits").alias(p))
-    both = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return sketches.select("id", "n", "bits").mapInArrow(run, "id long, n long, parity array<bigint>")
 
 
-def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and profiles don't rule out."""
+def _nearly_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps don't rule out; few but links are left."""
 
     def run(batches):
         for t in batches:
             n, m = (np.array(t.column(j), dtype=np.int64) for j in (2, 3))
-            x, y = (np.frombuffer(b"".join(t.column(j).to_pylist()), dtype=np.uint8).reshape(-1, PROFILE).astype(np.int16) for j in (4, 5))
-            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
-            same = (n + m - apart) // 2  # at most so many
-            yield t.select([0, 1]).filter(pa.array(100 * same >= percent * (n + m - same)))
+            apart = np.array([bits_apart(x, y) for x, y in zip(t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            same = np.minimum(np.minimum(n, m), (n + m - apart) // 2)
+            yield t.select([0, 1]).filter(pa.array(100 * same >= percent * (n + m - same), pa.bool_()))
 
-    side = lambda c, n, p: sets.select(F.col("id").alias(c), F.col("n").alias(n), F.col("profile").alias(p))
-    both = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
+    side = lambda c, n, p: sketches.select(F.col("id").alias(c), F.col("n").alias(n), F.col("bits").alias(p))
+    sized = pairs.join(side("a", "n", "p"), "a").join(sketches.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q")), "b")
+    both = sized.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b", "n", "m", "p", "q")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), its digest, profile, bitmap, parity and signatures, for every row."""
-    counts, sizes = _sketch(docs, k)
-    usual = 4 * counts.mean() + 8
-    rank = np.where(counts > usual, 1 + np.log2(np.maximum(counts, 1) / usual), 0).astype(np.uint8)
+def _sets(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n (size of the set), its digest, bitmap and signatures (48 bits each), for every row."""
+    rank, sizes = _order(docs, k, scratch)
     boundary = boundary_of(sizes, percent)
-    ranks = docs.sparkSession.sparkContext.broadcast(rank.tobytes())  # 1 MB at any scale
+    ranks = docs.sparkSession.sparkContext.broadcast(rank.tobytes())  # 4 MB at any scale
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         rank = np.frombuffer(ranks.value, dtype=np.uint8)
         for b in batches:
-            n, digest, sig, profiles, bits, odd = [], [], [], [], [], []
+            n, digest, sig, bits = [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, k)
                 n.append(len(h))
-                profiles.append(profile(h))
                 bits.append(bitmap(h))
-                odd.append(parity(h))
                 digest.append(np.array([h.sum(dtype=np.uint64), _mix(h ^ _M1).sum(dtype=np.uint64)]).tobytes())
-                sig.append(signatures(h, rank[h >> U(64 - SKETCH_BITS)], boundary, percent).view(np.int64))
-            flat = np.concatenate(sig) if sig else np.zeros(0, dtype=np.int64)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(profiles, pa.binary()), pa.array(bits, pa.binary()), pa.array(odd, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "digest", "profile", "bits", "parity", "sig"])
+                sig.append(signatures(h, rank[h >> U(64 - CELL_BITS)], boundary, percent).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "digest", "bits", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, bits binary, sig binary")
+
+
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The first ``width`` bytes of 64-bit integers, byte position after byte position, so that equal ones compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(raw: bytes, width: int = 8) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
+    return out.view(np.int64).ravel()
+
+
+def _hubs(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(order, list of each entry in order, first entry of each list, its size, smallest id, an id at random)."""
+    by = np.lexsort((ids, sig))
+    sig, ids = sig[by], ids[by]
+    new = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    lot = np.lexsort((_mix(ids.view(np.uint64)), of))
+    return by, of, first, np.diff(np.append(first, len(sig))), ids[first], ids[lot[first]]
+
+
+LISTS = "sig long, id long, h1 long, h2 long, listed boolean"
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, profile binary, bits binary, parity array<bigint>, sig array<bigint>")
+
+def _lists(first: DataFrame, scratch: Scratch, bucket_size: int = 1 << 19) -> DataFrame:
+    """LISTS of each entry of a list with two and more sets: the set, two hubs, and whether the row is the set's own.
+
+    A task sorts its entries in blocks.  A list with several entries in a block
+    gets hubs there, and only one entry of it goes on, as a block of bytes, to the
+    bucket of the list.  So no task gets more than one entry of a list from each
+    block, and what it gets grows with its share of the distinct lists.
+    """
+    buckets = (first.agg(F.sum(F.octet_length("sig"))).first()[0] or 0) // 6 // bucket_size + 1
+    whole = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("listed", pa.bool_())])
+    shape = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("id", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary()), ("several", pa.binary())])
+
+    def packed(sigs, ids):
+        sig, ids = np.concatenate(sigs), np.concatenate(ids)
+        by, of, at, size, h1, h2 = _hubs(sig, ids)
+        sig, ids, many = sig[by], ids[by], size > 1
+        own = many[of]
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([_planes(x)], pa.binary()) for x in (sig[own], ids[own], h1[of[own]], h2[of[own]])), pa.array([b""], pa.binary())], schema=shape)
+        sig, ids = sig[at], ids[at]
+        to = sig % buckets
+        by = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[by], np.arange(buckets + 1))
+        rows = [(k, by[ends[k] : ends[k + 1]]) for k in range(buckets) if ends[k] < ends[k + 1]]
+        none = pa.array([None] * len(rows), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([_planes(sig[x], 6) for _, x in rows], pa.binary()), pa.array([_planes(ids[x]) for _, x in rows], pa.binary()), none, none, pa.array([np.packbits(many[x]).tobytes() for _, x in rows], pa.binary())], schema=shape)
+
+    def deal(batches):
+        sigs, ids, n = [], [], 0
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k = len(raw) // 6
+                own = np.zeros((k, 8), dtype=np.uint8)
+                own[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+                sigs.append(own.view(np.int64).ravel())
+                ids.append(np.full(k, i, dtype=np.int64))
+                n += k
+                if n > BLOCK:
+                    yield from packed(sigs, ids)
+                    sigs, ids, n = [], [], 0
+        if n:
+            yield from packed(sigs, ids)
+
+    def inside(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                cols = [_unplaned(row[c]) for c in ("sig", "id", "h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.ones(len(cols[0]), dtype=bool))], schema=whole)
+
+    def across(key, t):
+        rows = t.select(["sig", "id", "several"]).to_pylist()
+        sig, ids = np.concatenate([_unplaned(x["sig"], 6) for x in rows]), np.concatenate([_unplaned(x["id"]) for x in rows])
+        several = np.concatenate([np.unpackbits(np.frombuffer(x["several"], dtype=np.uint8), count=len(x["id"]) // 8) for x in rows]).astype(bool)
+        by, of, _, size, h1, h2 = _hubs(sig, ids)
+        own = (size > 1)[of]
+        by, of = by[own], of[own]
+        return pa.table([pa.array(sig[by]), pa.array(ids[by]), pa.array(h1[of]), pa.array(h2[of]), pa.array(~several[by])], schema=whole)
+
+    blocks = scratch.put(first.select("id", "sig").mapInArrow(deal, "bucket int, sig binary, id binary, h1 binary, h2 binary, several binary"))
+    lists = blocks.where("bucket < 0").mapInArrow(inside, LISTS).unionByName(blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(across, LISTS))
+    lists = scratch.put(lists)
+    scratch.drop(blocks)
+    return lists
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -311,40 +404,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     repeat a doc_id are one document.  Rows without a doc_id have no component
     and take no part.  An empty table gives no rows.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
-    signed = scratch.put(_sets(docs, k, percent))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    signed = scratch.put(_sets(docs, k, percent, scratch))
     sets = scratch.put(signed.select("doc_id", "n", "digest"))
     classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").cast("long").alias("id")))
-    first = signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["n"] == classes["n"]) & (signed["doc_id"] == classes["id"]), "left_semi")
-    listed = first.select(F.col("doc_id").cast("long").alias("id"), "n", F.explode("sig").alias("sig"))
-    of = Window.partitionBy("sig")
-    lot = F.struct(F.xxhash64("id", F.lit("hub")), F.col("id"), F.col("n"))
-    lists = (
-        listed.withColumns({"_low": F.min(F.struct("id", "n")).over(of), "_lot": F.min(lot).over(of), "_last": F.max("id").over(of)})
-        .where(F.col("_low.id") < F.col("_last"))
-        .select("sig", "id", "n", F.col("_low.id").alias("h1"), F.col("_low.n").alias("n1"), F.col("_lot.id").alias("h2"), F.col("_lot.n").alias("n2"))
-    )
-    lists = scratch.put(lists)
-    named = lists.select("id").distinct()
-    profiles = scratch.put(first.select(F.col("doc_id").cast("long").alias("id"), "n", "profile", "bits", "parity").join(named, "id", "left_semi").dropDuplicates(["id", "bits"]))
+    own = signed.select(F.col("doc_id").cast("long").alias("id"), "n", "digest", "bits", "sig")
+    first = scratch.put(own.join(classes, ["id", "digest", "n"], "left_semi").drop("digest"))
     scratch.drop(signed)
+    lists = _lists(first, scratch)
+    sketches = scratch.put(first.select("id", "n", "bits").join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", "bits"]))
+    scratch.drop(first)
 
     def check(pairs: DataFrame) -> DataFrame:
-        near = scratch.put(_nearly_link(scratch.put(_may_link(pairs, profiles, percent)), profiles, percent))
+        near = scratch.put(_nearly_link(pairs, sketches, percent))
         named = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = scratch.put(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi"))
-        return scratch.put(_verify(near, texts, k, percent))
+        found = scratch.put(_verify(near, texts, k, percent))
+        scratch.drop(near, texts)
+        return found
 
-    alike = lambda m, n: (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
-    hub = F.explode(F.array(F.struct(F.col("h1").alias("h"), F.col("n1").alias("m")), F.struct(F.col("h2").alias("h"), F.col("n2").alias("m"))))
-    tried = lists.select("id", "n", hub.alias("x")).where((F.col("x.h") != F.col("id")) & alike(F.col("x.m"), F.col("n")))
-    tried = scratch.put(tried.select(F.least("id", "x.h").alias("a"), F.greatest("id", "x.h").alias("b")).distinct())
+    tried = lists.select("id", F.explode(F.array("h1", "h2")).alias("h")).where("h <> id")
+    tried = scratch.put(tried.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct())
     links = check(tried)
     found = scratch.put(components(links, scratch))
 
-    placed = lists.select("sig", "id", "n").join(found, "id", "left").join(profiles.select("id", "parity"), "id").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.withColumns({"_a": F.min("component").over(of), "_b": F.max("component").over(of)}).where("_a < _b").select("sig", "id", "n", "component", "parity")
-    apart = scratch.put(apart)
+    placed = scratch.put(lists.where("listed").select("sig", "id").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")))
+    scratch.drop(lists)
+    ends = placed.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("sig")
+    apart = scratch.put(placed.join(scratch.put(ends), "sig", "left_semi"))
+    scratch.drop(placed)
+    apart = scratch.put(apart.join(_parities(sketches), "id"))
+    alike = lambda m, n: (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
     x, y = apart.alias("x"), apart.alias("y")
     on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")) & parities_allow("x", "y", percent)
     pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -360,12 +450,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document with the smallest doc_id, once.
 
-    Rows without a doc_id or without words stay.
+    Rows without a doc_id or without words stay.  Whole rows are shuffled once, by
+    doc_id.
     """
     scratch = Scratch(docs.sparkSession, "distinct")
     found = scratch.put(jaccard_components(docs, k, percent))
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # alike at every size
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
