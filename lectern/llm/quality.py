@@ -12,12 +12,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import table
 
 NAMES = (
     "log_bytes", "log_words", "mean_word", "longest_word", "unique_words", "short_words", "upper", "digits", "marks", "symbols",
@@ -156,17 +155,20 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, max_rows: int = 40000, **how) -> AdditiveModel:
-    """A model from the labelled rows that are not held out.
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 40000, **how) -> AdditiveModel:
+    """A model from the labelled rows of ``docs`` that are not held out.
 
     Above ``max_rows`` labelled rows, a hash of doc_id draws about so many; this
-    bounds what the driver fits on.  Of repeated labels the smallest counts; a
-    null label does not.  Without labelled rows every score is 1/2.
+    bounds what the driver fits on, and features are computed of these rows only.
+    Of repeated labels the smallest counts, of repeated documents the one with the
+    smallest features; a null label does not.  Without labelled rows every score
+    is 1/2.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("_y"))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < int(max_rows / max(n, 1) * (1 << 30)))
-    rows = features.join(drawn, "doc_id").groupBy("doc_id").agg(F.first("features").alias("x"), F.first("_y").alias("y")).toPandas().sort_values("doc_id")
+    own = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi")  # about max_rows ids
+    rows = with_features(own).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("features").alias("x"), F.first("_y").alias("y")).toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(NAMES))
     return AdditiveModel(**how).fit(x, (rows["y"].to_numpy() == 1).astype(float))
 
@@ -174,32 +176,30 @@ def fit_quality(features: DataFrame, labels: DataFrame, max_rows: int = 40000, *
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 40000, **how) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs(doc_id, text)``.
 
-    Equal texts get equal scores; null and blank texts are scored as such.  A
-    null doc_id is never learnt from.  An empty table gives no rows.
+    Equal texts get equal scores, also under one doc_id; null and blank texts are
+    scored as such, and texts of any length as a whole.  A null doc_id is never
+    learnt from.  An empty table gives no rows.
     """
-    features = Scratch(docs.sparkSession, "quality").put(with_features(docs))
-    model = fit_quality(features, labels, max_rows, **how)
+    model, kind = fit_quality(docs, labels, max_rows, **how), docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            x = np.array(b["features"].tolist(), dtype=float).reshape(-1, len(NAMES))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.predict(x)})
+            x = np.array([features_of(t) for t in b.column(1).to_pylist()], dtype=float).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.predict(x), pa.float64())], ["doc_id", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = features.mapInPandas(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 40000, **how) -> DataFrame:
     """The rows of ``docs`` that the model accepts, with their columns."""
-    features = Scratch(docs.sparkSession, "quality").put(with_features(docs))
-    model = fit_quality(features, labels, max_rows, **how)
+    model = fit_quality(docs, labels, max_rows, **how)
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index("text")
-            x = np.array([features_of(t) for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
-            yield b.filter(pa.array(model.predict(x) >= threshold))
+            x = np.array([features_of(t) for t in b.column(at).to_pylist()], dtype=float).reshape(-1, len(NAMES))
+            yield b.filter(pa.array(model.predict(x) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
