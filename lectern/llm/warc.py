@@ -45,14 +45,23 @@ def _unline(value: str) -> str:
     return unquote(value)
 
 
-def record(page_id: int, url: str | None, payload: bytes | None, size: int, sha: str, refers_to: int | None = None) -> bytes:
+def _urn(page_id: int | None) -> bytes:
+    return b"<urn:page:%s>" % (b"none" if page_id is None else b"%d" % page_id)
+
+
+def _page(urn: bytes | None) -> int | None:
+    name = (urn or b"none").strip(b"<>").rsplit(b":", 1)[-1]
+    return None if name == b"none" else int(name)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, sha: str, refers_to: int | None = None) -> bytes:
     """One record as a gzip member.  A revisit has the response's head, whose Content-Length tells the payload's size, and no payload."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = head if refers_to is not None else head + payload
     fields = [
         b"WARC/1.1",
         b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
-        b"WARC-Record-ID: <urn:page:%d>" % page_id,
+        b"WARC-Record-ID: " + _urn(page_id),
         b"WARC-Date: 1970-01-01T00:00:00Z",
         b"Content-Type: application/http; msgtype=response",
         b"WARC-Payload-Digest: sha1:" + sha.encode(),
@@ -61,63 +70,109 @@ def record(page_id: int, url: str | None, payload: bytes | None, size: int, sha:
     if url is not None:
         fields.append(b"WARC-Target-URI: " + _line(url))
     if refers_to is not None:
-        fields += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        fields += [b"WARC-Refers-To: " + _urn(refers_to), b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     fields.append(b"Content-Length: %d" % len(block))
     press = zlib.compressobj(6, zlib.DEFLATED, 31)
     return press.compress(CRLF.join(fields) + CRLF * 2 + block + CRLF * 2) + press.flush()
 
 
 def members(stream, size: int = 1 << 16):
-    """The inflated gzip members of a stream, one at a time."""
-    rest, press, parts = b"", zlib.decompressobj(31), []
-    while True:
-        if not rest:
-            rest = stream.read(size)
-        if not rest:
-            if parts or press.unconsumed_tail:
+    """For each gzip member of a stream, its inflated bytes as an iterator of pieces of ``size`` and less."""
+    raw = b""
+
+    def pieces(press):
+        nonlocal raw
+        while not press.eof:
+            raw = raw or stream.read(size)
+            out = press.decompress(raw, size)
+            if not out and not raw:
                 raise ValueError("the archive ends inside a member")
+            raw = press.unconsumed_tail or press.unused_data
+            if out:
+                yield out
+
+    while True:
+        raw = raw or stream.read(size)
+        if not raw:
             return
-        parts.append(press.decompress(rest))
-        rest = b""
-        if press.eof:
-            yield b"".join(parts)
-            rest, press, parts = press.unused_data, zlib.decompressobj(31), []
+        own = pieces(zlib.decompressobj(31))
+        yield own
+        for _ in own:  # what the reader of the record left
+            pass
 
 
-def parse(raw: bytes) -> dict:
-    """Type, ids, payload and digests of one inflated record; ``intact`` tells if framing and digests agree."""
-    head, _, rest = raw.partition(CRLF * 2)
+def _head(held: bytes, pieces, most: int = 1 << 20) -> tuple[bytes, bytes]:
+    """(bytes up to an empty line, what was read behind it); without an empty line the second is empty."""
+    while (at := held.find(CRLF * 2)) < 0 and len(held) < most and (more := next(pieces, None)) is not None:
+        held += more
+    return (held, b"") if at < 0 else (held[:at], held[at + 4 :])
+
+
+def _exactly(n: int, held: bytes, pieces, rest: list):
+    """The next n bytes piece by piece; what was read behind them goes to ``rest``."""
+    while n > 0 and (held or (held := next(pieces, b""))):
+        yield held[:n]
+        n, held = n - min(n, len(held)), held[n:]
+    rest.append(held)
+
+
+def frame(pieces, payloads: bool = True) -> dict:
+    """Type, ids, payload and digests of one record, whose bytes come in pieces; ``intact`` tells if framing and digests agree.
+
+    The record's Content-Length says where its block ends.  Both digests are taken
+    piece by piece; no more than a piece is held, but for the payload where
+    ``payloads`` asks for it.
+    """
+    head, held = _head(b"", pieces)
     fields = dict(x.split(b": ", 1) for x in head.split(CRLF)[1:])
-    n = int(fields[b"Content-Length"])
-    block = rest[:n]
-    http, _, payload = block.partition(CRLF * 2)
-    size = int(http.rsplit(b"Content-Length: ", 1)[1])
-    claimed = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
-    kind = fields[b"WARC-Type"].decode()
-    ident = lambda k: int(fields[k].decode().strip("<>").rsplit(":", 1)[1]) if k in fields else None
-    whole = len(block) == n and rest[n:] == CRLF * 2 and digest(block) == fields[b"WARC-Block-Digest"].decode().removeprefix("sha1:")
+    n, rest, of_block, of_payload, size, kept = int(fields[b"Content-Length"]), [], hashlib.sha1(), hashlib.sha1(), 0, []
+
+    def block():
+        for x in _exactly(n, held, pieces, rest):
+            of_block.update(x)
+            yield x
+
+    inner = block()
+    http, first = _head(b"", inner)
+    body = [first] if first else []
+    while body or (more := next(inner, None)) is not None:
+        x = body.pop() if body else more
+        of_payload.update(x)
+        size += len(x)
+        if payloads:
+            kept.append(x)
+    tail = (rest[0] if rest else b"") + b"".join(pieces)
+    base32 = lambda h: base64.b32encode(h.digest())
+    told = lambda k: fields[k].removeprefix(b"sha1:")
+    kind, claimed = fields[b"WARC-Type"].decode(), int(http.rsplit(b"Content-Length: ", 1)[1])
+    whole = tail == CRLF * 2 and base32(of_block) == told(b"WARC-Block-Digest")
     return {
         "record_type": kind,
-        "page_id": ident(b"WARC-Record-ID"),
+        "page_id": _page(fields[b"WARC-Record-ID"]),
         "url": _unline(fields[b"WARC-Target-URI"].decode("utf-8", "surrogatepass")) if b"WARC-Target-URI" in fields else None,
-        "payload": payload if kind == "response" else None,
-        "payload_bytes": size,
-        "payload_digest": claimed,
-        "refers_to": ident(b"WARC-Refers-To"),
-        "intact": whole and (kind != "response" or (len(payload) == size and digest(payload) == claimed)),
+        "payload": b"".join(kept) if kind == "response" and payloads else None,
+        "payload_bytes": claimed,
+        "payload_digest": told(b"WARC-Payload-Digest").decode(),
+        "refers_to": _page(fields.get(b"WARC-Refers-To")),
+        "intact": whole and (size == 0 if kind == "revisit" else size == claimed and base32(of_payload) == told(b"WARC-Payload-Digest")),
     }
 
 
+def parse(raw: bytes) -> dict:
+    """``frame`` of one inflated record."""
+    return frame(iter([raw]))
+
+
 def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, size, sha, refers_to and response (the record as a response) of each row of ``pages(page_id, url, html)``.
 
     Responses are compressed before anything is joined, so that what may be
-    shuffled is as small as the archives.  Only groups of two and more equal
-    payloads are joined back; Spark broadcasts them where their size allows and
-    splits a hot payload otherwise.
+    shuffled is as small as the archives; each html is read and hashed once.  Only
+    groups of two and more equal payloads are joined back; Spark broadcasts them
+    where their size allows and splits a hot payload otherwise.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
 
     def press(batches):
         for b in batches:
@@ -128,17 +183,11 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
                 made.append(record(row["page_id"], row["url"], row["payload"], size[-1], sha[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(made, pa.binary())], ["page_id", "url", "size", "sha", "response"])
 
-    def name(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in b.column(1).to_pylist()], pa.int64()), pa.array([digest(x) for x in b.column(1).to_pylist()], pa.string())], ["page_id", "size", "sha"])
-
-    names = rows.select("page_id", "payload").mapInArrow(name, "page_id long, size long, sha string")
-    groups = names.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("_top"), F.min("page_id").alias("_low")).where("_top > _low")
-    return (
-        rows.mapInArrow(press, "page_id long, url string, size long, sha string, response binary")
-        .join(groups, ["sha", "size"], "left")
-        .select("page_id", "url", "size", "sha", F.when(F.col("_top") > F.col("page_id"), F.col("_top")).alias("refers_to"), "response")
-    )
+    made = Scratch(pages.sparkSession, "warc-records").put(rows.mapInArrow(press, "page_id long, url string, size long, sha string, response binary"))
+    top = F.max("page_id").alias("_top")
+    groups = made.where(F.col("size") >= least).groupBy("sha", "size").agg(top, F.count(F.lit(1)).alias("_n")).where("_n > 1 and _top is not null").drop("_n")
+    later = F.col("page_id").isNull() | (F.col("_top") > F.col("page_id"))
+    return made.join(groups, ["sha", "size"], "left").select("page_id", "url", "size", "sha", F.when(later, F.col("_top")).alias("refers_to"), "response")
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -182,11 +231,9 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
             for name in b.column(0).to_pylist():
                 rows, held = [], 0
                 with files.open_input_stream(name, compression=None) as stream:
-                    for raw in members(stream):
-                        rows.append(parse(raw) | {"archive": name})
-                        held += len(raw) if payloads else 500
-                        if not payloads:
-                            rows[-1]["payload"] = None
+                    for pieces in members(stream):
+                        rows.append(frame(pieces, payloads) | {"archive": name})
+                        held += len(rows[-1]["payload"] or b"") + 500
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
@@ -203,9 +250,11 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
 def archive_pages(pages: DataFrame, least: int = 0, payloads: bool = True) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads every record back.
 
-    A null html is an empty payload.  Rows without a page_id have no record.
+    A null html is an empty payload.  A row without a page_id has a record without
+    one: a revisit where another row has its payload and a page_id, else a response.
     Rows that repeat a page_id have a record each; those with the largest
-    page_id of a payload are all responses.  An empty table gives no rows.
+    page_id of a payload are all responses.  An html is held whole while it is
+    compressed.  An empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -223,7 +272,7 @@ def op9_sql() -> str:
     """The same in DuckDB; SHA-1 in base 32 comes from the hexadecimal digits, five bits at a time."""
     return """
 with p as (
-  select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as n from pages where page_id is not null
+  select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as n from pages
 ), d as (
   select page_id, n, max(page_id) over (partition by payload) as top,
     array_to_string(list_transform(from_hex(sha1(payload))::bit::varchar.regexp_extract_all('.{5}'),
@@ -231,6 +280,6 @@ with p as (
   from p
 )
 select page_id, n::bigint as payload_bytes, digest as payload_digest,
-  case when top = page_id then 'response' else 'revisit' end as record_type,
-  case when top > page_id then top end as refers_to, true as intact
+  case when top = page_id or top is null then 'response' else 'revisit' end as record_type,
+  case when top > page_id or page_id is null then top end as refers_to, true as intact
 from d"""
