@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 WORDS = re.compile(r"\w+")
 FOUND = "item_id long, score double, question_overlap double, answer_overlap double, first_word long"
@@ -43,21 +45,35 @@ def grams(words: list[str], n: int) -> set:
     return set(zip(*(words[i:] for i in range(n)), strict=False)) if n else set()
 
 
+@dataclass
+class Statistics:
+    """What scores and passages depend on: number, mean and largest size in words of all items, and how many items have a term."""
+
+    n: int
+    mean: float
+    most: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]]) -> Statistics:
+        own = [w for w in (words_of(text) for _, text in items) if w]
+        return cls(len(own), sum(map(len, own)) / max(1, len(own)), max(map(len, own), default=1), Counter(t for w in own for t in set(w)))
+
+
 class ItemIndex:
-    """Postings with block maxima over a bounded set of test items."""
+    """Postings with block maxima over a bounded set of test items.
+
+    ``known`` has the statistics of all items where these are only a part.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float, block: int = 8, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float, block: int = 8, k1: float = 1.2, b: float = 0.75, known: Statistics | None = None):
         self.threshold, self.overlap, self.block = threshold, overlap, block
         kept = [(i, words_of(text), text) for i, text in sorted(items) if words_of(text)]
+        known = known or Statistics.of(items)
         self.ids = [i for i, _, _ in kept]
         self.parts = [split_item(text) for _, _, text in kept]
-        sizes = [len(w) for _, w, _ in kept]
-        self.stride = max(sizes, default=1)
-        mean = sum(sizes) / max(1, len(sizes))
-        df: dict[str, int] = {}
-        for _, w, _ in kept:
-            for t in set(w):
-                df[t] = df.get(t, 0) + 1
+        self.stride, mean = known.most, known.mean
+        df = {t: known.df[t] for _, w, _ in kept for t in set(w)}
         self.vocabulary = {t: k for k, t in enumerate(sorted(df))}
         docs: list[list[int]] = [[] for _ in df]
         impacts: list[list[float]] = [[] for _ in df]
@@ -65,7 +81,7 @@ class ItemIndex:
             own = {}
             for t in set(w):
                 tf = w.count(t)
-                idf = math.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5))
+                idf = math.log(1 + (known.n - df[t] + 0.5) / (df[t] + 0.5))
                 own[t] = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean))
             whole = sum(own.values())
             for t, x in own.items():
@@ -145,12 +161,28 @@ class ItemIndex:
 
 
 def item_indexes(benchmark: DataFrame, threshold: float, overlap: float, chunk: int):
-    """Indexes of about ``chunk`` items each; the number of items is counted first, so none is larger than a task can hold."""
+    """Indexes of about ``chunk`` items each; the number of items is counted first, so none is larger than a task can hold.
+
+    Statistics are those of all items, so ``chunk`` decides no score and no passage.
+    """
+    spark, scratch = benchmark.sparkSession, Scratch(benchmark.sparkSession, "items")
+
+    def cut(batches):
+        for b in batches:
+            own = [words_of(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for w in own], pa.int64()), pa.array([sorted(set(w)) for w in own], pa.list_(pa.string()))], ["item_id", "text", "n", "terms"])
+
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").dropDuplicates()
-    parts = -(-items.count() // chunk)
+    items = scratch.put(items.mapInArrow(cut, "item_id long, text string, n long, terms array<string>").where("n > 0"))
+    whole = items.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.max("n").alias("most")).first()
+    parts = -(-whole["n"] // chunk)
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    df = scratch.put(items.select(F.explode("terms").alias("term")).groupBy("term").count()) if parts else None
     for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
-        yield items.sparkSession.sparkContext.broadcast(ItemIndex([tuple(x) for x in own], threshold, overlap))
+        own = items.where(part == k)
+        terms = own.select(F.explode("terms").alias("term")).distinct().join(df, "term").collect()  # those of about ``chunk`` items
+        known = Statistics(whole["n"], whole["mean"], whole["most"], {x["term"]: x["count"] for x in terms})
+        yield spark.sparkContext.broadcast(ItemIndex([tuple(x) for x in own.select("item_id", "text").collect()], threshold, overlap, known=known))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, chunk: int = 20000) -> DataFrame:
@@ -159,8 +191,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
     Columns: doc_id, item_id, score (share of the item's score against itself),
     question_overlap, answer_overlap, first_word (of the passage).  Null and
     blank texts hold nothing; items without words or id are held by nothing.
-    Items with equal texts are all reported.  A benchmark above ``chunk`` items
-    is searched chunk after chunk.  No row is shuffled.
+    Items with equal texts are all reported, and repeated rows of documents each.
+    A benchmark above ``chunk`` items is searched chunk after chunk, with the same
+    result.  A text is held whole with its words.  No row is shuffled.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
