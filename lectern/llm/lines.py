@@ -91,6 +91,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, least_lines: int = 2, cut
     rows = docs.select("doc_id", "text", _row())
     chunks = scratch.put(rows.mapInArrow(name, f"doc_id {kind}, _row string, no int, key binary"))
     first = chunks.groupBy("key").agg(F.min(F.struct("doc_id", "_row", "no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = scratch.put(first)  # a table of its own has a shuffle of its own, so that a common chunk's rows can be split
     again = chunks.join(first.hint("merge"), "key").select("key", "_row", "no", ((F.col("_row") == F.col("first._row")) & (F.col("no") == F.col("first.no"))).alias("is_first"))
     return scratch.put(again.groupBy("_row").agg(F.collect_set(F.struct("no", "key", "is_first")).alias("wanted")))
 
