@@ -85,15 +85,17 @@ def format_chats(rows: DataFrame, template: Template | None = None) -> DataFrame
     """One row a conversation of ``rows(conv_id, turn, role, text)``: conv_id, formatted, segments, state, valid.
 
     Turns stand in order of turn, then role and text; a null turn is first.  A
-    null role or text is empty.  Null conv_ids make one conversation.  A
-    conversation whose roles break the turn order is formatted all the same and
+    null role or text is empty.  A row without a conv_id is a conversation of its
+    own.  A conversation is one row, so its texts are held whole.  A conversation
+    whose roles break the turn order is formatted all the same and
     has ``valid`` false.  An empty table gives no rows.
     """
     template = template or Template()
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     turns = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).cast("long").alias("turn"), blank("role").alias("role"), blank("text").alias("text"))))
     return (
-        rows.groupBy("conv_id")
+        rows.select("conv_id", "turn", "role", "text", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("_alone"))
+        .groupBy("conv_id", "_alone")
         .agg(turns.alias("turns"))
         .withColumn("segments", segments_of(F.col("turns"), template))
         .withColumn("state", end_state(F.col("turns"), template))
@@ -165,24 +167,24 @@ def op8_sql() -> str:
     moves = " ".join(f"when s.state = '{a}' and t.role = '{r}' then '{b}'" for (a, r), b in template.moves.items())
     return f"""
 with recursive input as (
-  select conv_id, turn, role, text from conversations
-  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  select conv_id, turn, role, text, coalesce(conv_id::varchar, 'alone ' || row_number() over ()) as k from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]', '-7'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', '-7')
 ), t as (
-  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+  select k, conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
     length({safe}) + case {marks} else {other} + length({role}) end as chars,
-    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+    row_number() over (partition by k order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
   from input
 ), s as (
-  select conv_id, 0::bigint as pos, 'start' as state from t group by conv_id
+  select k, 0::bigint as pos, 'start' as state from t group by k
   union all
-  select t.conv_id, t.pos, case {moves} else 'broken' end
-  from s join t on t.conv_id = s.conv_id and t.pos = s.pos + 1
+  select t.k, t.pos, case {moves} else 'broken' end
+  from s join t on t.k = s.k and t.pos = s.pos + 1
 )
-select t.conv_id, count(*) as n_turns,
+select any_value(t.conv_id) as conv_id, count(*) as n_turns,
   sha256(array_to_string(list(role || chr(10) || text || chr(10) order by pos), '')) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(array_to_string(list(text order by pos) filter (where role = 'assistant'), ''), '')) as loss_sha256,
   sum(chars)::bigint as formatted_chars,
   last(e.state) = 'answered' as valid, last(e.state) as state
-from t join (select conv_id, last(state order by pos) as state from s group by conv_id) e on e.conv_id = t.conv_id
-group by t.conv_id"""
+from t join (select k, last(state order by pos) as state from s group by k) e on e.k = t.k
+group by t.k"""

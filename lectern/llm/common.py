@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,13 +29,15 @@ def word_count(text: str | Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    It is the session's ``spark.checkpoint.dir``.  Only a session without that
-    setting (a test) gets a folder of this machine.
+    It is the session's ``spark.checkpoint.dir``.  Only a local session without
+    that setting (a test) gets a folder of this machine; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("lectern.scratch.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         path = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("lectern.scratch.dir", path)
     return path.rstrip("/")

@@ -140,7 +140,7 @@ def usable_vectors(rows: DataFrame) -> DataFrame:
     return some.where(F.size("v") == (sizes["d"] if sizes else 0)).distinct()
 
 
-def nearest(rows: DataFrame, queries: str, k: int = 20, shard_rows: int = 8192, degree: int = 32, width: int = 64, search: int = 160, alpha: float = 1.2, lot: int = 1 << 16) -> DataFrame:
+def nearest(rows: DataFrame, queries: str, k: int = 20, shard_rows: int = 32768, degree: int = 32, width: int = 64, search: int = 160, alpha: float = 1.2, lot: int = 1 << 16) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row where ``queries`` (SQL over ``id``) holds.
 
     Vectors that are null, zero, of another length, or hold null or non-finite

@@ -34,7 +34,7 @@ def greedy(vectors: np.ndarray, bins: int) -> np.ndarray:
     return placed
 
 
-def stats(docs: DataFrame, keep: list[str]) -> DataFrame:
+def stats(docs: DataFrame, keep: list) -> DataFrame:
     """``keep`` with the group key and the three sizes of each row."""
     return docs.select(
         *keep,
@@ -73,17 +73,20 @@ def itemized(rows: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def shard_rows(docs: DataFrame, keep: list[str], shards: int = 16) -> DataFrame:
-    """``keep`` and size, text_crc32, tokens, shard of every row; no row is moved.
+    """``keep`` and size, text_crc32, tokens, shard of every row, which replace columns of ``keep`` with their names; no row is moved.
 
     A null text counts as one byte and groups with other nulls.  Equal texts
     share a shard unless their group would fill half of one.  An empty table
     gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "shard")
+    added = ("size", "text_crc32", "tokens", "shard")
+    kept = [c for c in keep if c not in added]
     narrow = scratch.put(stats(docs, []))
     large, placed = pack(narrow, shards)
     scratch.drop(narrow)
-    return itemized(stats(docs, keep), large).join(F.broadcast(placed), "_item").drop("_item", "_group", "_draw")
+    rows = itemized(stats(docs, [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)]), large).join(F.broadcast(placed), "_item")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *added)
 
 
 def with_slots(rows: DataFrame, run: int = 20000) -> DataFrame:

@@ -27,13 +27,19 @@ LEAF = 64
 
 
 @lru_cache(maxsize=4)
-def counter(path: str, held: int = 500_000) -> tuple[object, Callable[[list[str]], list[int]]]:
-    """(compiled pattern, counts of pre-tokens) of a vocabulary file; counts are remembered up to a bound."""
+def vocabulary(path: str) -> bytes:
+    """The bytes of a vocabulary file (about a megabyte), read where the file is."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@lru_cache(maxsize=4)
+def counter(ranked: bytes, held: int = 500_000) -> tuple[object, Callable[[list[str]], list[int]]]:
+    """(compiled pattern, counts of pre-tokens) of a vocabulary; counts are remembered up to a bound."""
     import regex
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranked.splitlines() if x.strip())}
     coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     known: dict[str, int] = {}
 
@@ -55,8 +61,8 @@ def counter(path: str, held: int = 500_000) -> tuple[object, Callable[[list[str]
 class CountedText:
     """A text's pre-tokens under a segment tree of characters and tokens."""
 
-    def __init__(self, text: str, path: str = VOCABULARY):
-        self.pattern, self.counts = counter(path)
+    def __init__(self, text: str, ranked: bytes | None = None):
+        self.pattern, self.counts = counter(ranked or vocabulary(VOCABULARY))
         pieces = self.pattern.findall(text)
         self._plant(pieces, self.counts(pieces))
         self.recut = 0  # characters cut anew by edits
@@ -163,17 +169,22 @@ def count_tokens(docs: DataFrame, edits: str | Column, path: str = VOCABULARY) -
     ``edits`` is a column of array<struct<pos int, removed int, inserted string>>,
     applied in order, each to the text that the ones before it left; positions
     are code points and are held inside the text.  Null texts are empty; null
-    edits, and null fields of an edit, do nothing.  No row is shuffled.
+    edits, and null fields of an edit, do nothing.  Repeated rows are counted
+    each.  A text is held whole, with its tree; a single pre-token goes to the
+    encoder whole, however long.  The driver reads the vocabulary at ``path`` and
+    sends it to the tasks, so executors need no such file.  No row is shuffled.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = "n_tokens long, n_edits long, n_tokens_edited long, n_chars_edited long, recut_chars long"
     names = [x.split()[0] for x in out.split(", ")]
 
     def run(batches):
+        ranked = sent.value
         for b in batches:
             rows = []
             for text, changes in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = CountedText(text or "", path)
+                own = CountedText(text or "", ranked)
                 n, done = own.n_tokens, 0
                 for c in changes or ():
                     if c is not None:
