@@ -1,6 +1,7 @@
 """The numbered operators against brute force, round trips and held-out labels."""
 
-import itertools
+import base64
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import compare
 import numpy as np
 import pytest
+from brute import brute_components, brute_leaks, brute_mix, brute_shards
 from pyspark.sql import functions as F
 
 from lectern.llm import catalog, chat, decontaminate, jaccard, lines, mixing, neighbours, quality, sharding, tokens, warc
@@ -35,7 +37,7 @@ def test_edge_rows(spark, rows):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
     n = len(rows)
-    assert mixing.mix(docs.drop("size", "shard"), ["doc_id"]).count() == n
+    assert mixing.mix(docs, docs.columns).count() == n and len(set(mixing.mix(docs, docs.columns).columns)) == len(docs.columns) + 4
     assert mixing.mixed_documents(docs).columns == docs.columns
     assert sharding.shard_rows(docs.drop("size", "shard"), ["doc_id"]).count() == n
     assert decontaminate.find_leaks(docs, items).count() == 0
@@ -55,7 +57,10 @@ def test_edge_vectors_pages_chats(spark):
     assert neighbours.nearest(v.limit(0), "id % 20 = 0").count() == 0
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "a b", "x" * 200000), (3, "a b", "x" * 200000), (None, "u", "y")], "page_id long, url string, html string")
     got = warc.archive_pages(pages).orderBy("page_id").collect()
-    assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [(1, "revisit", 2), (2, "response", None), (3, "response", None), (3, "response", None)]
+    assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [(None, "response", None), (1, "revisit", 2), (2, "response", None), (3, "response", None), (3, "response", None)]
+    more = pages.unionByName(spark.createDataFrame([(None, None, "x" * 200000), (None, "v", "y")], pages.schema))
+    found = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes, r.intact) for r in warc.archive_pages(more, payloads=False).collect())
+    assert found == [(0, "response", 0, 1, True), (0, "response", 0, 1, True), (0, "revisit", 3, 200000, True), (1, "revisit", 2, 0, True), (2, "response", 0, 0, True), (3, "response", 0, 200000, True), (3, "response", 0, 200000, True)]
     assert warc.archive_pages(pages.limit(0)).count() == 0
     chats = spark.createDataFrame([(None, None, None, None), (1, 1, "user", "<s>[ROLE]%3C"), (1, 2, "tool</s>", "[/ROLE]")], "conv_id long, turn long, role string, text string")
     read = chat.format_chats(chats).withColumn("read", chat.read_chats(F.col("formatted"))).orderBy("conv_id").collect()
@@ -75,6 +80,26 @@ def test_apportionment_by_brute_force(spark):
     assert {r.key: r.won for r in got.collect()} == seats
 
 
+def test_op1_by_brute_force(spark, sf):
+    lot = F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), F.col("text"))
+    for shard_words in (1 << 18, 2000):
+        docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", F.when(F.col("source") != "web", F.col("source")))
+        want = brute_mix([tuple(r) for r in docs.select("doc_id", "text", "source", lot).collect()], shard_words=shard_words)
+        got = mixing.mix(docs, ["doc_id", "text"], shard_words=shard_words).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            size, whole, target, taken = want[r.doc_id, r.text]
+            assert (r["size"], r.source_size, r.taken) == (size, whole, taken) and r.target == pytest.approx(target)
+
+
+def test_repeated_rows_share_the_mix(spark):
+    docs = docs_of(spark, [(1, "a b c d e f g h", "s")] * 40 + [(None, "x y", None)] * 30)
+    got = mixing.mix(docs, ["doc_id"]).toPandas()
+    assert len(got) == 70 and (got.taken <= 2 * got["size"]).all()
+    by = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= 41).all()
+
+
 def test_mix_law(spark, sf):
     rows = catalog.queries()["op1_mixing"](spark, sf).toPandas()
     assert (rows.taken <= 2 * rows["size"]).all() and (rows.taken >= 0).all()
@@ -84,12 +109,21 @@ def test_mix_law(spark, sf):
     assert sorted(map(tuple, rows.values.tolist())) == sorted(map(tuple, again.values.tolist()))
 
 
-def test_shard_law(spark, sf):
+def test_op2_by_brute_force(spark, sf):
     rows = catalog.queries()["op2_sharding"](spark, sf).toPandas()
     size = rows.groupby("shard")["size"].sum()
     assert len(size) == 16 and size.max() <= 1.25 * size.mean()
     for _, own in rows.groupby("shard"):
         assert sorted(own.slot) == list(range(len(own)))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    keys = (F.xxhash64("text"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit("piece")), F.lit(1 << 30)))
+    want = brute_shards([tuple(r) for r in docs.select("doc_id", "text", *keys).collect()])
+    assert sorted(want) == sorted(zip(rows.doc_id, rows["size"], rows.text_crc32, rows["shard"], strict=True))
+    hot = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, "the same").otherwise(F.concat("text", F.lit("x"))))
+    got = sharding.shard_rows(hot, ["doc_id"]).toPandas()
+    want = brute_shards([tuple(r) for r in hot.select("doc_id", "text", *keys).collect()])
+    assert sorted(want) == sorted(zip(got.doc_id, got["size"], got.text_crc32, got["shard"], strict=True))
+    assert got[got.doc_id % 3 != 0].groupby("text_crc32")["shard"].nunique().max() == 1
 
 
 def test_leaks_by_exhaustive_scores(spark, sf):
@@ -104,6 +138,22 @@ def test_leaks_by_exhaustive_scores(spark, sf):
     assert a.leaks("nothing of the kind is written here " * 200) == []
 
 
+def test_op3_by_brute_force(spark, sf):
+    """All scores and overlaps, whatever the size of a chunk."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    half = items.selectExpr("item_id + 1000 as item_id", "substring(text, 1, int(length(text) * 0.7)) as text")
+    docs = docs.unionByName(items.selectExpr("item_id + 100000 as doc_id", "concat('so it is said ', substring(text, 1, int(length(text) * 0.8)), ' and so on') as text"))
+    for bench, chunks in ((items, [20000]), (items.unionByName(half), [20000, 7])):
+        want = brute_leaks([tuple(r) for r in docs.collect()], [tuple(r) for r in bench.collect()])
+        for chunk in chunks:
+            got = {(r.doc_id, r.item_id): r[2:] for r in decontaminate.find_leaks(docs, bench, chunk=chunk).collect()}
+            assert got.keys() == want.keys() and want
+            assert all(got[k] == pytest.approx(want[k]) for k in want)
+    kept = decontaminate.clean_documents(docs, items, chunk=7)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in brute_leaks([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])}
+
+
 def test_edits_equal_recounts():
     rng = random.Random(7)
     bits = ["word", " the", "  ", "\n\n", "'s", "don't", "12", "é", "漢字", "!?", " x", "a" * 40]
@@ -118,25 +168,23 @@ def test_edits_equal_recounts():
             assert own.text() == text and own.n_tokens == tokens.CountedText(text).n_tokens
 
 
-def brute_components(rows):
-    def shingles(t):
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def test_op4_by_whole_encodings(spark, sf):
+    """Counts before and after the edits are those of encoding the whole texts."""
+    import tiktoken
 
-    sets = {i: shingles(t) for i, t in rows}
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(sorted(sets), 2):
-        x, y = sets[i], sets[j]
-        if x and y and 100 * len(x & y) >= 80 * len(x | y):
-            a, b = sorted((find(i), find(j)))
-            root[b] = a
-    return sorted((i, len(s), find(i)) for i, s in sets.items())
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in tokens.vocabulary(tokens.VOCABULARY).splitlines() if x.strip())}
+    coder = tiktoken.Encoding("whole", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in catalog.queries()["op4_token_counts"](spark, sf).collect()}
+    texts = docs.select("doc_id", "text", tokens.sample_edits().alias("edits")).collect()
+    assert len(got) == len(texts)
+    for r in texts:
+        text = r.text or ""
+        assert got[r.doc_id].n_tokens == len(coder.encode_ordinary(text))
+        for e in r.edits:
+            at = min(e.pos, len(text))
+            text = text[:at] + e.inserted + text[at + e.removed :]
+        assert (got[r.doc_id].n_tokens_edited, got[r.doc_id].n_chars_edited, got[r.doc_id].n_edits) == (len(coder.encode_ordinary(text)), len(text), 3)
 
 
 def test_components_by_brute_force(spark):
@@ -169,6 +217,20 @@ def test_held_out_quality(spark):
     assert auc >= 0.9
 
 
+def test_op6_scores_are_sums_of_tables(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model, got = quality.fit_quality(docs, labels), {r.doc_id: r.score for r in catalog.queries()["op6_quality_classifier"](spark, sf).collect()}
+    for r in docs.collect():
+        x = quality.features_of(r.text)
+        bins = lambda cuts: [sum(c < v for c in own) for own, v in zip(cuts, x, strict=True)]
+        fine, rough = bins(model.fine), bins(model.rough)
+        total = model.base + sum(t[k] for t, k in zip(model.tables, fine, strict=True)) + sum(t[rough[i] * model.coarse + rough[j]] for (i, j), t in model.pair_tables.items())
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+    known = {r.doc_id for r in labels.collect()}
+    drawn = labels.where(~quality.held_out()).collect()
+    assert {zlib.crc32(str(r.doc_id).encode()) % 5 for r in drawn} == {1, 2, 3, 4} and known
+
+
 def test_repeated_chunks_go(spark):
     part = "\n".join(f"this line number {i} stands in many documents" for i in range(60))
     rows = [(i, f"own {i} a\nown {i} b\n{part}\nown {i} c\nown {i} d", "s") for i in range(5)] + [(9, "clean\nlines\nonly", "s")]
@@ -246,7 +308,7 @@ def test_parities_never_rule_out_a_link(spark):
         x = np.array(rng.sample(range(1 << 62), rng.choice([3, 60, 900])), dtype=np.uint64)
         y = np.concatenate((x[: rng.randint(0, len(x))], np.array(rng.sample(range(1 << 62), rng.randint(0, 40)), dtype=np.uint64)))
         x, y = np.unique(x), np.unique(y)
-        rows.append((len(x), jaccard.parity(x).tolist(), len(y), jaccard.parity(y).tolist(), jaccard.linked(x, y, 80)))
+        rows.append((len(x), jaccard.folded(jaccard.bitmap(x)).tolist(), len(y), jaccard.folded(jaccard.bitmap(y)).tolist(), jaccard.linked(x, y, 80)))
     pairs = spark.createDataFrame(rows, "n long, p array<bigint>, m long, q array<bigint>, links boolean")
     own = pairs.selectExpr("struct(n, p as parity) x", "struct(m as n, q as parity) y", "links")
     got = own.groupBy("links").agg(F.max(~jaccard.parities_allow("x", "y", 80)).alias("lost")).collect()
@@ -267,6 +329,31 @@ def test_damage_is_seen():
     assert not warc.parse(zlib.decompress(raw, 31).replace(b"hello", b"hallo"))["intact"]
 
 
+def test_records_are_framed_by_their_length():
+    """Any way of cutting a stream gives the same records; a wrong length, a short member and bytes behind a record are seen."""
+    rng, payloads = random.Random(3), [b"", b"a", b"\r\n\r\n" * 3, bytes(range(256)) * 900]
+    raw = b"".join(warc.record(i, None, p, len(p), warc.digest(p)) for i, p in enumerate(payloads)) + warc.record(9, "u", None, 1, warc.digest(b"a"), 1)
+
+    class Stream:
+        def __init__(self, data, most):
+            self.data, self.most = data, most
+
+        def read(self, n):
+            k = rng.randint(1, self.most)
+            out, self.data = self.data[:k], self.data[k:]
+            return out
+
+    for most, size in ((1, 1), (7, 3), (1000, 50), (1 << 20, 1 << 16)):
+        got = [warc.frame(m) for m in warc.members(Stream(raw, most), size)]
+        assert [(r["page_id"], r["payload"], r["intact"]) for r in got] == [(i, p, True) for i, p in enumerate(payloads)] + [(9, None, True)]
+        assert got[-1]["refers_to"] == 1 and got[-1]["record_type"] == "revisit"
+    plain = zlib.decompress(warc.record(1, None, b"hello", 5, warc.digest(b"hello")), 31)
+    for bad in (plain[:-1], plain + b"x", plain.replace(b"hello", b"hell"), plain.replace(b"hello", b"hello!")):
+        assert not warc.parse(bad)["intact"]
+    with pytest.raises(ValueError):
+        [warc.frame(m) for m in warc.members(Stream(raw[:-9], 50))]
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
