@@ -52,7 +52,7 @@ def similes(docs: DataFrame, pack: Pack, least: int = 200) -> DataFrame:
     for p in pack.similes:
         count = count + T.count_matches("narrative", p)
     rows = S.narrative_texts(docs, pack).select("doc_id", count.alias("c"), T.visible_length("narrative", pack.visible).alias("v")).where(F.col("v") >= least)
-    density = F.col("c") * 1000.0 / F.col("v")
+    density = F.col("c") * 1000.0 / F.nullif(F.col("v"), F.lit(0))
     return rows.select("doc_id", F.lit("metaphor-density").alias("type"), F.when(density > 4, "blocking").when(density > 3, "advisory").alias("severity"), T.scaled(density).alias("n")).where("severity is not null")
 
 

@@ -48,7 +48,7 @@ def senses(narrative: Column, pack: Pack) -> Column:
 def features(docs: DataFrame, pack: Pack, words: tuple = ()) -> DataFrame:
     """doc_id and what the scores ask of a text's prose: densities, sentence lengths, senses, similes, blocking marks."""
     seen = lambda x: T.visible_length(x, pack.visible)
-    counts = F.filter(S.prose("text"), lambda x: (x["line"] != "") & ~T.is_divider(x["line"]) & ~T.is_structural(x["line"]))
+    counts = F.filter(S.prose(F.coalesce("text", F.lit(""))), lambda x: (x["line"] != "") & ~T.is_divider(x["line"]) & ~T.is_structural(x["line"]))
     pairs = F.transform(counts, lambda x: F.struct(x["line"].alias("line"), T.strip_quoted(x["line"]).alias("told")))
     rows = docs.select("doc_id", pairs.alias("_l"))
     rows = rows.select("doc_id", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("full"), F.filter("_l", lambda x: seen(x["told"]) > 0).alias("_l"))
