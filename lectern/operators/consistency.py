@@ -65,7 +65,11 @@ def known_names(context: str, people: DataFrame, rows: DataFrame) -> DataFrame:
     if not sizes:
         return rows.join(people, F.lit(False))
     starts = F.sequence(F.lit(1), F.greatest(F.length(context), F.lit(1)))
-    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda i, n=n: F.substring(context, i, F.lit(n))) for n in sizes])))
+
+    def cuts(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(context, i, F.lit(n)))
+
+    pieces = F.array_distinct(F.flatten(F.array(*map(cuts, sizes))))
     return rows.select("*", F.explode(pieces).alias("name")).join(people, "name")
 
 
