@@ -30,6 +30,9 @@ class Pack:
     senses: dict = field(default_factory=dict)
     sense_excludes: tuple = ()
     blocking: tuple = ()  # patterns of a line that block
+    soft: tuple = ()  # placeholders, from 1, that lines of dialogue may show
+    title: str = "^第[一二三四五六七八九十百千万两0-9]+章"
+    meta_2: str = "第[一二三四五六七八九十百千万两0-9]+章|本章|这一章|上一章|下一章|上章|下章|前一章|后一章|前文|后文|伏笔|读者|任务描述"
 
 
 #: The Chinese word lists and patterns.
@@ -95,6 +98,7 @@ ZH = Pack(
         "都市": ("S", "A", "B"), "职场": ("S", "A", "B"), "系统": ("S", "A", "B"), "轻小说": ("S", "A", "B", "C"), "二次元": ("S", "A", "B", "C"),
         "玄幻": ("S", "A"), "修仙": ("S", "A"), "言情": ("S",), "悬疑": (), "恐怖": (), "历史": (), "严肃": (), "严肃文学": (), "武侠": ("S",), "科幻": ("S", "A"), "同人": ("S", "A", "B"),
     },
+    soft=(1, 6),
     verbs=("走", "跑", "跳", "说", "看", "想", "拿", "放", "坐", "站", "转", "回", "伸", "握", "抬"),
     senses={
         "sight": ("看", "望", "瞥", "瞪", "盯", "瞄", "瞧", "瞅", "凝视", "注视", "俯瞰", "仰望", "环顾", "打量", "端详", "视线", "目光", "瞳孔", "眼神", "眺望"),

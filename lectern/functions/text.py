@@ -101,6 +101,28 @@ def kept_sentences(c: str | Column) -> Column:
     return F.filter(F.transform(pieces, jtrim), lambda s: s != "")
 
 
+def plain_sentences(c: str | Column) -> Column:
+    """Sentences for finding repeats: neither an ellipsis nor a line break ends one."""
+    return F.filter(F.transform(F.split(_col(c), "[。！？!?]", -1), jtrim), lambda s: s != "")
+
+
+def without_markdown(c: str | Column) -> Column:
+    """A text without fenced blocks, heading marks and bold marks."""
+    c = F.regexp_replace(_col(c), r"(?s)```.*?```", "")
+    return F.replace(F.regexp_replace(c, r"(?m)^#{1,6}\s+", ""), F.lit("**"), F.lit(""))
+
+
+def said(c: str | Column) -> Column:
+    """What quotations of all families of double quotes hold, in order, without empty ones."""
+    found = F.regexp_extract_all(_col(c), F.lit("[“\"][^”\"]*[”\"]|[「『][^」』]*[」』]"), F.lit(0))
+    return F.filter(F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), lambda x: x != "")
+
+
+def numeral_prefix(c: str | Column) -> Column:
+    """``numeral`` of what stands before the first character that belongs to none."""
+    return numeral(F.regexp_extract(_col(c), "^[零一二两三四五六七八九半十百千万亿]*", 0))
+
+
 def compact(c: str | Column) -> Column:
     """One line of at most 80 characters."""
     one = F.trim(F.regexp_replace(_col(c), r"\s+", " "))

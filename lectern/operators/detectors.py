@@ -102,10 +102,11 @@ def short_sentence_runs(docs: DataFrame, pack: Pack, short: int = 5, least: int
     return runs(rows, F.col("visible") <= short, least, "doc_id", order="sentence_no")
 
 
-def dialogue_streaks(docs: DataFrame, pack: Pack, least: int = 6) -> DataFrame:
-    """doc_id, start (line), n: runs of lines that are dialogue and little else; a blank line ends a run."""
+def dialogue_streaks(docs: DataFrame, pack: Pack, least: int = 6, most: int = 8) -> DataFrame:
+    """doc_id, start (line), n, severity: runs of lines that are dialogue and little else, blocking from ``most`` on; a blank line ends a run."""
     rows = S.prose_lines(docs).withColumn("_q", F.col("line").rlike("[“”‘’「」『』\"]"))
-    return runs(rows, F.col("_q") & (T.visible_length(T.strip_quoted("line"), pack.visible) <= 10), least, "doc_id", order="line_no")
+    found = runs(rows, F.col("_q") & (T.visible_length(T.strip_quoted("line"), pack.visible) <= 10), least, "doc_id", order="line_no")
+    return found.withColumn("severity", graded(F.col("n"), least, most))
 
 
 def stacked_starts(docs: DataFrame, pack: Pack, least: int = 3) -> DataFrame:
@@ -154,17 +155,83 @@ def truncated(docs: DataFrame, pack: Pack) -> DataFrame:
 
 
 def placeholders(docs: DataFrame, pack: Pack) -> DataFrame:
-    """doc_id, line_no, pattern: the first of the ordered patterns that a line shows."""
-    which = F.lit(None).cast("long")
+    """doc_id, line_no, pattern: the first of the ordered patterns that a line shows; soft ones don't count on lines of dialogue."""
+    spoken, which = F.col("line").rlike("[\"'「」『』【】]"), F.lit(None).cast("long")
     for i, p in reversed(list(enumerate(pack.placeholders, 1))):
-        which = F.when(F.col("line").rlike(p), F.lit(i)).otherwise(which)
+        hit = F.col("line").rlike(p)
+        which = F.when(hit & ~spoken if i in pack.soft else hit, F.lit(i)).otherwise(which)
     return S.prose_lines(docs).select("doc_id", "line_no", which.cast("long").alias("pattern")).where("pattern is not null")
 
 
 def meta_leaks(docs: DataFrame, pack: Pack) -> DataFrame:
-    """doc_id, line_no, severity: words of the trade in the text; on dialogue lines advisory."""
-    rows = S.prose_lines(docs).where("not blank").where(T.contains_any("line", pack.lists["meta_1"]))
-    return rows.select("doc_id", "line_no", F.when(F.col("line").rlike("[\"'「」『』【】]"), "advisory").otherwise("blocking").alias("severity"))
+    """doc_id, line_no, severity: words of the trade in the text, on dialogue lines advisory; words of the second tier are advisory anywhere.
+
+    The first line with content may be a chapter's title and is left out then.
+    """
+    rows = S.prose_lines(docs).where("not blank")
+    first = Window.partitionBy("doc_id").orderBy("line_no")
+    told = rows.withColumn("_title", (F.row_number().over(first) == 1) & F.col("line").rlike(pack.title)).where("not _title")
+    one = T.contains_any("line", pack.lists["meta_1"])
+    severity = F.when(one & ~F.col("line").rlike("[\"'「」『』【】]"), "blocking").when(one | F.col("line").rlike(pack.meta_2), "advisory")
+    return told.select("doc_id", "line_no", severity.alias("severity")).where("severity is not null")
+
+
+def contrast_counts(docs: DataFrame, pattern: str, least: int = 2) -> DataFrame:
+    """Texts with two contrasts of the plain kind and more."""
+    return findings(docs, "parallelism-abuse", T.count_matches("text", pattern), least, None)
+
+
+def common_sets(docs: DataFrame, k: int = 20, n: int = 3) -> DataFrame:
+    """doc_id, grams: the k commonest n-grams of a text's letters, as a set."""
+    from .rhythm import top_ngrams
+
+    return top_ngrams(docs, n, k).groupBy("doc_id").agg(F.array_sort(F.collect_list("gram")).alias("grams"))
+
+
+def set_distance(a: str | Column, b: str | Column) -> Column:
+    """Jaccard distance of two arrays as sets; two empty ones are alike."""
+    a, b = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.array().cast("array<string>")) for x in (a, b))
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(a, b)) / F.nullif(both, F.lit(0)))
+
+
+def vocabulary_drift(docs: DataFrame, k: int = 20) -> DataFrame:
+    """book, chapter_no, distance (millionths): how far a chapter's commonest n-grams are from those of the chapter before."""
+    own = docs.select("source", "doc_id").join(common_sets(docs, k), "doc_id", "left")
+    before = Window.partitionBy("book").orderBy("chapter_no")
+    rows = S.chapters(own).withColumns({"_b": F.lag("grams").over(before), "_n": F.row_number().over(before)})
+    return rows.where("_n > 1").select("book", "chapter_no", T.scaled(set_distance("grams", "_b")).alias("distance"))
+
+
+def samples(found: DataFrame, *by: str, order: str, k: int = 20) -> DataFrame:
+    """by, n, first: how many rows of each group there are, and the first k in order, as examples beside the count."""
+    one = F.array_sort(F.collect_list(order))
+    return found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.slice(one, 1, k).alias("first"))
+
+
+#: Tags of speech, suffixes of places and of things, and marks of foreshadowing.
+TAGS = "说道?|道|笑道|喊道?|叫道?|问|答|怒道|冷道|低声道?|轻声道?|叹道|沉声道?|嘶声道?|冷笑道|苦笑道|微笑道|嘟囔道|嘀咕道|喃喃道"
+PLACES = "城谷山河林殿阁楼院宫门派宗族镇村岛崖洞塔桥街巷府庄堂室房营寨关峡渊海湖溪泉峰岭坡原野漠泽"
+THINGS = "剑刀枪弓盾铠甲杖珠玉戒链印符卷书册瓶丹药茶酒令牌镜琴笛箫鼓钟鼎炉灯伞扇帕囊袋筐箱柜床桌椅碗杯壶盘"
+ENTITIES = {"character": f"([一-鿿]{{2,4}}?)(?:{TAGS})", "location": f"([一-鿿]{{2,3}}?[{PLACES}])", "item": f"([一-鿿]{{2,4}}?[{THINGS}])", "foreshadow": "(【?(?:伏笔|悬念|线索|秘密|谜团|疑问)】?)"}
+
+
+def entities(docs: DataFrame, patterns: dict[str, str] = ENTITIES, stop: tuple[str, ...] = (), prefixes: str = "", known: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keyword, kind, pos: names that the patterns find; of several kinds at one place the first counts.
+
+    Stop words are left out, and names that begin with one of ``prefixes``, unless they are known.
+    """
+    places = lambda p: T.spans(F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    each = [places(p) for p in patterns.values()]
+    rows = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), e.alias("hits")) for i, (k, e) in enumerate(zip(patterns, each, strict=True))])).alias("x"))
+    rows = rows.select("doc_id", "x.i", "x.kind", F.explode("x.hits").alias("h")).select("doc_id", "i", "kind", F.col("h.pos").cast("long").alias("pos"), "h.found")
+    name = F.lit(None).cast("string")
+    for i, p in enumerate(patterns.values()):
+        name = F.when(F.col("i") == i, F.regexp_extract("found", p, 1)).otherwise(name)
+    rows = rows.withColumn("keyword", name).where(~F.col("keyword").isin(*stop) if stop else F.lit(True))
+    if prefixes:
+        rows = rows.where(F.col("keyword").isin(*known) | ~F.substring("keyword", 1, 1).isin(*prefixes))
+    return rows.groupBy("doc_id", "keyword", "pos").agg(F.min_by("kind", "i").alias("kind")).select("doc_id", "keyword", "kind", "pos")
 
 
 def category_hits(c: str, pack: Pack) -> Column:

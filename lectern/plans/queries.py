@@ -165,7 +165,7 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     )
     over_documents("ttr_low", lambda d: D.low_variety(d, P), "with t as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[一-鿿]') as t from documents where length(text) >= 200), r as (select doc_id, case when len(t) < 50 then 0 when len(t) < 500 then len(list_distinct(t))::double / len(t) else list_min(list_transform(range(0, len(t) // 500), lambda i: len(list_distinct(t[i * 500 + 1 : i * 500 + 500]))::double / 500)) end as x from t) " + f"select doc_id, 'ttr-low' as type, 'advisory' as severity, {O.scaled('x')} as n from r where x < 0.25")
     over_documents("short_sentence_runs", lambda d: D.short_sentence_runs(d, P), with_(O.sentences(P), "v as (select * from s where visible > 0)") + O.runs("v", "visible <= 5", 6, "doc_id", "sentence_no"))
-    over_documents("dialogue_streak", lambda d: D.dialogue_streaks(d, P), with_(O.lines(P)) + O.runs("p", f"regexp_matches(line, '[“”‘’「」『』\"]') and {O.count(O.strip('line'), P.visible)} <= 10", 6, "doc_id", "line_no"))
+    over_documents("dialogue_streak", lambda d: D.dialogue_streaks(d, P), with_(O.lines(P), "g as (" + O.runs("p", f"regexp_matches(line, '[“”‘’「」『』\"]') and {O.count(O.strip('line'), P.visible)} <= 10", 6, "doc_id", "line_no") + ")") + "select *, case when n >= 8 then 'blocking' else 'advisory' end as severity from g")
     over_documents("transition_stacking", lambda d: D.stacked_starts(d, P), with_(O.lines(P), "d as (select doc_id, count(*) filter (where " + " or ".join(f"starts_with(line, {O.q(t)})" for t in L["starts"]) + ") as c from p0 where line <> '' group by doc_id)") + O.finding("d", "transition-stacking", "c", 3, None))
     over_documents(
         "prefix_triples",
@@ -185,8 +185,14 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     )
     over_documents("repeated_sentences", lambda d: D.repeated_sentences(d, P), with_(O.sentences(P)) + "select doc_id, count(*) as n, min(sentence_no) as first_at from s where visible >= 12 group by doc_id, sentence having count(*) >= 3")
     over_documents("truncated_docs", lambda d: D.truncated(d, P), with_(O.lines(P), "w as (select doc_id, max(line_no) as line_no, arg_max(line, line_no) as line from p where not blank and line not like '#%' and line not like '---%' group by doc_id)") + f"select doc_id, line_no from w where not regexp_matches(line, {O.re2(P.closing + '$')})")
-    over_documents("placeholder_leaks", lambda d: D.placeholders(d, P), with_(O.lines(P)) + "select doc_id, line_no, pattern::bigint as pattern from (select doc_id, line_no, case " + " ".join(f"when regexp_matches(line, {O.q(x)}) then {i}" for i, x in enumerate(P.placeholders, 1)) + " end as pattern from p) where pattern is not null")
-    over_documents("meta_leaks", lambda d: D.meta_leaks(d, P), with_(O.lines(P)) + f"select doc_id, line_no, case when regexp_matches(line, '[\"''「」『』【】]') then 'advisory' else 'blocking' end as severity from p where not blank and {O.any_of('line', L['meta_1'])}")
+    over_documents("placeholder_leaks", lambda d: D.placeholders(d, P), with_(O.lines(P)) + "select doc_id, line_no, pattern::bigint as pattern from (select doc_id, line_no, case " + " ".join(f"when regexp_matches(line, {O.q(x)})" + (" and not regexp_matches(line, '[\"''「」『』【】]')" if i in P.soft else "") + f" then {i}" for i, x in enumerate(P.placeholders, 1)) + " end as pattern from p) where pattern is not null")
+    over_documents(
+        "meta_leaks",
+        lambda d: D.meta_leaks(d, P),
+        with_(O.lines(P), f"w as (select *, row_number() over (partition by doc_id order by line_no) = 1 and regexp_matches(line, {O.re2(P.title)}) as title, {O.any_of('line', L['meta_1'])} as one from p where not blank)")
+        + f"select * from (select doc_id, line_no, case when one and not regexp_matches(line, '[\"''「」『』【】]') then 'blocking' when one or regexp_matches(line, {O.re2(P.meta_2)}) then 'advisory' end as severity from w where not title) where severity is not null",
+    )
+    over_documents("contrast_counts", lambda d: D.contrast_counts(d, P.blocking[0]), O.finding("documents", "parallelism-abuse", O.count("text", P.blocking[0]), 2, None))
     over_documents(
         "emotion_density",
         lambda d: D.emotion_profile(d, P),
@@ -413,6 +419,38 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     found["cn_number_parse"] = lambda spark, sf_dir: spark.createDataFrame([(x,) for x in ("二十三", "十五", "一百", "十万", "三万五千", "半", "12.5", "一亿两千万")], "s string").select("s", T.numeral("s").alias("value"))
     stated["cn_number_parse"] = "select * from (values ('二十三', 23.0::double), ('十五', 15.0), ('一百', 100.0), ('十万', 100000.0), ('三万五千', 35000.0), ('半', 0.5), ('12.5', 12.5), ('一亿两千万', 1000020000000.0)) t(s, value)"
 
+    over_documents(
+        "said_spans",
+        lambda d: d.select("doc_id", T.said("text").alias("_s")).where(F.size("_s") > 0).select("doc_id", F.size("_s").cast("long").alias("spans"), F.md5(F.array_join("_s", "|").cast("binary")).alias("md5")),
+        "select doc_id, len(s)::bigint as spans, md5(array_to_string(s, '|')) as md5 from (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[“\"][^”\"]*[”\"]|[「『][^」』]*[」』]'), lambda x: substr(x, 2, length(x) - 2)), lambda x: x <> '') as s from documents) where len(s) > 0",
+    )
+    over_documents(
+        "plain_sentences",
+        lambda d: d.select("doc_id", T.plain_sentences("text").alias("_s")).select("doc_id", F.size("_s").cast("long").alias("n"), F.size(F.array_distinct("_s")).cast("long").alias("kinds")),
+        f"select doc_id, len(s)::bigint as n, len(list_distinct(s))::bigint as kinds from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?]'), lambda x: {O.trim('x')}), lambda x: x <> '') as s from documents)",
+    )
+    over_documents(
+        "markdown_clean",
+        lambda d: d.select("doc_id", F.md5(T.without_markdown("text").cast("binary")).alias("md5"), F.length(T.without_markdown("text")).cast("long").alias("chars")),
+        "select doc_id, md5(t) as md5, length(t) as chars from (select doc_id, replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '(?m)^#{1,6}\\s+', '', 'g'), '**', '') as t from documents)",
+    )
+    _TOP = """t as (select doc_id, source, regexp_replace(text, '[^A-Za-z]', '', 'g') as t from documents),
+g as (select doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) as gram, unnest(range(1, length(t) - 1)) as i from t where length(t) >= 3),
+k as (select doc_id, gram, count(*) as n, min(i) as first from g group by doc_id, gram having count(*) >= 3),
+r as (select *, row_number() over (partition by doc_id order by n desc, first) as rank from k), s as (select doc_id, list(gram) as grams from r where rank <= 20 group by doc_id)"""
+    over_documents(
+        "vocabulary_drift",
+        D.vocabulary_drift,
+        f"with {_TOP}, c as (select source as book, row_number() over (partition by source order by t.doc_id) as chapter_no, coalesce(grams, []) as a, coalesce(lag(grams) over (partition by source order by t.doc_id), []) as b from t left join s on s.doc_id = t.doc_id) select book, chapter_no, {O.scaled('case when len(a) + len(b) = 0 then 0 else 1 - len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end')} as distance from c where chapter_no > 1",
+    )
+    _NAMES = {"tagged": "([A-Z][a-z]{2,7}) (?:said|und|avec|con|with)", "upper": "([A-Z]{3,8})", "key": "(token|icense)"}
+    _STOP = ("And", "The")
+    over_documents(
+        "entity_extraction",
+        lambda d: D.entities(d, _NAMES, _STOP, "SW", ("She",)),
+        "with " + ", ".join(f"e{i} as (select doc_id, unnest({O.spans('text', p)}) as x from documents)" for i, p in enumerate(_NAMES.values())) + ", e as (" + " union all ".join(f"select doc_id, regexp_extract(x.found, {O.q(p)}, 1) as keyword, {i} as i, '{k}' as kind, x.pos as pos from e{i}" for i, (k, p) in enumerate(_NAMES.items())) + ") select doc_id, keyword, arg_min(kind, i) as kind, pos from e where keyword not in ('And', 'The') and (keyword = 'She' or left(keyword, 1) not in ('S', 'W')) group by doc_id, keyword, pos",
+    )
+
     # findings with their places, reviewers, rules, and the state of a project
     _LOCATED = " union all ".join(
         f"select doc_id, line_no, x.pos as col, {O.q(k)} as type, {O.q(s)} as severity, trim(regexp_replace(substr(narrative, greatest(x.pos - 6, 1), x.pos + 18 - greatest(x.pos - 6, 1)), '\\s+', ' ', 'g'), ' ') as excerpt from (select doc_id, line_no, narrative, unnest({O.spans('narrative', V.quoted_terms(L[n]))}) as x from nl)"

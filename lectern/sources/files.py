@@ -62,16 +62,71 @@ def tagged_body(text: str | Column, tag: str = "chapter_content") -> Column:
 
 
 def json_at(c: str | Column, path: str) -> Column:
-    """Value at a path such as ``.a.b[0]``; ``| length`` at the end counts the members of an array."""
+    """Value at a path such as ``.a.b[0]``; ``[]`` goes through an array, and ``| length`` at the end counts its members."""
     c = F.col(c) if isinstance(c, str) else c
     bare, _, fn = (x.strip() for x in path.partition("|"))
-    value = F.get_json_object(c, "$" + bare)
+    value = F.get_json_object(c, "$" + bare.replace("[]", "[*]"))
     return F.json_array_length(value).cast("string") if fn == "length" else value
 
 
+#: Typed scans of a project's configuration.
+SCHEMAS = {
+    "rules": "rules array<struct<id:string,enabled:boolean,threshold:double,severity:string>>",
+    "manifest": "samples array<struct<id:string,file:string,sha256:string,objective_score:double,blocking:long,advisory:long>>",
+    "handoff": "chapter_no long, p0_fields struct<character_states:array<string>,forbidden_contradictions:array<string>>, foreshadowing array<struct<id:string,name:string,plant_chapter:long,current_status:string>>, version string",
+    "delta": "chapter_no long, characters array<struct<id:string,age:double,alive:boolean>>, foreshadowing array<struct<id:string,action:string>>",
+    "state": "characters array<struct<id:string,age:double,alive:boolean>>, last_chapter long",
+}
+
+
+def read_config(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of a configuration of one of the kinds in SCHEMAS, each with its ``path``."""
+    return read_json(spark, path, SCHEMAS[kind]).withColumn("path", F.col("_metadata.file_path"))
+
+
+def first_existing(chapters: DataFrame, files: DataFrame) -> DataFrame:
+    """chapter, path, score: of several candidate files of a chapter the one with the lowest priority; chapters without one stay, with nulls.
+
+    ``chapters(chapter)``, ``files(chapter, priority, path, score)``.
+    """
+    best = files.groupBy("chapter").agg(F.min_by(F.struct("path", "score"), F.struct("priority", "path")).alias("_f"))
+    return chapters.join(best, "chapter", "left").select("chapter", F.col("_f.path").alias("path"), F.col("_f.score").alias("score"))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
 def write_index(postings: DataFrame, path: str) -> None:
     postings.write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def write_state(state: DataFrame, path: str, write: bool = False) -> DataFrame:
+    """The state, which ``write`` also puts at ``path/json`` and, a line for each row, at ``path/markdown``; without it nothing is written."""
+    if write:
+        state.write.mode("overwrite").json(f"{path}/json")
+        cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in state.columns])
+        state.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("value")).write.mode("overwrite").text(f"{path}/markdown")
+    return state
+
+
+def updated_manifest(manifest: DataFrame, current: DataFrame) -> DataFrame:
+    """``manifest(id, sha256, total, blocking)`` with what ``current`` measured anew; what was not measured stays."""
+    c = current.select("id", *[F.col(x).alias(f"_{x}") for x in ("sha256", "total", "blocking")])
+    return manifest.join(c, "id", "left").select("id", *[F.coalesce(f"_{x}", x).alias(x) for x in ("sha256", "total", "blocking")])
+
+
+def replace_block(text: str | Column, name: str, body: str | Column) -> Column:
+    """A text with what stands between ``<!-- name:start -->`` and ``<!-- name:end -->`` replaced; where there is no such block it is put at the end."""
+    c = F.col(text) if isinstance(text, str) else text
+    body = F.lit(body) if isinstance(body, str) else body
+    start, end = f"<!-- {name}:start -->", f"<!-- {name}:end -->"
+    at, to = F.locate(start, c), F.locate(end, c)
+    block = F.concat(F.lit(start + "\n"), body, F.lit("\n" + end))
+    inside = F.concat(F.substring(c, F.lit(1), at - 1), block, F.substring(c, to + len(end), F.length(c)))
+    return F.when((at > 0) & (to > at), inside).otherwise(F.concat(c, F.lit("\n"), block))
+
+
+def append_snapshot(state: DataFrame, path: str, label: str, at: str) -> None:
+    """Adds the rows of ``state``, named and dated, to the snapshots at ``path``."""
+    append_log(state.withColumns({"label": F.lit(label), "at": F.lit(at).cast("timestamp")}), path)
