@@ -50,10 +50,14 @@ class Scratch:
     the lineage and outlives a lost executor.
     """
 
+    #: Folders made by this driver and not swept.
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.made.append(self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -74,3 +78,11 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._lectern_path)
             path.getFileSystem(conf).delete(path, True)
+
+
+def sweep(spark: SparkSession, keep: set[str]) -> None:
+    """Deletes the folders of all ``Scratch`` but those in ``keep``; for a caller that has written what was read from them."""
+    for root in [r for r in Scratch.made if r not in keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        Scratch.made.remove(root)

@@ -1,12 +1,14 @@
 """The corpus pipeline, stage by stage."""
 
 import math
+import os
 
 import corpus_pipeline as P
 from brute import brute_components, brute_leaks, brute_mix, brute_shards
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, jaccard, quality
+from lectern.llm.common import Scratch, sweep
 
 
 def test_stages(spark, sf):
@@ -45,3 +47,12 @@ def test_run_by_brute_force(spark, sf):
     got = [(r.doc_id, r["size"], r.text_crc32, r.shard) for r in out.collect()]
     assert leaky and len(mixed) > len(clean) > 0 and sorted(got) == sorted(want)
     assert set(docs.columns) <= set(out.columns)
+
+
+def test_scratch_is_swept(spark, tmp_path):
+    before = set(Scratch.made)
+    one, two = Scratch(spark, "one"), Scratch(spark, "two")
+    a, b = one.put(spark.range(3)), two.put(spark.range(4))
+    sweep(spark, before | {two.root})
+    assert b.count() == 4 and set(Scratch.made) == before | {two.root}
+    assert not os.path.exists(a._lectern_path.removeprefix("file://")) and os.path.exists(b._lectern_path.removeprefix("file://"))
