@@ -64,31 +64,12 @@ def repeated_images(docs: DataFrame, pack: Pack) -> DataFrame:
     return n.select("doc_id", "term", graded(F.col("n"), 3, 5).alias("severity"), F.col("n").cast("long")).where("severity is not null")
 
 
-def burstiness(docs: DataFrame, pack: Pack, least: int = 8) -> DataFrame:
-    """Even sentence lengths: variation under .35 blocking, under .5 advisory; n is the variation in millionths."""
-    lengths = F.filter(F.transform(T.sentences("text", pack.ends), lambda s: T.visible_length(s, pack.visible)), lambda x: x > 0)
-    n, _, cv = S.spread(F.col("_v"))
-    rows = docs.select("doc_id", lengths.alias("_v")).select("doc_id", n.alias("_n"), cv.alias("_cv")).where(F.col("_n") >= least)
-    return rows.select("doc_id", F.lit("burstiness").alias("type"), F.when(F.col("_cv") < 0.35, "blocking").when(F.col("_cv") < 0.5, "advisory").alias("severity"), T.scaled(F.col("_cv")).alias("n")).where("severity is not null")
-
-
 def low_variety(docs: DataFrame, pack: Pack, tokens: str = "[A-Za-z0-9]+|[一-鿿]", least: int = 200) -> DataFrame:
     """Texts of ``least`` characters whose poorest window of tokens has under a quarter distinct; n in millionths."""
     rows = docs.where(F.length("text") >= least).select("doc_id", S.windows_ttr(F.regexp_extract_all("text", F.lit(tokens), F.lit(0))).alias("_t"))
     return rows.where("_t < 0.25").select("doc_id", F.lit("ttr-low").alias("type"), F.lit("advisory").alias("severity"), T.scaled(F.col("_t")).alias("n"))
 
 
-def even_information(docs: DataFrame, pack: Pack, size: int = 500) -> DataFrame:
-    """Texts of two and more segments whose density of quotes and digits hardly varies; n is the variance in millionths."""
-    dens = F.transform(T.segments("text", size), lambda s: T.count_matches(s, "[“”\"0-9]").cast("double") / F.nullif(T.visible_length(s, pack.visible), F.lit(0)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  evaluates value once
-    var = lambda a: bound(total(a) / F.size(a), lambda m: total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))
-    found = bound(F.filter(dens, lambda x: x.isNotNull()), lambda a: F.when(F.size(a) >= 3, var(a)))
-    rows = docs.where(F.length("text") >= 2 * size).select("doc_id", found.alias("_v"))
-    return rows.select("doc_id", F.lit("info-density-uniform").alias("type"), F.when(F.col("_v") < 0.002, "advisory").alias("severity"), T.scaled(F.col("_v")).alias("n")).where("severity is not null")
-
-
 def runs(rows: DataFrame, hit: Column, least: int, *by: str, order: str) -> DataFrame:
     """by, start, n: maximal runs of ``least`` and more rows in order where ``hit`` holds; other rows end a run."""
     w = Window.partitionBy(*by).orderBy(order)

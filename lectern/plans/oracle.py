@@ -117,11 +117,17 @@ def spans(c: str, pattern: str) -> str:
     return f"list_transform(range(1, len({found}) + 1), lambda i: {{'found': {found}[i], 'pos': ({ends(before, 'i')} + {ends(found, 'i - 1')} + 1)::bigint}})"
 
 
-def scores(pack: Pack, words) -> str:
-    """CTEs up to ``score``: the five parts of each text's objective score; to follow ``lines``."""
+def densities(c: str, pack: Pack, words) -> str:
+    """List of the information densities of the whole segments of a text."""
     from ..operators.rewriting import dictionary_pattern
 
-    verbs = ", ".join(q(v) for v in pack.verbs)
+    verbs, part = ", ".join(q(v) for v in pack.verbs), f"substr({c}, i * 500 + 1, 500)"
+    each = f"({count(part, pack.quotes)} + len(list_filter(regexp_extract_all({part}, {q(dictionary_pattern([*words, *pack.verbs]))}), lambda t: t in ({verbs}))))::double / nullif({count(part, pack.letters)}, 0)"
+    return f"case when {count(c, f'{pack.letters}|{pack.marks}')} >= 500 then list_filter(list_transform(range(0, length({c}) // 500), lambda i: {each}), lambda x: x is not null) else []::double[] end"
+
+
+def scores(pack: Pack, words) -> str:
+    """CTEs up to ``score``: the five parts of each text's objective score; to follow ``lines``."""
     names = {w: k for k, ws in pack.senses.items() for w in ws}
     sense_words = "|".join(sorted({*names, *pack.sense_excludes}, key=lambda w: (-len(w), w)))
     kinds = " ".join(f"when x = {q(w)} then {q(k)}" for w, k in names.items() if w not in pack.sense_excludes)
@@ -137,7 +143,7 @@ ss as (select doc_id, list(n) filter (where n > 0) as v from (select doc_id, len
 sa as (select d.doc_id, coalesce(full_, '') as full_, coalesce(told, '') as told, coalesce(line_similes, 0) as line_similes, coalesce(blocking, 0) as blocking, coalesce(dashes, 0) as dashes, coalesce(v, []) as v from documents d left join sf using (doc_id) left join ss using (doc_id)),
 sd as (select *, {count('told', pack.visible)} as chars, {of('told', pack.similes)} as similes,
   len(list_distinct(list_filter(list_transform(regexp_extract_all(told, {q(sense_words)}), lambda x: case {kinds} end), lambda x: x is not null))) as senses,
-  case when {count('full_', f'{pack.letters}|{pack.marks}')} >= 500 then list_filter(list_transform(range(0, length(full_) // 500), lambda i: ({count('substr(full_, i * 500 + 1, 500)', pack.quotes)} + len(list_filter(regexp_extract_all(substr(full_, i * 500 + 1, 500), {q(dictionary_pattern([*words, *pack.verbs]))}), lambda t: t in ({verbs}))))::double / nullif({count('substr(full_, i * 500 + 1, 500)', pack.letters)}, 0)), lambda x: x is not null) else []::double[] end as dens from sa),
+  {densities('full_', pack, words)} as dens from sa),
 sm as (select *, coalesce(list_sum(dens) / nullif(len(dens), 0), 0) as m, {n} as n, {cv} as cv, {cv} * {mean} as std, similes * 1000.0::double / nullif(chars, 0) as dense, line_similes * 1000.0::double / nullif(chars, 0) as line_dense from sd),
 sb as (select *, blocking + (case when dashes >= 8 then 1 else 0 end) + (case when chars > 200 and line_dense >= 4 then 1 else 0 end) as marks from sm),
 score as (select doc_id,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ def with_(*ctes: str) -> str:
 def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     """The queries with the lists of a pack, and the SQL of those that SQL can express."""
     L = P.lists
+    #: Words that hold a verb of the Latin pack, for the maximum matching of the scores.
+    WORDS = ("good", "der", "des", "lado", "isch")
     found: Queries = {}
     stated: dict[str, str] = {}
 
@@ -158,10 +162,11 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     )
     over_documents("imagery_repeat", lambda d: D.repeated_images(d, P), with_(O.lines(P)) + f"select doc_id, term, case when count(*) >= 5 then 'blocking' else 'advisory' end as severity, count(*) as n from nl join (select unnest([{', '.join(O.q(t) for t in L['imagery'])}]) as term) on contains(narrative, term) group by doc_id, term having count(*) >= 3")
     _n, _mean, _cv = O.spread("v")
+    NARRATED = with_(O.lines(P), f"ss as (select doc_id, list(n) filter (where n > 0) as v from (select doc_id, len(regexp_extract_all(unnest({O.sents('narrative', P)}), {O.q(P.visible)})) as n from nl) group by doc_id)")
     over_documents(
         "burstiness",
-        lambda d: D.burstiness(d, P),
-        f"with v as (select doc_id, {O.lengths('text', P)} as v from documents), r as (select doc_id, {_cv} as cv from v where len(v) >= 8) select doc_id, 'burstiness' as type, case when cv < 0.35 then 'blocking' else 'advisory' end as severity, {O.scaled('cv')} as n from r where cv < 0.5",
+        lambda d: X.burstiness(d, P),
+        NARRATED + f"select doc_id, 'burstiness' as type, case when cv < 0.35 then 'blocking' else 'advisory' end as severity, {O.scaled('cv')} as n from (select doc_id, {_cv} as cv from ss where len(v) >= 8) where cv < 0.5",
     )
     over_documents("ttr_low", lambda d: D.low_variety(d, P), "with t as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[一-鿿]') as t from documents where length(text) >= 200), r as (select doc_id, case when len(t) < 50 then 0 when len(t) < 500 then len(list_distinct(t))::double / len(t) else list_min(list_transform(range(0, len(t) // 500), lambda i: len(list_distinct(t[i * 500 + 1 : i * 500 + 500]))::double / 500)) end as x from t) " + f"select doc_id, 'ttr-low' as type, 'advisory' as severity, {O.scaled('x')} as n from r where x < 0.25")
     over_documents("short_sentence_runs", lambda d: D.short_sentence_runs(d, P), with_(O.sentences(P), "v as (select * from s where visible > 0)") + O.runs("v", "visible <= 5", 6, "doc_id", "sentence_no"))
@@ -198,20 +203,55 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
         lambda d: D.emotion_profile(d, P),
         f"with h as (select doc_id, {O.hits('text', P)} as h, length(regexp_replace(text, '\\s', '', 'g')) as n from documents) select doc_id, len(h)::bigint as hits, len(list_distinct(h))::bigint as kinds, n::bigint as chars, {O.scaled('len(h) * 1000.0::double / nullif(n, 0)')} as density from h",
     )
-    over_documents("emotion_variety", lambda d: D.emotion_findings(d, P))
-    over_documents("emotion_curve", lambda d: D.emotion_curve(d, P))
-    over_documents("emotion_monotony", lambda d: D.monotone_words(d, P))
+    over_documents(
+        "emotion_variety",
+        lambda d: D.emotion_findings(d, P),
+        f"with h as (select doc_id, {O.hits('text', P)} as h, length(regexp_replace(text, '\\s', '', 'g')) as n from documents), e as (select doc_id, len(list_distinct(h)) as kinds, {O.scaled('len(h) * 1000.0::double / nullif(n, 0)')} as density from h where n > 0) select * from (select doc_id, 'emotion-density' as type, case when density < 3000000 then 'advisory' when density > 15000000 then 'blocking' end as severity, density as n from e union all select doc_id, 'emotion-variety', case when kinds < 3 then 'advisory' end, kinds::bigint from e) where severity is not null",
+    )
+    _SET = lambda i: f"list_sort(list_distinct(h{i}))"
+    over_documents(
+        "emotion_curve",
+        lambda d: D.emotion_curve(d, P),
+        "with t as (select doc_id, text, length(text) // 3 as k from documents), c as (select doc_id, substr(text, 1, k) as t1, substr(text, k + 1, k) as t2, substr(text, 2 * k + 1) as t3 from t), h as (select doc_id, "
+        + ", ".join(f"{O.hits(f't{i}', P)} as h{i}" for i in (1, 2, 3))
+        + f" from c) select * from (select doc_id, case when len(h1) = 0 or len(h3) = 0 then 'empty-end' when {_SET(1)} = {_SET(2)} and {_SET(2)} = {_SET(3)} then 'flat' end as type from h) where type is not null",
+    )
+    _WORDS = V.alternation([*(w for ws in P.categories.values() for w in ws), *P.excludes])
+    over_documents(
+        "emotion_monotony",
+        lambda d: D.monotone_words(d, P),
+        f"select doc_id, term, case when count(*) >= 8 then 'blocking' else 'advisory' end as severity, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, {O.q(_WORDS)})) as term from documents) where term not in ({', '.join(O.q(x) for x in P.excludes)}) group by doc_id, term having count(*) >= 5",
+    )
     over_documents("slang_density", lambda d: D.slang_density(d, P), O.finding("documents", "slang-density", " + ".join(O.terms("text", t) for t in P.grades.values()), 4, None))
-    over_documents("slang_clustering", lambda d: D.slang_clusters(d, P))
-    over_documents("role_mismatch", lambda d: D.role_mismatches(d, P))
+    _SLANG = "g as (" + " union all ".join(f"select doc_id, text, {O.q(w)} as term, x.pos as pos from (select doc_id, text, unnest({O.spans('text', re.escape(w))}) as x from documents where contains(text, {O.q(w)}))" for ws in P.grades.values() for w in ws) + ")"
+    over_documents(
+        "slang_clustering",
+        lambda d: D.slang_clusters(d, P),
+        f"with {_SLANG}, w as (select doc_id, pos - lag(pos) over (partition by doc_id order by pos, term) as gap from g) select doc_id, count(*) as n from w where gap < 100 group by doc_id",
+    )
+    over_documents(
+        "role_mismatch",
+        lambda d: D.role_mismatches(d, P),
+        f"with {_SLANG} select doc_id, term, pos from g where {O.any_of('substr(text, greatest(pos - 30, 1), pos + 30 - greatest(pos - 30, 1))', L['roles'])}",
+    )
     over_documents(
         "genre_conflict",
         lambda d: D.genre_conflicts(d, P, "lang"),
         " union all ".join(f"select doc_id, {O.q(g)} as grade, {O.terms('text', t)}::bigint as n from documents where {O.terms('text', t)} > 0 and coalesce(lang, '') not in ({', '.join([O.q(x) for x, ok in P.genres.items() if g in ok] or ['null'])})" if any(g in ok for ok in P.genres.values()) else f"select doc_id, {O.q(g)} as grade, {O.terms('text', t)}::bigint as n from documents where {O.terms('text', t)} > 0" for g, t in P.grades.items()),
     )
     over_documents("slang_staleness", lambda d: D.stale_slang(d, P), f"select book, n from (select source as book, count(*) as chapters, sum({' + '.join(O.terms('text', P.grades[g]) for g in ('B', 'C'))})::bigint as n from documents group by source) where chapters > 50 and n > 0")
-    over_documents("info_density", lambda d: D.even_information(d, P))
-    over_documents("negation_parallel", lambda d: D.negation_parallels(d, P))
+    over_documents(
+        "info_density",
+        lambda d: X.even_information(d, P, WORDS),
+        f"with d as (select doc_id, {O.densities('text', P, WORDS)} as d from documents where length(text) >= 1000), m as (select doc_id, d, list_sum(d) / len(d) as m from d where len(d) >= 3), v as (select doc_id, list_sum(list_transform(d, lambda x: (x - m) * (x - m))) / len(d) as v from m) select doc_id, 'info-density-uniform' as type, 'advisory' as severity, {O.scaled('v')} as n from v where v < 0.002",
+    )
+    _NO = "(?:没有|不是|并非)"
+    _PAIR, _LIFT = _NO + "[^，。；！？\n]{2,30}[，]" + _NO + "[^，。；！？\n]{2,30}[，]", _NO + "[^，。；！？\n]{2,60}[，].*?(?:而是|只有|那是一种|那是|只剩|唯有)"
+    over_documents(
+        "negation_parallel",
+        lambda d: D.negation_parallels(d, P),
+        with_(O.lines(P), f"d as (select doc_id, sum(case when a > 0 then a else least(b, 1) end) as c from (select doc_id, {O.count('narrative', _PAIR)} as a, {O.count('narrative', _LIFT)} as b from nl where visible > 0) group by doc_id)") + O.finding("d", "negation-parallelism", "c", None, 1),
+    )
 
     # across chapters
     over_documents("reward_gap", lambda d: H.reward_gaps(d, P), with_(O.CHAPTERS, "g as (" + O.runs("c", f"not {O.any_of('text', L['reward'])}", 3, "book", "chapter_no") + ")") + "select book, start, n, case when n >= 5 then 'blocking' else 'advisory' end as severity from g")
@@ -247,8 +287,16 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     r as (select *, row_number() over (partition by doc_id order by n desc, first) as rank from k)
     select gram, count(*) as docs, sum(n)::bigint as n from r where rank <= 50 group by gram having count(*) >= 2 order by n desc, gram limit 20""",
     )
-    over_documents("style_fingerprint", lambda d: H.style_fingerprint(d, P))
-    over_documents("style_drift", lambda d: H.style_drift(d, P))
+    _PART = lambda a, b: O.scaled(f"coalesce(({a})::double / nullif({b}, 0), 0)")
+    _STYLE = with_(
+        O.CHAPTERS,
+        f"v as (select book, chapter_no, text, {O.lengths('text', P)} as v, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: {O.trim('x')}), lambda x: x <> '') as l from c)",
+        f"""f as (select book, chapter_no, {O.scaled(f'coalesce({_cv}, 0)')} as variation, {_PART("len(list_filter(l, lambda x: regexp_matches(x, '[“”‘’「」『』\"]')))", "len(l)")} as dialogue,
+  {_PART(O.count('text', '[,，]'), O.count('text', P.visible))} as commas, {_PART(O.count('text', '[.。]'), O.count('text', P.visible))} as stops from v)""",
+    )
+    over_documents("style_fingerprint", lambda d: H.style_fingerprint(d, P), _STYLE + "select * from f")
+    _FAR = " + ".join(f"{w}::double * coalesce(abs({c} - lag({c}) over b)::double / nullif(greatest({c}, lag({c}) over b), 0), 0)" for c, w in (("variation", 0.3), ("dialogue", 0.25), ("commas", 0.25), ("stops", 0.2)))
+    over_documents("style_drift", lambda d: H.style_drift(d, P), _STYLE + f"select book, chapter_no, distance from (select book, chapter_no, {O.scaled('0.0::double + ' + _FAR)} as distance, row_number() over b as r from f window b as (partition by book order by chapter_no)) where r > 1 and distance > 300000")
     over_documents("volume_rollup", H.volumes, with_(O.CHAPTERS) + "select book, volume, chapters, chars, ((3 - volume % 3) % 3)::bigint as to_audit from (select book, ceil(chapter_no / 10.0)::bigint as volume, count(*) as chapters, sum(length(text))::bigint as chars from c group by all)")
     over_documents("latest_n", H.latest, with_(O.CHAPTERS) + "select book, chapter_no, doc_id from (select *, row_number() over (partition by book order by chapter_no desc) as r from c) where r <= 5")
     over_tables(
@@ -267,16 +315,29 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     )
 
     # scores and reconciliation
-    #: Words that hold a verb of the Latin pack, for the maximum matching of the scores.
-    WORDS = ("good", "der", "des", "lado", "isch")
     SCORES = with_(O.lines(P), O.scores(P, WORDS))
     TOTAL = "plot + rhythm + texture + consistency + baseline"
     over_documents("objective_score", lambda d: X.objective_scores(d, P, WORDS), SCORES + f"select *, ({TOTAL})::bigint as total, {O.route(TOTAL)} as flow from score")
     for _part in ("plot", "rhythm", "texture", "baseline"):
         over_documents(f"{_part}_score", lambda d, k=_part: X.objective_scores(d, P, WORDS).select("doc_id", k), SCORES + f"select doc_id, {_part} from score")
     over_documents("route", lambda d: X.objective_scores(d, P, WORDS).groupBy("flow").agg(F.count(F.lit(1)).alias("n")), SCORES + f"select {O.route(TOTAL)} as flow, count(*) as n from score group by 1")
-    over_documents("severity_pivot", lambda d: R.severity_pivot(D.burstiness(d, P).unionByName(D.connectors(d, P)).unionByName(D.slang_density(d, P))))
-    over_documents("gate", lambda d: R.gate(D.burstiness(d, P).unionByName(D.connectors(d, P))))
+    #: Detectors whose rows are (doc_id, type, severity, n).
+    DETECTORS = ("dash_count", "connector_hits", "emotion_direct", "banned_terms", "banned_terms_b", "transition_pattern", "vague_time", "cliche_terms", "breathy_tags", "simile_density", "burstiness", "ttr_low", "transition_stacking", "prefix_triples", "emotion_variety", "slang_density", "info_density", "negation_parallel", "contrast_counts")
+
+    def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Rows of all detectors; each reads the texts once, narrow rows are united."""
+        parts = [found[k](spark, sf_dir).select("doc_id", "type", "severity", "n") for k in DETECTORS]
+        return reduce(DataFrame.unionByName, parts)
+
+    _ALL = " union all ".join(f"select doc_id, type, severity, n from ({stated[k]})" for k in DETECTORS)
+    found["all_findings"], stated["all_findings"] = all_findings, _ALL
+    found["severity_pivot"] = lambda spark, sf_dir: R.severity_pivot(all_findings(spark, sf_dir))
+    stated["severity_pivot"] = "select type, " + ", ".join(f"count(*) filter (where severity = '{x}') as {x}" for x in ("blocking", "advisory", "info")) + f" from ({_ALL}) group by type"
+    found["gate"] = lambda spark, sf_dir: R.gate(all_findings(spark, sf_dir))
+    stated["gate"] = f"select doc_id, (case when bool_or(severity = 'blocking') then 2 else 1 end)::bigint as code from ({_ALL}) group by doc_id"
+    over_documents("doc_hashes", lambda d: d.select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 8).alias("md5_8"), F.upper(F.sha2(F.col("text"), 256)).alias("sha256")), "select doc_id, substr(md5(text), 1, 8) as md5_8, upper(sha256(text)) as sha256 from documents")
+    _GENRES, _CHECKS = {"de": "fr", "pt": "es"}, {"en": ("age", "power"), "fr": ("age",), "es": ("distance",)}
+    over_documents("genre_checks", lambda d: X.canonical_checks(d, "lang", _GENRES, _CHECKS, "es"), "with g as (select doc_id, case when lang in ('en', 'fr', 'es') then lang when lang = 'de' then 'fr' else 'es' end as genre from documents) select doc_id, genre, case genre when 'en' then 'age,power' when 'fr' then 'age' else 'distance' end as checks from g")
 
 
     def _votes(t) -> DataFrame:
