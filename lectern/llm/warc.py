@@ -167,7 +167,8 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, size, sha, refers_to and response (the record as a response) of each row of ``pages(page_id, url, html)``.
 
     Responses are compressed before anything is joined, so that what may be
-    shuffled is as small as the archives; each html is read and hashed once.  Only
+    shuffled is as small as the archives.  Payloads are hashed a second time for
+    their groups, which costs less than the disk for keeping the records.  Only
     groups of two and more equal payloads are joined back; Spark broadcasts them
     where their size allows and splits a hot payload otherwise.
     """
@@ -183,9 +184,14 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
                 made.append(record(row["page_id"], row["url"], row["payload"], size[-1], sha[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(made, pa.binary())], ["page_id", "url", "size", "sha", "response"])
 
-    made = Scratch(pages.sparkSession, "warc-records").put(rows.mapInArrow(press, "page_id long, url string, size long, sha string, response binary"))
-    top = F.max("page_id").alias("_top")
-    groups = made.where(F.col("size") >= least).groupBy("sha", "size").agg(top, F.count(F.lit(1)).alias("_n")).where("_n > 1 and _top is not null").drop("_n")
+    def name(batches):
+        for b in batches:
+            own = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([digest(x) for x in own], pa.string())], ["page_id", "size", "sha"])
+
+    names = rows.select("page_id", "payload").mapInArrow(name, "page_id long, size long, sha string").where(F.col("size") >= least)
+    groups = names.groupBy("sha", "size").agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _top is not null").drop("_n")
+    made = rows.mapInArrow(press, "page_id long, url string, size long, sha string, response binary")
     later = F.col("page_id").isNull() | (F.col("_top") > F.col("page_id"))
     return made.join(groups, ["sha", "size"], "left").select("page_id", "url", "size", "sha", F.when(later, F.col("_top")).alias("refers_to"), "response")
 
