@@ -319,7 +319,7 @@ def _lists(first: DataFrame, scratch: Scratch, bucket_size: int = 1 << 19) -> Da
                 sigs.append(own.view(np.int64).ravel())
                 ids.append(np.full(k, i, dtype=np.int64))
                 n += k
-                if n > BLOCK:
+                if n > BLOCK // 2:
                     yield from packed(sigs, ids)
                     sigs, ids, n = [], [], 0
         if n:
