@@ -97,7 +97,7 @@ def opener_duplicates(docs: DataFrame, pack: Pack, least: int = 3) -> DataFrame:
     return pairs.where(F.col("shared") >= least).withColumn("severity", F.when(F.col("shared") >= 5, "blocking").otherwise("advisory"))
 
 
-def top_ngrams(docs: DataFrame, n: int = 3, k: int = 5, least: int = 3, chars: str = "[^A-Za-z]") -> DataFrame:
+def top_ngrams(docs: DataFrame, n: int = 3, k: int = 50, least: int = 3, chars: str = "[^A-Za-z]") -> DataFrame:
     """doc_id, gram, n, rank: the commonest n-grams of a text's letters; ties keep the order of first appearance."""
     grams = docs.select("doc_id", F.posexplode(T.char_ngrams(F.regexp_replace("text", chars, ""), n)).alias("_at", "gram"))
     counts = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).where(F.col("n") >= least)
@@ -106,9 +106,9 @@ def top_ngrams(docs: DataFrame, n: int = 3, k: int = 5, least: int = 3, chars: s
 
 
 def shared_ngrams(docs: DataFrame, k: int = 20) -> DataFrame:
-    """gram, docs, n: top n-grams of two and more documents, the commonest first (a report of k rows)."""
+    """gram, docs, n: top n-grams of two and more documents, those of the most documents first (a report of k rows)."""
     rows = top_ngrams(docs, k=50).groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).where("docs >= 2")
-    return rows.orderBy(F.desc("n"), "gram").limit(k)
+    return rows.orderBy(F.desc("docs"), F.desc("n"), "gram").limit(k)
 
 
 def style_fingerprint(docs: DataFrame, pack: Pack) -> DataFrame:
@@ -239,23 +239,30 @@ def speakers(docs: DataFrame, names: list[str], speech: str = SPEECH) -> DataFra
     return cut.select("doc_id", "line_no", said.alias("said"), F.coalesce(*who.values()).alias("speaker")).where("speaker is not null and said <> ''")
 
 
-def merge_deltas(deltas: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """book, chapter, status, reason: each delta of ``deltas(book, chapter, age, alive)`` in order of arrival ``seq``.
+def merge_deltas(deltas: DataFrame) -> DataFrame:
+    """book, seq, chapter, status, reason and the state after each delta of ``deltas(book, seq, chapter, age, alive)``, in order of arrival ``seq``.
 
     A delta that skips a chapter, revives the dead or lowers an age is degraded
-    and leaves the state as it is; the others are merged.  A book's deltas are a
-    group with a number and two flags a chapter, as its state is one row.
+    and leaves the state as it is; the others are merged.  A book's deltas are
+    sorted by Spark and pass through a task batch by batch with one row of state,
+    so a book of any length needs no more memory than a batch.
     """
     schema = "book string, seq long, chapter long, status string, reason string, last_chapter long, age double, alive boolean"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, age, alive, out = 0, None, True, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            status, reason, (last, age, alive) = step((last, age, alive), r.chapter, r.age, r.alive)
-            out.append((r.book, r.seq, r.chapter, status, reason, last, age, alive))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return deltas.groupBy("book").applyInPandas(fold, schema)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def fold(batches):
+        book, state = object(), None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.book != book:
+                    book, state = r.book, (0, None, True)
+                status, reason, state = step(state, r.chapter, r.age, r.alive)
+                out.append((r.book, r.seq, r.chapter, status, reason, *state))
+            yield pd.DataFrame(out, columns=names)
+
+    dealt = deltas.select("book", "seq", "chapter", "age", "alive").repartition("book").sortWithinPartitions("book", "seq")
+    return dealt.mapInPandas(fold, schema)
 
 
 def step(state: tuple, chapter: int, age: float | None, alive: bool | None) -> tuple:

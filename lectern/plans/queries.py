@@ -126,7 +126,7 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     g as (select doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) as gram, unnest(range(1, length(t) - 1)) as i from t where length(t) >= 3),
     k as (select doc_id, gram, count(*) as n, min(i) as first from g group by doc_id, gram having count(*) >= 3),
     r as (select *, row_number() over (partition by doc_id order by n desc, first) as rank from k)
-    select doc_id, gram, n, rank from r where rank <= 5""",
+    select doc_id, gram, n, rank from r where rank <= 50""",
     )
     over_documents("punctuation_census", H.punctuation, "select doc_id, " + ", ".join(f"{O.count('text', p)}::bigint as {k}" for k, p in {"commas": "[,，]", "stops": "[.。]", "questions": "[?？]", "shouts": "[!！]", "colons": "[:：]", "semicolons": "[;；]", "dashes": "——|—|--+", "ellipses": "…+|\\.{3,}"}.items()) + " from documents")
     PATTERNS = {"token": 'token = "[0-9a-z]+', "number": "[0-9]{4,}", "shout": "[A-Z]{3,}!+", "junk": "[#*$%&]{3}", "pipe": " \\| "}
@@ -285,7 +285,7 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     g as (select doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) as gram, unnest(range(1, length(t) - 1)) as i from t where length(t) >= 3),
     k as (select doc_id, gram, count(*) as n, min(i) as first from g group by doc_id, gram having count(*) >= 3),
     r as (select *, row_number() over (partition by doc_id order by n desc, first) as rank from k)
-    select gram, count(*) as docs, sum(n)::bigint as n from r where rank <= 50 group by gram having count(*) >= 2 order by n desc, gram limit 20""",
+    select gram, count(*) as docs, sum(n)::bigint as n from r where rank <= 50 group by gram having count(*) >= 2 order by docs desc, n desc, gram limit 20""",
     )
     _PART = lambda a, b: O.scaled(f"coalesce(({a})::double / nullif({b}, 0), 0)")
     _STYLE = with_(
