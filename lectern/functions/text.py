@@ -51,9 +51,10 @@ def count_matches(c: str | Column, pattern: str) -> Column:
 
 
 def count_literal(c: str | Column, term: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
+    """Non-overlapping occurrences of a literal; texts without it are not copied."""
     c = F.coalesce(_col(c), F.lit(""))
-    return ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("long")
+    n = ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("long")
+    return F.when(F.contains(c, F.lit(term)), n).otherwise(F.lit(0).cast("long"))
 
 
 def count_terms(c: str | Column, terms) -> Column:
