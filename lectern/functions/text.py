@@ -85,10 +85,11 @@ def is_structural(c: str | Column) -> Column:
 
 
 def strip_quoted(c: str | Column) -> Column:
-    c = _col(c)
+    """Without quoted spans; a line without an opening mark is not searched for each kind."""
+    whole = out = _col(c)
     for q in QUOTES:
-        c = F.regexp_replace(c, q, "")
-    return c
+        out = F.regexp_replace(out, q, "")
+    return F.when(whole.rlike("[「『【\"'“‘]"), out).otherwise(whole)
 
 
 def sentences(c: str | Column, ends: str) -> Column:

@@ -123,10 +123,14 @@ def burstiness(docs: DataFrame, pack: Pack, least: int = 8) -> DataFrame:
     """Even lengths of narrated sentences: variation under .35 blocking, under .5 advisory; n is the variation in millionths."""
     told = F.transform(F.filter(S.prose(F.coalesce("text", F.lit(""))), lambda x: (x["line"] != "") & ~T.is_divider(x["line"]) & ~T.is_structural(x["line"])), lambda x: T.strip_quoted(x["line"]))
     lengths = F.flatten(F.transform(told, lambda x: F.transform(T.sentences(x, pack.ends), lambda s: T.visible_length(s, pack.visible))))
-    n, _, cv = S.spread(F.col("_v"))
-    rows = docs.select("doc_id", F.filter(lengths, lambda n: n > 0).alias("_v")).select("doc_id", n.alias("_n"), cv.alias("_cv")).where(F.col("_n") >= least)
-    severity = F.when(F.col("_cv") < 0.35, "blocking").when(F.col("_cv") < 0.5, "advisory")
-    return rows.select("doc_id", F.lit("burstiness").alias("type"), severity.alias("severity"), T.scaled(F.col("_cv")).alias("n")).where("severity is not null")
+
+    def found(v: Column) -> Column:
+        severity = lambda cv: F.when(cv < 0.35, "blocking").otherwise("advisory")
+        return T.let(S.spread(v)[2], lambda cv: F.when((F.size(v) >= least) & (cv < 0.5), F.array(F.struct(severity(cv).alias("severity"), T.scaled(cv).alias("n")))))
+
+    # an array of one finding or none: a filter on computed columns would compute them twice
+    rows = docs.select("doc_id", F.explode(T.let(F.filter(lengths, lambda n: n > 0), found)).alias("x"))
+    return rows.select("doc_id", F.lit("burstiness").alias("type"), "x.severity", "x.n")
 
 
 def canonical_checks(docs: DataFrame, genre: str, aliases: dict[str, str], checks: dict[str, tuple], default: str) -> DataFrame:
