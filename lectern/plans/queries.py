@@ -266,7 +266,15 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     over_documents(
         "rhythm_collapse",
         lambda d: H.rhythm_collapse(d, P),
-        None,
+        with_(
+            O.CHAPTERS,
+            f"v as (select book, chapter_no, {O.lengths('text', P)} as v from c)",
+            f"m as (select book, chapter_no, coalesce({_mean}, 0) as mean from v)",
+            "w as (select book, chapter_no, sum(mean) over a as x, sum(mean) over b as y, count(*) over a as n, count(*) over b as m from m window a as (partition by book order by chapter_no rows between 3 preceding and 1 preceding), b as (partition by book order by chapter_no rows between current row and 2 following))",
+            "hit as (select book, chapter_no from w where n = 3 and m = 3 and x > 0 and y < x * (1 - 0.3::double))",
+            "g as (select book, min(chapter_no) as chapter_no from hit group by book union all select g.book, min(h.chapter_no) from g join hit h on h.book = g.book and h.chapter_no >= g.chapter_no + 3 group by g.book)",
+        ).replace("with ", "with recursive ", 1)
+        + "select book, chapter_no from g",
     )
     over_documents(
         "opener_duplicates",
@@ -306,8 +314,22 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     )
 
     # voices
-    over_tables("voice_profiles", lambda t: H.voice_profiles(t("conversations"), P, "conv_id", "role").select("conv_id", "role", *[T.scaled(F.element_at("voice", i)).alias(f"v{i}") for i in range(1, 9)]))
-    over_tables("voice_similarity", lambda t: H.similar_voices(H.voice_profiles(t("conversations"), P, "conv_id", "role"), "conv_id", "role"))
+    _LONG = lambda f: f"sum(len(list_filter(v, lambda x: {f})))"
+    _RATIO = lambda a, b: f"coalesce({a}::double / nullif({b}, 0), 0)"
+    _VOICE = [_RATIO("kinds", "tokens"), f"least({_RATIO('length', 'sentences')} / 50, 1)", f"least({_RATIO('particles', 'chars')} * 100 / 10, 1)", *(_RATIO(k, "sentences") for k in ("short", "middle", "large")), _RATIO("asks", "n"), _RATIO("shouts", "n")]
+    VOICES = f"""with r as (select conv_id, role, coalesce(text, '') as text from conversations),
+e as (select conv_id, role, {O.count('text', P.visible)} as chars, {O.terms('text', L['particles'])} as particles, regexp_matches(text, '[？?]')::int as asks, regexp_matches(text, '[！!]')::int as shouts, {O.lengths('text', P)} as v, regexp_extract_all(text, '[A-Za-z0-9]+|[一-鿿]') as words from r),
+k as (select conv_id, role, count(distinct w) as kinds from (select conv_id, role, unnest(words) as w from e) group by conv_id, role),
+s as (select conv_id, role, count(*) as n, sum(chars) as chars, sum(particles) as particles, sum(asks) as asks, sum(shouts) as shouts, sum(len(words)) as tokens, sum(len(v)) as sentences, sum(list_sum(v)) as length, {_LONG('x <= 10')} as short, {_LONG('x > 10 and x <= 25')} as middle, {_LONG('x > 25')} as large from e group by conv_id, role),
+p as (select s.conv_id, s.role, case when chars > 0 then [{', '.join(_VOICE)}] else [0.0::double, 0, 0, 0, 0, 0, 0, 0] end as voice from s left join k on k.conv_id = s.conv_id and k.role = s.role)
+"""
+    over_tables("voice_profiles", lambda t: H.voice_profiles(t("conversations"), P, "conv_id", "role").select("conv_id", "role", *[T.scaled(F.element_at("voice", i)).alias(f"v{i}") for i in range(1, 9)]), VOICES + "select conv_id, role, " + ", ".join(f"{O.scaled(f'voice[{i}]')} as v{i}" for i in range(1, 9)) + " from p")
+    _DOT = lambda a, b: f"list_sum(list_transform(range(1, 9), lambda i: {a}[i] * {b}[i]))"
+    over_tables(
+        "voice_similarity",
+        lambda t: H.similar_voices(H.voice_profiles(t("conversations"), P, "conv_id", "role"), "conv_id", "role"),
+        VOICES + f"select *, similarity > 700000 as flagged from (select x.conv_id as conv_id, x.role as a, y.role as b, {O.scaled('case when ' + _DOT('x.voice', 'x.voice') + ' = 0 or ' + _DOT('y.voice', 'y.voice') + ' = 0 then 0 else ' + _DOT('x.voice', 'y.voice') + ' / (sqrt(' + _DOT('x.voice', 'x.voice') + ') * sqrt(' + _DOT('y.voice', 'y.voice') + ')) end')} as similarity from p x join p y on x.conv_id = y.conv_id and x.role < y.role)",
+    )
     over_tables(
         "turn_runs",
         lambda t: D.runs(t("conversations"), F.length("text") > 300, 1, "conv_id", order="turn"),
@@ -417,7 +439,11 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
         "with f as (select user_id as key, event_type as value, min(event_id) as seq from events group by all) select e.key, e.value, k.kinds from (select user_id as key, arg_max(event_type, event_id) as value from events group by user_id) e join (select key, array_to_string(list(value order by seq), ',') as kinds from f group by key) k on k.key = e.key",
     )
     over_tables("json_paths", lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").cast("long").alias("n")), "select event_id, json_extract_string(props, '$.k') as k, length(props)::bigint as n from events")
-    over_documents("anchor_delivery", lambda d: D.anchor_delivery(d, P, d.select("doc_id", F.when(F.col("lang") == "en", "w").otherwise("icense").alias("anchor"))))
+    over_documents(
+        "anchor_delivery",
+        lambda d: D.anchor_delivery(d, P, d.select("doc_id", F.when(F.col("lang") == "en", "w").otherwise("icense").alias("anchor"))),
+        f"with a as (select doc_id, text, {O.hits('text', P)} as h, case when lang = 'en' then 'w' else 'icense' end as anchor from documents) select doc_id, anchor, case when case when anchor in ({', '.join(O.q(k) for k in P.categories)}) then len(list_filter(h, lambda x: x = anchor)) >= 2 else contains(text, anchor) end then 'info' else 'blocking' end as severity from a",
+    )
 
     # scanners and numbers, by the Chinese rules and by Latin ones
     NAMES = ("张三", "张三丰", "The", "There", "Der")
