@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .chat import op8_chat_formatting, op8_sql
+from .codes import op11_sql, op11_vector_codes
 from .decontaminate import op3_decontamination
+from .divergence import op13_divergence, op13_sql
+from .fingerprints import op12_fingerprints
 from .jaccard import op5_jaccard_join
 from .lines import op7_line_dedup
 from .mixing import op1_mixing
@@ -26,8 +29,11 @@ def queries() -> dict:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_warc": op9_warc,
         "op10_neighbours": op10_neighbours,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_fingerprints": op12_fingerprints,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": op8_sql(), "op9_warc": op9_sql()}
+    return {"op8_chat_formatting": op8_sql(), "op9_warc": op9_sql(), "op11_vector_codes": op11_sql(), "op13_divergence": op13_sql()}
