@@ -17,9 +17,7 @@ by the edit distance of their texts.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -64,47 +62,104 @@ def sampled_steps(level: int) -> np.ndarray:
 
 
 @cache
-def blank_bits(level: int) -> np.ndarray:
+def steps_to(levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled steps of the first levels, and their hashes."""
+    steps = np.concatenate([sampled_steps(k) for k in range(levels)])
+    return steps, mixed(3, steps)
+
+
+def _bits(codes: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """One bit of each character that is read at a step with that hash."""
+    return ((mixed(hashed, codes) >> np.uint64(33)) & np.uint64(1)).astype(np.uint8)
+
+
+@cache
+def blank_bits(level: int) -> int:
     """What a level reads after the end of a text."""
-    return _bits(np.full(SAMPLES, END), sampled_steps(level))
+    return int.from_bytes(np.packbits(_bits(np.full(SAMPLES, END), mixed(3, sampled_steps(level)))).tobytes(), "big")
 
 
-def _bits(codes: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    return ((mixed(3, codes, steps) >> np.uint64(33)) & np.uint64(1)).astype(np.uint8)
+def levels_of(steps: int) -> int:
+    """How many levels a walk of so many steps reaches; one at least."""
+    return 1 + max(0, -(-steps // SAMPLES) - 1).bit_length()
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+@cache
+def kinds() -> np.ndarray:
+    """The kind of every code point."""
+    return (mixed(4, np.arange(END + 1)) % np.uint64(KINDS)).astype(np.uint8)
 
 
-class Walk:
-    """The steps at which each character of a text is first read, and last the number of all steps."""
+@cache
+def flat_advances() -> np.ndarray:
+    return np.array(advances(), dtype=np.int64).ravel()
 
-    __slots__ = ("codes", "starts")
 
-    def __init__(self, codes: np.ndarray, before: Walk | None = None, kept: int = 0):
-        """``before`` with its first ``kept`` characters is gone already; ``codes`` follow them."""
-        table_, mask = advances(), PERIOD - 1
-        first = int(before.starts[kept]) if before else 0
-        own = map(table_.__getitem__, (mixed(4, codes) % np.uint64(KINDS)).tolist())
-        starts = np.fromiter(accumulate(own, lambda at, row: at + row[at & mask], initial=first), dtype=np.int64, count=len(codes) + 1)
-        self.codes = np.concatenate([before.codes[:kept], codes]) if before else codes
-        self.starts = np.concatenate([before.starts[:kept], starts]) if before else starts
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
-    def fingerprint(self) -> str:
-        """Number of steps and the bits of every level that the walk reaches, in hex."""
-        steps, out, level = int(self.starts[-1]), [], 0
-        padded = np.append(self.codes, END)
-        while level == 0 or (SAMPLES << (level - 1)) < steps:
-            at = sampled_steps(level)
-            out.append(_bits(padded[np.searchsorted(self.starts, at, side="right") - 1], at))
-            level += 1
-        return f"{steps:x}-{np.packbits(np.concatenate(out)).tobytes().hex()}"
 
+def walks(texts: list[np.ndarray], firsts: list[int] | None = None, together: int = 48) -> list[np.ndarray]:
+    """For each text the steps at which its characters are first read, and last the step behind them; walks begin at ``firsts``.
 
-def unpacked(fingerprint: str) -> tuple[int, np.ndarray]:
+    All texts go on together, the long ones first in line, with their characters
+    side by side, as long as enough are left; the rest of a long text is walked alone.
+    """
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in order], dtype=np.int64)
+    at = np.array([firsts[i] if firsts else 0 for i in order], dtype=np.int64)
+    begun = at.copy()
+    shared = int(sizes[together - 1]) if len(sizes) >= together else 0  # characters that all of the longest have
+    head = np.minimum(sizes, shared)
+    live = np.bincount(head, minlength=shared + 1)[::-1].cumsum()[::-1][1:] if shared else np.zeros(0, np.int64)  # texts that have a place, by place
+    row = np.concatenate(([0], np.cumsum(live)))
+    first_char = np.concatenate(([0], np.cumsum(head)))
+    cell = row[np.arange(first_char[-1]) - np.repeat(first_char[:-1], head)] + np.repeat(np.arange(len(sizes)), head)
+    kind, flat, mask = kinds(), flat_advances(), PERIOD - 1
+    laid = np.empty(len(cell), dtype=np.int64)
+    if len(cell):
+        laid[cell] = kind[np.concatenate([texts[i][:n] for i, n in zip(order, head, strict=True)])].astype(np.int64) * PERIOD
+    steps = np.empty(len(cell), dtype=np.int64)
+    for t in range(shared):
+        a, b = row[t], row[t + 1]
+        own = at[: b - a]
+        own += flat[laid[a:b] + (own & mask)]
+        steps[a:b] = own
+    steps = steps[cell]
+    out: list[np.ndarray] = [None] * len(texts)
+    rows = advances()
+    for k, i in enumerate(order):
+        start, n = int(begun[k]), int(head[k])
+        parts = [np.array([start], dtype=np.int64), steps[first_char[k] : first_char[k] + n]]
+        if n < len(texts[i]):
+            step, rest = int(at[k]), []
+            push = rest.append
+            for own in map(rows.__getitem__, kind[texts[i][n:]].tobytes()):
+                step += own[step & mask]
+                push(step)
+            parts.append(np.array(rest, dtype=np.int64))
+        out[i] = np.concatenate(parts)
+    return out
+
+
+def fingerprint(codes: np.ndarray, starts: np.ndarray) -> str:
+    """Number of steps and the bits of every level that the walk reaches, in hex."""
+    steps = int(starts[-1])
+    at, hashed = steps_to(levels_of(steps))
+    read = np.full(len(at), END, dtype=np.int64)
+    seen = np.flatnonzero(at < steps)
+    read[seen] = codes[np.searchsorted(starts, at[seen], side="right") - 1]
+    return f"{steps:x}-{np.packbits(_bits(read, hashed)).tobytes().hex()}"
+
+
+def fingerprints(texts: list[str]) -> list[str]:
+    codes = [code_points(t) for t in texts]
+    return [fingerprint(c, w) for c, w in zip(codes, walks(codes), strict=True)]
+
+
+def unpacked(mark: str) -> tuple[int, np.ndarray]:
     """(steps, bits by level) of a fingerprint."""
-    steps, _, bits = fingerprint.partition("-")
+    steps, _, bits = mark.partition("-")
     return int(steps, 16), np.unpackbits(np.frombuffer(bytes.fromhex(bits), dtype=np.uint8)).reshape(-1, SAMPLES)
 
 
@@ -115,15 +170,15 @@ def likeness(a: str, b: str) -> float:
     """
     if a == b:
         return 1.0
-    (n, x), (m, y) = unpacked(a), unpacked(b)
+    (n, x), (m, y) = ((int(s, 16), [int(bits[k : k + SAMPLES // 4], 16) for k in range(0, len(bits), SAMPLES // 4)]) for s, _, bits in (z.partition("-") for z in (a, b)))
     end, unequal, weight = max(n, m), 0.0, 0
     for level in range(max(len(x), len(y))):
-        low = SAMPLES << (level - 1) if level else 0
-        seen = bisect_left(sampled_steps(level), end)  # later samples are behind both ends
+        low, high = SAMPLES << (level - 1) if level else 0, SAMPLES << level
+        seen = SAMPLES if high <= end else int(np.searchsorted(sampled_steps(level), end))  # later samples are behind both ends
         if seen:
             p, q = (z[level] if level < len(z) else blank_bits(level) for z in (x, y))
-            own = min(end, SAMPLES << level) - low
-            unequal += own * min(1.0, 2 * float((p[:seen] != q[:seen]).mean()))
+            own = min(end, high) - low
+            unequal += own * min(1.0, 2 * ((p ^ q) >> (SAMPLES - seen)).bit_count() / seen)
             weight += own
     return max(0.0, 1.0 - unequal / weight) if weight else 1.0
 
@@ -134,12 +189,33 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
-def _compared(text: str, walk: Walk, mark: str, after: str, after_mark: str) -> tuple:
-    """What is said of a document with the one after it: edited digest, edited fingerprint, both likenesses."""
-    n = len(text) // 2
-    edited = edited_text(text, after)
-    other = Walk(code_points(after[:n]), walk, len(text) - n).fingerprint()
-    return hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), other, likeness(mark, other), likeness(mark, after_mark)
+def compared(texts: list[str], codes: list[np.ndarray], steps: list[np.ndarray], marks: list[str], after: list[int]) -> list[tuple]:
+    """Of each text with the one numbered ``after``: edited digest, edited fingerprint, both likenesses.
+
+    The walk over an edited text goes on from that over the half that stays.
+    """
+    halves = [len(c) // 2 for c in codes[: len(after)]]
+    kept = [len(c) - n for c, n in zip(codes, halves, strict=False)]
+    new = [codes[j][:n] for j, n in zip(after, halves, strict=True)]
+    tails = walks(new, [int(w[k]) for w, k in zip(steps, kept, strict=False)])
+    out = []
+    for i, (j, k) in enumerate(zip(after, kept, strict=True)):
+        mark = fingerprint(np.concatenate([codes[i][:k], new[i]]), np.concatenate([steps[i][:k], tails[i]]))
+        edited = edited_text(texts[i], texts[j])
+        out.append((hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, likeness(marks[i], mark), likeness(marks[i], marks[j])))
+    return out
+
+
+def in_lots(texts: list[str], most: int = 1 << 22):
+    """(first, last) of runs of texts with about ``most`` characters together."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield first, len(texts)
 
 
 ADDED = "edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -175,19 +251,23 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [[]] * len(names), types, strict=True)], names)
 
         for b in batches:
-            found, id_type = [], b.column(1).type
-            for part, i, text in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
-                walk = Walk(code_points(text))
-                mark = walk.fingerprint()
+            id_type = b.column(1).type
+            parts, ids, every = (b.column(j).to_pylist() for j in range(3))
+            for first, last in in_lots(every):
+                texts = every[first:last]
+                codes = [code_points(t) for t in texts]
+                steps = walks(codes)
+                marks = [fingerprint(c, w) for c, w in zip(codes, steps, strict=True)]
+                own = ids[first:last]
                 if held:
-                    sha, other, near, following = _compared(held[1], held[2], held[3], text, mark)
-                    found.append((part, held[0], len(held[1]), sha, held[3], other, near, following, None, None, None))
+                    own, texts, codes, steps, marks = ([h, *x] for h, x in zip(held, (own, texts, codes, steps, marks), strict=True))
                 else:
-                    head, at_part = (text, mark), part
-                held = (i, text, walk, mark)
-            yield out(found)
+                    head, at_part = (texts[0], marks[0]), parts[first]
+                got = compared(texts, codes, steps, marks, list(range(1, len(texts))))
+                yield out([(at_part, own[k], len(codes[k]), sha, marks[k], other, near, following, None, None, None) for k, (sha, other, near, following) in enumerate(got)])
+                held = [x[-1] for x in (own, texts, codes, steps, marks)]
         if held:
-            yield out([(at_part, held[0], len(held[1]), None, held[3], None, None, None, *head, held[1])])
+            yield out([(at_part, held[0], len(held[1]), None, held[4], None, None, None, *head, held[1])])
 
     done = scratch.put(rows.mapInArrow(go, f"part int, doc_id {kind}, n_chars long, {ADDED}, head string, head_fingerprint string, tail string"))
     last = done.where("tail is not null")  # one row for each range
@@ -199,7 +279,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     def finish(batches):
         for b in batches:
-            got = [_compared(text, Walk(code_points(text)), mark, after, after_mark) for text, mark, after, after_mark in zip(*(b.column(j).to_pylist() for j in range(2, 6)), strict=True)]
+            got = []
+            for text, mark, after, after_mark in zip(*(b.column(j).to_pylist() for j in range(2, 6)), strict=True):
+                codes = [code_points(t) for t in (text, after)]
+                got += compared([text, after], codes, walks(codes[:1]), [mark, after_mark], [1])
             cols = list(zip(*got, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()), b.column(3), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["doc_id", "n_chars", *(x.split()[0] for x in ADDED.split(", "))])
 
@@ -213,7 +296,8 @@ def fingerprints_of(docs: DataFrame) -> DataFrame:
     def go(batches):
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([Walk(code_points(t)).fingerprint() for t in texts], pa.string())], ["doc_id", "text", "fingerprint"])
+            marks = [m for first, last in in_lots(texts) for m in fingerprints(texts[first:last])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(marks, pa.string())], ["doc_id", "text", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, fingerprint string")
 

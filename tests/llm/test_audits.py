@@ -83,11 +83,25 @@ def slow_fingerprint(text):
     out, level = [], 0
     while level == 0 or 128 << (level - 1) < step:
         for s in fingerprints.sampled_steps(level).tolist():
-            out.append(int(fingerprints.mixed(3, read[s] if s < step else fingerprints.END, s) >> np.uint64(33)) & 1)
+            out.append(int(fingerprints.mixed(fingerprints.mixed(3, s), read[s] if s < step else fingerprints.END) >> np.uint64(33)) & 1)
         level += 1
     return f"{step:x}-{np.packbits(out).tobytes().hex()}"
 
 
+def test_walks_together_equal_walks_alone():
+    rng = random.Random(4)
+    texts = [fingerprints.code_points("".join(rng.choice("abc 漢𝒳") for _ in range(rng.choice([0, 1, 7, 50, 300, 4000])))) for _ in range(150)]
+    firsts = [rng.randrange(10**6) for _ in texts]
+    for together in (1, 3, 48, 1000):
+        got = fingerprints.walks(texts, firsts, together)
+        for t, f, w in zip(texts, firsts, got, strict=True):
+            step, want = f, [f]
+            for c in t.tolist():
+                step += fingerprints.advances()[fingerprints.kinds()[c]][step % fingerprints.PERIOD]
+                want.append(step)
+            assert w.tolist() == want
+
+
 def brute_fingerprints(rows):
     own = sorted(rows, key=lambda r: r[0])
     out = []
@@ -132,7 +146,7 @@ def test_likeness_falls_with_edits():
             for _ in range(edits):
                 at = rng.randrange(len(own))
                 own[at : at + rng.randrange(2)] = rng.choice("xyz")
-            got.append(fingerprints.likeness(*(fingerprints.Walk(fingerprints.code_points("".join(t))).fingerprint() for t in (text, own))))
+            got.append(fingerprints.likeness(*fingerprints.fingerprints([text, "".join(own)])))
         means.append(sum(got) / len(got))
     assert means[0] == 1 and means[1] > 0.9 and means == sorted(means, reverse=True) and means[3] < 0.35, means
 
