@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.packs import Pack
 from . import structure as S
+from .matching import Lexicon, chosen
 
 
 def graded(n: Column, advisory: float | None, blocking: float | None) -> Column:
@@ -20,14 +21,11 @@ def graded(n: Column, advisory: float | None, blocking: float | None) -> Column:
     return out
 
 
-def findings(rows: DataFrame, kind: str, n: Column, advisory: float | None, blocking: float | None) -> DataFrame:
-    return rows.select("doc_id", F.lit(kind).alias("type"), graded(n, advisory, blocking).alias("severity"), n.cast("long").alias("n")).where("severity is not null")
-
-
-def term_findings(docs: DataFrame, kind: str, terms, advisory: float | None, blocking: float | None, pack: Pack | None = None) -> DataFrame:
-    """Occurrences of terms in a whole text, or with ``pack`` in its narrative."""
-    rows = docs if pack is None else S.narrative_texts(docs, pack)
-    return findings(rows, kind, T.count_terms("text" if pack is None else "narrative", terms), advisory, blocking)
+def list_counts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc_id, list, n: how often the terms of each list occur, without lists that a text has nothing of."""
+    names = F.array(*map(F.lit, lexicon.lists))
+    pairs = F.zip_with(names, lexicon.counts("text"), lambda k, n: F.struct(k.alias("list"), n.alias("n")))
+    return docs.select("doc_id", F.explode(F.filter(pairs, lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.list", "x.n")
 
 
 def long_paragraphs(docs: DataFrame, pack: Pack, limit: int = 200) -> DataFrame:
@@ -35,27 +33,6 @@ def long_paragraphs(docs: DataFrame, pack: Pack, limit: int = 200) -> DataFrame:
     return S.narrative_lines(docs, pack).where(F.length("line") > limit).select("doc_id", "line_no", F.length("line").cast("long").alias("n"))
 
 
-def dashes(docs: DataFrame, pack: Pack) -> DataFrame:
-    rows = S.prose_lines(docs).groupBy("doc_id").agg(F.sum(T.count_matches("line", "——|—|--+")).alias("c"))
-    return findings(rows, "em-dash", F.col("c"), 5, 8)
-
-
-def connectors(docs: DataFrame, pack: Pack) -> DataFrame:
-    """Connectors right before a punctuation mark."""
-    pattern = "(" + "|".join(pack.lists["connectors"]) + ")[,，。！？!?.]"
-    return findings(S.narrative_texts(docs, pack), "ai-connector", T.count_matches("narrative", pattern), 1, None)
-
-
-def similes(docs: DataFrame, pack: Pack, least: int = 200) -> DataFrame:
-    """Similes for each 1000 visible characters of narrative: above 3 advisory, above 4 blocking; n is the density in millionths."""
-    count = F.lit(0)
-    for p in pack.similes:
-        count = count + T.count_matches("narrative", p)
-    rows = S.narrative_texts(docs, pack).select("doc_id", count.alias("c"), T.visible_length("narrative", pack.visible).alias("v")).where(F.col("v") >= least)
-    density = F.col("c") * 1000.0 / F.nullif(F.col("v"), F.lit(0))
-    return rows.select("doc_id", F.lit("metaphor-density").alias("type"), F.when(density > 4, "blocking").when(density > 3, "advisory").alias("severity"), T.scaled(density).alias("n")).where("severity is not null")
-
-
 def repeated_images(docs: DataFrame, pack: Pack) -> DataFrame:
     """doc_id, term, severity, n: images on three and more lines of narrative."""
     term = F.explode(F.array(*[F.lit(t) for t in pack.lists["imagery"]]))
@@ -64,12 +41,6 @@ def repeated_images(docs: DataFrame, pack: Pack) -> DataFrame:
     return n.select("doc_id", "term", graded(F.col("n"), 3, 5).alias("severity"), F.col("n").cast("long")).where("severity is not null")
 
 
-def low_variety(docs: DataFrame, pack: Pack, tokens: str = "[A-Za-z0-9]+|[一-鿿]", least: int = 200) -> DataFrame:
-    """Texts of ``least`` characters whose poorest window of tokens has under a quarter distinct; n in millionths."""
-    rows = docs.where(F.length("text") >= least).select("doc_id", S.windows_ttr(F.regexp_extract_all("text", F.lit(tokens), F.lit(0))).alias("_t"))
-    return rows.where("_t < 0.25").select("doc_id", F.lit("ttr-low").alias("type"), F.lit("advisory").alias("severity"), T.scaled(F.col("_t")).alias("n"))
-
-
 def runs(rows: DataFrame, hit: Column, least: int, *by: str, order: str) -> DataFrame:
     """by, start, n: maximal runs of ``least`` and more rows in order where ``hit`` holds; other rows end a run."""
     w = Window.partitionBy(*by).orderBy(order)
@@ -90,32 +61,6 @@ def dialogue_streaks(docs: DataFrame, pack: Pack, least: int = 6, most: int = 8)
     return found.withColumn("severity", graded(F.col("n"), least, most))
 
 
-def stacked_starts(docs: DataFrame, pack: Pack, least: int = 3) -> DataFrame:
-    starts = F.lit(False)
-    for t in pack.lists["starts"]:
-        starts = starts | F.startswith("line", F.lit(t))
-    rows = S.lines(docs).withColumn("line", T.jtrim("line")).where("line <> ''").groupBy("doc_id").agg(F.count_if(starts).alias("c"))
-    return findings(rows, "transition-stacking", F.col("c"), least, None)
-
-
-def prefix_triples(docs: DataFrame, pack: Pack) -> DataFrame:
-    """Three sentences running that share their first characters (up to four, two at least)."""
-    w = Window.partitionBy("doc_id").orderBy("sentence_no")
-    rows = S.sentence_rows(docs, pack).select("doc_id", "sentence", F.lead("sentence", 1).over(w).alias("b"), F.lead("sentence", 2).over(w).alias("c")).where("c is not null")
-    k = F.least(F.lit(4), F.length("sentence"), F.length("b"), F.length("c"))
-    same = (k >= 2) & (F.substring("sentence", F.lit(1), k) == F.substring("b", F.lit(1), k)) & (F.substring("sentence", F.lit(1), k) == F.substring("c", F.lit(1), k))
-    return findings(rows.where(same).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")), "parallelism-abuse", F.col("c"), None, 1)
-
-
-def negation_parallels(docs: DataFrame, pack: Pack) -> DataFrame:
-    """Two clauses running that start with a negation; a lifting end counts on lines that have no such pair."""
-    no = "(?:没有|不是|并非)"
-    pair = no + "[^，。；！？\n]{2,30}[，]" + no + "[^，。；！？\n]{2,30}[，]"
-    lift = no + "[^，。；！？\n]{2,60}[，].*?(?:而是|只有|那是一种|那是|只剩|唯有)"
-    rows = S.narrative_lines(docs, pack).where("visible > 0").select("doc_id", T.count_matches("narrative", pair).alias("a"), T.count_matches("narrative", lift).alias("b"))
-    return findings(rows.groupBy("doc_id").agg(F.sum(F.when(F.col("a") > 0, F.col("a")).otherwise(F.least("b", F.lit(1)))).alias("c")), "negation-parallelism", F.col("c"), None, 1)
-
-
 def adjacent_repeats(docs: DataFrame, pack: Pack, least: int = 8) -> DataFrame:
     """doc_id, line_no: content lines equal to the content line before, with enough narrative."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
@@ -157,11 +102,6 @@ def meta_leaks(docs: DataFrame, pack: Pack) -> DataFrame:
     return told.select("doc_id", "line_no", severity.alias("severity")).where("severity is not null")
 
 
-def contrast_counts(docs: DataFrame, pattern: str, least: int = 2) -> DataFrame:
-    """Texts with two contrasts of the plain kind and more."""
-    return findings(docs, "parallelism-abuse", T.count_matches("text", pattern), least, None)
-
-
 def common_sets(docs: DataFrame, k: int = 20, n: int = 3) -> DataFrame:
     """doc_id, grams: the k commonest n-grams of a text's letters, as a set."""
     from .rhythm import top_ngrams
@@ -217,11 +157,8 @@ def entities(docs: DataFrame, patterns: dict[str, str] = ENTITIES, stop: tuple[s
 
 def category_hits(c: str, pack: Pack) -> Column:
     """Category of each longest match, left to right; excluded compounds are consumed and dropped."""
-    words = {w: k for k, ws in pack.categories.items() for w in ws}
-    terms = sorted({*words, *pack.excludes}, key=lambda w: (-len(w), w))
-    lookup = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
-    found = F.regexp_extract_all(F.col(c), F.lit("|".join(terms)), F.lit(0))
-    return F.filter(F.transform(F.filter(found, lambda w: ~w.isin(*pack.excludes)), lambda w: F.try_element_at(lookup, w)), lambda k: k.isNotNull())
+    category = {w: k for k, ws in pack.categories.items() for w in ws if w not in pack.excludes}
+    return chosen(Lexicon({"": [*(w for ws in pack.categories.values() for w in ws), *pack.excludes]}).longest(c), category)
 
 
 def emotion_profile(docs: DataFrame, pack: Pack) -> DataFrame:
@@ -231,14 +168,6 @@ def emotion_profile(docs: DataFrame, pack: Pack) -> DataFrame:
     return rows.select("doc_id", F.size("_h").cast("long").alias("hits"), F.size(F.array_distinct("_h")).cast("long").alias("kinds"), "chars", T.scaled(F.size("_h") * 1000.0 / F.nullif("chars", F.lit(0))).alias("density"))
 
 
-def emotion_findings(docs: DataFrame, pack: Pack) -> DataFrame:
-    """Too few or many hits for each 1000 characters, and too few categories."""
-    rows = emotion_profile(docs, pack).where("chars > 0")
-    low = rows.select("doc_id", F.lit("emotion-density").alias("type"), F.when(F.col("density") < 3_000_000, "advisory").when(F.col("density") > 15_000_000, "blocking").alias("severity"), F.col("density").alias("n"))
-    few = rows.select("doc_id", F.lit("emotion-variety").alias("type"), F.when(F.col("kinds") < 3, "advisory").alias("severity"), F.col("kinds").alias("n"))
-    return low.unionByName(few).where("severity is not null")
-
-
 def emotion_curve(docs: DataFrame, pack: Pack) -> DataFrame:
     """doc_id, type: thirds with the same categories, or an empty first or last third."""
     hits = lambda i: F.array_sort(F.array_distinct(F.col(f"_{i}")))
@@ -250,8 +179,9 @@ def emotion_curve(docs: DataFrame, pack: Pack) -> DataFrame:
 
 def monotone_words(docs: DataFrame, pack: Pack) -> DataFrame:
     """doc_id, term, severity, n: one category word five and more times."""
-    words = sorted({w for ws in pack.categories.values() for w in ws} | set(pack.excludes), key=lambda w: (-len(w), w))
-    rows = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("|".join(words)), F.lit(0))).alias("term")).where(~F.col("term").isin(*pack.excludes))
+    lexicon = Lexicon({"": [*(w for ws in pack.categories.values() for w in ws), *pack.excludes]})
+    found = F.filter(F.transform(lexicon.longest("text"), lambda x: x["term"]), lambda w: ~w.isin(*pack.excludes))
+    rows = docs.select("doc_id", found.alias("_w")).select("doc_id", F.explode("_w").alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "term", graded(F.col("n"), 5, 8).alias("severity"), "n").where("severity is not null")
 
 
@@ -264,22 +194,10 @@ def anchor_delivery(docs: DataFrame, pack: Pack, anchors: DataFrame) -> DataFram
 
 
 def slang_hits(docs: DataFrame, pack: Pack, *keep: str) -> DataFrame:
-    """doc_id, term, grade, pos (from 1) of every occurrence; overlapping terms are all reported."""
-    def places(t: str, grade: str) -> Column:
-        hits = T.spans(F.split("text", r"\Q" + t + r"\E", -1), F.regexp_extract_all("text", F.lit(r"\Q" + t + r"\E"), F.lit(0)))
-        found = F.transform(hits, lambda x: F.struct(F.lit(t).alias("term"), F.lit(grade).alias("grade"), x["pos"].cast("long").alias("pos")))
-        return F.when(F.contains("text", F.lit(t)), found).otherwise(F.array().cast("array<struct<term:string,grade:string,pos:bigint>>"))
-
-    every = F.flatten(F.array(*[places(t, grade) for grade, terms in pack.grades.items() for t in terms]))
-    out = docs.select("doc_id", *keep, "text", every.alias("_h")).select("doc_id", *keep, "text", F.explode("_h").alias("x"))
-    return out.select("doc_id", *keep, "x.term", "x.grade", "x.pos", T.snippet("text", F.col("x.pos").cast("int"), 30).alias("before"))
-
-
-def slang_density(docs: DataFrame, pack: Pack, limit: int = 3) -> DataFrame:
-    n = F.lit(0)
-    for terms in pack.grades.values():
-        n = n + T.count_terms("text", terms)
-    return findings(docs, "slang-density", n, limit + 1, None)
+    """doc_id, keep, term, grade, pos (from 1), before (30 characters) of every occurrence; overlapping terms are all reported."""
+    grade = F.create_map(*[F.lit(x) for g, terms in pack.grades.items() for t in terms for x in (t, g)])
+    rows = docs.select("doc_id", *keep, "text", Lexicon(pack.grades).places("text").alias("_h")).select("doc_id", *keep, "text", F.explode("_h").alias("x"))
+    return rows.select("doc_id", *keep, "x.term", F.try_element_at(grade, F.col("x.term")).alias("grade"), F.col("x.pos").cast("long").alias("pos"), T.snippet("text", F.col("x.pos"), 30).alias("before"))
 
 
 def slang_clusters(docs: DataFrame, pack: Pack, near: int = 100) -> DataFrame:
@@ -292,17 +210,17 @@ def slang_clusters(docs: DataFrame, pack: Pack, near: int = 100) -> DataFrame:
 def genre_conflicts(docs: DataFrame, pack: Pack, genre: str) -> DataFrame:
     """doc_id, grade, n: hits of grades that the document's genre does not allow; unknown genres allow none."""
     allowed = F.create_map(*[F.lit(x) for g, ok in pack.genres.items() for x in (g, ",".join(ok))])
-    ok = F.coalesce(F.try_element_at(allowed, F.col(genre)), F.lit(""))
-    counts = F.array(*[F.struct(F.lit(g).alias("grade"), F.when(~F.contains(ok, F.lit(g)), T.count_terms("text", terms)).otherwise(0).alias("n")) for g, terms in pack.grades.items()])
-    return docs.select("doc_id", F.explode(counts).alias("x")).select("doc_id", "x.grade", "x.n").where("n > 0")
+    lexicon = Lexicon(pack.grades)
+    rows = docs.select("doc_id", F.coalesce(F.try_element_at(allowed, F.col(genre)), F.lit("")).alias("_ok"), lexicon.counts("text").alias("_n"))
+    counts = F.array(*[F.struct(F.lit(g).alias("grade"), F.when(~F.contains("_ok", F.lit(g)), lexicon.count("_n", g)).otherwise(0).alias("n")) for g in pack.grades])
+    return rows.select("doc_id", F.explode(counts).alias("x")).select("doc_id", "x.grade", "x.n").where("n > 0")
 
 
 def stale_slang(docs: DataFrame, pack: Pack, grades=("B", "C"), chapters: int = 50) -> DataFrame:
     """book, n: hits of short-lived grades in books of more than ``chapters`` chapters."""
-    n = F.lit(0)
-    for g in grades:
-        n = n + T.count_terms("text", pack.grades[g])
-    rows = docs.groupBy(F.col("source").alias("book")).agg(F.count(F.lit(1)).alias("chapters"), F.sum(n).cast("long").alias("n"))
+    lexicon = Lexicon({"": [w for g in grades for w in pack.grades[g]]})
+    each = docs.select(F.col("source").alias("book"), lexicon.count(lexicon.counts("text"), "").alias("n"))
+    rows = each.groupBy("book").agg(F.count(F.lit(1)).alias("chapters"), F.sum("n").cast("long").alias("n"))
     return rows.where((F.col("chapters") > chapters) & (F.col("n") > 0)).select("book", "n")
 
 

@@ -111,28 +111,6 @@ def contradictions(docs: DataFrame, ages: DataFrame, dead: DataFrame, oldest: fl
     return old.unionByName(seen).groupBy("doc_id").agg(F.sum("issues").alias("issues"))
 
 
-def even_information(docs: DataFrame, pack: Pack, words: tuple = (), size: int = 500) -> DataFrame:
-    """Texts of two and more segments whose density of information hardly varies over three and more; n is the variance in millionths."""
-    rows = docs.where(F.length("text") >= 2 * size).select("doc_id", densities(F.col("text"), pack, words, size).alias("_d")).where(F.size("_d") >= 3)
-    mean = _sum(F.col("_d")) / F.size("_d")
-    rows = rows.select("doc_id", T.let(mean, lambda m: _sum(F.transform("_d", lambda x: (x - m) * (x - m))) / F.size("_d")).alias("_v"))
-    return rows.where("_v < 0.002").select("doc_id", F.lit("info-density-uniform").alias("type"), F.lit("advisory").alias("severity"), T.scaled(F.col("_v")).alias("n"))
-
-
-def burstiness(docs: DataFrame, pack: Pack, least: int = 8) -> DataFrame:
-    """Even lengths of narrated sentences: variation under .35 blocking, under .5 advisory; n is the variation in millionths."""
-    told = F.transform(F.filter(S.prose(F.coalesce("text", F.lit(""))), lambda x: (x["line"] != "") & ~T.is_divider(x["line"]) & ~T.is_structural(x["line"])), lambda x: T.strip_quoted(x["line"]))
-    lengths = F.flatten(F.transform(told, lambda x: F.transform(T.sentences(x, pack.ends), lambda s: T.visible_length(s, pack.visible))))
-
-    def found(v: Column) -> Column:
-        severity = lambda cv: F.when(cv < 0.35, "blocking").otherwise("advisory")
-        return T.let(S.spread(v)[2], lambda cv: F.when((F.size(v) >= least) & (cv < 0.5), F.array(F.struct(severity(cv).alias("severity"), T.scaled(cv).alias("n")))))
-
-    # an array of one finding or none: a filter on computed columns would compute them twice
-    rows = docs.select("doc_id", F.explode(T.let(F.filter(lengths, lambda n: n > 0), found)).alias("x"))
-    return rows.select("doc_id", F.lit("burstiness").alias("type"), "x.severity", "x.n")
-
-
 def canonical_checks(docs: DataFrame, genre: str, aliases: dict[str, str], checks: dict[str, tuple], default: str) -> DataFrame:
     """doc_id, genre, checks: a document's genre by its alias, or ``default``, and the checks that it enables."""
     known = F.create_map(*[F.lit(x) for a, c in {**{k: k for k in checks}, **aliases}.items() for x in (a, c)])

@@ -19,6 +19,8 @@ from ..operators import rewriting as W
 from ..operators import rhythm as H
 from ..operators import scores as X
 from ..operators import structure as S
+from ..operators.matching import Lexicon
+from ..operators.scan import Scan
 from . import oracle as O
 
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
@@ -37,6 +39,7 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     L = P.lists
     #: Words that hold a verb of the Latin pack, for the maximum matching of the scores.
     WORDS = ("good", "der", "des", "lado", "isch")
+    SCAN = Scan(P, WORDS)
     found: Queries = {}
     stated: dict[str, str] = {}
 
@@ -111,7 +114,7 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     )
     over_documents(
         "lexicon_hits",
-        lambda d: d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("list"), T.count_terms("text", ws).alias("n")) for k, ws in L.items()])).alias("x")).select("doc_id", "x.list", "x.n").where("n > 0"),
+        lambda d: D.list_counts(d, Lexicon(L)),
         " union all ".join(f"select doc_id, {O.q(k)} as list, {O.terms('text', ws)}::bigint as n from documents where {O.terms('text', ws)} > 0" for k, ws in L.items()),
     )
     over_documents(
@@ -138,8 +141,8 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
 
     # detectors
     over_documents("long_paragraph", lambda d: D.long_paragraphs(d, P), with_(O.lines(P)) + "select doc_id, line_no, length(line)::bigint as n from nl where length(line) > 200")
-    over_documents("dash_count", lambda d: D.dashes(d, P), with_(O.lines(P), f"d as (select doc_id, sum({O.count('line', '——|—|--+')}) as c from p group by doc_id)") + O.finding("d", "em-dash", "c", 5, 8))
-    over_documents("connector_hits", lambda d: D.connectors(d, P), with_(O.lines(P)) + O.finding("nt", "ai-connector", O.count("narrative", "(?:" + "|".join(L["connectors"]) + ")[,，。！？!?.]"), 1, None))
+    over_documents("dash_count", lambda d: SCAN.findings(d, "dash_count"), with_(O.lines(P), f"d as (select doc_id, sum({O.count('line', '——|—|--+')}) as c from p group by doc_id)") + O.finding("d", "em-dash", "c", 5, 8))
+    over_documents("connector_hits", lambda d: SCAN.findings(d, "connector_hits"), with_(O.lines(P)) + O.finding("nt", "ai-connector", O.count("narrative", "(?:" + "|".join(L["connectors"]) + ")[,，。！？!?.]"), 1, None))
     for _name, _kind, _list, _a, _b, _whole in (
         ("emotion_direct", "emotion-direct", "emotion_direct", 1, None, False),
         ("banned_terms", "narrative-ban-a", "ban_a", None, 1, False),
@@ -151,12 +154,12 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     ):
         over_documents(
             _name,
-            lambda d, k=_kind, t=L[_list], a=_a, b=_b, whole=_whole: D.term_findings(d, k, t, a, b, None if whole else P),
+            lambda d, k=_name: SCAN.findings(d, k),
             O.finding("documents", _kind, O.terms("text", L[_list]), _a, _b) if _whole else with_(O.lines(P)) + O.finding("nt", _kind, O.terms("narrative", L[_list]), _a, _b),
         )
     over_documents(
         "simile_density",
-        lambda d: D.similes(d, P),
+        lambda d: SCAN.findings(d, "simile_density"),
         with_(O.lines(P), f"d as (select doc_id, ({' + '.join(O.count('narrative', p) for p in P.similes)}) * 1000.0::double / {O.count('narrative', P.visible)} as x from nt where {O.count('narrative', P.visible)} >= 200)")
         + f"select doc_id, 'metaphor-density' as type, case when x > 4 then 'blocking' else 'advisory' end as severity, {O.scaled('x')} as n from d where x > 3",
     )
@@ -165,16 +168,16 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     NARRATED = with_(O.lines(P), f"ss as (select doc_id, list(n) filter (where n > 0) as v from (select doc_id, len(regexp_extract_all(unnest({O.sents('narrative', P)}), {O.q(P.visible)})) as n from nl) group by doc_id)")
     over_documents(
         "burstiness",
-        lambda d: X.burstiness(d, P),
+        lambda d: SCAN.findings(d, "burstiness"),
         NARRATED + f"select doc_id, 'burstiness' as type, case when cv < 0.35 then 'blocking' else 'advisory' end as severity, {O.scaled('cv')} as n from (select doc_id, {_cv} as cv from ss where len(v) >= 8) where cv < 0.5",
     )
-    over_documents("ttr_low", lambda d: D.low_variety(d, P), "with t as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[一-鿿]') as t from documents where length(text) >= 200), r as (select doc_id, case when len(t) < 50 then 0 when len(t) < 500 then len(list_distinct(t))::double / len(t) else list_min(list_transform(range(0, len(t) // 500), lambda i: len(list_distinct(t[i * 500 + 1 : i * 500 + 500]))::double / 500)) end as x from t) " + f"select doc_id, 'ttr-low' as type, 'advisory' as severity, {O.scaled('x')} as n from r where x < 0.25")
+    over_documents("ttr_low", lambda d: SCAN.findings(d, "ttr_low"), "with t as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[一-鿿]') as t from documents where length(text) >= 200), r as (select doc_id, case when len(t) < 50 then 0 when len(t) < 500 then len(list_distinct(t))::double / len(t) else list_min(list_transform(range(0, len(t) // 500), lambda i: len(list_distinct(t[i * 500 + 1 : i * 500 + 500]))::double / 500)) end as x from t) " + f"select doc_id, 'ttr-low' as type, 'advisory' as severity, {O.scaled('x')} as n from r where x < 0.25")
     over_documents("short_sentence_runs", lambda d: D.short_sentence_runs(d, P), with_(O.sentences(P), "v as (select * from s where visible > 0)") + O.runs("v", "visible <= 5", 6, "doc_id", "sentence_no"))
     over_documents("dialogue_streak", lambda d: D.dialogue_streaks(d, P), with_(O.lines(P), "g as (" + O.runs("p", f"regexp_matches(line, '[“”‘’「」『』\"]') and {O.count(O.strip('line'), P.visible)} <= 10", 6, "doc_id", "line_no") + ")") + "select *, case when n >= 8 then 'blocking' else 'advisory' end as severity from g")
-    over_documents("transition_stacking", lambda d: D.stacked_starts(d, P), with_(O.lines(P), "d as (select doc_id, count(*) filter (where " + " or ".join(f"starts_with(line, {O.q(t)})" for t in L["starts"]) + ") as c from p0 where line <> '' group by doc_id)") + O.finding("d", "transition-stacking", "c", 3, None))
+    over_documents("transition_stacking", lambda d: SCAN.findings(d, "transition_stacking"), with_(O.lines(P), "d as (select doc_id, count(*) filter (where " + " or ".join(f"starts_with(line, {O.q(t)})" for t in L["starts"]) + ") as c from p0 where line <> '' group by doc_id)") + O.finding("d", "transition-stacking", "c", 3, None))
     over_documents(
         "prefix_triples",
-        lambda d: D.prefix_triples(d, P),
+        lambda d: SCAN.findings(d, "prefix_triples"),
         with_(
             O.sentences(P),
             "t as (select doc_id, sentence as a, lead(sentence, 1) over (partition by doc_id order by sentence_no) as b, lead(sentence, 2) over (partition by doc_id order by sentence_no) as c from s)",
@@ -197,7 +200,7 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
         with_(O.lines(P), f"w as (select *, row_number() over (partition by doc_id order by line_no) = 1 and regexp_matches(line, {O.re2(P.title)}) as title, {O.any_of('line', L['meta_1'])} as one from p where not blank)")
         + f"select * from (select doc_id, line_no, case when one and not regexp_matches(line, '[\"''「」『』【】]') then 'blocking' when one or regexp_matches(line, {O.re2(P.meta_2)}) then 'advisory' end as severity from w where not title) where severity is not null",
     )
-    over_documents("contrast_counts", lambda d: D.contrast_counts(d, P.blocking[0]), O.finding("documents", "parallelism-abuse", O.count("text", P.blocking[0]), 2, None))
+    over_documents("contrast_counts", lambda d: SCAN.findings(d, "contrast_counts"), O.finding("documents", "parallelism-abuse", O.count("text", P.blocking[0]), 2, None))
     over_documents(
         "emotion_density",
         lambda d: D.emotion_profile(d, P),
@@ -205,7 +208,7 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     )
     over_documents(
         "emotion_variety",
-        lambda d: D.emotion_findings(d, P),
+        lambda d: SCAN.findings(d, "emotion_variety"),
         f"with h as (select doc_id, {O.hits('text', P)} as h, length(regexp_replace(text, '\\s', '', 'g')) as n from documents), e as (select doc_id, len(list_distinct(h)) as kinds, {O.scaled('len(h) * 1000.0::double / nullif(n, 0)')} as density from h where n > 0) select * from (select doc_id, 'emotion-density' as type, case when density < 3000000 then 'advisory' when density > 15000000 then 'blocking' end as severity, density as n from e union all select doc_id, 'emotion-variety', case when kinds < 3 then 'advisory' end, kinds::bigint from e) where severity is not null",
     )
     _SET = lambda i: f"list_sort(list_distinct(h{i}))"
@@ -222,7 +225,7 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
         lambda d: D.monotone_words(d, P),
         f"select doc_id, term, case when count(*) >= 8 then 'blocking' else 'advisory' end as severity, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, {O.q(_WORDS)})) as term from documents) where term not in ({', '.join(O.q(x) for x in P.excludes)}) group by doc_id, term having count(*) >= 5",
     )
-    over_documents("slang_density", lambda d: D.slang_density(d, P), O.finding("documents", "slang-density", " + ".join(O.terms("text", t) for t in P.grades.values()), 4, None))
+    over_documents("slang_density", lambda d: SCAN.findings(d, "slang_density"), O.finding("documents", "slang-density", " + ".join(O.terms("text", t) for t in P.grades.values()), 4, None))
     _SLANG = "g as (" + " union all ".join(f"select doc_id, text, {O.q(w)} as term, x.pos as pos from (select doc_id, text, unnest({O.spans('text', re.escape(w))}) as x from documents where contains(text, {O.q(w)}))" for ws in P.grades.values() for w in ws) + ")"
     over_documents(
         "slang_clustering",
@@ -242,14 +245,14 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
     over_documents("slang_staleness", lambda d: D.stale_slang(d, P), f"select book, n from (select source as book, count(*) as chapters, sum({' + '.join(O.terms('text', P.grades[g]) for g in ('B', 'C'))})::bigint as n from documents group by source) where chapters > 50 and n > 0")
     over_documents(
         "info_density",
-        lambda d: X.even_information(d, P, WORDS),
+        lambda d: SCAN.findings(d, "info_density"),
         f"with d as (select doc_id, {O.densities('text', P, WORDS)} as d from documents where length(text) >= 1000), m as (select doc_id, d, list_sum(d) / len(d) as m from d where len(d) >= 3), v as (select doc_id, list_sum(list_transform(d, lambda x: (x - m) * (x - m))) / len(d) as v from m) select doc_id, 'info-density-uniform' as type, 'advisory' as severity, {O.scaled('v')} as n from v where v < 0.002",
     )
     _NO = "(?:没有|不是|并非)"
     _PAIR, _LIFT = _NO + "[^，。；！？\n]{2,30}[，]" + _NO + "[^，。；！？\n]{2,30}[，]", _NO + "[^，。；！？\n]{2,60}[，].*?(?:而是|只有|那是一种|那是|只剩|唯有)"
     over_documents(
         "negation_parallel",
-        lambda d: D.negation_parallels(d, P),
+        lambda d: SCAN.findings(d, "negation_parallel"),
         with_(O.lines(P), f"d as (select doc_id, sum(case when a > 0 then a else least(b, 1) end) as c from (select doc_id, {O.count('narrative', _PAIR)} as a, {O.count('narrative', _LIFT)} as b from nl where visible > 0) group by doc_id)") + O.finding("d", "negation-parallelism", "c", None, 1),
     )
 
@@ -347,9 +350,8 @@ p as (select s.conv_id, s.role, case when chars > 0 then [{', '.join(_VOICE)}] e
     DETECTORS = ("dash_count", "connector_hits", "emotion_direct", "banned_terms", "banned_terms_b", "transition_pattern", "vague_time", "cliche_terms", "breathy_tags", "simile_density", "burstiness", "ttr_low", "transition_stacking", "prefix_triples", "emotion_variety", "slang_density", "info_density", "negation_parallel", "contrast_counts")
 
     def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Rows of all detectors; each reads the texts once, narrow rows are united."""
-        parts = [found[k](spark, sf_dir).select("doc_id", "type", "severity", "n") for k in DETECTORS]
-        return reduce(DataFrame.unionByName, parts)
+        """Rows of all detectors, from one pass over the texts."""
+        return SCAN.findings(table(spark, sf_dir, "documents"), *DETECTORS)
 
     _ALL = " union all ".join(f"select doc_id, type, severity, n from ({stated[k]})" for k in DETECTORS)
     found["all_findings"], stated["all_findings"] = all_findings, _ALL
