@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,12 +154,6 @@ def latest(docs: DataFrame, n: int = 5) -> DataFrame:
     return S.chapters(docs.select("source", "doc_id")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("book", "chapter_no", "doc_id")
 
 
-def due_for_check(progress: DataFrame, tracker: DataFrame, every: int = 5) -> DataFrame:
-    """book, chapter_no: books at least ``every`` chapters past their last check; ``tracker(book, checked)`` may lack books."""
-    now = progress.groupBy("book").agg(F.max("chapter_no").alias("chapter_no"))
-    return now.join(tracker, "book", "left").where(F.col("chapter_no") - F.coalesce("checked", F.lit(0)) >= every).select("book", "chapter_no")
-
-
 def used_patterns(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """book, label, total, chapters: matches of labelled patterns, and the chapters that have one."""
     counts = F.array(*[F.struct(F.lit(label).alias("label"), T.count_matches("text", p).alias("n")) for label, p in patterns.items()])
@@ -237,44 +230,3 @@ def speakers(docs: DataFrame, names: list[str], speech: str = SPEECH) -> DataFra
         who["only"] = F.when(F.contains("before", F.lit(n)) & ~others, F.lit(n)).otherwise(who["only"])
     said = F.expr("substring(span, 2, length(span) - 2)")
     return cut.select("doc_id", "line_no", said.alias("said"), F.coalesce(*who.values()).alias("speaker")).where("speaker is not null and said <> ''")
-
-
-def merge_deltas(deltas: DataFrame) -> DataFrame:
-    """book, seq, chapter, status, reason and the state after each delta of ``deltas(book, seq, chapter, age, alive)``, in order of arrival ``seq``.
-
-    A delta that skips a chapter, revives the dead or lowers an age is degraded
-    and leaves the state as it is; the others are merged.  A book's deltas are
-    sorted by Spark and pass through a task batch by batch with one row of state,
-    so a book of any length needs no more memory than a batch.
-    """
-    schema = "book string, seq long, chapter long, status string, reason string, last_chapter long, age double, alive boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def fold(batches):
-        book, state = object(), None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.book != book:
-                    book, state = r.book, (0, None, True)
-                status, reason, state = step(state, r.chapter, r.age, r.alive)
-                out.append((r.book, r.seq, r.chapter, status, reason, *state))
-            yield pd.DataFrame(out, columns=names)
-
-    dealt = deltas.select("book", "seq", "chapter", "age", "alive").repartition("book").sortWithinPartitions("book", "seq")
-    return dealt.mapInPandas(fold, schema)
-
-
-def step(state: tuple, chapter: int, age: float | None, alive: bool | None) -> tuple:
-    """(status, reason, state) after one delta."""
-    last, old, lives = state
-    reason = None
-    if chapter != last + 1:
-        reason = "continuity"
-    elif not lives and alive:
-        reason = "resurrection"
-    elif age is not None and age == age and old is not None and age < old:
-        reason = "age"
-    if reason:
-        return "degraded", reason, state
-    return "synced", None, (chapter, age if age is not None and age == age else old, lives if alive is None else bool(alive))

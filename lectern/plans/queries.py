@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.packs import LATIN, ZH, Pack
 from ..operators import consistency as C
+from ..operators import deltas as E
 from ..operators import detectors as D
 from ..operators import reconcile as R
 from ..operators import reviews as V
@@ -22,6 +22,7 @@ from ..operators import structure as S
 from ..operators.matching import Lexicon
 from ..operators.scan import Scan
 from . import oracle as O
+from . import story
 
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 
@@ -427,12 +428,13 @@ p as (select s.conv_id, s.role, case when chars > 0 then [{', '.join(_VOICE)}] e
 
         w = Window.partitionBy("user_id").orderBy("event_id")
         n = F.row_number().over(w)
-        return t("events").select(F.col("user_id").cast("string").alias("book"), F.col("event_id").alias("seq"), F.when(n % 7 == 0, n + 1).otherwise(n - F.floor(n / 7)).cast("long").alias("chapter"), F.lit(None).cast("double").alias("age"), F.lit(True).alias("alive"))
+        one = F.struct(F.array(F.struct(F.lit("c").alias("id"), F.lit(True).alias("alive"), F.lit(None).alias("combat_level"))).alias("character_states"), *[F.lit(None).alias(c) for c in ("number_anchors_updated", "foreshadowing_ops", "knowledge_boundary_updates", "timeline")])
+        return t("events").select(F.col("user_id").cast("string").alias("book"), F.col("event_id").alias("seq"), F.when(n % 7 == 0, n + 1).otherwise(n - F.floor(n / 7)).cast("long").alias("chapter"), one.cast(E.DELTA).alias("delta"))
 
 
     over_tables(
         "delta_validate",
-        lambda t: H.merge_deltas(_deltas(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
+        lambda t: E.rulings(_deltas(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
         "select case when r % 7 = 0 then 'degraded' else 'synced' end as status, count(*) as n from (select row_number() over (partition by user_id order by event_id) as r from events) group by 1",
     )
     over_tables(
@@ -677,6 +679,7 @@ r as (select *, row_number() over (partition by doc_id order by n desc, first) a
         case when not bad and tk in ('BIGINT', 'UBIGINT') and k % 2 <> 0 then 'enum' end, case when not bad and tk in ('BIGINT', 'UBIGINT') and k < 10 then 'minimum' end, case when not bad and tk in ('BIGINT', 'UBIGINT') and k > 80 then 'maximum' end, case when not bad and tz is not null and tz <> 'VARCHAR' then 'type' end], lambda x: x is not null)) as error from k""",
     )
 
+    story.register(P, over_documents, over_tables)
     return found, stated
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.deltas import DELTA
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -74,8 +75,8 @@ SCHEMAS = {
     "rules": "rules array<struct<id:string,enabled:boolean,threshold:double,severity:string>>",
     "manifest": "samples array<struct<id:string,file:string,sha256:string,objective_score:double,blocking:long,advisory:long>>",
     "handoff": "chapter_no long, p0_fields struct<character_states:array<string>,forbidden_contradictions:array<string>>, foreshadowing array<struct<id:string,name:string,plant_chapter:long,current_status:string>>, version string",
-    "delta": "chapter_no long, characters array<struct<id:string,age:double,alive:boolean>>, foreshadowing array<struct<id:string,action:string>>",
-    "state": "characters array<struct<id:string,age:double,alive:boolean>>, last_chapter long",
+    "delta": f"chapter long, delta {DELTA}",
+    "state": "last_merged_chapter long, character_states array<struct<id:string,alive:boolean,combat_level:string>>, number_anchors struct<character_age:map<string,double>>, foreshadowing array<struct<id:string,status:string,planted_chapter:long,last_updated_chapter:long,last_summary:string>>, knowledge_boundary array<struct<character_id:string,known:array<string>,unknown:array<string>>>, timeline map<string,string>",
 }
 
 
