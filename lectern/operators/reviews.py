@@ -170,26 +170,6 @@ def dashboard(chapters: DataFrame, goal: int, last: int = 10) -> DataFrame:
     )
 
 
-def triggered(triggers: DataFrame, context: DataFrame) -> DataFrame:
-    """id, trigger of each row of ``context(id, genre, step, chapter, tags)`` and trigger that fires for it.
-
-    ``triggers(trigger, kind, value, lo, hi)`` is the small table of a project; it
-    is read once and becomes one condition, so no pair is made that doesn't fire.
-    """
-    has = {
-        "genre": lambda r: F.col("genre") == r["value"],
-        "step": lambda r: F.col("step") == r["value"],
-        "tag": lambda r: F.array_contains("tags", r["value"]),
-        "chapters": lambda r: F.col("chapter").between(r["lo"], r["hi"]),
-        "always": lambda r: F.lit(True),
-    }
-    known = [r for r in triggers.limit(1001).collect() if r["kind"] in has]
-    if len(known) > 1000:
-        raise ValueError("a project has at most 1000 triggers")
-    fires = [F.when(has[r["kind"]](r), F.lit(r["trigger"])) for r in sorted(known, key=lambda r: r["trigger"])]
-    return context.select("id", F.explode(F.filter(F.array(*fires), lambda t: t.isNotNull())).alias("trigger"))
-
-
 def schema_violations(rows: DataFrame, key: str, json: str, schema: dict) -> DataFrame:
     """key, path, error: where a JSON column breaks a schema of the kinds type, required, properties, enum, minimum, maximum and minLength.
 

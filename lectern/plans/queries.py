@@ -19,6 +19,7 @@ from ..operators import rewriting as W
 from ..operators import rhythm as H
 from ..operators import scores as X
 from ..operators import structure as S
+from ..operators import triggers as G
 from ..operators.matching import Lexicon
 from ..operators.scan import Scan
 from . import oracle as O
@@ -659,7 +660,7 @@ r as (select *, row_number() over (partition by doc_id order by n desc, first) a
 
     over_documents(
         "trigger_matches",
-        lambda d: V.triggered(d.sparkSession.createDataFrame(TRIGGERS, "trigger string, kind string, value string, lo long, hi long"), _context(d)),
+        lambda d: G.triggered(d.sparkSession.createDataFrame(TRIGGERS, "trigger string, kind string, value string, lo long, hi long"), _context(d)),
         "select doc_id as id, unnest(list_filter([case when lang = 'en' then 't1' end, case when doc_id between 10 and 60 then 't2' end, case when source = 'web' then 't3' end, 't4', case when doc_id % 2 = 0 then 't5' end], lambda x: x is not null)) as trigger from documents",
     )
     over_documents(

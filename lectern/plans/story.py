@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.packs import ZH, Pack
 from ..operators import anchors as A
 from ..operators import deltas as E
+from ..operators import postings as N
 from ..operators import structure as S
+from ..operators import triggers as G
 from . import oracle as O
 
 
@@ -124,6 +126,47 @@ ROUTES = {True: [("东山-西山", "南100里"), ("天城到海城", "50公里")
 TIERS = ("炼气", "筑基", "金丹")
 
 
+#: Patterns of names in Latin-script corpora, names that are known, and what is looked up.
+NAMES = {"tagged": "([A-Z][a-z]{2,7}) (?:said|und|avec|con|with)", "upper": "([A-Z]{3,8})", "key": "(token|icense)"}
+KNOWN, STOPPED, ASKED = ("The", "License"), ("And", "MIT"), ("token", "License", "HE", "e", "AREX", "zzz", "tokens of The")
+
+
+def documents_as_files(d: DataFrame) -> DataFrame:
+    return d.select(F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("chapter"), F.col("source"), "text")
+
+
+def postings_sql() -> str:
+    """CTE p: every name with its place."""
+    known = [("character", i - 10, w, None) for i, w in enumerate(KNOWN)]
+    patterns = [(k, i, p, p) for i, (k, p) in enumerate(NAMES.items())]
+    each = " union all ".join(f"select doc_id, text, '{kind}' as kind, {i} as i, x.pos as pos, {f'regexp_extract(x.found, {O.q(p)}, 1)' if by else 'x.found'} as keyword from (select doc_id, text, unnest({O.spans('text', p)}) as x from documents where regexp_matches(text, {O.q(p)}))" for kind, i, p, by in known + patterns)
+    stopped, names = (", ".join(map(O.q, x)) for x in (STOPPED, KNOWN))
+    return f"""with n as ({each}),
+k as (select * from n where keyword not in ({stopped}) and (keyword in ({names}) or left(keyword, 1) not in ('S', 'W')) qualify row_number() over (partition by doc_id, keyword, pos order by i) = 1),
+c as (select *, trim(regexp_replace(substr(text, greatest(pos - 30, 1), pos + length(keyword) + 30 - greatest(pos - 30, 1)), '\\r?\\n', ' ', 'g'), ' ') as around from k),
+p as (select keyword, kind, doc_id::varchar as file, doc_id as chapter, length(substr(text, 1, pos - 1)) - length(replace(substr(text, 1, pos - 1), chr(10), '')) + 1 as line, pos, case when length(around) > 80 then substr(around, 1, 77) || '...' else around end as context from c)
+"""
+
+
+#: Conditions as a project writes them, and the same in SQL over the contexts of ``document_contexts``.
+CONDITIONS = [
+    ("always", "base", "always", "true"), ("scenes", "base", "scene_type in [core, Important]", "n_chars % 3 < 2"), ("quiet", "base", "scene_type == transitional and dialogue_ratio > 40", "n_chars % 3 = 2 and n_chars % 100 > 40"),
+    ("tag", "base", "内容标签 = we", "contains(source, 'we')"), ("new", "base", "新角色登场", "doc_id % 5 = 0"), ("step", "步骤触发集", "03b 质检", "doc_id % 4 = 0"), ("or", "base", 'genre == "en" or "fr"', "lang in ('en', 'fr')"),
+    ("list", "base", "genre in [de, es] and dialogue_ratio > 50", "lang in ('de', 'es') and n_chars % 100 > 50"), ("early", "02a 模块", "首批建纲（前10章）", "doc_id % 4 = 3 and doc_id % 20 <= 10"), ("later", "02a 模块", "滚动补纲", "doc_id % 4 = 3 and doc_id % 20 > 10"),
+    ("opening", "02a 模块", "卷首章", "doc_id % 4 = 3 and doc_id % 20 = 15"), ("hand", "02a 模块", "发现细纲变对话脚本", "false"),
+]
+
+
+def document_contexts(d: DataFrame) -> DataFrame:
+    """Documents as chapters in a state of work."""
+    pick = lambda n, *x: F.element_at(F.array(*map(F.lit, x)), (n + 1).cast("int"))
+    i = F.col("doc_id")
+    return d.select(
+        i.alias("id"), pick(F.col("n_chars") % 3, "core", "important", "transitional").alias("scene"), F.col("source").alias("content_tag"), (F.col("n_chars") % 100).alias("dialogue_ratio"), (i % 5 == 0).alias("new_character"),
+        pick(i % 4, "03b", "04", "05", "02a").alias("step"), F.col("lang").alias("genre"), (i % 20).alias("chapter"), F.when(i % 20 == 15, "opening").alias("chapter_type"),
+    )
+
+
 def register(P: Pack, over_documents: Callable, over_tables: Callable) -> None:
     """Adds the queries of this module."""
     chinese = P is ZH
@@ -159,3 +202,21 @@ def register(P: Pack, over_documents: Callable, over_tables: Callable) -> None:
         lambda d: E.due_checks(S.chapters(d.select("source", "doc_id"))),
         "with recursive c as (select source as book, row_number() over (partition by source order by doc_id) as chapter_no from documents), f as (select book, min(chapter_no) as chapter_no, 0::bigint as since from c where chapter_no >= 5 group by book union all select f.book, min(c.chapter_no), f.chapter_no from f join c on c.book = f.book and c.chapter_no >= f.chapter_no + 5 group by f.book, f.chapter_no) select * from f",
     )
+    index = lambda d: N.postings(documents_as_files(d), KNOWN, NAMES, STOPPED, "SW")
+    over_documents("name_postings", lambda d: index(d).drop("source"), postings_sql() + "select * from p")
+
+    def looked_up(d: DataFrame) -> DataFrame:
+        found = index(d)
+        asked = d.sparkSession.createDataFrame([(q,) for q in ASKED], "query string")
+        return N.look_up(asked, found, N.keyword_grams(found)).groupBy("query", "keyword", "exact").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("file").alias("files"))
+
+    over_documents(
+        "index_lookup",
+        looked_up,
+        postings_sql() + f"select query, keyword, query = keyword as exact, count(*) as places, count(distinct file) as files from p join (values {', '.join(f'({O.q(q)})' for q in ASKED)}) a(query) on contains(keyword, query) or contains(query, keyword) group by all",
+    )
+    over_documents(
+        "context_triggers",
+        lambda d: G.loaded(d.sparkSession.createDataFrame([c[:3] for c in CONDITIONS], "trigger string, section string, condition string"), document_contexts(d)),
+        " union all ".join(f"select doc_id as id, '{name}' as trigger from documents where {sql}" for name, _, _, sql in CONDITIONS),
+    )
