@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_collected: ContextVar[list[str] | None] = ContextVar("collected", default=None)
+
+
 class Scratch:
     """Intermediate tables of one operator, in the shared folder.
 
@@ -50,14 +55,12 @@ class Scratch:
     the lineage and outlives a lost executor.
     """
 
-    #: Folders made by this driver and not swept.
-    made: list[str] = []
-
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
-        Scratch.made.append(self.root)
+        if (own := _collected.get()) is not None:
+            own.append(self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -80,9 +83,19 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def sweep(spark: SparkSession, keep: set[str]) -> None:
-    """Deletes the folders of all ``Scratch`` but those in ``keep``; for a caller that has written what was read from them."""
-    for root in [r for r in Scratch.made if r not in keep]:
+@contextmanager
+def collecting():
+    """A list of the folders of all ``Scratch`` made inside, by this thread of work; other queries of the session are not in it."""
+    own: list[str] = []
+    token = _collected.set(own)
+    try:
+        yield own
+    finally:
+        _collected.reset(token)
+
+
+def sweep(spark: SparkSession, roots: list[str]) -> None:
+    """Deletes folders of ``Scratch``; for a caller that has written what was read from them."""
+    for root in roots:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        Scratch.made.remove(root)

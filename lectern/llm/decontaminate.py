@@ -4,7 +4,7 @@ The test items are the indexed documents and every passage of the training texts
 is a query: windows of words, each twice as long as the longest item and
 overlapping by half, so that some window holds any occurrence whole.  Scores are
 shares of an item's score against itself, so one threshold holds for all.  A
-pivot test of WAND runs for all passages of a text at once: block maxima of the
+pivot test of WAND runs for many passages of a text at once: block maxima of the
 postings are summed, and only blocks of items whose bound reaches the threshold
 are scored.  So every item above the threshold is found, and each is verified by
 its overlap with the question (word trigrams) and the answer (words).
@@ -127,6 +127,23 @@ class ItemIndex:
         sums[:-1] += sums[1:]
         return sums
 
+    def candidates(self, terms: np.ndarray, most: int = 1 << 20):
+        """(passage, block) of those whose bound reaches the threshold, by passage.
+
+        Strides are taken together as long as they have about ``most`` postings and
+        cells of bounds, so memory doesn't grow with the text.
+        """
+        strides = -(-len(terms) // self.stride)
+        length = np.append(self.first[1:] - self.first[:-1], 0)[np.minimum(terms, len(self.vocabulary))]
+        cost = np.bincount(np.arange(len(terms)) // self.stride, length, strides) + self.n_blocks
+        lot = (np.cumsum(cost) // most).astype(np.int64)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(lot)) + 1, [strides]))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            # with the stride behind, which the last passage reaches into
+            bounds = self.block_bounds(terms[a * self.stride : (b + 1) * self.stride])[: b - a]
+            for k, block in np.argwhere(bounds >= self.threshold - 1e-9):
+                yield a + k, block
+
     def leaks(self, text: str | None) -> list[tuple]:
         """(item_id, score, question overlap, answer overlap, first word) of each item that a whole text holds; the best passage of each."""
         words = words_of(text)
@@ -138,7 +155,7 @@ class ItemIndex:
             return []
         best: dict[int, tuple] = {}
         passage = -1
-        for k, block in np.argwhere(self.block_bounds(terms) >= self.threshold - 1e-9):
+        for k, block in self.candidates(terms):
             if k != passage:
                 passage, a = k, int(k) * self.stride
                 b = min(len(words), a + 2 * self.stride)
@@ -160,8 +177,8 @@ class ItemIndex:
         return [(self.ids[i], *x) for i, x in sorted(best.items())]
 
 
-def item_indexes(benchmark: DataFrame, threshold: float, overlap: float, chunk: int):
-    """Indexes of about ``chunk`` items each; the number of items is counted first, so none is larger than a task can hold.
+def item_indexes(benchmark: DataFrame, threshold: float, overlap: float, chunk: int, chunk_words: int = 1 << 21):
+    """Indexes of about ``chunk`` items and ``chunk_words`` words each at most; both are counted first, so none is larger than a task can hold.
 
     Statistics are those of all items, so ``chunk`` decides no score and no passage.
     """
@@ -175,7 +192,7 @@ def item_indexes(benchmark: DataFrame, threshold: float, overlap: float, chunk:
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").dropDuplicates()
     items = scratch.put(items.mapInArrow(cut, "item_id long, text string, n long, terms array<string>").where("n > 0"))
     whole = items.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.max("n").alias("most")).first()
-    parts = -(-whole["n"] // chunk)
+    parts = max(-(-whole["n"] // chunk), math.ceil(whole["n"] * (whole["mean"] or 0) / chunk_words))
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     df = scratch.put(items.select(F.explode("terms").alias("term")).groupBy("term").count()) if parts else None
     for k in range(parts):

@@ -193,8 +193,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return (
         got.withColumn("_times", times)
         .where("_times > 0")
-        .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
-        .drop("_copy")
+        .select(*[f"c{i}" for i in range(len(names))], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+        .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
     )
 
 

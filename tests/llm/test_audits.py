@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lectern.llm import codes, divergence, fingerprints
+from lectern.llm import codes, decontaminate, divergence, fingerprints, mixing
 
 
 def brute_codes(rows, parts=8, entries=16, rounds=6):
@@ -210,3 +210,33 @@ def test_divergence_by_brute_force(spark, seed):
     got = sorted(tuple(r) for r in divergence.audit_divergence(df, 30, 4).collect())
     assert got == brute_divergence(rows, 30, 4)
     assert divergence.audit_divergence(df.limit(0)).count() == 0
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 7, 8), (2, "d e", "t", 9, 10)], "doc_id long, text string, source string, _copy int, _times int")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and {(r._copy, r._times) for r in got.collect()} <= {(7, 8), (9, 10)}
+
+
+def test_long_texts_are_searched_stride_by_stride():
+    """The same passages whatever is taken together, and memory that doesn't grow with the text."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(12, 30)))) for i in range(4000)]
+    index = decontaminate.ItemIndex(items, 0.6, 0.5)
+    text = " ".join([*(rng.choice(words) for _ in range(3000)), items[7][1], *(rng.choice(words) for _ in range(3000)), items[3999][1]])
+    none = len(index.vocabulary)
+    terms = np.array([index.vocabulary.get(w, none) for w in text.split()])
+    every = np.argwhere(index.block_bounds(terms) >= 0.6 - 1e-9).tolist()
+    for most in (1, 50_000, 1 << 30):
+        assert [list(map(int, x)) for x in index.candidates(terms, most)] == every
+    assert {x[0] for x in index.leaks(text)} >= {7, 3999}
+    peaks = []
+    for n in (1, 4):
+        tracemalloc.start()
+        index.leaks(" ".join([text] * n))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 120e6, peaks

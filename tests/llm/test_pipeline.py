@@ -8,7 +8,7 @@ from brute import brute_components, brute_leaks, brute_mix, brute_shards
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, jaccard, quality
-from lectern.llm.common import Scratch, sweep
+from lectern.llm.common import Scratch, collecting, sweep
 
 
 def test_stages(spark, sf):
@@ -49,10 +49,13 @@ def test_run_by_brute_force(spark, sf):
     assert set(docs.columns) <= set(out.columns)
 
 
-def test_scratch_is_swept(spark, tmp_path):
-    before = set(Scratch.made)
-    one, two = Scratch(spark, "one"), Scratch(spark, "two")
-    a, b = one.put(spark.range(3)), two.put(spark.range(4))
-    sweep(spark, before | {two.root})
-    assert b.count() == 4 and set(Scratch.made) == before | {two.root}
+def test_scratch_is_swept_by_owner(spark):
+    other = Scratch(spark, "other")
+    with collecting() as made:
+        one = Scratch(spark, "one")
+        a = one.put(spark.range(3))
+    two = Scratch(spark, "two")
+    b, c = two.put(spark.range(4)), other.put(spark.range(5))
+    sweep(spark, made)
+    assert made == [one.root] and b.count() == 4 and c.count() == 5
     assert not os.path.exists(a._lectern_path.removeprefix("file://")) and os.path.exists(b._lectern_path.removeprefix("file://"))
