@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import Scratch, sweep, table
+from lectern.llm.common import Scratch, collecting, sweep, table
 from lectern.llm.decontaminate import clean_documents
 from lectern.llm.jaccard import distinct_documents
 from lectern.llm.mixing import mixed_documents
@@ -60,11 +60,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a stage left in the shared folder goes once its result is written, and so
     does the result of the stage before.
     """
-    before, docs = set(Scratch.made), table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            result = Scratch(spark, "pipeline-" + name.replace(" ", "-"))
-            docs = result.put(docs)
-            sweep(spark, before | {result.root})
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with collecting() as made:
+            docs = stage(spark, docs, sf_dir)
+        result = Scratch(spark, "pipeline-" + name.replace(" ", "-"))
+        docs = result.put(docs)
+        sweep(spark, made + last)
+        last = [result.root]
