@@ -113,6 +113,15 @@ def gate(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.max(rank_of("severity")).alias("_r")).select("doc_id", F.when(F.col("_r") == 3, 2).otherwise(1).cast("long").alias("code"))
 
 
+def exit_codes(files: DataFrame, found: DataFrame, rejects: DataFrame | None = None, fail_on: str = "any") -> DataFrame:
+    """doc_id, code of each of ``files(doc_id)`` and ``rejects(doc_id)``: 2 where a file could not be read, 1 where it has findings (with ``fail_on='blocking'`` blocking ones), else 0."""
+    counts = found if fail_on == "any" else found.where(F.col("severity") == fail_on)
+    each = counts.select("doc_id", F.lit(1).cast("long").alias("code")).unionByName(files.select("doc_id", F.lit(0).cast("long").alias("code")))
+    if rejects is not None:
+        each = each.unionByName(rejects.select("doc_id", F.lit(2).cast("long").alias("code")))
+    return each.groupBy("doc_id").agg(F.max("code").alias("code"))
+
+
 def compacted(history: DataFrame) -> DataFrame:
     """key, value, kinds: the last value of each key of ``history(key, seq, value)`` and all its values in order of first use."""
     first = history.groupBy("key", "value").agg(F.min("seq").alias("seq"))

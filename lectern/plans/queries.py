@@ -361,6 +361,7 @@ p as (select s.conv_id, s.role, case when chars > 0 then [{', '.join(_VOICE)}] e
     stated["severity_pivot"] = "select type, " + ", ".join(f"count(*) filter (where severity = '{x}') as {x}" for x in ("blocking", "advisory", "info")) + f" from ({_ALL}) group by type"
     found["gate"] = lambda spark, sf_dir: R.gate(all_findings(spark, sf_dir))
     stated["gate"] = f"select doc_id, (case when bool_or(severity = 'blocking') then 2 else 1 end)::bigint as code from ({_ALL}) group by doc_id"
+    over_documents("exit_codes", lambda d: R.exit_codes(d, SCAN.findings(d, *DETECTORS), fail_on="blocking"), f"select d.doc_id, (case when f.doc_id is null then 0 else 1 end)::bigint as code from documents d left join (select distinct doc_id from ({_ALL}) where severity = 'blocking') f using (doc_id)")
     over_documents("doc_hashes", lambda d: d.select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 8).alias("md5_8"), F.upper(F.sha2(F.col("text"), 256)).alias("sha256")), "select doc_id, substr(md5(text), 1, 8) as md5_8, upper(sha256(text)) as sha256 from documents")
     _GENRES, _CHECKS = {"de": "fr", "pt": "es"}, {"en": ("age", "power"), "fr": ("age",), "es": ("distance",)}
     over_documents("genre_checks", lambda d: X.canonical_checks(d, "lang", _GENRES, _CHECKS, "es"), "with g as (select doc_id, case when lang in ('en', 'fr', 'es') then lang when lang = 'de' then 'fr' else 'es' end as genre from documents) select doc_id, genre, case genre when 'en' then 'age,power' when 'fr' then 'age' else 'distance' end as checks from g")

@@ -16,6 +16,23 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), T.chapter_number(name).alias("chapter_no"), F.col("_metadata.file_modification_time").alias("modified"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
+def read_checked_texts(spark: SparkSession, path: str, most: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
+    """(texts, rejects) of a folder: ``read_texts`` of the files that are UTF-8, and path, reason, length of those that aren't.
+
+    Files are read as bytes; one that is gone when it is read is passed over, one
+    above ``most`` bytes is rejected without being read.  A byte order mark is
+    no part of a text.  Spark's readers pass over files without a byte, so these have no row.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt}").option("ignoreMissingFiles", "true").load(path)
+    text = F.col("content").cast("string")
+    reason = F.when(F.col("length") > most, "too long").when(~F.is_valid_utf8(text), "not UTF-8")
+    small = rows.where(F.col("length") <= most)
+    name = F.element_at(F.split("path", "/"), -1)
+    texts = small.where(F.is_valid_utf8(text)).select("path", T.chapter_number(name).alias("chapter_no"), F.col("modificationTime").alias("modified"), F.regexp_replace(text, "^\ufeff", "").alias("text"))
+    rejects = small.select("path", reason.alias("reason"), "length").where("reason is not null").unionByName(rows.where(F.col("length") > most).select("path", F.lit("too long").alias("reason"), "length"))
+    return texts, rejects
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents over whole files; what doesn't parse is null."""
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)

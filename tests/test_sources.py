@@ -85,3 +85,19 @@ def test_entities(spark):
     docs = spark.createDataFrame([(1, "王小明说道。去天云城，伏笔在此。忽然说。他走到了青石桥。")], "doc_id int, text string")
     got = sorted((r.pos, r.keyword, r.kind) for r in D.entities(docs, stop=("忽然",), prefixes="了的他去", known=("他人",)).collect())
     assert (1, "王小明", "character") in got and (12, "伏笔", "foreshadow") in got and not any(k.startswith(("去", "他")) or k == "忽然" for _, k, _ in got)
+
+
+def test_files_that_are_no_texts_are_rejected(spark, tmp_path):
+    from lectern.operators.reconcile import exit_codes
+    from lectern.sources.files import read_checked_texts
+
+    for name, data in {"1.md": "\ufeff一".encode(), "sub/2.txt": b"", "3.md": b"\xff\xfe broken", "4.md": b"x" * 50, "5.pdf": b"\xff"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    texts, rejects = read_checked_texts(spark, f"file://{tmp_path}", most=40)
+    assert sorted((r.chapter_no, r.text) for r in texts.collect()) == [(1, "一")]
+    assert sorted((r.path[-4:], r.reason, r.length) for r in rejects.collect()) == [("3.md", "not UTF-8", 9), ("4.md", "too long", 50)]
+    files = texts.selectExpr("chapter_no as doc_id")
+    found = spark.createDataFrame([(1, "advisory")], "doc_id long, severity string")
+    codes = lambda **how: sorted(tuple(r) for r in exit_codes(files, found, rejects.selectExpr("3L as doc_id"), **how).collect())
+    assert codes() == [(1, 1), (3, 2)] and codes(fail_on="blocking") == [(1, 0), (3, 2)]
