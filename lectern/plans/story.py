@@ -11,6 +11,7 @@ from ..functions.packs import ZH, Pack
 from ..operators import anchors as A
 from ..operators import deltas as E
 from ..operators import postings as N
+from ..operators import schemas as J
 from ..operators import structure as S
 from ..operators import triggers as G
 from . import oracle as O
@@ -126,6 +127,26 @@ ROUTES = {True: [("东山-西山", "南100里"), ("天城到海城", "50公里")
 TIERS = ("炼气", "筑基", "金丹")
 
 
+#: A schema with references and combinations, for JSON made of events.
+PARTS = {
+    "type": "object", "required": ["kind", "n"], "additionalProperties": False,
+    "properties": {
+        "kind": {"enum": ["click", "view", "purchase", "signup", "bad"]}, "n": {"oneOf": [{"minimum": 50}, {"maximum": 60}]}, "of": {"$ref": "#/definitions/part"},
+        "list": {"items": {"anyOf": [{"type": "integer", "maximum": 3}, {"type": "string", "minLength": 2}]}},
+    },
+    "definitions": {"part": {"type": "object", "properties": {"kind": {"$ref": "#/properties/kind"}, "n": {"allOf": [{"minimum": 2}, {"maximum": 17}]}}}},
+}
+
+
+def event_parts(events: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    text = F.concat(
+        F.lit('{"kind":"'), "event_type", F.lit('","n":'), k, F.lit(',"of":{"kind":"'), F.when(k % 3 == 0, "none").otherwise(F.col("event_type")), F.lit('","n":'), k % 20, F.lit("}"),
+        F.when(k % 5 == 0, ',"extra":1').otherwise(""), F.lit(',"list":['), k % 7, F.lit(',"'), k, F.lit('"]}'),
+    )
+    return events.select("event_id", text.alias("j"))
+
+
 #: Patterns of names in Latin-script corpora, names that are known, and what is looked up.
 NAMES = {"tagged": "([A-Z][a-z]{2,7}) (?:said|und|avec|con|with)", "upper": "([A-Z]{3,8})", "key": "(token|icense)"}
 KNOWN, STOPPED, ASKED = ("The", "License"), ("And", "MIT"), ("token", "License", "HE", "e", "AREX", "zzz", "tokens of The")
@@ -220,3 +241,10 @@ def register(P: Pack, over_documents: Callable, over_tables: Callable) -> None:
         lambda d: G.loaded(d.sparkSession.createDataFrame([c[:3] for c in CONDITIONS], "trigger string, section string, condition string"), document_contexts(d)),
         " union all ".join(f"select doc_id as id, '{name}' as trigger from documents where {sql}" for name, _, _, sql in CONDITIONS),
     )
+    known = "event_type in ('click', 'view', 'purchase', 'signup', 'bad')"
+    wrong = [("$.kind", "enum", f"not {known}"), ("$.n", "oneOf", "k between 50 and 60"), ("$.of.kind", "enum", f"k % 3 = 0 or not {known}"), ("$.of.n", "minimum", "k % 20 < 2"), ("$.of.n", "maximum", "k % 20 > 17"), ("$.extra", "additionalProperties", "k % 5 = 0"), ("$.list[0]", "anyOf", "k % 7 > 3"), ("$.list[1]", "anyOf", "k < 10")]
+    over_tables(
+        "schema_errors",
+        lambda t: J.schema_errors(event_parts(t("events")), "event_id", "j", PARTS),
+        "with e as (select event_id, event_type, json_extract_string(props, '$.k')::bigint as k from events) " + " union all ".join(f"select event_id, '{path}' as path, '{error}' as error from e where {when}" for path, error, when in wrong),
+    )
