@@ -30,6 +30,7 @@ class Pack:
     senses: dict = field(default_factory=dict)
     sense_excludes: tuple = ()
     blocking: tuple = ()  # patterns of a line that block
+    reactions: tuple = ()  # of bodies, which wear out like images
     soft: tuple = ()  # placeholders, from 1, that lines of dialogue may show
     title: str = "^第[一二三四五六七八九十百千万两0-9]+章"
     meta_2: str = "第[一二三四五六七八九十百千万两0-9]+章|本章|这一章|上一章|下一章|上章|下章|前一章|后一章|前文|后文|伏笔|读者|任务描述"
@@ -112,6 +113,7 @@ ZH = Pack(
         "声明", "声张", "不动声色", "声势", "声誉", "声称", "声调", "声望", "响应", "影响", "叫做", "刻苦", "困苦", "苦笑", "苦心", "苦力", "苦水", "苦于", "辛酸", "酸楚", "酸痛",
         "冷静", "冷淡", "冷漠", "冷清", "冷酷", "冷落", "冷战", "热心", "热情", "热门", "热闹", "热切", "热衷", "头痛", "痛点", "痛风", "痛经", "麻烦", "麻利", "荒凉", "凄凉",
     ),
+    reactions=("后脖颈", "发凉", "手心出汗", "喉结", "指节发白", "脊背", "头皮发麻", "太阳穴", "脉搏", "屏住呼吸", "瞳孔收缩", "嘴角抽搐", "眼皮跳", "牙关紧咬", "掌心湿润", "后背发凉", "膝盖发软", "手指发抖", "胃部痉挛", "胸口发闷"),
     blocking=(
         "不是[^，。！？\n]{2,40}(?:而是|只有|那是一种|唯有)",
         "(?:没有|不是|并非)[^，。；！？\n]{2,30}[，](?:没有|不是|并非)[^，。；！？\n]{2,30}[，]",
@@ -156,5 +158,6 @@ LATIN = Pack(
     verbs=("go", "de", "la", "is"),
     senses={"w": ("whst", "wh"), "d": ("des", "der", "de"), "c": ("con", "co"), "p": ("por", "pour"), "u": ("und",)},
     sense_excludes=("contion", "unter", "dem"),
+    reactions=("ould", "igh", "ous"),
     blocking=("not [^,.!?\n]{2,40} but", "(?:no|not|sin) [^,.;!?\n]{2,30},[^,.;!?\n]{2,30},"),
 )

@@ -112,6 +112,22 @@ class Lexicon:
         """Array of (term, pos from 1) of the longest terms from the left; null of a null text."""
         return self._found(longest_of, text)
 
+    def lines(self, texts: str | Column) -> Column:
+        """Of an array of lines, an array of (term, n, first): in how many lines each term stands, and the place of the first of them, from 1; terms in their order."""
+        terms = self.terms
+
+        def of(rows: pa.Array) -> pa.Array:
+            out = []
+            for own in rows.to_pylist():
+                where: dict[int, list[int]] = {}
+                for k, line in enumerate(own or (), 1):
+                    for i in {i for i, _ in each_of(terms, line or "")}:
+                        where.setdefault(i, []).append(k)
+                out.append([{"term": terms[i], "n": len(ks), "first": ks[0]} for i, ks in sorted(where.items())])
+            return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64()), ("first", pa.int32())])))
+
+        return _once(of, "array<struct<term:string,n:bigint,first:int>>")(texts)
+
     def hits(self, docs: DataFrame, *keep: str, text: str = "text", longest: bool = False) -> DataFrame:
         """keep, list, term, pos: a row for each occurrence and list that holds its term."""
         names: dict[str, list[str]] = {}

@@ -126,6 +126,19 @@ class Scan:
         every = F.flatten(F.array(*[F.transform(of(), named(kind)) for kind, of in own]))
         return self.prepared(docs).select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.type", "x.severity", "x.n")
 
+    def repeats(self, docs: DataFrame) -> DataFrame:
+        """doc_id, kind (image or reaction), term, line_no (of the first), severity, n: terms on three and more lines of narrative, blocking from five on; a row is not left."""
+        lists = {"image": self.pack.lists["imagery"], "reaction": self.pack.reactions}
+        kind = F.create_map(*[F.lit(x) for k, ws in reversed(lists.items()) for w in ws for x in (w, k)])
+        counts = F.filter("_prose", lambda x: (x["line"] != "") & ~T.is_divider(x["line"]) & ~T.is_structural(x["line"]))
+        told = F.filter(F.transform(counts, lambda x: F.struct(x["line_no"].alias("line_no"), T.strip_quoted(x["line"]).alias("told"))), lambda x: T.visible_length(x["told"], self.pack.visible) > 0)
+        rows = docs.select("doc_id", S.prose(F.coalesce("text", F.lit(""))).alias("_prose"))
+        rows = rows.select("doc_id", F.when(F.monotonically_increasing_id() >= 0, told).alias("_l"))
+        rows = rows.select("doc_id", F.transform("_l", lambda x: x["line_no"]).alias("_no"), F.when(F.monotonically_increasing_id() >= 0, F.transform("_l", lambda x: x["told"])).alias("_told"))
+        rows = rows.select("doc_id", "_no", Lexicon(lists).lines("_told").alias("_r"))
+        each = rows.select("doc_id", "_no", F.explode(F.filter("_r", lambda x: x["n"] >= 3)).alias("x"))
+        return each.select("doc_id", F.try_element_at(kind, F.col("x.term")).alias("kind"), "x.term", F.element_at("_no", F.col("x.first")).alias("line_no"), F.when(F.col("x.n") >= 5, "blocking").otherwise("advisory").alias("severity"), "x.n")
+
     def _similes(self, least: int = 200) -> Column:
         """Similes for each 1000 visible characters: above 3 advisory, above 4 blocking; n is the density in millionths."""
         count = sum((T.count_matches("_narrative", s) for s in self.pack.similes), F.lit(0).cast("long"))

@@ -166,6 +166,8 @@ def register(P: Pack) -> tuple[Queries, dict[str, str]]:
         + f"select doc_id, 'metaphor-density' as type, case when x > 4 then 'blocking' else 'advisory' end as severity, {O.scaled('x')} as n from d where x > 3",
     )
     over_documents("imagery_repeat", lambda d: D.repeated_images(d, P), with_(O.lines(P)) + f"select doc_id, term, case when count(*) >= 5 then 'blocking' else 'advisory' end as severity, count(*) as n from nl join (select unnest([{', '.join(O.q(t) for t in L['imagery'])}]) as term) on contains(narrative, term) group by doc_id, term having count(*) >= 3")
+    _TERMS = " union all ".join(f"select unnest([{', '.join(O.q(t) for t in dict.fromkeys(ts))}]) as term, '{k}' as kind" for k, ts in (("image", L["imagery"]), ("reaction", P.reactions)))
+    over_documents("worn_images", lambda d: SCAN.repeats(d), with_(O.lines(P)) + f"select doc_id, kind, term, min(line_no) as line_no, case when count(*) >= 5 then 'blocking' else 'advisory' end as severity, count(*) as n from nl join ({_TERMS}) on contains(narrative, term) where visible > 0 group by all having count(*) >= 3")
     _n, _mean, _cv = O.spread("v")
     NARRATED = with_(O.lines(P), f"ss as (select doc_id, list(n) filter (where n > 0) as v from (select doc_id, len(regexp_extract_all(unnest({O.sents('narrative', P)}), {O.q(P.visible)})) as n from nl) group by doc_id)")
     over_documents(
