@@ -683,7 +683,7 @@ r as (select *, row_number() over (partition by doc_id order by n desc, first) a
         case when not bad and tk in ('BIGINT', 'UBIGINT') and k % 2 <> 0 then 'enum' end, case when not bad and tk in ('BIGINT', 'UBIGINT') and k < 10 then 'minimum' end, case when not bad and tk in ('BIGINT', 'UBIGINT') and k > 80 then 'maximum' end, case when not bad and tz is not null and tz <> 'VARCHAR' then 'type' end], lambda x: x is not null)) as error from k""",
     )
 
-    story.register(P, over_documents, over_tables)
+    story.register(P, WORDS, over_documents, over_tables)
     return found, stated
 
 

@@ -12,6 +12,7 @@ from ..operators import anchors as A
 from ..operators import deltas as E
 from ..operators import postings as N
 from ..operators import schemas as J
+from ..operators import scores as X
 from ..operators import structure as S
 from ..operators import triggers as G
 from . import oracle as O
@@ -188,7 +189,7 @@ def document_contexts(d: DataFrame) -> DataFrame:
     )
 
 
-def register(P: Pack, over_documents: Callable, over_tables: Callable) -> None:
+def register(P: Pack, words: tuple, over_documents: Callable, over_tables: Callable) -> None:
     """Adds the queries of this module."""
     chinese = P is ZH
     kinds, tiers = (A.ZH, TIERS) if chinese else (A.LATIN, A.LATIN.tiers)
@@ -208,6 +209,24 @@ def register(P: Pack, over_documents: Callable, over_tables: Callable) -> None:
     over_documents("beyond_tier", lambda d: A.beyond_tier(A.numbers(d, kinds), kinds), found.rstrip() + ",\n" + fights_sql(kinds) + "select distinct doc_id, pos, raw as tier from m join f using (doc_id, pos) where kind = 'tier'")
     over_documents("narrator_overreach", lambda d: A.narrated(d, P.grades), narrated_sql(P.grades))
 
+    def issues(d: DataFrame) -> DataFrame:
+        """doc_id, issues: numbers and routes against their anchors."""
+        numbers = A.numbers(d, kinds)
+        parts = [A.anchored(numbers, who(d), "age", "age"), A.anchored(numbers, who(d), "cultivation", "cultivation"), A.off_routes(numbers, frame(d.sparkSession, routes, "route string, distance string"), kinds)]
+        each = [p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("issues")) for p in parts]
+        return each[0].unionByName(each[1]).unionByName(each[2])
+
+    age, cultivation, route = (sql.removeprefix(found) for sql in (found + anchored_sql("age", people, 2), found + anchored_sql("cultivation", people, 3), routes_sql(kinds, routes)))
+    route_cte, route_rows = route.split("\nselect", 1)
+    total = "plot + rhythm + texture + consistency + baseline"
+    over_documents(
+        "anchored_score",
+        lambda d: X.objective_scores(d, P, words, issues(d)),
+        f"with {O.lines(P)},\n{O.scores(P, words)},\n{numbers_sql(kinds, tiers)},\n{route_cte}, i as (select doc_id, count(*) as issues from (select doc_id from ({age}) union all select doc_id from ({cultivation}) union all select doc_id from (select{route_rows})) group by doc_id), "
+        + "t as (select s.* replace ((case when coalesce(issues, 0) = 0 then 10 when issues <= 2 then 7 when issues <= 5 then 3 else 0 end)::bigint as consistency) from score s left join i using (doc_id)) "
+        + f"select *, ({total})::bigint as total, {O.route(total)} as flow from t",
+    )
+
     ruled = lambda t: E.rulings(event_deltas(t("events")), event_books(t("events")))
     synced = lambda t: E.accepted(event_deltas(t("events")), ruled(t))
     over_tables("delta_rulings", lambda t: ruled(t).withColumn("errors", F.array_join("errors", ", ")), RULED_SQL + "select * from ruled")

@@ -8,7 +8,7 @@ from lectern.operators import anchors as A
 from lectern.plans import queries as plans
 
 FOUND, SQL = plans.register(ZH)
-NAMES = ("kinds_of_numbers", "age_anchors", "cultivation_anchors", "route_distances", "lone_fights", "beyond_tier", "narrator_overreach")
+NAMES = ("kinds_of_numbers", "age_anchors", "cultivation_anchors", "route_distances", "lone_fights", "beyond_tier", "narrator_overreach", "anchored_score")
 ROWS = [
     (1, "张三今年二十三岁，三爷其实20岁，张三丰也说二十三岁。李四十九岁。"),
     (2, "快30了，年近40，年过五十；张三19岁。张三丰一百岁。"),
