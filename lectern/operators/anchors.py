@@ -53,7 +53,7 @@ ZH = Kinds(
 #: Our own for Latin-script corpora.
 LATIN = Kinds(
     patterns={
-        "age": ((r"(\d+) of\b", 1, 0), (r"(\d+) (?:to|de|du|und)\b", 1, 0), (r"(\d\d) ", 1, 0)),
+        "age": ((r"(\d+) of[ ,.]", 1, 0), (r"(\d+) (?:to|de|du|und)[ ,.]", 1, 0), (r"(\d\d) ", 1, 0)),
         "distance": ((r"([VC])[A-Za-z -]* (\d+)\.", 2, 1), (r"(\d+)(?:\.|-)", 1, 0), (r" (\d+) \(", 1, 0), (r"!! ", 0, 0)),
         "cultivation": ((r"(\d+) [a-e]", 1, 0), (r"(\d+) [a-s]", 1, 0)),
         "count": ((r"(\d+) \p{L}", 1, 0), (r"(\d+)!", 1, 0)),
