@@ -46,7 +46,7 @@ def test_edge_rows(spark, rows):
     assert jaccard.jaccard_components(docs).count() == n
     assert jaccard.distinct_documents(docs).columns == docs.columns
     assert quality.score_quality(docs, labels).where("score between 0 and 1").count() == n
-    assert lines.dedup_lines(docs).count() == n
+    assert lines.dedup_lines(docs).count() == lines.dedup_runs(docs).count() == n
     odd = docs.selectExpr("*", "1 as _row", "2 as wanted", "3 as gone", "4 as doc", "5 as _lines")
     assert [tuple(r) for r in lines.dedup_lines(odd).select("_row", "wanted", "gone", "doc").distinct().collect()] == [(1, 2, 3, 4)] * bool(n)
 
@@ -274,6 +274,33 @@ def test_all_repeated_runs_go(spark):
     assert {x for _, t, _ in rows if t for x in t.split("\n")} - {""} <= {x for t, _ in got.values() if t for x in t.split("\n")}
 
 
+def test_chunks_find_most_of_long_runs_wherever_they_stand(spark):
+    """Shifted by lines in front of them, passages go by their chunks; only lines around the outer chunk ends go by pairs of lines."""
+    rng = random.Random(3)
+    passages = ["\n".join(f"passage {p} line {i}" for i in range(80)) for p in range(6)]
+    rows = [(i, "\n".join([f"own {i} {j}" for j in range(rng.randint(1, 9))] + [passages[i % 6]] + [f"tail {i}"]), "s") for i in range(60)]
+    got = {r.doc_id: r for r in lines.dedup_runs(docs_of(spark, rows)).collect()}
+    seen = set()
+    for i, text, _ in rows:  # brute force: chunks of two and more lines that occur before
+        chunks = [c.removesuffix("\n") for c in lines.chunks_of(text)]
+        whole = [c for c in chunks if c.count("\n") and c in seen]
+        seen |= set(chunks)
+        assert (got[i]._chunks, got[i]._removed_chunks, got[i]._chunk_lines) == (len(chunks), len(whole), sum(c.count("\n") + 1 for c in whole))
+        assert got[i]._removed_lines == (80 if i >= 6 else 0) and ("passage" in got[i].text) == (i < 6)
+    assert all(got[i]._chunk_lines > 0 for i in range(6, 60))
+
+
+def test_runs_go_though_digests_of_chunks_collide(spark, monkeypatch):
+    """Under a digest that all chunks share, units of lines decide, and only those with the bytes of a first one go."""
+    part = "\n".join(f"line {i}" for i in range(30))
+    rows = [(1, f"a\n{part}\nb", "s"), (2, f"c\n{part}\nd", "s"), (3, "e\nf\ng", "s")]
+    want = {r.doc_id: (r.text, r._removed_lines) for r in lines.dedup_runs(docs_of(spark, rows)).collect()}
+    unequal = spark.createDataFrame([(b"k", b"c")], "key binary, bytes binary")
+    monkeypatch.setattr(lines, "unequal_chunks", lambda held, scratch, cut: unequal)
+    got = {r.doc_id: (r.text, r._removed_lines) for r in lines.dedup_runs(docs_of(spark, rows)).collect()}
+    assert got == want and got[2] == ("c\nd", 30)
+
+
 def test_op7_removes_all_repeated_runs(spark, sf):
     """The query leaves no later pair of neighbouring lines with ink, and no later long line."""
     docs = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
