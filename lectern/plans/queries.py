@@ -23,7 +23,7 @@ from ..operators import triggers as G
 from ..operators.matching import Lexicon
 from ..operators.scan import Scan
 from . import oracle as O
-from . import story
+from . import practice, story
 
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 
@@ -684,6 +684,7 @@ r as (select *, row_number() over (partition by doc_id order by n desc, first) a
     )
 
     story.register(P, WORDS, over_documents, over_tables)
+    practice.register(P, WORDS, over_documents, over_tables)
     return found, stated
 
 
