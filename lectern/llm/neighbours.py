@@ -2,7 +2,9 @@
 
 Vectors are dealt to shards of bounded size by a hash.  A shard's graph is built
 in batches: greedy beam searches propose neighbours, and relaxed distance
-pruning keeps diverse edges in both directions.  Every query is beam-searched in
+pruning keeps diverse edges in both directions.  Nodes that pruning leaves
+without ways in get some back, and each graph measures how wide a beam its
+vectors ask for.  Every query is beam-searched in
 every shard; the best of all shards are re-scored in double precision.  For the
 graph, vectors get one more component that makes all norms equal, so that
 distance and inner product agree in order.
@@ -123,6 +125,85 @@ def build_graph(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float =
     return edges, entry
 
 
+def stride_of(width: int) -> int:
+    """Nodes that a step of a search expands: some forty steps, whatever the width."""
+    return max(4, width // 40)
+
+
+def width_for(x: np.ndarray, edges: np.ndarray, entry: int, k: int, width: int, recall: float, asked: int = 64, seed: int = 9) -> int:
+    """The beam that finds ``recall`` of the ``k`` nearest of ``asked`` drawn nodes, measured against all nodes of the graph.
+
+    It starts at ``width`` and doubles; a beam of all nodes is the widest.
+    """
+    n = len(x)
+    q = x[np.random.default_rng(seed).choice(n, min(asked, n), replace=False)].copy()
+    q[:, -1] = 0  # as queries are put
+    near = np.partition(q @ x.T, n - min(k, n), axis=1)[:, n - min(k, n)]
+    while width < n:
+        _, found = beam_search(x, edges, entry, q, width, stride_of(width))
+        if (found[:, :k] >= near[:, None] * (1 - 1e-6 * np.sign(near[:, None]))).mean() >= recall:
+            break
+        width *= 2
+    return min(width, n)
+
+
+def reached(edges: np.ndarray, entry: int) -> np.ndarray:
+    """Whether each node can be reached from the entry; the mark of no node counts as reached."""
+    n = len(edges) - 1
+    seen = np.zeros(n + 1, dtype=bool)
+    seen[[entry, n]] = True
+    front = np.array([entry])
+    while len(front):
+        front = np.unique(edges[front])
+        front = front[~seen[front]]
+        seen[front] = True
+    return seen
+
+
+def _added(extra: np.ndarray, used: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> None:
+    """Fills free places of ``extra`` with edges, as many as fit, in the order given."""
+    by = np.argsort(heads, kind="stable")
+    heads, tails = heads[by], tails[by]
+    first = np.concatenate(([True], heads[1:] != heads[:-1]))
+    slot = np.arange(len(heads)) - np.flatnonzero(first)[np.cumsum(first) - 1] + used[heads]
+    fits = slot < extra.shape[1]
+    extra[heads[fits], slot[fits]] = tails[fits]
+    np.add.at(used, heads[fits], 1)
+
+
+def with_ways_in(edges: np.ndarray, entry: int, least: int = 16, room: int = 32) -> np.ndarray:
+    """``edges`` with up to ``room`` more of each node, so that every node can be reached.
+
+    Where pruning takes the edges to a node that is no one's nearest, its own
+    neighbours get one back, the rarest first, until it has ``least`` of them.
+    Nodes still out of reach are hung behind nodes in reach.
+    """
+    n, degree = len(edges) - 1, edges.shape[1]
+    into = np.bincount(edges[:n].ravel(), minlength=n + 1)
+    u, p = np.repeat(np.arange(n), degree), edges[:n].ravel()
+    rank = np.tile(np.arange(degree), n)
+    some = (p < n) & (into[u] + rank < least)
+    u, p, rank = u[some], p[some], rank[some]
+    known = np.isin(p * (n + 1) + u, (np.arange(n)[:, None] * (n + 1) + edges[:n]).ravel())
+    u, p, rank = u[~known], p[~known], rank[~known]
+    by = np.lexsort((rank, into[u]))
+    extra, used = np.full((n + 1, room), n, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    _added(extra, used, p[by], u[by])
+    while True:
+        whole = np.concatenate([edges, extra], axis=1)
+        seen = reached(whole, entry)
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            return whole
+        free = np.flatnonzero(seen[:n] & (used[:n] < room))
+        if not len(free):  # all nodes in reach are full: one more place each
+            extra = np.concatenate([extra, np.full((n + 1, room), n, dtype=np.int64)], axis=1)
+            room *= 2
+            continue
+        near = np.where(seen[edges[lost]] & (edges[lost] < n) & (used[edges[lost]] < room), edges[lost], n).min(axis=1)
+        _added(extra, used, np.where(near < n, near, free[np.arange(len(lost)) % len(free)]), lost)
+
+
 def equal_norms(v: np.ndarray) -> np.ndarray:
     """float32 rows with one more component, so that all have the largest norm."""
     v = v.astype(np.float64)
@@ -140,20 +221,26 @@ def usable_vectors(rows: DataFrame) -> DataFrame:
     return some.where(F.size("v") == (sizes["d"] if sizes else 0)).distinct()
 
 
-def nearest(rows: DataFrame, queries: str, k: int = 20, shard_rows: int = 32768, degree: int = 32, width: int = 64, search: int = 160, alpha: float = 1.2, lot: int = 1 << 16) -> DataFrame:
+def nearest(rows: DataFrame, queries: str, k: int = 20, shard_rows: int = 32768, degree: int = 32, width: int = 64, search: int = 160, alpha: float = 1.2, lot: int = 1 << 16, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row where ``queries`` (SQL over ``id``) holds.
 
     Vectors that are null, zero, of another length, or hold null or non-finite
     components take no part; nor do rows without an id.  Repeated rows count
     once.  Equal vectors share a node, which keeps their smallest ids: enough
     for any answer, as ties go to the smaller id.  With fewer candidates than
-    ``k`` all are returned.
+    ``k`` all are returned.  An id that stands for several vectors asks with
+    each, and its answers are ranked together.
+
+    ``search`` is the narrowest beam.  Each graph measures, on 64 of its nodes
+    against all of them, how wide a beam finds ``recall`` of the nearest, and is
+    searched with that: clustered vectors need narrow beams, vectors without any
+    structure wide ones.
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "neighbours")
     vectors = scratch.put(usable_vectors(rows))
     n, asked = vectors.count(), vectors.where(queries).count()
     shards, lots = max(1, -(-n // shard_rows)), max(1, -(-asked // lot))
-    graph = "shard int, vectors binary, ids binary, first binary, edges binary, entry int"
+    graph = "shard int, vectors binary, ids binary, first binary, edges binary, entry int, width int"
 
     def build(t):
         v = np.array(t.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1)
@@ -164,10 +251,13 @@ def nearest(rows: DataFrame, queries: str, k: int = 20, shard_rows: int = 32768,
         first = np.flatnonzero(new)
         among = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
         ids, group = ids[among <= k], (np.cumsum(new) - 1)[among <= k]
-        edges, entry = build_graph(equal_norms(v[first]), degree, width, alpha)
+        x = equal_norms(v[first])
+        edges, entry = build_graph(x, degree, width, alpha)
+        edges = with_ways_in(edges, entry)
+        beam = width_for(x, edges, entry, k, search, recall)
         first_of = np.searchsorted(group, np.arange(len(first) + 1))
         cells = [v[first].tobytes(), ids.tobytes(), first_of.astype(np.int64).tobytes(), edges.astype(np.int32).tobytes()]
-        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(("vectors", "ids", "first", "edges"), cells, strict=True)}, "entry": pa.array([entry], pa.int32())})
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(("vectors", "ids", "first", "edges"), cells, strict=True)}, "entry": pa.array([entry], pa.int32()), "width": pa.array([beam], pa.int32())})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     graphs = scratch.put(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(build, graph))
@@ -187,7 +277,7 @@ def nearest(rows: DataFrame, queries: str, k: int = 20, shard_rows: int = 32768,
             for i in range(0, len(names), 256):
                 own = wanted[i : i + 256]
                 flat = np.concatenate([own / np.abs(own).max(axis=1, keepdims=True), np.zeros((len(own), 1))], axis=1).astype(np.float32)
-                nodes, _ = beam_search(x, edges, cell["entry"], flat, min(search, len(v)))
+                nodes, _ = beam_search(x, edges, cell["entry"], flat, cell["width"], stride_of(cell["width"]))
                 for name, vec, at in zip(names[i : i + 256], own, nodes, strict=True):
                     at = at[at >= 0]
                     score = v[at] @ vec

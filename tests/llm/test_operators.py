@@ -8,6 +8,7 @@ import zlib
 
 import compare
 import numpy as np
+import pandas as pd
 import pytest
 from brute import brute_components, brute_leaks, brute_mix, brute_shards
 from pyspark.sql import functions as F
@@ -396,3 +397,32 @@ def test_recall(spark):
         assert list(mine["rank"]) == list(range(1, 21)) and mine.score.is_monotonic_decreasing
         hit, total = hit + len(set(best) & set(mine.vec_id)), total + 20
     assert hit / total >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "clustered"])
+def test_recall_of_vectors_with_and_without_structure(spark, kind):
+    """One graph of 6,000 vectors in default shards, against brute force."""
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal((6000, 64))
+    if kind == "clustered":
+        v = rng.standard_normal((60, 64))[rng.integers(0, 60, 6000)] + 0.3 * v
+    table = pd.DataFrame({"vec_id": np.arange(6000), "embedding": v.tolist()})
+    got = neighbours.nearest(spark.createDataFrame(table), "id % 20 = 0").toPandas()
+    hit = 0
+    for q, own in got.groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert len(own) == 20
+        hit += len(set(np.argsort(-s)[:20]) & set(own.vec_id))
+    assert got.query_id.nunique() == 300 and hit / (300 * 20) >= 0.9
+
+
+def test_every_node_gets_a_way_in():
+    rng = np.random.default_rng(1)
+    x = neighbours.equal_norms(rng.standard_normal((3000, 48)))
+    edges, entry = neighbours.build_graph(x, degree=8, width=16)
+    whole = neighbours.with_ways_in(edges, entry, least=2, room=4)
+    assert not neighbours.reached(edges, entry).all() and neighbours.reached(whole, entry).all()
+    assert (whole[:, :8] == edges).all()
+    star = np.full((2001, 2), 2000, dtype=np.int64)  # no edge at all
+    assert neighbours.reached(neighbours.with_ways_in(star, 0, room=4), 0).all()
