@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.packs import Pack
+from ..functions.packs import ZH, Pack
 from ..operators import handoffs as H
 from ..operators import rules as U
+from ..operators import usage as G
 from ..operators.scan import LIFT, PAIR, Scan
 from . import oracle as O
 
@@ -118,3 +119,21 @@ select a.*, j.* exclude (book, chars), characters, floor((chars + own) * 100.0::
         lambda d: d.select("doc_id", H.header_version(versioned_texts()).alias("version")),
         "select doc_id, case when doc_id % 3 = 0 then 'V' || (doc_id % 5) || '.1' when doc_id % 40 + (case when doc_id % 3 = 1 then 2 else 1 end) < 30 then 'V9.9' when doc_id % 3 = 1 then 'V' || (doc_id % 4) || '.0.2' end as version from documents",
     )
+
+    bank, images = (G.ZH_BANK, G.ZH_IMAGES) if P is ZH else (G.LATIN_BANK, ("fire", "light", "eau", "und ", "the "))
+    places = "with f as (" + " union all ".join(f"select source as book, doc_id, {O.q(k)} as kind, {O.q(label)} as label, regexp_extract_all(text, {O.q(p)}) as found from documents" for k, ps in bank.items() for label, p in ps.items()) + ") "
+    over_documents("pattern_places", lambda d: G.pattern_places(d, bank).withColumn("examples", F.array_join("examples", "|")), places + "select book, doc_id, kind, label, len(found)::bigint as n, array_to_string(found[1:3], '|') as examples from f where len(found) > 0")
+    over_documents("pattern_usage", lambda d: G.pattern_usage(d, bank), places + "select book, kind, label, sum(len(found))::bigint as total, count(*) as chapters from f where len(found) > 0 group by book, kind, label")
+    over_documents("image_usage", lambda d: G.image_usage(d, images), "select book, word, sum(n)::bigint as total from (" + " union all ".join(f"select source as book, {O.q(w)} as word, {O.literal('text', w)} as n from documents" for w in images) + ") where n > 0 group by book, word")
+    n, mean, cv = O.spread("v")
+    kept = f"list_filter(list_transform(regexp_extract_all(text, '[^。！？!?\\n]*[。！？!?\\n]|[^。！？!?\\n]+$'), lambda x: {O.trim('x')}), lambda x: x <> '')"
+    chapters = f"""with k as (select source as book, doc_id, text, list_transform({kept}, lambda x: length(x)) as v from documents),
+c as (select book, doc_id, length(text)::bigint as chars, len(v)::bigint as sentences, coalesce({O.scaled(mean, '10')}, 0) as mean, coalesce({O.scaled(cv, '1000')}, 0) as burstiness, {', '.join(f"{O.count('text', p)}::bigint as {m}" for m, p in G.MARKS.items())} from k)
+"""
+    over_documents("chapter_rhythm", G.chapter_rhythm, chapters + "select * from c")
+    average = lambda c, by, name: O.scaled(f"sum({c})::double / count(*) / {by}", "10") + f" as {name}"
+    over_documents(
+        "book_rhythm",
+        G.book_rhythm,
+        chapters + f"select book, count(*) as chapters, sum(chars)::bigint as chars, {', '.join(average(m, '1.0::double', m) for m in G.MARKS)}, {average('burstiness', '1000.0::double', 'burstiness')}, {average('mean', '10.0::double', 'mean_length')}, min(burstiness) < 350 as warning from c group by book",
+    )

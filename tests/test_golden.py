@@ -16,7 +16,7 @@ OTHERS = {"placeholder_leaks", "number_mentions", "value_limits", "age_mismatch"
 FILLED = {
     "long_paragraph", "dash_count", "connector_hits", "emotion_direct", "banned_terms", "banned_terms_b", "transition_pattern", "vague_time", "cliche_terms", "breathy_tags", "simile_density", "imagery_repeat",
     "burstiness", "ttr_low", "short_sentence_runs", "dialogue_streak", "transition_stacking", "prefix_triples", "adjacent_repeat", "repeated_sentences", "truncated_docs", "meta_leaks", "emotion_density", "slang_density",
-    "genre_conflict", "slang_staleness", "reward_gap", "emotion_flat", "missing_hook", "sentence_variance", "opener_duplicates", "objective_score", "route", "located_findings", "findings_report", "write_gate", "rule_results", "rule_telemetry", "rule_states", "execution_rates", "tokens_fmm", "lexicon_hits",
+    "genre_conflict", "slang_staleness", "reward_gap", "emotion_flat", "missing_hook", "sentence_variance", "opener_duplicates", "objective_score", "route", "located_findings", "findings_report", "write_gate", "rule_results", "rule_telemetry", "rule_states", "execution_rates", "pattern_places", "pattern_usage", "image_usage", "chapter_rhythm", "book_rhythm", "tokens_fmm", "lexicon_hits",
 }
 TAKES_DOCUMENTS = sorted(k for k in SQL if k not in OTHERS and "documents" in SQL[k] and not re.search(r"\b(events|labels|conversations|orders|pages|customer|supplier)\b", SQL[k]))
 

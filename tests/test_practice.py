@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions.packs import ZH
 from lectern.operators import handoffs as H
 from lectern.operators import rules as U
+from lectern.operators import usage as G
 from lectern.operators.scan import Scan
 
 TITLES = H.TITLES.values()
@@ -105,3 +106,21 @@ def test_starts_of_threads_and_versions(spark):
     texts = ["Version: v2.1", "版本：V3", "# Skill V4.2", "see V1.2.3 here", "V5", "\n" * 29 + "V1.5", "\n" * 30 + "V1.5", "V1.0\nversion: V2.0", None, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", H.header_version("text").alias("v"))
     assert [r.v for r in rows.orderBy("i").collect()] == ["V2.1", "V3", "V4.2", "V1.2.3", None, "V1.5", None, "V2.0", None, None]
+
+
+def test_usage_of_a_book(spark):
+    texts = ["他握紧了拳头，倒吸一口凉气。月光洒在门上！\n山风吹过，他不是怕，而是怒", "前<chapter_content>握紧拳头。握紧拳头？握紧了拳头…握紧拳头。</chapter_content>握紧拳头", "", None]
+    docs = spark.createDataFrame([(i, t, "书") for i, t in enumerate(texts)], "doc_id long, text string, source string").selectExpr("*", "1 as label", "2 as kind")
+    got = {(r.doc_id, r.kind, r.label): (r.n, r.examples) for r in G.pattern_places(docs, G.ZH_BANK).collect()}
+    assert got == {
+        (0, "sentence", "握紧拳头"): (1, ["握紧了拳头"]), (0, "sentence", "倒吸凉气"): (1, ["倒吸一口凉气"]), (0, "sentence", "月光洒/照"): (1, ["月光洒"]), (0, "sentence", "风吹过…"): (1, ["风吹过"]),
+        (0, "sentence", "不是A是B"): (1, ["不是怕，而是"]), (0, "body", "握拳"): (1, ["握紧了拳头"]), (0, "body", "吸气"): (1, ["倒吸一口凉气"]),
+        (1, "sentence", "握紧拳头"): (4, ["握紧拳头", "握紧拳头", "握紧了拳头"]), (1, "body", "握拳"): (4, ["握紧拳头", "握紧拳头", "握紧了拳头"]),
+    }
+    assert {(r.label, r.kind): (r.total, r.chapters) for r in G.pattern_usage(docs, G.ZH_BANK).collect()}["握拳", "body"] == (5, 2)
+    assert {r.word: r.total for r in G.image_usage(docs, G.ZH_IMAGES).collect()} == {"月光": 1, "风": 1, "拳": 5, "门": 1, "山": 1}
+    each = {r.doc_id: (r.chars, r.sentences, r.mean, r.ellipsis, r.comma) for r in G.chapter_rhythm(docs).collect()}
+    assert each == {0: (35, 3, 113, 0, 3), 1: (21, 3, 70, 1, 0), 2: (0, 0, 0, 0, 0), 3: (0, 0, 0, 0, 0)}
+    (book,) = G.book_rhythm(docs).collect()
+    assert (book.chapters, book.chars, book.warning, book.comma, book.ellipsis) == (4, 56, True, 8, 3)
+    assert G.book_rhythm(docs.limit(0)).count() == G.pattern_usage(docs.limit(0), G.ZH_BANK).count() == 0
