@@ -130,3 +130,38 @@ def header_version(text: str | Column, head: int = 30) -> Column:
     top = F.substring_index(text, "\n", head)
     found = F.coalesce(*[F.nullif(F.regexp_extract(top, p, 1), F.lit("")) for p in VERSIONS])
     return F.upper(F.when(found.rlike("^[Vv]"), found).otherwise(F.concat(F.lit("V"), found)))
+
+
+#: Signs and words of a tracked thread's state, in their order.
+SIGNS = {"green": "🟢", "yellow": "🟡", "red": "🔴", "black": "⚫"}
+WORDS = {"black": "(?i)已回收|已解决|已揭晓|resolved", "green": "(?i)活跃|未回收|待回收|active", "yellow": "(?i)风险|警告|warning", "red": "(?i)过期|失效|critical"}
+
+
+def tracked_threads(trackers: DataFrame) -> DataFrame:
+    """book, line_no, status, text (at most 80 characters, may be empty) of the lines of ``trackers(book, text)`` that show a state, by a sign or else by a word."""
+    lines = trackers.select("book", F.posexplode(F.split("text", r"\r?\n", -1)).alias("_i", "_l")).select("book", (F.col("_i") + 1).cast("long").alias("line_no"), T.jtrim("_l").alias("_l"))
+    status = F.coalesce(*[F.when(F.contains("_l", F.lit(sign)), s) for s, sign in SIGNS.items()], *[F.when(F.col("_l").rlike(p), s) for s, p in WORDS.items()])
+    rows = lines.where("_l <> ''").where(~F.startswith("_l", F.lit("#")) & ~(F.startswith("_l", F.lit("|")) & F.contains("_l", F.lit("---"))))
+    bare = F.regexp_replace(F.regexp_replace("_l", "[🟢🟡🔴⚫️]", ""), r"^\s*[├└│\-•*]+\s*", "")
+    return rows.select("book", "line_no", status.alias("status"), F.substring(T.jtrim(bare), 1, 80).alias("text")).where("status is not null")
+
+
+def thread_board(threads: DataFrame) -> DataFrame:
+    """book and the number of ``tracked_threads`` in each state."""
+    return threads.groupBy("book").agg(*[F.count_if(F.col("status") == s).alias(s) for s in SIGNS])
+
+
+def recent_rates(chapters: DataFrame, rates: DataFrame, last: int = 10) -> DataFrame:
+    """book, doc_id, rate of the last chapters of each book: ``chapters(book, doc_id)`` in order of doc_id, and ``rates(doc_id, rate)``.
+
+    Tasks cut a book to ``last`` chapters before the shuffle.
+    """
+    late = Window.partitionBy("book").orderBy(F.desc("doc_id"))
+    ends = chapters.select("book", "doc_id").withColumn("_r", F.row_number().over(late)).where(F.col("_r") <= last).drop("_r")
+    return ends.join(rates.select("doc_id", "rate"), "doc_id").select("book", "doc_id", "rate")
+
+
+def in_reading_order(files: DataFrame) -> DataFrame:
+    """``files(file, lines)``, those that exist first and the longest of them first; a missing file has -1 lines or null, ties go by name."""
+    have = F.coalesce(F.col("lines"), F.lit(-1)) >= 0
+    return files.orderBy(F.when(have, 0).otherwise(1), F.when(have, -F.col("lines")), "file")

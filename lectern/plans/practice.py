@@ -76,6 +76,13 @@ def versioned_texts() -> Column:
     return F.concat(F.lit("# "), F.col("source"), F.lit("\n"), named, F.repeat(F.lit("\n"), (i % 40).cast("int")), F.lit("版本：V9.9"))
 
 
+def tracker_texts(orders: DataFrame) -> DataFrame:
+    """Orders as files that track a thread each, with a title, a rule of a table, and signs or words of its state."""
+    marks = ("🟢 ", "🟡 ", "🔴 ", "⚫\ufe0f ", "已回收 ", "active ", "Warning ", "过期 ", "")
+    state = F.element_at(F.array(*map(F.lit, marks)), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    return orders.select((F.col("o_custkey") % 7).alias("book"), F.concat(F.lit("# 🟢 title\n| --- | active |\n├─ "), state, F.lit("o"), F.col("o_orderkey").cast("string")).alias("text"))
+
+
 #: CTEs up to ``old``: the packets of ``event_chapters`` that are compacted.  A packet under 【 ends before the next 【, so it has no locked values.
 OLD_SQL = """with e as (select user_id as book, event_id as chapter, json_extract_string(props, '$.k')::bigint as k from events),
 c as (select *, count(*) over (partition by book) as n, row_number() over (partition by book order by chapter desc) as r from e),
@@ -114,6 +121,17 @@ select a.*, j.* exclude (book, chars), characters, floor((chars + own) * 100.0::
         lambda t: H.overdue_lines(lines(t("orders")), t("customer").select((F.col("c_custkey") % 7).alias("book"), (F.col("c_custkey") % 101).alias("chapter"))),
         "with n as (select c_custkey % 7 as book, max(c_custkey % 101) as newest from customer group by 1), l as (select o_custkey % 7 as book, 1 as line_no, o_orderkey % 90 as start from orders where o_orderstatus = 'O' union all select o_custkey % 7, 2, o_orderkey % 70 from orders) select book, line_no::bigint as line_no, start, newest - start as age from l join n using (book) where start > 0 and newest - start > 50",
     )
+    over_documents(
+        "recent_pass_rates",
+        lambda d: H.recent_rates(d.select(F.col("source").alias("book"), "doc_id"), U.execution_rates(U.rule_states(d, scan, REGISTRY))),
+        sql + ", x as (select doc_id, count(*) filter (where status = 'passed') as a, count(*) filter (where status = 'failed') as b from st group by doc_id) select source as book, doc_id, case when a + b = 0 then 0 else " + O.scaled("a::double / (a + b)", "1000") + " end as rate from documents join x using (doc_id) qualify row_number() over (partition by source order by doc_id desc) <= 10",
+    )
+    tracked = lambda t: H.tracked_threads(tracker_texts(t("orders")))
+    threads = """with o as (select *, o_orderkey % 9 as k, o_custkey % 7 as book from orders), t as (select book, 3::bigint as line_no, (['green', 'yellow', 'red', 'black', 'black', 'green', 'yellow', 'red'])[k + 1] as status, (['─  o', '─  o', '─  o', '─  o', '─ 已回收 o', '─ active o', '─ Warning o', '─ 过期 o'])[k + 1] || o_orderkey as text from o where k < 8)
+"""
+    over_tables("tracked_threads", tracked, threads + "select * from t")
+    over_tables("thread_board", lambda t: H.thread_board(tracked(t)), threads + "select book, " + ", ".join(f"count(*) filter (where status = '{s}') as {s}" for s in H.SIGNS) + " from t group by book")
+    over_documents("reading_order", lambda d: H.in_reading_order(d.select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 5 > 0, F.size(F.split("text", "\n", -1)).cast("long")).otherwise(-1).alias("lines"))), "select doc_id as file, case when doc_id % 5 > 0 then length(text) - length(replace(text, chr(10), '')) + 1 else -1 end as lines from documents")
     over_documents(
         "header_versions",
         lambda d: d.select("doc_id", H.header_version(versioned_texts()).alias("version")),

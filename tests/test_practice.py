@@ -124,3 +124,17 @@ def test_usage_of_a_book(spark):
     (book,) = G.book_rhythm(docs).collect()
     assert (book.chapters, book.chars, book.warning, book.comma, book.ellipsis) == (4, 56, True, 8, 3)
     assert G.book_rhythm(docs.limit(0)).count() == G.pattern_usage(docs.limit(0), G.ZH_BANK).count() == 0
+
+
+def test_threads_rates_and_order(spark):
+    text = "# 🟢 表\n|---|🟢|\n| 玉佩 🟡 active |\r\n- 密信 已揭晓\n🔴\n无\n* CRITICAL 信物" + "长" * 100
+    trackers = spark.createDataFrame([("b", text), (None, ""), ("c", None)], "book string, text string")
+    threads = H.tracked_threads(trackers)
+    got = sorted((r.line_no, r.status, r.text) for r in threads.collect())
+    assert got == [(3, "yellow", "| 玉佩  active |"), (4, "black", "密信 已揭晓"), (5, "red", ""), (7, "red", "CRITICAL 信物" + "长" * 69)]
+    assert [tuple(r) for r in H.thread_board(threads).collect()] == [("b", 0, 1, 2, 1)]
+    chapters = spark.createDataFrame([("a", i) for i in range(25)] + [("b", 99), (None, 7)], "book string, doc_id long")
+    rates = spark.createDataFrame([(i, i * 10) for i in range(100)], "doc_id long, rate long")
+    assert sorted(tuple(r) for r in H.recent_rates(chapters, rates).where("book is not null").collect()) == [("a", i, i * 10) for i in range(15, 25)] + [("b", 99, 990)]
+    files = spark.createDataFrame([("x", 3), ("y", -1), ("z", 9), ("a", None), ("b", 9), ("c", 0)], "file string, lines long")
+    assert [r.file for r in H.in_reading_order(files).collect()] == ["b", "z", "x", "c", "a", "y"]
