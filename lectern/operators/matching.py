@@ -62,7 +62,7 @@ def longest_of(terms: tuple[str, ...], text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _once(of, kind: str):
+def once(of, kind: str):
     """``of`` as a column function that the optimizer doesn't copy into what reads it, so that it runs once a row."""
     return F.arrow_udf(of, kind).asNondeterministic()
 
@@ -89,7 +89,7 @@ class Lexicon:
                 rows.append(n)
             return pa.array(rows, pa.list_(pa.int64()))
 
-        return _once(of, "array<bigint>")(text)
+        return once(of, "array<bigint>")(text)
 
     def count(self, counted: str | Column, name: str) -> Column:
         """The count of one list in what ``counts`` gave."""
@@ -102,7 +102,7 @@ class Lexicon:
             rows = [None if t is None else [{"term": terms[i], "pos": start + 1} for i, start in find(terms, t)] for t in texts.to_pylist()]
             return pa.array(rows, _PLACES)
 
-        return _once(of, PLACES)(text)
+        return once(of, PLACES)(text)
 
     def places(self, text: str | Column) -> Column:
         """Array of (term, pos from 1) of all occurrences, by where they end; null of a null text."""
@@ -126,7 +126,7 @@ class Lexicon:
                 out.append([{"term": terms[i], "n": len(ks), "first": ks[0]} for i, ks in sorted(where.items())])
             return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64()), ("first", pa.int32())])))
 
-        return _once(of, "array<struct<term:string,n:bigint,first:int>>")(texts)
+        return once(of, "array<struct<term:string,n:bigint,first:int>>")(texts)
 
     def hits(self, docs: DataFrame, *keep: str, text: str = "text", longest: bool = False) -> DataFrame:
         """keep, list, term, pos: a row for each occurrence and list that holds its term."""

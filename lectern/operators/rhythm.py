@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions import text as T
 from ..functions.packs import Pack
 from . import detectors as D
 from . import structure as S
+from .matching import once
 
 
 def _gaps(docs: DataFrame, terms, least: int) -> DataFrame:
@@ -97,11 +101,22 @@ def opener_duplicates(docs: DataFrame, pack: Pack, least: int = 3) -> DataFrame:
 
 
 def top_ngrams(docs: DataFrame, n: int = 3, k: int = 50, least: int = 3, chars: str = "[^A-Za-z]") -> DataFrame:
-    """doc_id, gram, n, rank: the commonest n-grams of a text's letters; ties keep the order of first appearance."""
-    grams = docs.select("doc_id", F.posexplode(T.char_ngrams(F.regexp_replace("text", chars, ""), n)).alias("_at", "gram"))
-    counts = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).where(F.col("n") >= least)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "_first"))
-    return counts.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("doc_id", "gram", "n", "rank")
+    """doc_id, gram, n, rank: the commonest n-grams of each row's letters; ties keep the order of first appearance.
+
+    A text's n-grams are counted inside its row, so that nothing is shuffled; a
+    task holds those of one text at a time.
+    """
+
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            counts = Counter(map("".join, zip(*(t[i:] for i in range(n)), strict=False))) if t else Counter()
+            best = [(g, c) for g, c in counts.most_common(k) if c >= least]
+            out.append([{"gram": g, "n": c, "rank": r} for r, (g, c) in enumerate(best, 1)])
+        return pa.array(out, pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64()), ("rank", pa.int64())])))
+
+    found = once(of, "array<struct<gram:string,n:bigint,rank:bigint>>")(F.regexp_replace("text", chars, ""))
+    return docs.select("doc_id", found.alias("_g")).select("doc_id", F.explode("_g").alias("x")).select("doc_id", "x.gram", "x.n", "x.rank")
 
 
 def shared_ngrams(docs: DataFrame, k: int = 20) -> DataFrame:

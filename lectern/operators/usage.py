@@ -104,3 +104,10 @@ def book_rhythm(docs: DataFrame, least: int = 350) -> DataFrame:
     return rows.groupBy("book").agg(
         F.count(F.lit(1)).alias("chapters"), F.sum("chars").alias("chars"), *[mean(k, 1.0).alias(k) for k in MARKS], mean("burstiness", 1000.0).alias("burstiness"), mean("mean", 10.0).alias("mean_length"), (F.min("burstiness") < least).alias("warning")
     )
+
+
+def too_short(docs: DataFrame, least: int = 100) -> DataFrame:
+    """doc_id, type, severity, n of texts with fewer than ``least`` characters, but for blanks and marks of Markdown: too short to measure emotions."""
+    bare = F.replace(F.regexp_replace(F.regexp_replace("text", "(?s)```.*?```", ""), r"#{1,6}\s", ""), F.lit("**"), F.lit(""))
+    rows = docs.select("doc_id", F.coalesce(F.length(F.regexp_replace(bare, r"\s", "")), F.lit(0)).cast("long").alias("n")).where(F.col("n") < least)
+    return rows.select("doc_id", F.lit("too-short").alias("type"), F.lit("advisory").alias("severity"), "n")

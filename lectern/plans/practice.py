@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packs import ZH, Pack
 from ..operators import handoffs as H
+from ..operators import rhythm as Y
 from ..operators import rules as U
 from ..operators import usage as G
 from ..operators.scan import LIFT, PAIR, Scan
@@ -155,3 +156,14 @@ c as (select book, doc_id, length(text)::bigint as chars, len(v)::bigint as sent
         G.book_rhythm,
         chapters + f"select book, count(*) as chapters, sum(chars)::bigint as chars, {', '.join(average(m, '1.0::double', m) for m in G.MARKS)}, {average('burstiness', '1000.0::double', 'burstiness')}, {average('mean', '10.0::double', 'mean_length')}, min(burstiness) < 350 as warning from c group by book",
     )
+    letters = "[^一-鿿]" if P is ZH else "[^A-Za-z]"
+    over_documents(
+        "bigrams_topk",
+        lambda d: Y.top_ngrams(d, 2, 20, 1, letters),
+        f"""with t as (select doc_id, regexp_replace(text, {O.q(letters)}, '', 'g') as t from documents),
+g as (select doc_id, unnest(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) as gram, unnest(range(1, length(t))) as i from t where length(t) >= 2),
+k as (select doc_id, gram, count(*) as n, min(i) as first from g group by doc_id, gram)
+select doc_id, gram, n, row_number() over (partition by doc_id order by n desc, first) as rank from k qualify rank <= 20""",
+    )
+    clean = "regexp_replace(replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '#{1,6}\\s', '', 'g'), '**', ''), '\\s', '', 'g')"
+    over_documents("too_short", G.too_short, f"select doc_id, 'too-short' as type, 'advisory' as severity, length({clean})::bigint as n from documents where length({clean}) < 100")
