@@ -99,7 +99,7 @@ def spread(lengths: Column) -> tuple[Column, Column, Column]:
     """(n, mean, population deviation / mean) of an array of whole numbers, by exact sums; nulls where there is nothing."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     n, s = F.size(lengths).cast("double"), total(lengths).cast("double")
-    q = total(F.transform(lengths, lambda x: x * x)).cast("double")
+    q = total(F.transform(lengths, lambda x: x.cast("long") * x)).cast("double")
     mean = s / F.nullif(n, F.lit(0.0))
     return n, mean, F.sqrt(F.greatest(q / F.nullif(n, F.lit(0.0)) - mean * mean, F.lit(0.0))) / F.nullif(mean, F.lit(0.0))
 
