@@ -462,7 +462,7 @@ p as (select s.conv_id, s.role, case when chars > 0 then [{', '.join(_VOICE)}] e
 
 
     def _numbers(d: DataFrame) -> DataFrame:
-        return C.mentions(d).unionByName(C.mentions(d, C.LATIN_PATTERNS))
+        return C.mentions(d, C.PATTERNS, C.LATIN_PATTERNS)
 
 
     def _spoken(t: Callable) -> DataFrame:

@@ -28,3 +28,11 @@ def folder(spark, tmp_path):
 def test_sentences_whose_squares_fit_no_int(spark, folder, name):
     at = folder("a" * 50_000 + ". Short.", "b " * 70_000, "One. Two words. Three words here.", "")
     compare.same(FOUND[name](spark, at), SQL[name], at)
+
+
+@pytest.mark.parametrize("name", ["number_mentions", "value_limits"])
+def test_units_before_letters_of_other_scripts(spark, folder, name):
+    """The SQL's words are ASCII ones: a unit ends before a letter that isn't."""
+    at = folder("call 5551641 miñmi now", "4000 mé, 300 ansé, 90000 m2, 5 km_ 12000 kmé", "250 ans. 7000 mi", "none", "3 m 160 years")
+    compare.same(FOUND[name](spark, at), SQL[name], at)
+    assert not FOUND[name](spark, at).isEmpty()
