@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as blank at the ends of a text; Chinese paragraphs start with U+3000.
 BLANK = r"[\s　 ﻿]+"
+BLANKS = " \t\n\x0b\f\r　 ﻿"  # the same, as characters
+#: A pattern of one character: a class, or one of several.
+ONE = re.compile(r"\[[^\[\]]+\](\|\[[^\[\]]+\])*")
 #: Quoted spans, in the order in which they are removed.
 QUOTES = ("「[^」]*」", "『[^』]*』", "【[^】]*】", '"[^"]*"', "'[^']*'", "“[^”]*”", "‘[^’]*’")
 DIVIDER = r"^(-{3,}|[*_]{3,})\z"
@@ -43,10 +48,14 @@ def spans(pieces: Column, found: Column) -> Column:
 
 def jtrim(c: str | Column) -> Column:
     """Without blanks of any script at both ends."""
-    return F.regexp_replace(_col(c), rf"^{BLANK}|{BLANK}\z", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def count_matches(c: str | Column, pattern: str) -> Column:
+    """Matches of a pattern; characters of a class are counted by what a text lacks without their runs, so that no match is kept."""
+    if ONE.fullmatch(pattern):
+        runs = f"[{pattern.replace(']|[', '][')}]+"
+        return let(_col(c), lambda s: F.coalesce(F.length(s) - F.length(F.regexp_replace(s, runs, "")), F.lit(0)).cast("long"))
     return F.coalesce(F.regexp_count(_col(c), F.lit(pattern)), F.lit(0)).cast("long")
 
 

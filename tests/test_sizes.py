@@ -36,3 +36,20 @@ def test_units_before_letters_of_other_scripts(spark, folder, name):
     at = folder("call 5551641 miñmi now", "4000 mé, 300 ansé, 90000 m2, 5 km_ 12000 kmé", "250 ans. 7000 mi", "none", "3 m 160 years")
     compare.same(FOUND[name](spark, at), SQL[name], at)
     assert not FOUND[name](spark, at).isEmpty()
+
+
+def test_characters_of_a_class_are_counted_as_matches(spark):
+    """Runs, surrogate pairs, blanks at the ends and nulls, against the engine's own count and its trim by a pattern."""
+    from pyspark.sql import functions as F
+
+    from lectern.functions import text as T
+
+    texts = [None, "", " 　 a　b ﻿\n\x0b\f\r\t", "\U00020000\U00020001x，y.", "“a” 12 [b]！" * 3, " a ", "\x1c a \x1c", " a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for p in ("[\\p{L}\\p{N}]", "[A-Za-z]|[,.!?]", "[一-鿿]|[“”！？。，]", "[^a]", "[？?]"):
+        got = rows.select(T.count_matches("text", p).alias("n"), F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias("m"))
+        assert all(r.n == r.m for r in got.collect()), p
+        plan = got.select("n")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "regexp_count" not in plan  # an array of all characters
+    ends = rows.select(T.jtrim("text").alias("t"), F.regexp_replace("text", rf"^{T.BLANK}|{T.BLANK}\z", "").alias("u"))
+    assert all(r.t == r.u for r in ends.collect())
