@@ -85,19 +85,33 @@ def opener_grams(text: str | Column, head: int = 200, first: int = 10, n: int =
     return F.array_distinct(F.slice(T.char_ngrams(F.substring(text, 1, head), n), 1, first))
 
 
-def opener_duplicates(docs: DataFrame, pack: Pack, least: int = 3) -> DataFrame:
-    """book, a, b, shared, severity: chapters of a book whose openings share n-grams.
-
-    Chapters meet on the n-grams themselves, so only pairs that share one are
-    made.  The result has a row for each such pair, so a book whose chapters all
-    begin alike has all its pairs.
+def opener_duplicates(docs: DataFrame, pack: Pack, least: int = 3, n: int = 4, block: int = 1000) -> DataFrame:
+    """book, a, b, shared, severity: chapters of a book whose openings share ``least`` and more n-grams.
+
+    Chapters with the same n-grams are one class, named by its n-grams end to end.
+    Classes meet on an n-gram, and a pair counts where it is the first that it
+    shares; the last ``least - 1`` of a class are never the first.  All this is in
+    the join's condition, so that what is shuffled grows with the classes and the
+    result.  Only that is expanded, from blocks of a class's chapters; it has a row
+    for each pair, so a book whose chapters all begin alike has all its pairs.
     """
-    each = docs.select("source", "doc_id", opener_grams("text").alias("_g"))
-    rows = S.chapters(each).select("book", "chapter_no", F.explode("_g").alias("gram"))
-    x, y = rows.alias("x"), rows.alias("y")
-    on = (F.col("x.book") == F.col("y.book")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.chapter_no") < F.col("y.chapter_no"))
-    pairs = x.join(y, on).groupBy(F.col("x.book").alias("book"), F.col("x.chapter_no").alias("a"), F.col("y.chapter_no").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where(F.col("shared") >= least).withColumn("severity", F.when(F.col("shared") >= 5, "blocking").otherwise("advisory"))
+    each = docs.select("source", "doc_id", F.array_sort(opener_grams("text", n=n)).alias("_g"))
+    rows = S.chapters(each).where(F.col("book").isNotNull() & (F.size("_g") >= least)).withColumn("key", F.array_join("_g", ""))
+    sets = rows.select("book", "key", "_g").distinct()
+    met = sets.select("book", "key", "_g", F.explode(F.slice("_g", F.lit(1), F.size("_g") - (least - 1))).alias("gram"))
+    x, y = met.alias("x"), met.alias("y")
+    common = F.array_intersect("x._g", "y._g")
+    on = (F.col("x.book") == F.col("y.book")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.size(common) >= least) & (F.get(common, F.lit(0)) == F.col("x.gram"))
+    alike = x.join(y, on).select(F.col("x.book").alias("book"), F.col("x.key").alias("key"), F.col("y.key").alias("other"), F.size(common).cast("long").alias("shared"))
+    members = rows.groupBy("book", "key", F.floor(F.col("chapter_no") / block).alias("block")).agg(F.collect_list("chapter_no").alias("_c"))
+    second = members.select("book", F.col("key").alias("other"), F.col("block").alias("_b"), F.col("_c").alias("_d"))
+    across = alike.join(members, ["book", "key"]).join(second, ["book", "other"]).select("book", "shared", "_c", "_d", F.lit(False).alias("_own"))
+    own = (F.length("key") / n).cast("long").alias("shared")
+    within = members.join(second.withColumnRenamed("other", "key"), ["book", "key"]).where("block <= _b").select("book", own, "_c", "_d", (F.col("block") == F.col("_b")).alias("_own"))
+    pairs = across.unionByName(within).select("book", "shared", "_own", F.explode("_c").alias("_x"), "_d").select("book", "shared", "_own", "_x", F.explode("_d").alias("_y"))
+    pairs = pairs.where(~F.col("_own") | (F.col("_x") < F.col("_y")))  # a block with itself has each pair twice
+    found = pairs.select("book", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "shared")
+    return found.withColumn("severity", F.when(F.col("shared") >= 5, "blocking").otherwise("advisory"))
 
 
 def top_ngrams(docs: DataFrame, n: int = 3, k: int = 50, least: int = 3, chars: str = "[^A-Za-z]") -> DataFrame:

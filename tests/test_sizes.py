@@ -53,3 +53,16 @@ def test_characters_of_a_class_are_counted_as_matches(spark):
         assert "regexp_extract_all" not in plan and "regexp_count" not in plan  # an array of all characters
     ends = rows.select(T.jtrim("text").alias("t"), F.regexp_replace("text", rf"^{T.BLANK}|{T.BLANK}\z", "").alias("u"))
     assert all(r.t == r.u for r in ends.collect())
+
+
+def test_openings_meet_by_classes(spark, folder):
+    """Equal openings in several blocks, overlaps of two to ten n-grams, wide characters; no pair of all chapters is shuffled to be counted."""
+    from lectern.operators import rhythm as H
+
+    texts = ["abcdefghijklmnop", "zabcdefghijklmnop", "zzzzzzzzzzzzzzzz", "abcdefg!", "abcdef?", "abcde", "abc", "", "天地玄黄宇宙洪荒", "\U00020000\U00020001天地玄黄宇宙洪", "efghijQQQQQQ", "xyabcdexxabcdefxx"] * 4
+    at = folder(*texts)
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    compare.same(FOUND["opener_duplicates"](spark, at), SQL["opener_duplicates"], at)
+    compare.same(H.opener_duplicates(docs, LATIN, block=3), SQL["opener_duplicates"], at)
+    own = H.opener_duplicates(docs, LATIN)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" not in own
