@@ -216,11 +216,10 @@ def narrated(docs: DataFrame, lists: dict, quotes: str = "「[^」]*」|『[^』
     """
     spans = T.spans(F.split("text", quotes, -1), F.regexp_extract_all("text", F.lit(quotes), F.lit(0)))
     intervals = F.transform(spans, lambda x: F.struct(x["pos"].alias("a"), (x["pos"] + F.length(x["found"])).alias("b")))
-    rows = docs.select("doc_id", "text", intervals.alias("_q"), Lexicon(lists).places("text").alias("_h"))
-    rows = rows.select("doc_id", "text", "_q", F.explode("_h").alias("x")).select("doc_id", "text", "_q", "x.*")
-    start = F.greatest(F.col("pos") - 50, F.lit(1))
+    rows = docs.select("doc_id", intervals.alias("_q"), Lexicon(lists).around("text", 50).alias("_h"))
+    rows = rows.select("doc_id", "_q", F.explode("_h").alias("x")).select("doc_id", "_q", "x.*")
     size = F.length("term")
-    rows = rows.select("doc_id", "term", "pos", F.exists("_q", lambda s: (F.col("pos") >= s["a"]) & (F.col("pos") < s["b"])).alias("quoted"), F.substring("text", start, F.col("pos") - start).alias("before"), F.substring("text", F.col("pos") + size, F.lit(50)).alias("after"))
+    rows = rows.select("doc_id", "term", "pos", F.exists("_q", lambda s: (F.col("pos") >= s["a"]) & (F.col("pos") < s["b"])).alias("quoted"), "before", "after")
     whole = F.concat("before", "term", "after")
     # the line ends at the first break behind as many characters as the term has, and begins behind the last break of all
     later = F.instr(F.substring(whole, size + 1, F.length(whole)), F.lit("\n"))

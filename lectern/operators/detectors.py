@@ -196,8 +196,9 @@ def anchor_delivery(docs: DataFrame, pack: Pack, anchors: DataFrame) -> DataFram
 def slang_hits(docs: DataFrame, pack: Pack, *keep: str) -> DataFrame:
     """doc_id, keep, term, grade, pos (from 1), before (30 characters) of every occurrence; overlapping terms are all reported."""
     grade = F.create_map(*[F.lit(x) for g, terms in pack.grades.items() for t in terms for x in (t, g)])
-    rows = docs.select("doc_id", *keep, "text", Lexicon(pack.grades).places("text").alias("_h")).select("doc_id", *keep, "text", F.explode("_h").alias("x"))
-    return rows.select("doc_id", *keep, "x.term", F.try_element_at(grade, F.col("x.term")).alias("grade"), F.col("x.pos").cast("long").alias("pos"), T.snippet("text", F.col("x.pos"), 30).alias("before"))
+    rows = docs.select("doc_id", *keep, Lexicon(pack.grades).around("text", 30).alias("_h")).select("doc_id", *keep, F.explode("_h").alias("x"))
+    before = F.concat("x.before", F.left(F.concat("x.term", "x.after"), F.lit(30)))
+    return rows.select("doc_id", *keep, "x.term", F.try_element_at(grade, F.col("x.term")).alias("grade"), F.col("x.pos").cast("long").alias("pos"), before.alias("before"))
 
 
 def slang_clusters(docs: DataFrame, pack: Pack, near: int = 100) -> DataFrame:

@@ -112,6 +112,17 @@ class Lexicon:
         """Array of (term, pos from 1) of the longest terms from the left; null of a null text."""
         return self._found(longest_of, text)
 
+    def around(self, text: str | Column, near: int) -> Column:
+        """``places`` with what stands before and after each, ``near`` characters at most: cut where the text is at hand, as a substring of each place would walk the text again."""
+        terms = self.terms
+
+        def of(texts: pa.Array) -> pa.Array:
+            cut = lambda t, i, at: {"term": terms[i], "pos": at + 1, "before": t[max(at - near, 0) : at], "after": t[at + len(terms[i]) : at + len(terms[i]) + near]}
+            rows = [None if t is None else [cut(t, i, at) for i, at in each_of(terms, t)] for t in texts.to_pylist()]
+            return pa.array(rows, pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32()), ("before", pa.string()), ("after", pa.string())])))
+
+        return once(of, "array<struct<term:string,pos:int,before:string,after:string>>")(text)
+
     def lines(self, texts: str | Column) -> Column:
         """Of an array of lines, an array of (term, n, first): in how many lines each term stands, and the place of the first of them, from 1; terms in their order."""
         terms = self.terms
