@@ -53,6 +53,11 @@ def longest_of(terms: tuple[str, ...], text: str) -> list[tuple[int, int]]:
         start = end - n + 1
         if start not in best or best[start][0] < n:
             best[start] = (n, i)
+    return leftmost(best)
+
+
+def leftmost(best: Mapping[int, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(number, start) from the left, none overlapping another, of the (length, number) of the longest term at each place."""
     out, free = [], 0
     for start in sorted(best):
         n, i = best[start]
@@ -62,9 +67,22 @@ def longest_of(terms: tuple[str, ...], text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Rows that a function takes at a time from a batch, so that few of them are Python objects at once.
+SLICE = 128
+
+
+def sliced(of):
+    """``of`` over a batch, some rows at a time; what it gives is kept as Arrow arrays."""
+
+    def whole(rows: pa.Array) -> pa.Array:
+        return pa.concat_arrays([of(rows.slice(i, SLICE)) for i in range(0, max(len(rows), 1), SLICE)])
+
+    return whole
+
+
 def once(of, kind: str):
     """``of`` as a column function that the optimizer doesn't copy into what reads it, so that it runs once a row."""
-    return F.arrow_udf(of, kind).asNondeterministic()
+    return F.arrow_udf(sliced(of), kind).asNondeterministic()
 
 
 class Lexicon:
@@ -123,6 +141,25 @@ class Lexicon:
 
         return once(of, "array<struct<term:string,pos:int,before:string,after:string>>")(text)
 
+    def apart(self, text: str | Column, before: int, behind: int) -> Column:
+        """Array of (list, term, pos from 1, near): of each list for itself the longest terms from the left; near is the text from ``before`` characters before pos to ``behind`` behind it; empty of a null text."""
+        terms, names = self.terms, tuple(self.lists)
+        owners = [[k for k, ws in enumerate(self.lists.values()) if t in ws] for t in terms]
+
+        def of(texts: pa.Array) -> pa.Array:
+            rows = []
+            for t in texts.to_pylist():
+                own: dict[int, dict[int, tuple[int, int]]] = {}
+                for end, (i, n) in automaton(terms).iter(t) if t and terms else ():
+                    for k in owners[i]:
+                        best, start = own.setdefault(k, {}), end - n + 1
+                        if start not in best or best[start][0] < n:
+                            best[start] = (n, i)
+                rows.append([{"list": names[k], "term": terms[i], "pos": at + 1, "near": t[max(at - before, 0) : at + behind]} for k, best in own.items() for i, at in leftmost(best)])
+            return pa.array(rows, pa.list_(pa.struct([("list", pa.string()), ("term", pa.string()), ("pos", pa.int32()), ("near", pa.string())])))
+
+        return once(of, "array<struct<list:string,term:string,pos:int,near:string>>")(text)
+
     def lines(self, texts: str | Column) -> Column:
         """Of an array of lines, an array of (term, n, first): in how many lines each term stands, and the place of the first of them, from 1; terms in their order."""
         terms = self.terms
