@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .matching import once
 
 #: Separators and stops of the contrast scanner, its spans, and the cues of the pause rules.
 SOFT, HARD, STOP = "，,、；;：:—…-", "。！？!?.", "。！？!?\n"
@@ -178,8 +179,7 @@ def dictionary_tokens(docs: DataFrame, words: list[str], longest: int = 4) -> Da
     """doc_id, tokens: forward maximum matching with a dictionary, which is a parameter; what is in no token is skipped."""
     pattern = re.compile(dictionary_pattern(words, longest))
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pattern.findall(t) if t else [])
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([pattern.findall(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return docs.select("doc_id", cut("text").alias("tokens"))
+    return docs.select("doc_id", once(cut, "array<string>")("text").alias("tokens"))
