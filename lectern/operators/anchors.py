@@ -78,17 +78,18 @@ def unit_of(raw: str | Column, kinds: Kinds) -> Column:
     return out
 
 
-def numbers(docs: DataFrame, kinds: Kinds) -> DataFrame:
+def numbers(docs: DataFrame, kinds: Kinds, *only: str) -> DataFrame:
     """doc_id, kind, pos (from 1), raw, value, unit, direction, context (50 characters on both sides), before (what of it stands before raw's first place there).
 
     Tiers are names, found from the left, and have no value; so have distances that
-    tell a time.  All is found inside a row; texts are read once.
+    tell a time.  All is found inside a row; texts are read once.  ``only`` names
+    the kinds to look for; without any all are.  A text is cut at the matches of
+    those patterns only that it has some of.
     """
     parts = []
     for kind, patterns in [*kinds.patterns.items(), *([("tier", ((T_or(kinds.tiers), 0, 0),))] if kinds.tiers else [])]:
-        for i, (p, value, direction) in enumerate(patterns):
-            hits = T.spans(F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0)))
-            parts.append(F.when(F.col("text").rlike(p), F.transform(hits, _mention(kind, i, p, value, direction))))
+        for i, (p, value, direction) in enumerate(patterns if not only or kind in only else ()):
+            parts.append(T.let(F.regexp_extract_all("text", F.lit(p), F.lit(0)), _mentions(kind, i, p, value, direction)))
     shape = "array<struct<kind:string,pos:int,i:int,raw:string,number:string,direction:string>>"
     every = F.array_sort(F.flatten(F.array(*[F.coalesce(x, F.array().cast(shape)) for x in parts])))
     first = T.let(every, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["kind"] != x["kind"]) | (F.get(a, i - 1)["pos"] != x["pos"])))
@@ -104,6 +105,10 @@ def T_or(terms) -> str:
     return "|".join(r"\Q" + t + r"\E" for t in terms)
 
 
+def _mentions(kind: str, i: int, p: str, value: int, direction: int):
+    return lambda found: F.when(F.size(found) > 0, F.transform(T.spans(F.split("text", p, -1), found), _mention(kind, i, p, value, direction)))
+
+
 def _mention(kind: str, i: int, p: str, value: int, direction: int):
     of = lambda x, g: F.regexp_extract(x["found"], p, g) if g else F.lit("")
     return lambda x: F.struct(F.lit(kind).alias("kind"), x["pos"].alias("pos"), F.lit(i).alias("i"), x["found"].alias("raw"), of(x, value).alias("number"), of(x, direction).alias("direction"))

@@ -202,17 +202,16 @@ def register(P: Pack, words: tuple, over_documents: Callable, over_tables: Calla
     found = "with " + numbers_sql(kinds, tiers)
 
     over_documents("kinds_of_numbers", lambda d: A.numbers(d, kinds).drop("context"), found + "select doc_id, kind, pos, raw, value, unit, direction, before from m")
-    over_documents("age_anchors", lambda d: A.anchored(A.numbers(d, kinds), who(d), "age", "age"), found + anchored_sql("age", people, 2))
-    over_documents("cultivation_anchors", lambda d: A.anchored(A.numbers(d, kinds), who(d), "cultivation", "cultivation"), found + anchored_sql("cultivation", people, 3))
-    over_documents("route_distances", lambda d: A.off_routes(A.numbers(d, kinds), frame(d.sparkSession, routes, "route string, distance string"), kinds), found.rstrip() + ",\n" + routes_sql(kinds, routes))
-    over_documents("lone_fights", lambda d: A.fights(A.numbers(d, kinds), kinds), found.rstrip() + ",\n" + fights_sql(kinds) + "select doc_id, pos, solo_pos, kill_pos from f")
-    over_documents("beyond_tier", lambda d: A.beyond_tier(A.numbers(d, kinds), kinds), found.rstrip() + ",\n" + fights_sql(kinds) + "select distinct doc_id, pos, raw as tier from m join f using (doc_id, pos) where kind = 'tier'")
+    over_documents("age_anchors", lambda d: A.anchored(A.numbers(d, kinds, "age"), who(d), "age", "age"), found + anchored_sql("age", people, 2))
+    over_documents("cultivation_anchors", lambda d: A.anchored(A.numbers(d, kinds, "cultivation"), who(d), "cultivation", "cultivation"), found + anchored_sql("cultivation", people, 3))
+    over_documents("route_distances", lambda d: A.off_routes(A.numbers(d, kinds, "distance"), frame(d.sparkSession, routes, "route string, distance string"), kinds), found.rstrip() + ",\n" + routes_sql(kinds, routes))
+    over_documents("lone_fights", lambda d: A.fights(A.numbers(d, kinds, "tier"), kinds), found.rstrip() + ",\n" + fights_sql(kinds) + "select doc_id, pos, solo_pos, kill_pos from f")
+    over_documents("beyond_tier", lambda d: A.beyond_tier(A.numbers(d, kinds, "tier"), kinds), found.rstrip() + ",\n" + fights_sql(kinds) + "select distinct doc_id, pos, raw as tier from m join f using (doc_id, pos) where kind = 'tier'")
     over_documents("narrator_overreach", lambda d: A.narrated(d, P.grades), narrated_sql(P.grades))
 
     def issues(d: DataFrame) -> DataFrame:
         """doc_id, issues: numbers and routes against their anchors."""
-        numbers = A.numbers(d, kinds)
-        parts = [A.anchored(numbers, who(d), "age", "age"), A.anchored(numbers, who(d), "cultivation", "cultivation"), A.off_routes(numbers, frame(d.sparkSession, routes, "route string, distance string"), kinds)]
+        parts = [A.anchored(A.numbers(d, kinds, "age"), who(d), "age", "age"), A.anchored(A.numbers(d, kinds, "cultivation"), who(d), "cultivation", "cultivation"), A.off_routes(A.numbers(d, kinds, "distance"), frame(d.sparkSession, routes, "route string, distance string"), kinds)]
         each = [p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("issues")) for p in parts]
         return each[0].unionByName(each[1]).unionByName(each[2])
 
