@@ -98,7 +98,7 @@ def strip_quoted(c: str | Column) -> Column:
     whole = out = _col(c)
     for q in QUOTES:
         out = F.regexp_replace(out, q, "")
-    return F.when(whole.rlike("[「『【\"'“‘]"), out).otherwise(whole)
+    return F.when(contains_any(whole, "「『【\"'“‘"), out).otherwise(whole)
 
 
 def sentences(c: str | Column, ends: str) -> Column:

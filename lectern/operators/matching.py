@@ -130,6 +130,15 @@ class Lexicon:
         """Array of (term, pos from 1) of the longest terms from the left; null of a null text."""
         return self._found(longest_of, text)
 
+    def kinds(self, text: str | Column) -> Column:
+        """Array of the distinct terms among the longest from the left; null of a null text."""
+        terms = self.terms
+
+        def of(texts: pa.Array) -> pa.Array:
+            return pa.array([None if t is None else [terms[i] for i in dict.fromkeys(i for i, _ in longest_of(terms, t))] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+        return once(of, "array<string>")(text)
+
     def around(self, text: str | Column, near: int) -> Column:
         """``places`` with what stands before and after each, ``near`` characters at most: cut where the text is at hand, as a substring of each place would walk the text again."""
         terms = self.terms

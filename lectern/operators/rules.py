@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import scores as X
 from . import structure as S
-from .scan import DASH, LIFT, PAIR, Scan
+from .scan import DASH, Scan, negations
 
 #: Rules that external tools check, rules that people check, and all rules.
 EXTERNAL = ("R007", "R008", "R011", "R012", "R014", "R021", "R022")
@@ -44,9 +44,8 @@ def checkers(scan: Scan) -> dict[str, Callable[[], Column]]:
     def at_most(n: Column, most: float, failure: str) -> Column:
         return T.let(n.cast("double"), lambda n: _result(n, n <= most, failure))
 
-    def negations() -> Column:
-        pairs = F.transform("_kept", lambda x: T.let(T.count_matches(x, PAIR), lambda a: F.when(a > 0, a).otherwise(F.least(T.count_matches(x, LIFT), F.lit(1).cast("long")))))
-        return at_most(_total(pairs), 0, "blocking")
+    def negated() -> Column:
+        return at_most(_total(F.transform("_kept", negations)), 0, "blocking")
 
     def dashes() -> Column:
         return T.let(T.count_matches("_lines", DASH).cast("double"), lambda n: _result(n, n <= 4, F.when(n >= 8, "blocking").otherwise("advisory")))
@@ -68,8 +67,7 @@ def checkers(scan: Scan) -> dict[str, Callable[[], Column]]:
         return T.let(F.transform("_kept", lambda x: F.substring(x, 1, 2)), of)
 
     def variety() -> Column:
-        words = F.regexp_extract_all("_full", F.lit("[A-Za-z0-9]+|[一-鿿]"), F.lit(0))
-        return T.let(F.when(F.length("_full") >= 200, T.let(words, lambda w: S.windows_ttr(w))), lambda t: _result(t, t >= 0.25, "advisory"))
+        return T.let(F.when(F.length("_full") >= 200, F.col("_full_ttr")), lambda t: _result(t, t >= 0.25, "advisory"))
 
     def transitions() -> Column:
         return T.let(F.when(F.length(told) >= 200, counted("transition_pattern")).otherwise(0.0), lambda n: _result(n, n < 5, "advisory"))
@@ -81,11 +79,11 @@ def checkers(scan: Scan) -> dict[str, Callable[[], Column]]:
             n = F.nullif(F.size(d), F.lit(0))
             return F.coalesce(T.let(plus(d) / n, lambda m: plus(F.transform(d, lambda x: (x - m) * (x - m))) / n), F.lit(0.0))
 
-        value = T.let(X.densities(F.col("_full"), pack, scan.words), variance)
+        value = T.let(F.col("_full_dens"), variance)
         return T.let(F.when(F.length("_full") >= 1000, value), lambda v: _result(v, v >= 0.002, "advisory"))
 
     return {
-        "R001": negations,
+        "R001": negated,
         "R002": dashes,
         "R003": similes,
         "R005": lambda: at_most(counted("banned_terms"), 0, "blocking"),
@@ -103,10 +101,12 @@ def prepared(docs: DataFrame, scan: Scan) -> DataFrame:
     """What ``scan`` prepares of a text, and _lines (its prose), _full (lines that count, end to end), _kept (their narratives that show a character)."""
     rows = scan.prepared(docs)
     counts = F.filter("_prose", lambda x: (x["line"] != "") & ~T.is_divider(x["line"]) & ~T.is_structural(x["line"]))
-    return rows.select(
+    full = F.when(F.monotonically_increasing_id() >= 0, F.array_join(F.transform(counts, lambda x: x["line"]), ""))  # stays a column, as an argument of a function
+    rows = rows.select(
         "doc_id", "_narrative", "_told", "_told_n", F.array_join(F.transform("_prose", lambda x: x["line"]), "\n").alias("_lines"),
-        F.array_join(F.transform(counts, lambda x: x["line"]), "").alias("_full"), F.filter("_told", lambda x: T.visible_length(x, scan.pack.visible) > 0).alias("_kept"),
+        full.alias("_full"), F.filter("_told", lambda x: T.visible_length(x, scan.pack.visible) > 0).alias("_kept"),
     )
+    return rows.select("*", S.poorest_window("_full").alias("_full_ttr"), X.densities(F.col("_full"), scan.pack, scan.words).alias("_full_dens"))
 
 
 def rule_states(docs: DataFrame, scan: Scan, registry: Iterable[tuple[str, bool]]) -> DataFrame:

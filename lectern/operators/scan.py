@@ -24,7 +24,8 @@ from .matching import Lexicon, chosen
 
 FOUND = "array<struct<severity:string,n:bigint>>"
 DASH = "——|—|--+"
-NO = "(?:没有|不是|并非)"
+NEGATIONS = ("没有", "不是", "并非")
+NO = f"(?:{'|'.join(NEGATIONS)})"
 PAIR = NO + "[^，。；！？\n]{2,30}[，]" + NO + "[^，。；！？\n]{2,30}[，]"
 LIFT = NO + "[^，。；！？\n]{2,60}[，].*?(?:而是|只有|那是一种|那是|只剩|唯有)"
 
@@ -57,6 +58,12 @@ def graded(n: Column, advisory: float | None, blocking: float | None) -> Column:
     return T.let(F.coalesce(n, F.lit(0)).cast("long"), of)
 
 
+def negations(line: Column) -> Column:
+    """Pairs of negations on a line, or 1 for a lifting end where it has none; lines without a negation are not searched."""
+    found = T.let(T.count_matches(line, PAIR), lambda a: F.when(a > 0, a).otherwise(F.least(T.count_matches(line, LIFT), F.lit(1).cast("long"))))
+    return F.when(T.contains_any(line, NEGATIONS), found).otherwise(F.lit(0).cast("long"))
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -90,7 +97,7 @@ class Scan:
         # a row's number keeps the optimizer from moving the expression into the function's arguments, where it can't be run
         rows = rows.select("*", F.when(F.monotonically_increasing_id() >= 0, F.array_join("_told", "")).alias("_narrative"))
         lexicon, category = self.feelings
-        return rows.select("*", self.told.counts("_narrative").alias("_told_n"), self.whole.counts("text").alias("_whole_n"), chosen(lexicon.longest("text"), category).alias("_feelings"))
+        return rows.select("*", self.told.counts("_narrative").alias("_told_n"), self.whole.counts("text").alias("_whole_n"), chosen(lexicon.longest("text"), category).alias("_feelings"), S.poorest_window("text").alias("_ttr"), X.densities(F.col("text"), self.pack, self.words).alias("_dens"))
 
     @cached_property
     def detectors(self) -> dict[str, list[tuple[str, Callable[[], Column]]]]:
@@ -160,8 +167,7 @@ class Scan:
 
     def _variety(self, least: int = 200) -> Column:
         """A poorest window of tokens with under a quarter distinct; n in millionths."""
-        words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+|[一-鿿]"), F.lit(0))
-        return T.let(T.let(words, lambda w: S.windows_ttr(w)), lambda t: one(F.when((F.length("text") >= least) & (t < 0.25), "advisory"), T.scaled(t)))
+        return one(F.when((F.length("text") >= least) & (F.col("_ttr") < 0.25), "advisory"), T.scaled(F.col("_ttr")))
 
     def _starts(self) -> Column:
         """Lines that begin with a transition, of all lines of the text."""
@@ -187,7 +193,7 @@ class Scan:
 
     def _feelings(self, density: bool) -> Column:
         """Too few or many hits for each 1000 characters that aren't blank, or too few categories."""
-        chars = F.length(F.regexp_replace("text", r"\s", ""))
+        chars = F.length(F.regexp_replace("text", r"\s+", ""))
         if not density:
             return T.let(F.size(F.array_distinct("_feelings")), lambda n: one(F.when((chars > 0) & (n < 3), "advisory"), n))
         scaled = T.scaled(F.size("_feelings") * 1000.0 / F.nullif(chars, F.lit(0)))
@@ -200,10 +206,9 @@ class Scan:
             variance = T.let(mean, lambda m: F.aggregate(F.transform(d, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(d), F.lit(0)))
             return T.let(variance, lambda v: one(F.when((F.size(d) >= 3) & (v < 0.002), "advisory"), T.scaled(v)))
 
-        return T.let(F.when(F.length("text") >= 2 * size, X.densities(F.col("text"), self.pack, self.words, size)).otherwise(F.array().cast("array<double>")), of)
+        return T.let(F.when(F.length("text") >= 2 * size, F.col("_dens")).otherwise(F.array().cast("array<double>")), of)
 
     def _negations(self) -> Column:
         """Two clauses running that start with a negation; a lifting end counts on lines that have no such pair."""
         lines = F.filter("_told", lambda x: T.visible_length(x, self.pack.visible) > 0)
-        each = F.transform(lines, lambda x: T.let(T.count_matches(x, PAIR), lambda a: F.when(a > 0, a).otherwise(F.least(T.count_matches(x, LIFT), F.lit(1).cast("long")))))
-        return graded(_sum(each), None, 1)
+        return graded(_sum(F.transform(lines, negations)), None, 1)

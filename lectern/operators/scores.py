@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.packs import Pack
 from . import structure as S
+from .matching import Lexicon, once
 from .rewriting import dictionary_pattern
 
 DASH = "——|—|--+"
@@ -27,12 +31,28 @@ def _count(a: Column) -> Column:
 
 
 def densities(text: Column, pack: Pack, words: tuple, size: int = 500) -> Column:
-    """Information of each whole segment: quotes and verbs (as tokens of maximum matching) for each letter; segments without letters, and texts with fewer than ``size`` letters and marks, have none."""
-    tokens = lambda s: F.regexp_extract_all(s, F.lit(dictionary_pattern([*words, *pack.verbs])), F.lit(0))
-    busy = lambda s: T.count_matches(s, pack.quotes) + F.size(F.filter(tokens(s), lambda t: t.isin(*pack.verbs)))
-    each = F.transform(T.segments(text, size), lambda s: busy(s).cast("double") / F.nullif(T.count_matches(s, pack.letters), F.lit(0)))
-    enough = T.count_matches(text, f"{pack.letters}|{pack.marks}") >= size
-    return F.when(enough, F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<double>"))
+    """Information of each whole segment: quotes and verbs (as tokens of maximum matching) for each letter; segments without letters, and texts with fewer than ``size`` letters and marks, have none.
+
+    A text is cut once inside one function; an argument must be a column of its own.
+    """
+    tokens, quotes, letters = (re.compile(p) for p in (dictionary_pattern([*words, *pack.verbs]), pack.quotes, f"(?:{pack.letters})+"))
+    counted, verbs = re.compile(f"(?:{pack.letters}|{pack.marks})+"), frozenset(pack.verbs)
+    length = lambda p, s: sum(map(len, p.findall(s)))
+
+    def each(t: str | None) -> list[float]:
+        if not t or len(t) < size or length(counted, t) < size:
+            return []
+        out = []
+        for i in range(0, len(t) - size + 1, size):
+            s = t[i : i + size]
+            if n := length(letters, s):
+                out.append((len(quotes.findall(s)) + sum(w in verbs for w in tokens.findall(s))) / n)
+        return out
+
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([each(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    return once(of, "array<double>")(text)
 
 
 def senses(narrative: Column, pack: Pack) -> Column:
@@ -40,8 +60,7 @@ def senses(narrative: Column, pack: Pack) -> Column:
     words = {w: k for k, ws in pack.senses.items() for w in ws}
     terms = sorted({*words, *pack.sense_excludes}, key=lambda w: (-len(w), w))
     lookup = F.create_map(*[F.lit(x) for w, k in words.items() if w not in pack.sense_excludes for x in (w, k)])
-    found = F.array_distinct(F.regexp_extract_all(narrative, F.lit("|".join(terms)), F.lit(0)))
-    kinds = F.transform(found, lambda w: F.try_element_at(lookup, w))
+    kinds = F.transform(Lexicon({"": terms}).kinds(narrative), lambda w: F.try_element_at(lookup, w))
     return F.size(F.array_distinct(F.filter(kinds, lambda k: k.isNotNull())))
 
 
@@ -51,13 +70,15 @@ def features(docs: DataFrame, pack: Pack, words: tuple = ()) -> DataFrame:
     counts = F.filter(S.prose(F.coalesce("text", F.lit(""))), lambda x: (x["line"] != "") & ~T.is_divider(x["line"]) & ~T.is_structural(x["line"]))
     pairs = F.transform(counts, lambda x: F.struct(x["line"].alias("line"), T.strip_quoted(x["line"]).alias("told")))
     rows = docs.select("doc_id", pairs.alias("_l"))
-    rows = rows.select("doc_id", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("full"), F.filter("_l", lambda x: seen(x["told"]) > 0).alias("_l"))
-    rows = rows.select("doc_id", "full", "_l", F.array_join(F.transform("_l", lambda x: x["told"]), "").alias("told"))
+    own = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)  # noqa: E731  stays a column, as an argument of a function
+    rows = rows.select("doc_id", own(F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("full"), own(F.filter("_l", lambda x: seen(x["told"]) > 0)).alias("_l"))
+    rows = rows.select("doc_id", "full", "_l", own(F.array_join(F.transform("_l", lambda x: x["told"]), "")).alias("told"))
+    rows = rows.select("doc_id", "_l", "told", densities(F.col("full"), pack, words).alias("dens"), senses(F.col("told"), pack).alias("senses"))
     lengths = F.flatten(F.transform("_l", lambda x: F.transform(T.sentences(x["told"], pack.ends), seen)))
     of = lambda patterns, x: sum((T.count_matches(x, p) for p in patterns), F.lit(0).cast("long"))
     blocking = _count(F.transform("_l", lambda x: of(pack.blocking, x["told"]) + T.count_terms(x["told"], pack.lists["ban_a"])))
     return rows.select(
-        "doc_id", densities(F.col("full"), pack, words).alias("dens"), F.filter(lengths, lambda n: n > 0).alias("lengths"), seen("told").alias("chars"), senses(F.col("told"), pack).alias("senses"),
+        "doc_id", "dens", F.filter(lengths, lambda n: n > 0).alias("lengths"), seen("told").alias("chars"), "senses",
         of(pack.similes, F.col("told")).alias("similes"), _count(F.transform("_l", lambda x: of(pack.similes, x["told"]))).alias("line_similes"), blocking.alias("blocking"), _count(F.transform("_l", lambda x: T.count_matches(x["line"], DASH))).alias("dashes"),
     )
 

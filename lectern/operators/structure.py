@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.packs import Pack
+from .matching import once
 
 
 def chapters(rows: DataFrame) -> DataFrame:
@@ -110,3 +114,22 @@ def windows_ttr(tokens: Column, size: int = 500) -> Column:
     share = lambda w: F.size(F.array_distinct(w)) / F.size(w)
     whole = F.transform(F.sequence(F.lit(0), F.floor(n / size) - 1), lambda i: share(F.slice(tokens, (i * size + 1).cast("int"), F.lit(size))))
     return F.when(n < 50, F.lit(0.0)).when(n < size, share(tokens)).otherwise(F.array_min(whole))
+
+
+def poorest_window(text: str | Column, tokens: str = "[A-Za-z0-9]+|[一-鿿]", size: int = 500) -> Column:
+    """``windows_ttr`` of a text's tokens, which stay inside one function; null of a null text."""
+    pattern = re.compile(tokens)
+
+    def share(t: str | None) -> float | None:
+        if t is None:
+            return None
+        found = pattern.findall(t)
+        n = len(found)
+        if n < size:
+            return len(set(found)) / n if n >= 50 else 0.0
+        return min(len(set(found[i * size : (i + 1) * size])) / size for i in range(n // size))
+
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([share(t) for t in texts.to_pylist()], pa.float64())
+
+    return once(of, "double")(text)
