@@ -10,10 +10,13 @@ The boundary is the size at which the histogram of sizes makes the listing
 cheapest.
 
 What is asked for is which sets hang together, so no list emits all its pairs.
-Each set of a list is first checked against two hubs of the list; the links
-found are contracted, and only sets of one list that are still apart are then
-met pair by pair, in a join whose condition holds the sizes and small parity
-bitmaps against each other, so that it makes next to no rows but links.  Every pair of linked sets shares a list, so it is either
+Each set of a list is first checked against two hubs of the list, and the links
+found are contracted.  Of lists of the same sets one goes on.  Sets of a list that
+are still apart are checked against a few more hubs, those with the fewest rare
+shingles: a set that others were made from has no edits of its own, so copies that
+differ too much from each other meet in it.  Only what is apart after that is met
+pair by pair, in a join whose condition holds the sizes and small parity bitmaps
+against each other.  Every pair of linked sets shares a list, so it is either
 checked or already known to hang together: no link is lost.
 """
 
@@ -179,6 +182,8 @@ def signatures(h: np.ndarray, rank: np.ndarray, boundary: int, percent: int) ->
 
 
 PARITY = 8
+#: Hubs of a list in a round, and most rounds before the pairs left are met.
+HUBS, ROUNDS = 8, 4
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -207,16 +212,16 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _parities(sketches: DataFrame) -> DataFrame:
-    """id, n and parity of each set."""
+def _traits(sketches: DataFrame) -> DataFrame:
+    """id, n, rare and parity of each set."""
 
     def run(batches):
         for b in batches:
             odd = [folded(x) for x in b.column(2).to_pylist()]
             flat = pa.array(np.concatenate(odd) if odd else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * PARITY), flat)], ["id", "n", "parity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * PARITY), flat)], ["id", "n", "rare", "parity"])
 
-    return sketches.select("id", "n", "bits").mapInArrow(run, "id long, n long, parity array<bigint>")
+    return sketches.select("id", "n", "bits", "rare").mapInArrow(run, "id long, n long, rare int, parity array<bigint>")
 
 
 def _nearly_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +241,7 @@ def _nearly_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFra
 
 
 def _sets(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """doc_id, n (size of the set), its digest, bitmap and signatures (48 bits each), for every row."""
+    """doc_id, n (size of the set), its digest, bitmap and signatures (48 bits each), and the thousandths of it that are rare shingles, for every row."""
     rank, sizes = _order(docs, k, scratch)
     boundary = boundary_of(sizes, percent)
     ranks = docs.sparkSession.sparkContext.broadcast(rank.tobytes())  # 4 MB at any scale
@@ -245,16 +250,18 @@ def _sets(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     def run(batches):
         rank = np.frombuffer(ranks.value, dtype=np.uint8)
         for b in batches:
-            n, digest, sig, bits = [], [], [], []
+            n, digest, sig, bits, rare = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, k)
                 n.append(len(h))
                 bits.append(bitmap(h))
                 digest.append(np.array([h.sum(dtype=np.uint64), _mix(h ^ _M1).sum(dtype=np.uint64)]).tobytes())
-                sig.append(signatures(h, rank[h >> U(64 - CELL_BITS)], boundary, percent).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "digest", "bits", "sig"])
+                own = rank[h >> U(64 - CELL_BITS)]
+                rare.append(1000 * int((own == 0).sum()) // max(1, len(h)))
+                sig.append(signatures(h, own, boundary, percent).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), pa.array(sig, pa.binary()), pa.array(rare, pa.int32())], ["doc_id", "n", "digest", "bits", "sig", "rare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, bits binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, bits binary, sig binary, rare int")
 
 
 def _planes(x: np.ndarray, width: int = 8) -> bytes:
@@ -347,6 +354,40 @@ def _lists(first: DataFrame, scratch: Scratch, bucket_size: int = 1 << 19) -> Da
     return lists
 
 
+def _unlike(lists: DataFrame) -> DataFrame:
+    """sig, id of each list; of lists of the same sets only one."""
+    own = lists.where("listed").select("sig", "id")
+    sets = own.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"ids{k}") for k in range(2)))
+    one = sets.groupBy("size", "ids0", "ids1").agg(F.min("sig").alias("sig"))
+    return own.join(one.select("sig"), "sig", "left_semi")
+
+
+def _apart(members: DataFrame, found: DataFrame, traits: DataFrame, scratch: Scratch) -> DataFrame:
+    """sig, id, component and traits in those lists of ``members(sig, id)`` whose sets are not all in one component."""
+    placed = scratch.put(members.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")))
+    ends = placed.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("sig")
+    apart = scratch.put(placed.join(scratch.put(ends), "sig", "left_semi").join(traits, "id"))
+    scratch.drop(placed)
+    return apart
+
+
+def _plainest(apart: DataFrame, turn: int) -> DataFrame:
+    """The rows of up to HUBS sets of each list: they are dealt at random, and of each deal the one with the fewest rare shingles is taken."""
+    lot = F.xxhash64("id", F.lit(turn))
+    least = apart.groupBy("sig", F.pmod(lot, F.lit(HUBS)).alias("_deal")).agg(F.min(F.struct("rare", lot.alias("lot"), "id"))["id"].alias("id"))
+    return apart.join(least.select("sig", "id"), ["sig", "id"], "left_semi")
+
+
+def _candidates(apart: DataFrame, hubs: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of a list that are apart and that sizes and parities don't rule out: with hubs, or all."""
+    x, y = apart.alias("x"), (apart if hubs is None else hubs).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & parities_allow("x", "y", percent)
+    if hubs is None:
+        on = on & (F.col("x.id") < F.col("y.id"))
+    return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts are linked."""
 
@@ -408,11 +449,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     signed = scratch.put(_sets(docs, k, percent, scratch))
     sets = scratch.put(signed.select("doc_id", "n", "digest"))
     classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").cast("long").alias("id")))
-    own = signed.select(F.col("doc_id").cast("long").alias("id"), "n", "digest", "bits", "sig")
+    own = signed.select(F.col("doc_id").cast("long").alias("id"), "n", "digest", "bits", "sig", "rare")
     first = scratch.put(own.join(classes, ["id", "digest", "n"], "left_semi").drop("digest"))
     scratch.drop(signed)
     lists = _lists(first, scratch)
-    sketches = scratch.put(first.select("id", "n", "bits").join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", "bits"]))
+    sketches = scratch.put(first.select("id", "n", "bits", "rare").join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", "bits"]))
     scratch.drop(first)
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -428,19 +469,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = check(tried)
     found = scratch.put(components(links, scratch))
 
-    placed = scratch.put(lists.where("listed").select("sig", "id").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")))
+    members, traits = scratch.put(_unlike(lists)), scratch.put(_traits(sketches))
     scratch.drop(lists)
-    ends = placed.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("sig")
-    apart = scratch.put(placed.join(scratch.put(ends), "sig", "left_semi"))
-    scratch.drop(placed)
-    apart = scratch.put(apart.join(_parities(sketches), "id"))
-    alike = lambda m, n: (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
-    x, y = apart.alias("x"), apart.alias("y")
-    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")) & parities_allow("x", "y", percent)
-    pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = check(scratch.put(pairs.join(tried, ["a", "b"], "left_anti")))
-    if not more.isEmpty():
-        found = scratch.put(components(scratch.put(links.unionByName(more)), scratch))
+    turn, hubs = 0, True
+    while True:
+        apart = _apart(members.select("sig", "id"), found, traits, scratch)
+        scratch.drop(members)
+        pairs = scratch.put(_candidates(apart, _plainest(apart, turn) if hubs else None, percent).join(tried, ["a", "b"], "left_anti"))
+        more, members = check(pairs), apart
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = scratch.put(components(links, scratch))
+        if not hubs:
+            break
+        tried, turn = tried.unionByName(pairs), turn + 1
+        hubs = turn < ROUNDS and 4 * more.count() > pairs.count()  # where few pairs with hubs link, the rest is mostly apart
 
     reach = classes.select("digest", "n", "id").join(found, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
     rows = sets.select("doc_id", "n", "digest").join(reach, ["digest", "n"], "left")
